@@ -95,9 +95,9 @@ def add_columns(df: DataFrame, inputs: list[str], fields: list[tuple[str, str]],
 
 
 def bounded(batch: pa.RecordBatch, column: int, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of at most ``rows`` rows and about 16 MB of ``column``; a single longer row stays whole."""
+    """Cut a batch into runs of at most ``rows`` rows and about 8 MB of ``column``; a single longer row stays whole."""
     start, size = 0, batch.nbytes
-    step = max(1, min(rows, batch.num_rows if size < 16 << 20 else batch.num_rows * (16 << 20) // size))
+    step = max(1, min(rows, batch.num_rows if size < 8 << 20 else batch.num_rows * (8 << 20) // size))
     while start < batch.num_rows:
         yield batch.slice(start, step)
         start += step

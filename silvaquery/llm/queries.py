@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash_bk, sstable
+from . import chat, crf, langid, mixing, packing, pstable, simhash_bk, sstable, topk
 from .common import fold, table
 
 
@@ -15,6 +15,36 @@ def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    model, prior = crf.fit_sample(docs, labels.filter(~held_out), ~held_out)
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return crf.score_toxicity(rows, model, prior).drop("text")
+
+
+def op6_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    model = langid.fit_sample(docs, ~held_out)
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op4_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.formatted_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
+
+
+def op8_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_inner_products(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op9_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,14 +53,31 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+TOPK = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_crf": op2_crf,
         "op3_mixing": mixing.op3_mixing,
+        "op4_pstable": op4_pstable,
         "op5_sstable": op5_sstable,
+        "op6_subword": op6_subword,
+        "op7_chat": op7_chat,
+        "op8_norm_sorted": op8_norm_sorted,
         "op9_simhash_bk": op9_simhash_bk,
         "op10_sum_of_squares": op10_sum_of_squares,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op8_norm_sorted": TOPK}
