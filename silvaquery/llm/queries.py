@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf, langid, mixing, packing, pstable, simhash_bk, sstable, topk
+from . import brown_lm, chat, crf, langid, mixing, packing, pstable, simhash_bk, sstable, topk
 from .common import fold, table
 
 
@@ -15,6 +15,13 @@ def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(spark, table(spark, sf_dir, "documents"))
 
 
+def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = brown_lm.score_texts(docs, fold("doc_id", 5) != 1)
+    held_out = F.coalesce(fold("doc_id", 5) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
@@ -67,6 +74,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_brown": op1_brown,
         "op2_crf": op2_crf,
         "op3_mixing": mixing.op3_mixing,
         "op4_pstable": op4_pstable,
