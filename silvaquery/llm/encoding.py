@@ -1,21 +1,51 @@
-"""Token ids of whole texts by the tokenizers library, each distinct run of non-blanks encoded once per task."""
+"""Token ids of whole texts by the tokenizers library, each distinct run of non-blanks encoded once while it is kept."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 from .common import worker_cache
 
-#: Runs kept by one process; beyond it the store starts anew, which bounds memory and changes no result.
-KEPT_RUNS = 300_000
+#: Runs that one process keeps, some 30 bytes each; beyond it the store starts anew, which changes no result.
+KEPT_RUNS = 1_000_000
+#: Lower-case Latin letters that every normaliser leaves alone, and ASCII marks but apostrophes behind them.
+PLAIN = re.compile(r"([a-zß-öø-įı-ňŊ-ž]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class Store:
+    """Ids of runs by 128-bit hash, in sorted arrays: a tenth of a dict's memory."""
+
+    def __init__(self) -> None:
+        self.high, self.low = np.zeros(0, "<u8"), np.zeros(0, "<u8")
+        self.first, self.size, self.blob = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, whether found) for rows of (high, low)."""
+        if not len(self.high):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.high, key[:, 0]), len(self.high) - 1)
+        return at, (self.high[at] == key[:, 0]) & (self.low[at] == key[:, 1])
+
+    def add(self, key: np.ndarray, values: list[bytes]) -> None:
+        size = np.fromiter(map(len, values), np.int32, len(values)) // 4
+        first = np.cumsum(size, dtype=np.int64) - size + len(self.blob)
+        order = np.argsort(np.concatenate((self.high, key[:, 0])), kind="stable")
+        self.high, self.low, self.first, self.size = (np.concatenate(x)[order] for x in ((self.high, key[:, 0]), (self.low, key[:, 1]), (self.first, first), (self.size, size)))
+        self.blob = np.concatenate((self.blob, np.frombuffer(b"".join(values), "<u4")))
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file whose normaliser drops white space and whose words never span it.
+    """Encodes texts with a tokenizer file that lower-cases, drops white space, and splits words from marks.
 
-    Such a tokenizer gives the same ids for a text as for its runs between blanks one after
-    another (checked against the whole-text encoding in the tests). So each distinct run is
-    encoded once by the library, and texts are put together from those ids.
+    With such a tokenizer a text has the ids of its runs between blanks one after another, whatever the
+    case of A-Z, and a run of letters with marks behind has those of the letters, then
+    those of the marks (checked against whole texts in the tests). New words are encoded many at a time, as one text, whose
+    words the end-of-word tokens tell apart. Texts that may hold special tokens are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -23,23 +53,77 @@ class Encoder:
 
         kept = worker_cache().setdefault(("tokenizer", path), {})
         if not kept:
-            kept["tokenizer"], kept["runs"] = Tokenizer.from_file(path), {}
-        self.tokenizer, self.runs = kept["tokenizer"], kept["runs"]
+            kept["tokenizer"] = Tokenizer.from_file(path)
+            vocabulary = kept["tokenizer"].get_vocab(with_added_tokens=True)
+            ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+            kept["ends"], kept["store"] = ends, Store()
+        self.tokenizer, self.ends, self.store = kept["tokenizer"], kept["ends"], kept["store"]
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 5000):
+            part = words[at:at + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part) and cut[-1:] == len(ids):
+                raw, edge = ids.tobytes(), (cut * 4).tolist()
+                out += [raw[a:b] for a, b in zip([0, *edge], edge)]
+            else:
+                out += self._alone(part)
+        return out
+
+    def _ids(self, runs: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(runs), 30_000):
+            part = [r.decode() for r in runs[at:at + 30_000]]
+            found = [PLAIN.fullmatch(r.lower()) for r in part]
+            names = list({m[1] for m in found if m})
+            cores = dict(zip(names, self._words(names)))
+            names = list({m[2] for m in found if m})
+            marks = dict(zip(names, self._alone(names)))
+            other = [r for r, m in zip(part, found) if not m]
+            rest = iter(self._alone(other))
+            out += [cores[m[1]] + marks[m[2]] if m else next(rest) for m in found]
+        return out
 
-    def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text, ``end`` last; a null text is an empty one."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        runs = self.runs
-        if len(runs) > KEPT_RUNS:
-            runs.clear()
-        new = list({r for s in split for r in s if r not in runs})
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                runs[r] = np.array(e.ids, "<u4").tobytes()
-        last = np.array([end], "<u4").tobytes()
-        get = runs.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)) + last, "<u4") for s in split]
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        special = pc.match_substring(texts, "<|")
+        plain = pc.if_else(special, pa.scalar("", pa.large_string()), texts)
+        lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(plain), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        key = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names)), "<u8").reshape(-1, 2)
+        _, known = self.store.find(key)
+        new = np.flatnonzero(~known)
+        if len(self.store.high) + len(new) > KEPT_RUNS:
+            self.store.__init__()
+            new = np.arange(len(names))
+        self.store.add(key[new], self._ids([names[i] for i in new.tolist()]))
+        at, _ = self.store.find(key)
+        first, size, blob = self.store.first[at], self.store.size[at], self.store.blob
+        runs, edge = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        edge = edge - edge[0]
+        at = np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist()
+        whole = dict(zip(at, self._alone(texts.take(pa.array(at, pa.int64())).to_pylist())))
+        del texts, plain, lists, names
+        out = []
+        for i in range(len(edge) - 1):
+            own = runs[edge[i]:edge[i + 1]]
+            n = size[own]
+            before = np.cumsum(n, dtype=np.int64)
+            total = int(before[-1]) if len(before) else 0
+            ids = np.empty(total + 1, "<u4")
+            ids[:-1] = blob[np.repeat(first[own] - before + n, n) + np.arange(total)]
+            ids[-1] = end
+            out.append(np.frombuffer(whole[i] + ids[-1:].tobytes(), "<u4") if i in whole else ids)
+        return out
 
 
 def vocabulary_path(path: str | None = None) -> str:

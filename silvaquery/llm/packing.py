@@ -113,8 +113,8 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, end: int = 1, doc_id:
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         for batch in batches:
-            for part in bounded(batch, 1):
-                got = [p for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist(), end)) for p in packer.place(doc, ids)]
+            for part in bounded(batch, 1, 2500):
+                got = [p for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1), end)) for p in packer.place(doc, ids)]
                 if got:
                     yield made(got)
         if got := packer.finish():
