@@ -10,8 +10,9 @@ A shard holds documents in ascending key order. Layout, all integers little-endi
            u32 blocks, u64 entries, u64 ids, 8 bytes magic
 
 Keys are the doc_id as eight big-endian bytes with the sign flipped, so that byte order is numeric order, behind
-one byte 1; a null doc_id is the byte 0 alone and comes first. Values are the ids as varints. A
-lookup asks the filter, then finds its block by binary search in the index, and reads that block alone.
+one byte 1; a null doc_id is the byte 0 alone and comes first. Values are a byte with the width
+(2 or 4) and the ids in so many bytes each. A lookup asks the filter, then finds its block by binary search in the index, and
+reads that block alone.
 
 Shards are written by tasks over ranges of doc_id, under a name of the attempt, and renamed when whole,
 so that a lost executor leaves no half shard. They go to the shared folder through pyarrow's
@@ -75,22 +76,13 @@ def read_varint(buf: bytes, at: int) -> tuple[int, int]:
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
-    """Varints of unsigned 32-bit ids, least significant seven bits first."""
-    ids = ids.astype(np.uint64)
-    groups = np.stack([(ids >> np.uint64(7 * k)) & np.uint64(127) for k in range(5)], axis=1).astype(np.uint8)
-    length = 1 + sum((ids >= (1 << 7 * k)).astype(np.int64) for k in range(1, 5))
-    place = np.arange(5)
-    groups |= np.where(place < length[:, None] - 1, 128, 0).astype(np.uint8)
-    return groups[place < length[:, None]].tobytes()
+    """One byte with the width, 2 or 4, then the ids in so many bytes each."""
+    wide = len(ids) and int(ids.max()) > 0xFFFF
+    return (b"\4" if wide else b"\2") + ids.astype("<u4" if wide else "<u2").tobytes()
 
 
 def unpack_ids(data: bytes) -> np.ndarray:
-    b = np.frombuffer(data, np.uint8)
-    if not len(b):
-        return np.zeros(0, "<u4")
-    first = np.concatenate(([0], np.flatnonzero(b < 128)[:-1] + 1))
-    shift = np.arange(len(b)) - np.repeat(first, np.diff(np.append(first, len(b))))
-    return np.add.reduceat((b & 127).astype(np.uint64) << (7 * shift).astype(np.uint64), first).astype("<u4")
+    return np.frombuffer(data, "<u4" if data[0] == 4 else "<u2", offset=1).astype("<u4")
 
 
 def _bloom_bits(key: bytes, bits: int) -> np.ndarray:
@@ -212,12 +204,12 @@ def write_shards(docs: DataFrame, path: str, end: int = 2, doc_id: str = "doc_id
         store, base = _open(path)
         name, mine = f"shard-{shard:06d}.sst", f"{base}/.shard-{shard:06d}-{TaskContext.get().taskAttemptId()}"
         for batch in batches:
-            for part in bounded(batch, 1):
+            for part in bounded(batch, 1, 2500):
                 if writer is None:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(mine)
                     writer = Writer(out)
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist(), end)):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1), end)):
                     writer.add(key_of(doc), ids)
         if writer is None:
             return
