@@ -18,6 +18,7 @@ the named columns matter, so further columns of any name do not interfere.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -36,34 +37,48 @@ RADIUS = 3
 HOT = 4096
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The text's SimHash as a signed 64-bit integer."""
+def _stirred(h: np.ndarray, nth: int) -> np.ndarray:
+    """Another 64-bit hash made of one (the finaliser of SplitMix64)."""
+    x = h + np.uint64(nth * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, width: int = 1) -> np.ndarray:
+    """The text's SimHash as ``width`` signed 64-bit integers; the first comes from the shingles' hashes themselves."""
     w = words_of(text)
     if not w:
-        return 0
+        return np.zeros(width, np.int64)
     if len(w) > shingle:
         parts = map(b" ".join, zip(*(w[i:] for i in range(shingle))))
         n = len(w) - shingle + 1
     else:
         parts, n = iter([b" ".join(w)]), 1
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     h = np.fromiter((digest(p, seed) for p in parts), np.uint64, n)
-    for at in range(0, n, 1 << 16):
-        bits = np.unpackbits(h[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        full = len(bits) // 255 * 255
-        # Sums of 255 bits fit in a byte, which keeps the additions narrow.
-        counts += bits[:full].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[full:].sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+    out = np.zeros(width, np.int64)
+    for k in range(width):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, n, 1 << 16):
+            part = h[at:at + (1 << 16)]
+            bits = np.unpackbits((_stirred(part, k) if k else part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            full = len(bits) // 255 * 255
+            # Sums of 255 bits fit in a byte, which keeps the additions narrow.
+            counts += bits[:full].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[full:].sum(0, dtype=np.int64)
+        out[k] = np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0]
+    return out
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, seed: int = 42, name: str = "fingerprint") -> DataFrame:
-    """``docs`` with a signed 64-bit fingerprint in one more column, the last."""
+def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, seed: int = 42, name: str = "fingerprint", width: int = 1) -> DataFrame:
+    """``docs`` with a fingerprint in one more column, the last: a signed 64-bit integer, or ``width`` of them as little-endian bytes."""
 
     def make() -> Callable:
-        return lambda texts: [[fingerprint(t, shingle, seed) for t in texts]]
+        if width == 1:
+            return lambda texts: [[int(fingerprint(t, shingle, seed)[0]) for t in texts]]
+        return lambda texts: [[fingerprint(t, shingle, seed, width).tobytes() for t in texts]]
 
-    return add_columns(docs, [text], [(name, "long")], make)
+    return add_columns(docs, [text], [(name, "long" if width == 1 else "binary")], make)
 
 
 def as_hex(fp: Column) -> Column:
@@ -72,66 +87,78 @@ def as_hex(fp: Column) -> Column:
 
 
 class Forest:
-    """BK-trees over the points of many shards, grown level by level.
+    """BK-trees over the points (rows of 64-bit integers) of many shards, grown level by level.
 
     ``shard`` numbers each point's tree. The first point of a shard is its root; of the points at one
     distance below a node the first becomes the child by that edge and the others go below it.
     """
 
     def __init__(self, points: np.ndarray, shard: np.ndarray):
-        n = len(points)
+        n, self.span = len(points), 64 * points.shape[1] + 1
         self.points = points
-        node_of = np.full(n, -1, np.int64)  # where each point has got to
-        parent, edge = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-        rest = np.arange(n)
+        self.parent, self.edge = np.full(n, -1, np.int64), np.zeros(n, np.int64)
         _, first, which = np.unique(shard, return_index=True, return_inverse=True)
-        node_of[:] = first[which]
-        rest = np.setdiff1d(rest, first)
-        self.root_of_point = node_of.copy()
+        node_of = first[which]  # where each point has got to
+        self.root = node_of.copy()
+        rest = np.setdiff1d(np.arange(n), first)
         while len(rest):
-            d = np.bitwise_count(points[rest] ^ points[node_of[rest]]).astype(np.int64)
-            key = node_of[rest] * 65 + d
-            _, at, which = np.unique(key, return_index=True, return_inverse=True)
+            d = self.distance(points[rest], points[node_of[rest]])
+            _, at, which = np.unique(node_of[rest] * self.span + d, return_index=True, return_inverse=True)
             child = rest[at]
-            parent[child], edge[child] = node_of[child], d[at]
+            self.parent[child], self.edge[child] = node_of[child], d[at]
             node_of[rest] = child[which]
             stay = np.ones(len(rest), bool)
             stay[at] = False
             rest = rest[stay]
-        kids = np.flatnonzero(parent >= 0)
-        order = np.argsort(parent[kids] * 65 + edge[kids], kind="stable")
-        self.kids = kids[order]
-        self.keys = (parent[kids] * 65 + edge[kids])[order]
+        kids = np.flatnonzero(self.parent >= 0)
+        keys = self.parent[kids] * self.span + self.edge[kids]
+        order = np.argsort(keys, kind="stable")
+        self.kids, self.keys = kids[order], keys[order]
+
+    @staticmethod
+    def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
     def search(self, query: np.ndarray, start: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (index of query, index of point) at most ``radius`` apart, searching from the node ``start`` of each query."""
         q, node = np.arange(len(query)), start
         while len(q):
-            d = np.bitwise_count(query[q] ^ self.points[node]).astype(np.int64)
+            d = self.distance(query[q], self.points[node])
             near = d <= radius
             yield q[near], node[near]
-            low = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0), "left")
-            high = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), "right")
+            low = np.searchsorted(self.keys, node * self.span + np.maximum(d - radius, 0), "left")
+            high = np.searchsorted(self.keys, node * self.span + np.minimum(d + radius, self.span - 1), "right")
             n = high - low
             begin = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n)
             q, node = np.repeat(q, n), self.kids[begin + np.arange(n.sum())]
 
 
-def near_links(points: np.ndarray, shard: np.ndarray, radius: int, block: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def near_links(points: np.ndarray, shard: np.ndarray, radius: int, block: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """For each point that some other of its shard is near: the point, and the smallest point linked to it here.
 
-    ``points`` repeat from shard to shard; the result has each once.
+    ``points`` repeat from shard to shard; the result has each once. Tree edges within the radius are links
+    already; only points outside their shard's largest group so far need searching for, as a link between groups
+    has an end in a smaller one. So a large group of near copies costs a tree, not its pairs.
     """
     forest = Forest(points, shard)
-    values, name = np.unique(points, return_inverse=True)
-    label = np.arange(len(values))
-    for at in range(0, len(points), block):
-        rows = np.arange(at, min(at + block, len(points)))
-        found = [(name[rows[q]], name[p]) for q, p in forest.search(points[rows], forest.root_of_point[rows], radius)]
-        u, v = (np.concatenate(x) for x in zip(*found))
-        # What was joined so far goes in as links to the label, so that no list of pairs outlives its block.
-        label = local_components(np.concatenate((u, np.arange(len(values)))), np.concatenate((v, label)), len(values))
-    moved = np.flatnonzero(label != np.arange(len(values)))
+    values, name = np.unique(points, axis=0, return_inverse=True)
+    name = name.ravel()
+    everyone = np.arange(len(values))
+    close = np.flatnonzero((forest.parent >= 0) & (forest.edge <= radius))
+    label = local_components(name[close], name[forest.parent[close]], len(values))
+    group, count = np.unique(forest.root * len(values) + label[name], return_counts=True)
+    order = np.lexsort((group, -count, group // len(values)))
+    largest = order[np.unique(group[order] // len(values), return_index=True)[1]]
+    ask = np.flatnonzero(~np.isin(forest.root * len(values) + label[name], group[largest]))
+    for at in range(0, len(ask), block):
+        rows = ask[at:at + block]
+        for q, p in forest.search(points[rows], forest.root[rows], radius):
+            a, b = name[rows[q]], name[p]
+            new = label[a] != label[b]
+            # What was joined so far goes in as links to the label, so no list of pairs outlives its step.
+            if new.any():
+                label = local_components(np.concatenate((a[new], everyone)), np.concatenate((b[new], label)), len(values))
+    moved = np.flatnonzero(label != everyone)
     return values[moved], values[label[moved]]
 
 
@@ -171,18 +198,62 @@ def fingerprint_components(distinct: DataFrame, radius: int = RADIUS, hot: int =
         rows = pa.Table.from_batches(held)
         key = np.column_stack([rows.column(c).to_numpy().astype(np.int64) for c in ("pair", "bits", "part", "more")])
         shard = np.unique(key, axis=0, return_inverse=True)[1].ravel()
-        a, b = near_links(rows.column("fp").to_numpy(), shard, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
+        a, b = near_links(rows.column("fp").to_numpy().reshape(-1, 1), shard, radius)
+        yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(b[:, 0])], names=["u", "v"])
 
     edges = keyed.repartition("pair", "bits", "part", "more").mapInArrow(run, "u long, v long")
     return connected_components(edges, "simhash-cc")
 
 
-def link_fingerprints(prints: DataFrame, fp: str, doc_id: str, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+def bits_apart(similarity: float, bits: int, sureness: float = 1.65) -> tuple[float, int]:
+    """For texts of equal length with this Jaccard similarity of shingles: the chance that a bit differs, and a
+    number of differing bits that 95 % of such pairs keep to."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return p, math.floor(bits * p + sureness * math.sqrt(bits * p * (1 - p)))
+
+
+def similar_components(distinct: DataFrame, similarity: float = 0.8, width: int = 4, recall: float = 0.95, seed: int = 9) -> DataFrame:
+    """Distinct wide fingerprints ``(fp binary)`` -> ``(node, root)``: linked where they differ as little as texts of that similarity do.
+
+    At such distances no block of bits must agree, so shards are named by bits drawn at random, in as many tables as find a pair
+    at the threshold with chance ``recall``; the number of bits grows with the number of
+    fingerprints, so that a shard holds few unrelated ones at any size. Each shard has its BK-tree.
+    """
+    p, radius = bits_apart(similarity, 64 * width)
+    n = distinct.count()
+    k = max(8, math.ceil(math.log2(max(n, 4) / 4)))
+    tables = math.ceil(math.log(1 - recall) / math.log1p(-((1 - p) ** k)))
+    rng = np.random.default_rng(seed)
+    drawn = np.stack([rng.choice(64 * width, k, replace=False) for _ in range(tables)])
+    power = np.int64(1) << np.arange(k, dtype=np.int64)
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                fp = batch.column(0).slice(at, 2000)
+                bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+                for t in range(tables):
+                    yield pa.RecordBatch.from_arrays([fp, pa.array(np.full(len(fp), t, np.int32)), pa.array(bits[:, drawn[t]] @ power)], names=["fp", "tab", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        shard = np.unique(np.column_stack([rows.column(c).to_numpy().astype(np.int64) for c in ("tab", "bits")]), axis=0, return_inverse=True)[1].ravel()
+        points = np.frombuffer(b"".join(rows.column("fp").to_pylist()), "<i8").reshape(-1, width)
+        a, b = near_links(points, shard, radius)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in v], pa.binary()) for v in (a, b)], names=["u", "v"])
+
+    edges = distinct.select("fp").mapInArrow(shards, "fp binary, tab int, bits long").repartition("tab", "bits").mapInArrow(run, "u binary, v binary")
+    return connected_components(edges, "simhash-cc")
+
+
+def link_fingerprints(prints: DataFrame, fp: str, doc_id: str, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows with fingerprint and id -> ``(fp, root, component_id)``, one row per distinct fingerprint."""
     nodes = prints.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least"))
     nodes = written(nodes, "simhash-nodes")
-    parts = fingerprint_components(nodes.select("fp"), radius, hot)
+    parts = components(nodes.select("fp"))
     rooted = written(nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
@@ -192,18 +263,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``(doc_id, fingerprint string, component_id)`` for each row of ``docs``."""
     prints = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle, name="fp").drop("text")
     prints = written(prints, "simhash-prints")
-    found = link_fingerprints(prints, "fp", "doc_id", radius, hot).withColumnRenamed("fp", "node")
+    found = link_fingerprints(prints, "fp", "doc_id", lambda d: fingerprint_components(d, radius, hot)).withColumnRenamed("fp", "node")
     return prints.join(found, prints.fp == found.node).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without near-duplicates: of each component one row stays, one with the smallest doc_id.
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
+    """``docs`` without near-duplicates of at least this similarity: of each component one row stays, one with the smallest doc_id.
 
-    Rows with a null doc_id stay only where their component has no other, as one row.
+    Rows with a null doc_id stay only where their component has no other, as one row. Similarity is what
+    fingerprints of 64 * ``width`` bits tell of it; texts without words are copies of one another.
     """
     fp = free_name(docs.columns, "fp")
-    prints = written(with_fingerprints(docs, text, shingle, name=fp), "simhash-docs")
-    found = link_fingerprints(prints.select(F.col(fp).alias("fp"), F.col(doc_id).alias("id")), "fp", "id", radius)
+    prints = written(with_fingerprints(docs, text, shingle, name=fp, width=width), "simhash-docs")
+    found = link_fingerprints(prints.select(F.col(fp).alias("fp"), F.col(doc_id).alias("id")), "fp", "id", lambda d: similar_components(d, similarity, width))
     # The kept row of each component is named first, by ids alone, so that only kept rows' texts move.
     ids = prints.select(F.col(fp).alias("fp"), F.col(doc_id).alias("id")).distinct()
     named = ids.join(found, "fp").filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("id", "fp")).alias("k"))
