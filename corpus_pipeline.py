@@ -32,8 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: words in shingles of five, fingerprints at most three bits apart."""
-    return simhash_bk.keep_one(docs, shingle=5)
+    """One document of each group of near-duplicates: words in shingles of five, a similarity of 0.8 or more."""
+    return simhash_bk.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
