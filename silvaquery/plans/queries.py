@@ -496,3 +496,128 @@ def match_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ne.dbscan(ad.points(spark, sf_dir).filter("z < 3"), 1.0, 4)
+
+
+# ---------------------------------------------------------------- measurement and segmentation
+
+from ..operators import registration as rg  # noqa: E402
+from ..operators import segmentation as sg  # noqa: E402
+from ..operators import trees as tr  # noqa: E402
+
+
+def _stand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with heights, and stems: each supplier's lines set on circles of 5 to 30 cm about a lattice position."""
+    p = ad.points(spark, sf_dir)
+    a = F.col("z") * 0.7 + F.col("x") * 2.1
+    r = 0.05 + (F.col("tree_id") % 6) * 0.05
+    return p.withColumns({"hag": F.col("z") * 0.2, "x": (F.col("tree_id") % 10) * 5.0 + r * F.cos(a), "y": F.floor(F.col("tree_id") / 10) * 5.0 + r * F.sin(a)})
+
+
+_STAND = f"{POINTS_SQL}, stand AS (SELECT point_id, tree_id, z, z * 0.2 AS hag, (tree_id % 10) * 5.0 + (0.05 + (tree_id % 6) * 0.05) * cos(z * 0.7 + x * 2.1) AS x, floor(tree_id / 10) * 5.0 + (0.05 + (tree_id % 6) * 0.05) * sin(z * 0.7 + x * 2.1) AS y FROM points)"
+
+
+@query(f"WITH {_STAND} SELECT tree_id, count(*) AS n, round(max(hag), 6) AS height, round(2 * (0.05 + (tree_id % 6) * 0.05), 6) AS dbh FROM stand WHERE tree_id > 0 GROUP BY tree_id")
+def metrics_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tr.tree_metrics(_stand(spark, sf_dir), 1.0, 3.0)
+    return rounded(t.select("tree_id", F.col("count").alias("n"), "height", "dbh"))
+
+
+@query(f"WITH {_STAND} SELECT tree_id, round(2 * (0.05 + (tree_id % 6) * 0.05), 4) AS dbh, count(*) AS band_count FROM stand WHERE tree_id > 0 AND hag BETWEEN 1 AND 3 GROUP BY tree_id HAVING count(*) >= 12")
+def metrics_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tr.fit_stems(_stand(spark, sf_dir)).filter("dbh IS NOT NULL")
+    return rounded(t.select("tree_id", "dbh", F.col("band_count").cast("long").alias("band_count")), 4)
+
+
+@query(None)
+def metrics_qsm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tr.stem_model(tr.slices(_stand(spark, sf_dir), 0.5, 5), 0.5))
+
+
+@query(None)
+def stem_centerlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.center_lines(tr.slices(_stand(spark, sf_dir), 0.5, 5)).select("tree_id", F.size("line").alias("vertices"))
+
+
+@query(None)
+def rescan_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.shadows(tr.slices(_stand(spark, sf_dir).filter("x % 5 < 2.5"), 0.5, 5))
+
+
+@query(None)
+def virtual_caliper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tr.caliper(_stand(spark, sf_dir).filter("tree_id = 12"), 10.0, 5.0, 10.0, 1.0, 12.0))
+
+
+@query(f"""WITH {TREES_SQL}, p AS (SELECT ln(height) AS x, ln(0.4 * dbh * dbh * height * (1 + (tree_id % 5) / 50.0::DOUBLE)) AS y FROM trees WHERE height > 0 AND dbh > 0)
+SELECT count(*) AS n, round(regr_intercept(y, x), 4) AS b0, round(regr_slope(y, x), 4) AS b1, round(regr_r2(y, x), 4) AS r2, round((SELECT avg(exp(y - a - b * x)) FROM p, (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM p)), 4) AS smearing FROM p""")
+def change_cross_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ad.trees(spark, sf_dir).filter("height > 0 AND dbh > 0")
+    v = 0.4 * F.col("dbh") * F.col("dbh") * F.col("height") * (1 + F.col("tree_id") % 5 / F.lit(50.0))
+    m = tr.volume_model(t.select(F.col("tree_id").alias("seq"), "height", v.alias("volume")), ["height"])
+    return rounded(spark.createDataFrame([(m["n"], *m["coefficients"], m["r2"], m["smearing"])], "n long, b0 double, b1 double, r2 double, smearing double"), 4)
+
+
+@query(None)
+def ground_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sg.classify_ground(ad.points(spark, sf_dir), 1.0, 2.0, window=10.0, tile=25.0)
+
+
+@query(None)
+def terrain_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(sg.flow_accumulation(_grid(spark, sf_dir), 2.0, "mean"))
+
+
+@query(None)
+def segment_chm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sg.segment_chm(_stand(spark, sf_dir), 0.5, tile=25.0)
+
+
+@query(None)
+def segment_li2012(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.points import decimate
+
+    v = decimate(_stand(spark, sf_dir), 0.5).select(F.concat_ws(":", "vx", "vy", "vz").alias("point_id"), "x", "y", (F.col("z") * 0.2).alias("hag"))
+    return sg.segment_li2012(v, min_points=5, tile=25.0)
+
+
+@query(None)
+def segment_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sg.segment_graph(_stand(spark, sf_dir), 0.25, 0.6, tile=25.0)
+
+
+@query(None)
+def segment_deadwood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sg.segment_deadwood(_stand(spark, sf_dir), high=2.0, linear=0.2, eps=0.5, least=5, length=0.1)
+
+
+@query("""WITH n AS (SELECT CAST(p_partkey AS INT) AS tree_id, CAST(least(floor((p_size * 0.1::DOUBLE) / 0.25), 1000000) AS INT) AS k, p_size * 0.1::DOUBLE AS len FROM part), s AS (SELECT tree_id, k, len, unnest(range(k)) AS i FROM n WHERE k >= 1)
+SELECT tree_id, round(len * CASE WHEN k = 1 THEN 1.0 ELSE i / (k - 1)::DOUBLE END, 6) AS z FROM s""")
+def skeleton_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ad.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("tree_id"), F.lit(0).alias("branch_order"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("start"), F.array(F.lit(0.0), F.lit(0.0), F.col("p_size") * F.lit(0.1)).alias("end"))
+    return rounded(sg.sample_skeletons(t, 0.25).select("tree_id", "z"))
+
+
+@query(None)
+def transfer_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sk = spark.range(97).select(F.col("id").cast("int").alias("tree_id"), (F.col("id") % 2).cast("int").alias("branch_order"), *(F.array((F.col("id") % 10) * 5.0, F.floor(F.col("id") / 10) * 5.0, F.lit(z)).alias(n) for n, z in (("start", 0.0), ("end", 50.0))))
+    return sg.transfer_labels(_stand(spark, sf_dir), sg.sample_skeletons(sk, 0.5), 0.4, reach=1.0)
+
+
+@query(None)
+def change_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ad.points(spark, sf_dir).filter("tree_id % 7 = 0")
+    got = rg.icp(po.transform(p, [1, 0, 0, 0.1, 0, 1, 0, -0.05, 0, 0, 1, 0.02, 0, 0, 0, 1]), p, 0.25, 1.0, 10)
+    return spark.createDataFrame([(i, round(v, 4)) for i, v in enumerate(got["matrix"])], "i int, v double")
+
+
+@query("SELECT i, v FROM (VALUES (0, 0.8), (1, -0.6), (2, 0.0), (3, 5.0), (4, 0.6), (5, 0.8), (6, 0.0), (7, 2.0), (8, 0.0), (9, 0.0), (10, 1.0), (11, 1.0), (12, 0.0), (13, 0.0), (14, 0.0), (15, 1.0)) t(i, w), LATERAL (SELECT w::DOUBLE AS v)")
+def preprocess_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ad.points(spark, sf_dir).select("point_id", "x", "y", "z")
+    q = po.transform(p, [0.8, -0.6, 0, 5, 0.6, 0.8, 0, 2, 0, 0, 1, 1, 0, 0, 0, 1]).select("point_id", *(F.col(c).alias("r" + c) for c in "xyz"))
+    return spark.createDataFrame([(i, round(v, 6) + 0.0) for i, v in enumerate(rg.kabsch(p.join(q, "point_id")))], "i int, v double")
+
+
+@query(None)
+def transfer_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ad.trees(spark, sf_dir).filter("x IS NOT NULL").select(F.col("tree_id").alias("id"), "x", "y")
+    return rounded(rg.vote_shift(t, t.select("id", (F.col("x") + 2.0).alias("x"), (F.col("y") - 1.0).alias("y")), 3.0).limit(1))
