@@ -117,7 +117,8 @@ class Forest:
 
     @staticmethod
     def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+        # Unsigned: of a signed integer NumPy counts the bits of its absolute value.
+        return np.bitwise_count((a ^ b).view(np.uint64)).sum(1, dtype=np.int64)
 
     def search(self, query: np.ndarray, start: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (index of query, index of point) at most ``radius`` apart, searching from the node ``start`` of each query."""

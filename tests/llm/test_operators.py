@@ -1,0 +1,459 @@
+"""Each operator against brute force on small rows: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
+
+import collections
+import hashlib
+import math
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from silvaquery.llm import brown_lm, chat, components, crf, langid, mixing, packing, pstable, simhash_bk, sstable, topk
+from silvaquery.llm.common import fold
+from silvaquery.llm.encoding import Encoder, vocabulary_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, fp string, row int"
+LONG = "word " * 30_000
+
+
+def rows():
+    texts = ["the cat sat on the mat", "The CAT sat on the mat", "", None, "   \n\t", "un deux trois quatre cinq", LONG, "Ünïcode – „text“ İstanbul ΣΑΣ", "a", "the cat sat on the mat"]
+    base = [(i, t, "en" if i % 2 else "fr", f"s{i % 3}" if i % 4 else None, len(t) if t else None, 1, 0.5, "x", 3) for i, t in enumerate(texts)]
+    return [*base, base[0], (None, "no id here", None, None, None, None, None, None, None), (77, None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def words(t):
+    return (t or "").encode().lower().split()
+
+
+# ---------------------------------------------------------------- 1
+
+
+def test_brown_counts_and_base(docs):
+    got = [r.asDict() for r in brown_lm.score_texts(docs, fold("doc_id", 5) != 1).collect()]
+    seen = collections.Counter()
+    for r in rows():
+        if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 != 1:
+            seen.update([*words(r[1]), b""])
+    n, v = sum(seen.values()), len(seen)
+    want = sorted((str(r[0]), len(words(r[1])) + 1, round(sum(math.log10((seen[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*words(r[1]), b""]), 6)) for r in rows())
+    assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert all(r["train_tokens"] == n and math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+
+
+def test_brown_rare_words_are_joined(docs, monkeypatch):
+    before = {(r.doc_id, r.n_known): r.score for r in brown_lm.score_texts(docs, F.lit(True)).collect()}
+    monkeypatch.setattr(brown_lm, "LOCAL", 3)
+    after = {(r.doc_id, r.n_known): r.score for r in brown_lm.score_texts(docs, F.lit(True)).collect()}
+    assert before.keys() == after.keys()
+
+
+def test_brown_empty_and_untrained(empty, docs):
+    assert brown_lm.score_texts(empty, F.lit(True)).count() == 0
+    got = brown_lm.score_texts(docs, F.lit(False)).collect()
+    assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in got)
+
+
+def test_exchange_separates_two_languages():
+    rng = np.random.default_rng(0)
+    table = np.zeros((20, 20))
+    for half in (0, 10):
+        table[half:half + 10, half:half + 10] = rng.integers(5, 20, (10, 10))
+    of = brown_lm.exchange(table, 2)
+    assert len(set(of[:10])) == 1 and len(set(of[10:])) == 1 and of[0] != of[10]
+
+
+# ---------------------------------------------------------------- 2
+
+
+def test_marginals_match_enumeration():
+    rng = np.random.default_rng(1)
+    trans, s = rng.normal(size=(2, 2)), rng.normal(size=6) * 2
+    weight, toxic = 0.0, np.zeros(6)
+    for k in range(64):
+        y = [(k >> i) & 1 for i in range(6)]
+        w = math.exp(sum(trans[a, b] for a, b in zip([0, *y], y)) + sum(s[i] for i in range(6) if y[i]))
+        weight += w
+        toxic += w * np.array(y)
+    assert np.allclose(crf.marginals([s], trans)[0], toxic / weight)
+    many = [rng.normal(size=n) for n in (0, 1, 63, 64, 65, 300)]
+    for one, got in zip(many, crf.marginals(many, trans)):
+        if len(one):
+            assert np.allclose(crf._chain(one[None], trans)[0][0], got)
+
+
+def toxic_corpus(spark, n=240):
+    rng = np.random.default_rng(2)
+    vocab = [f"{a}{b}" for a in ("ba", "do", "ki", "mu", "re") for b in ("lo", "ti", "na", "su")]
+    data, labels = [], []
+    for i in range(n):
+        t = list(rng.choice(vocab, 40))
+        bad = i % 3 == 0
+        if bad:
+            for at in rng.integers(0, 40, 3):
+                t[at] = str(rng.choice(["zarg", "Vlorp!", "zargish"]))
+        data.append((i, " ".join(t)))
+        labels.append((i, 1, int(bad)))
+    return spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_held_out_and_spans(spark):
+    docs, labels = toxic_corpus(spark)
+    learn = fold("doc_id", 5) != 0
+    model, prior = crf.fit_sample(docs, labels.filter(learn), learn)
+    got = crf.score_toxicity(docs, model, prior).filter(fold("doc_id", 5) == 0).collect()
+    assert sum(r.predicted == int(r.doc_id % 3 == 0) for r in got) / len(got) > 0.95
+    assert all(0 <= r.score <= 1 for r in got)
+    for r in got:
+        for s in r.spans:
+            assert any(w in r.text[s["start"]:s["end"]].lower() for w in ("zarg", "vlorp"))
+
+
+def test_toxicity_edges(spark, docs, empty):
+    corpus, labels = toxic_corpus(spark, 60)
+    model, prior = crf.fit_sample(corpus, labels, F.lit(True))
+    got = crf.score_toxicity(docs, model, prior)
+    assert got.columns[:len(docs.columns)] == docs.columns and "_score" in got.columns
+    assert all(0 <= r["_score"] <= 1 and not (r["spans"] and not r["text"]) for r in got.collect())
+    assert got.count() == len(rows()) and crf.score_toxicity(empty, model, prior).count() == 0
+    none, share = crf.fit_sample(corpus, labels.limit(0), F.lit(True))
+    assert none is None and {r["_score"] for r in crf.score_toxicity(docs, none, share).collect()} == {0.0}
+
+
+# ---------------------------------------------------------------- 3
+
+
+def targets(sizes, share=1.5, most=2.0):
+    """Sharing out in rounds, as the contract words it."""
+    w = {k: (5, 2, 1)[i % 3] for i, k in enumerate(sizes)}
+    left, open_, out = share * sum(sizes.values()), dict(sizes), {}
+    while open_:
+        level = left / sum(w[k] for k in open_)
+        over = [k for k, s in open_.items() if level * w[k] > most * s]
+        if not over:
+            return out | {k: level * w[k] for k in open_}
+        for k in over:
+            out[k] = most * open_.pop(k)
+            left -= out[k]
+    return out
+
+
+def test_mixing_targets_and_copies(spark):
+    data = [(i, " ".join(["w"] * (1 + i * 7 % 50)), f"s{i % 7}" if i % 9 else None) for i in range(900)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.mix_documents(d).collect()
+    sizes = collections.Counter()
+    for _, t, s in data:
+        sizes[s] += len(t.split())
+    want = targets({k: sizes[k] for k in sorted(sizes, key=lambda s: (s is None, s or ""))})
+    src = {i: s for i, _, s in data}
+    taken = collections.Counter()
+    for r in got:
+        assert r.target == pytest.approx(want[src[r.doc_id]]) and r.taken <= 2 * r.size and r.taken == r.copies * r.size
+        taken[src[r.doc_id]] += r.taken
+    assert all(abs(taken[k] - want[k]) <= 60 for k in want)
+    assert sorted(got) == sorted(mixing.mix_documents(d.repartition(7)).collect())
+    copies = mixing.mixed_copies(d)
+    assert copies.columns == d.columns
+    assert {(r.doc_id): r["count"] for r in copies.groupBy("doc_id").count().collect()} == {r.doc_id: r.copies for r in got if r.copies}
+
+
+def test_mixing_edges(docs, empty):
+    got = mixing.mix_documents(docs)
+    assert got.count() == len(rows()) and mixing.mix_documents(empty).count() == 0
+    assert all(r.taken <= 2 * r.size for r in got.collect())
+    out = mixing.mixed_copies(docs)
+    assert out.columns == docs.columns and mixing.mixed_copies(empty).count() == 0
+
+
+# ---------------------------------------------------------------- 4
+
+
+def test_pstable_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 16)).astype("f4")
+    x[100:160] = x[:60] + rng.normal(size=(60, 16)).astype("f4") * 0.05
+    x[200:210] = x[5]
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [1.0, None]), (903, [float("nan")] * 16), (904, [float("inf")] * 16), (905, []), (None, [1.0] * 16), (906, [float(v) for v in x[5]] + [0.0])]
+    got = {r.vec_id: r for r in pstable.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    found = sum(got[i].n_links for i in range(300))
+    assert 0.95 * (link.sum() - 300) <= found <= link.sum() - 300 + 2 * 13
+    assert got[205].component_id == 5 and not got[205].kept and got[5].kept and got[906].component_id == 5
+    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(900, 906))
+    assert got[None].n_links == 0 and not got[None].kept
+
+
+def test_pstable_blocks_and_empty(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=8) + rng.normal(size=(60, 8)) * 0.01
+    d = spark.createDataFrame([(i, [float(v) for v in r], "x") for i, r in enumerate(x)], "vec_id long, embedding array<double>, n string")
+    for hot in (2048, 7):
+        got = pstable.near_vectors(d, hot=hot).collect()
+        assert {(r.n_links, r.component_id) for r in got} == {(59, 0)}
+    assert pstable.near_vectors(d.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- 5
+
+
+def whole_encodings(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_path())
+    return [np.array(e.ids, "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def test_encoder_equals_whole_texts():
+    import pyarrow as pa
+
+    texts = [r[1] for r in rows()] + ["don't I'LL we're", "x,y;z... ?! ...", "<|endoftext|> a <|STARTOFTEXT|>", "3.14 1,000 ½", "été", "a b c", "ÉTÉ Ñandú ß ẞ İ", "日本語 text 123abc", "tab\tnew\r\nline\x0bv\x1cf"]
+    got = Encoder(vocabulary_path()).encode(pa.array(texts), 2)
+    for t, g, w in zip(texts, got, whole_encodings(texts)):
+        assert g[-1] == 2 and (g[:-1] == w).all(), t
+
+
+def test_sstable_round_trip(spark, docs, empty, tmp_path):
+    got = sstable.round_trip(spark, docs)
+    plain = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    ids = [np.append(w, 2).astype("<u4") for w in whole_encodings([r[1] for r in plain])]
+    want, at = [], 0
+    for r, w in zip(plain, ids):
+        want.append((str(r[0]), at, len(w), zlib.crc32(w.tobytes())))
+        at += len(w)
+    assert sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in got.collect()) == sorted(want)
+    assert sstable.round_trip(spark, empty).count() == 0
+    path = f"file://{tmp_path}/shards"
+    manifest = sstable.write_shards(docs, path, partitions=3).collect()
+    assert len(sstable.lookup(path, manifest, 0)) == 2 and len(sstable.lookup(path, manifest, None)) == 1 and not sstable.lookup(path, manifest, 5000)
+
+
+def test_sstable_blocks(tmp_path, monkeypatch):
+    monkeypatch.setattr(sstable, "BLOCK_BYTES", 64)
+    p = tmp_path / "x.sst"
+    docs = [(i // 3 - 20, np.arange(i % 9, dtype="<u4") + 70_000 * (i % 2)) for i in range(200)]
+    with open(p, "wb") as f:
+        w = sstable.Writer(f)
+        for k, v in docs:
+            w.add(sstable.key_of(k), v)
+        w.finish()
+    with open(p, "rb") as f:
+        r = sstable.Reader(f)
+        assert len(r.index) > 10 and r.entries == 200
+        assert [(sstable.id_of(k), v.tolist()) for k, v in r.scan()] == [(k, v.tolist()) for k, v in docs]
+        for k in range(-20, 46):
+            assert [v.tolist() for v in r.get(k)] == [v.tolist() for q, v in docs if q == k]
+    with open(p, "rb") as f, pytest.raises(ValueError):
+        import io
+
+        sstable.Reader(io.BytesIO(f.read()[:-1]))
+
+
+# ---------------------------------------------------------------- 6
+
+
+def test_language_held_out(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    held = fold("doc_id", 4) == 2
+    model = langid.fit_sample(d, ~held)
+    got = langid.predict(d.filter(held), model).collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95 and all(0 <= r.score <= 1 for r in got)
+    assert sum(r.rejected for r in got) <= 1
+
+
+def test_language_edges(spark, docs, empty, sf):
+    model = langid.fit_sample(spark.read.parquet(f"{sf}/documents.parquet"), F.lit(True))
+    got = langid.predict(docs, model)
+    assert "_score" in got.columns and langid.predict(empty, model).count() == 0
+    for r in got.collect():
+        blank = not r.text or not any(c.isalpha() for c in r.text)
+        assert (r.lang_pred == "und") == blank and (not blank or (r["_score"] == 0 and r.rejected))
+    none = langid.fit_sample(empty, F.lit(True))
+    assert none is None and {r.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}
+
+
+# ---------------------------------------------------------------- 7
+
+TURNS = [("system", "be # nice"), ("user", "\\### Assistant: </turn> ok"), ("assistant", "a\\b <c>\n"), ("user", ""), ("assistant", ""), ("ro:le\n#", "x"), ("assistant", "</turn>\n### user: hi")]
+
+
+def test_chat_template_is_reversible():
+    assert chat.parse_marked(chat.marked_turns(TURNS)) == TURNS
+
+
+@pytest.mark.parametrize("section", [2, 64])
+def test_chat_digests(spark, section):
+    data = [(c, t, r, x, "extra") for c in (1, 2) for t, (r, x) in enumerate(TURNS)] + [(3, 0, "assistant", None, None), (3, None, None, "first", None), (3, 0, "assistant", None, None), (None, 1, "user", "z", None)]
+    d = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, section string")
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(d, section=section)).collect()}
+    said = "".join(x for r, x in TURNS if r == "assistant")
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in TURNS).encode()).hexdigest() == got[2].turns_sha256
+    assert got[1].loss_chars == len(said) and got[1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[1].n_turns == len(TURNS)
+    assert got[1].formatted_chars == len(chat.marked_turns(TURNS)) and not got[1].rewritten
+    assert got[3].n_turns == 3 and got[3].turns_sha256 == hashlib.sha256(b"\nfirst\nassistant\n\nassistant\n\n").hexdigest() and got[None].n_turns == 1
+    assert chat.digests(chat.format_conversations(d.limit(0))).count() == 0
+
+
+def test_chat_detects_rewritten_history():
+    def last_only(turns):
+        return "".join(f"[{r}]{t if i == len(turns) - 1 else '...'};" for i, (r, t) in enumerate(turns))
+
+    assert chat.is_local(chat.marked_turns) and not chat.is_local(last_only)
+    out, spans, mask, rewritten = chat.render(last_only, [("user", "hello"), ("assistant", "bye")])
+    assert rewritten and out == "[user]...;[assistant]bye;"
+    out, spans, mask, rewritten = chat.render(chat.marked_turns, TURNS)
+    assert not rewritten and [out[a:b] for a, b in spans] == [chat.marked_turns([t]) for t in TURNS]
+    assert [chat.unescape(out[a:b]) for a, b in mask] == [x for r, x in TURNS if r == "assistant"]
+
+
+# ---------------------------------------------------------------- 8
+
+
+def test_topk_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "HEAD", 16)
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(size=(260, 12)) * 4) / 4
+    x[50:60] = x[3]
+    data = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)] + [(500, None, 1), (501, [float("nan")] * 12, 1), (502, [None] * 12, 1), (None, [1.0] * 12, 1), (503, [], 1), (3, [float(v) for v in x[3]], 1), (600, [0.0] * 12, 2)]
+    d = spark.createDataFrame(data, "vec_id long, embedding array<float>, score int").repartition(5)
+    got = collections.defaultdict(list)
+    for r in topk.top_inner_products(d, d.filter("vec_id % 100 = 0")).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    q = np.floor(x * 1024).astype(int)
+    ids = [*range(260), 600]
+    q = np.vstack([q, np.zeros((1, 12), int)])
+    assert sorted(got) == [0, 100, 200, 600]
+    for k, found in got.items():
+        s = q @ q[ids.index(k)]
+        want = sorted(((-int(s[j]), i) for j, i in enumerate(ids) if i != k))[:10]
+        assert sorted(found) == [(n + 1, i, -v) for n, (v, i) in enumerate(want)]
+    assert topk.top_inner_products(d.limit(0), d.limit(0)).count() == 0
+    few = d.filter("vec_id in (100, 7, 8)")
+    assert topk.top_inner_products(few, few.filter("vec_id = 100")).count() == 2
+
+
+# ---------------------------------------------------------------- 9
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    w = words(text)
+    if not w:
+        return 0
+    parts = [b" ".join(w[i:i + 3]) for i in range(len(w) - 2)] or [b" ".join(w)]
+    c = [0] * 64
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p, 42)
+        for b in range(64):
+            c[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * c[b] > len(parts))
+
+
+def test_simhash_edges(docs, empty):
+    got = simhash_bk.near_duplicates(docs).collect()
+    assert sorted((str(r.doc_id), r.fingerprint) for r in got) == sorted((str(r[0]), f"{brute_fingerprint(r[1]):016x}") for r in rows())
+    by = {r.doc_id: r.component_id for r in got}
+    assert by[0] == by[1] == by[9] == 0 and by[3] == by[4] == by[77] == 2 and by[None] is None
+    assert simhash_bk.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("hot", [4096, 5])
+def test_simhash_links_are_all_found(spark, hot):
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(1 << 63), 1 << 63, 40)
+    fps = set(base.tolist())
+    for b in base.tolist():
+        for _ in range(12):
+            for bit in rng.choice(64, 2, replace=False):
+                b ^= 1 << int(bit) if bit < 63 else -(1 << 63)
+            fps.add(int(b))
+    fps = sorted(fps)
+    d = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = {r.node: r.root for r in simhash_bk.fingerprint_components(d, hot=hot).collect()}
+    u, v = np.nonzero(np.bitwise_count((np.array(fps)[:, None] ^ np.array(fps)[None]).view(np.uint64)) <= 3)
+    want = components.local_components(u, v, len(fps))
+    assert [got.get(f, f) for f in fps] == [fps[i] for i in want]
+
+
+def test_keep_one_drops_near_copies(spark, docs, empty):
+    rng = np.random.default_rng(7)
+    vocab = [f"w{i}" for i in range(3000)]
+    base = [list(rng.choice(vocab, 300)) for _ in range(12)]
+    data = [(i, " ".join(t)) for i, t in enumerate(base)]
+    for i, t in enumerate(base):
+        near = list(t)
+        near[150] = "changed"
+        near[20] = "other"
+        data.append((100 + i, " ".join(near)))
+    got = simhash_bk.keep_one(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(12))
+    out = simhash_bk.keep_one(docs)
+    assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [0, 2, 5, 6, 7, 8, None]))
+    assert simhash_bk.keep_one(empty).count() == 0
+
+
+def test_connected_components_of_a_path(spark):
+    d = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (101, 101)], "u long, v long")
+    got = {r.node: r.root for r in components.connected_components(d).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+# ---------------------------------------------------------------- 10
+
+
+def check_packing(pieces, texts, capacity=2048):
+    want = sorted(zip([len(w) + 1 for w in whole_encodings(texts)], range(len(texts))))
+    fill = collections.defaultdict(list)
+    for p in pieces:
+        fill[p.sequence_id].append((p.offset, p.length))
+    for v in fill.values():
+        at = 0
+        for o, n in sorted(v):
+            assert o == at and n > 0
+            at += n
+        assert at <= capacity
+    assert sum(p.length for p in pieces) == sum(n for n, _ in want)
+    return fill
+
+
+def test_packing_edges(docs, empty):
+    got = packing.pack_documents(docs.coalesce(1), with_ids=True).collect()
+    fill = check_packing(got, [r[1] for r in rows()])
+    assert len(fill) == -(-sum(p.length for p in got) // 2048)
+    one = sorted((p.start, p.ids) for p in got if p.doc_id == 6)
+    assert np.concatenate([i for _, i in one]).tolist() == [*whole_encodings([LONG])[0].tolist(), 1]
+    assert all(zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32 for p in got)
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_sum_of_squares_places_as_stated():
+    rng = np.random.default_rng(8)
+    p = packing.SumOfSquares(32)
+    for i in range(400):
+        s = int(rng.integers(1, 32))
+        n = p.counts.copy()
+        total = lambda c: int((c[1:32] ** 2).sum())
+        options = {}
+        for h in range(0, 32 - s + 1):
+            if h and not n[h]:
+                continue
+            c = n.copy()
+            c[h] -= h > 0
+            if h + s < 32:
+                c[h + s] += 1
+            options[h] = total(c)
+        p.place(i, np.zeros(s, "<u4"))
+        assert total(p.counts) == min(options.values())
