@@ -51,8 +51,14 @@ def ransac(x: np.ndarray, y: np.ndarray, tol: float, rounds: int, least: int, se
     inside = off[best]
     if inside.sum() < least:
         return None
-    fit = taubin(x[inside], y[inside])
-    if fit is None:
-        return None
+    # The refitted circle names its own inliers, a few times over.
+    for _ in range(5):
+        fit = taubin(x[inside], y[inside])
+        if fit is None:
+            return None
+        again = np.abs(np.hypot(x - fit[0], y - fit[1]) - fit[2]) <= tol
+        if again.sum() < least or (again == inside).all():
+            break
+        inside = again
     res = np.hypot(x[inside] - fit[0], y[inside] - fit[1]) - fit[2]
     return (*fit, int(inside.sum()), float(np.sqrt((res * res).mean())))

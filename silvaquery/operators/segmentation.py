@@ -139,7 +139,10 @@ def segment_chm(points: DataFrame, cell: float = 0.5, smooth: float = 1.0, least
         label, heap = np.zeros(h.shape, np.int64), []
         for i, j in zip(*np.nonzero(h >= least)):
             n = int(min(widest, base + per_m * h[i, j]) / cell)
-            if h[i, j] >= h[max(0, i - n):i + n + 1, max(0, j - n):j + n + 1].max():
+            near = h[max(0, i - n):i + n + 1, max(0, j - n):j + n + 1]
+            # Of equal heights in a window the first in raster order is the seed.
+            first = np.unravel_index(int(near.argmax()), near.shape)
+            if h[i, j] >= near.max() and (first[0] + max(0, i - n), first[1] + max(0, j - n)) == (i, j):
                 label[i, j] = i * h.shape[1] + j + 1
                 heapq.heappush(heap, (-h[i, j], i, j))
         while heap:
