@@ -46,8 +46,12 @@ def ransac(x: np.ndarray, y: np.ndarray, tol: float, rounds: int, least: int, se
         ux = ((ax**2 + ay**2) * (by - cy) + (bx**2 + by**2) * (cy - ay) + (cx**2 + cy**2) * (ay - by)) / d
         uy = ((ax**2 + ay**2) * (cx - bx) + (bx**2 + by**2) * (ax - cx) + (cx**2 + cy**2) * (bx - ax)) / d
         r = np.hypot(ax - ux, ay - uy)
+    real = np.isfinite(r)
+    pick, ux, uy, r = pick[real], ux[real], uy[real], r[real]
+    if not len(r):
+        return None
     off = np.abs(np.hypot(x[None] - ux[:, None], y[None] - uy[:, None]) - r[:, None]) <= tol
-    best = int(np.argmax(np.where(np.isfinite(r), off.sum(1), -1)))
+    best = int(np.argmax(off.sum(1)))
     inside = off[best]
     if inside.sum() < least:
         return None

@@ -104,14 +104,19 @@ def estimated_area_ha(trees: DataFrame) -> DataFrame:
 def dominant_height(trees: DataFrame, fraction: float = 0.1) -> DataFrame:
     """Mean of the tallest tenth, at least one tree.
 
-    Heights are counted before they are ranked, so the window runs over distinct heights, not trees.
+    Heights are counted by centimetre, which is a short table; only the centimetre where the tenth ends is looked into tree by tree.
     """
-    h = trees.filter(F.col("height").isNotNull()).groupBy("height").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("height")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = h.select("height", "n", F.greatest(F.lit(1), F.ceil(total * F.lit(fraction))).cast("long").alias("want"), before.alias("before"))
-    take = F.greatest(F.lit(0), F.least(F.col("n"), F.col("want") - F.col("before")))
-    return ranked.agg((F.sum(take * F.col("height")) / F.sum(take)).alias("dominant_height"), F.sum(take).alias("n_dominant"))
+    h = trees.filter(F.col("height").isNotNull()).select("height", F.floor(F.col("height") * 100).cast("long").alias("bin"))
+    bins = h.groupBy("bin").agg(F.count("*").alias("n"), F.sum("height").alias("s"))
+    want = F.greatest(F.lit(1), F.ceil(F.sum("n").over(Window.partitionBy()) * F.lit(fraction))).cast("long")
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumns({"want": want, "before": before}).filter("before < want")
+    whole = bins.filter("before + n <= want").select(F.col("n").alias("k"), "s")
+    cut = h.join(bins.filter("before + n > want").select("bin", (F.col("want") - F.col("before")).alias("rest")), "bin").groupBy("height").agg(F.count("*").alias("n"), F.first("rest").alias("rest"))
+    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("height")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    take = F.greatest(F.lit(0), F.least(F.col("n"), F.col("rest") - above))
+    part = cut.select(take.alias("k"), (take * F.col("height")).alias("s"))
+    return whole.unionByName(part).agg((F.sum("s") / F.sum("k")).alias("dominant_height"), F.sum("k").alias("n_dominant"))
 
 
 def tree_stats(trees: DataFrame) -> DataFrame:

@@ -41,7 +41,10 @@ def subset(points: DataFrame, ranges: dict[str, tuple[float | None, float | None
 
 def visible(points: DataFrame, eye: tuple[float, float, float], bin_deg: float = 1.0, tolerance: float = 0.1) -> DataFrame:
     """Points no farther than the nearest in their direction bin, plus a tolerance."""
-    return _ranged(points, eye, bin_deg).withColumn("nearest", F.min("range").over(Window.partitionBy("az_bin", "el_bin"))).filter(F.col("range") <= F.col("nearest") + tolerance)
+    p = _ranged(points, eye, bin_deg)
+    # A minimum per bin, aggregated partially and joined back: a bin with very many points is no single task.
+    near = p.groupBy("az_bin", "el_bin").agg(F.min("range").alias("nearest"))
+    return p.join(near, ["az_bin", "el_bin"]).filter(F.col("range") <= F.col("nearest") + tolerance)
 
 
 def _ranged(points: DataFrame, eye: tuple[float, float, float], bin_deg: float) -> DataFrame:
@@ -314,6 +317,17 @@ def ortho(points: DataFrame, pixel: float, view: str = "top", value: str = "inte
     return points.groupBy(S.cell(u, pixel).alias("col"), S.cell(v, pixel).alias("row")).agg(F.min_by(value, F.struct(depth, F.col(order))).alias("value"), F.min(depth).alias("depth"))
 
 
+def numbered(points: DataFrame, by: str, order: str) -> DataFrame:
+    """``nth`` from 0 within ``by``, in order: ranges of the sort key are numbered apart and shifted by the counts before them, so no group is one task."""
+    from .neighbours import cut_lineage
+
+    p = cut_lineage(points.repartitionByRange(by, order).withColumn("part", F.spark_partition_id()))
+    sizes = p.groupBy(by, "part").agg(F.count("*").alias("n"))
+    before = sizes.select(by, "part", (F.sum("n").over(Window.partitionBy(by).orderBy("part")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(by, "part").orderBy(order)) - 1
+    return p.withColumn("inside", inside).join(before, [by, "part"]).withColumn("nth", F.col("inside") + F.col("before")).drop("part", "inside", "before")
+
+
 def every_nth(points: DataFrame, every: int, order: str = "point_id", by: str = "cls") -> DataFrame:
     """Each n-th point of every layer, in order."""
-    return points.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).filter(F.col("nth") % every == 0).drop("nth")
+    return numbered(points, by, order).filter(F.col("nth") % every == 0).drop("nth")

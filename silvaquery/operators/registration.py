@@ -65,3 +65,117 @@ def vote_shift(moving: DataFrame, reference: DataFrame, reach: float = 30.0, cel
     a, b = moving.select(F.col("id").alias("a"), "x", "y"), reference.select(F.col("id").alias("b"), "x", "y")
     p = ne.radius_pairs(a, b, reach, dims)
     return p.groupBy(F.round((F.col("rx") - F.col("x")) / cell).cast("long").alias("i"), F.round((F.col("ry") - F.col("y")) / cell).cast("long").alias("j")).agg(F.count("*").alias("votes"), F.avg(F.col("rx") - F.col("x")).alias("dx"), F.avg(F.col("ry") - F.col("y")).alias("dy")).orderBy(F.desc("votes"), "i", "j")
+
+
+def find_spheres(points: DataFrame, radius: tuple[float, float] = (0.05, 0.15), tol: float = 0.01, least: int = 40, rounds: int = 300, tile: float = 2.0) -> DataFrame:
+    """Sphere targets by RANSAC in tiles with a halo: ``(cx, cy, cz, r, n)``; a sphere belongs to the tile that holds its centre."""
+    import pandas as pd
+
+    from .segmentation import tiled
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, out = pdf[["x", "y", "z"]].to_numpy(float), []
+        tx, ty = int(pdf["tile_x"].iloc[0]), int(pdf["tile_y"].iloc[0])
+        rng = np.random.default_rng([tx & 0xFFFFFFFF, ty & 0xFFFFFFFF])
+        while len(p) >= least:
+            best = None
+            for _ in range(rounds):
+                # Three more points near the first: a target is a small part of its tile.
+                c = p[rng.integers(len(p))]
+                near = np.flatnonzero(((p - c) ** 2).sum(1) <= (2 * radius[1]) ** 2)
+                if len(near) < least:
+                    continue
+                q = p[rng.choice(near, 4, replace=False)]
+                a = 2 * (q[1:] - q[0])
+                if abs(np.linalg.det(a)) < 1e-12:
+                    continue
+                centre = np.linalg.solve(a, (q[1:] ** 2).sum(1) - (q[0] ** 2).sum())
+                r = float(np.linalg.norm(q[0] - centre))
+                if not radius[0] <= r <= radius[1]:
+                    continue
+                on = np.abs(np.linalg.norm(p - centre, axis=1) - r) <= tol
+                if on.sum() >= least and (best is None or on.sum() > best[2].sum()):
+                    best = (centre, r, on)
+            if best is None:
+                break
+            q = p[best[2]]
+            m = np.column_stack([2 * q, np.ones(len(q))])
+            s = np.linalg.lstsq(m, (q * q).sum(1), rcond=None)[0]
+            c, r = s[:3], float(np.sqrt(s[3] + s[:3] @ s[:3]))
+            if np.floor(c[0] / tile) == tx and np.floor(c[1] / tile) == ty and radius[0] <= r <= radius[1]:
+                out.append((*map(float, c), r, len(q)))
+            p = p[np.linalg.norm(p - c, axis=1) > r + 2 * tol]
+        return pd.DataFrame(out, columns=["cx", "cy", "cz", "r", "n"])
+
+    return tiled(points.select("x", "y", "z"), tile, 2 * radius[1], work, "cx double, cy double, cz double, r double, n int")
+
+
+def match_targets(source: list, target: list, tol: float = 0.05) -> tuple[list[tuple[int, int]], list[float] | None]:
+    """Pairs of target centres of two scans whose mutual distances agree, and the transform; triples are tried, the one with most pairs wins."""
+    from itertools import combinations, permutations
+
+    a, b = np.array(source, float).reshape(-1, 3), np.array(target, float).reshape(-1, 3)
+    da, db = (np.linalg.norm(v[:, None] - v[None], axis=2) for v in (a, b))
+    best: tuple = ([], None, np.inf)
+    for i in combinations(range(len(a)), 3):
+        for j in permutations(range(len(b)), 3):
+            if any(abs(da[i[p], i[q]] - db[j[p], j[q]]) > tol for p, q in ((0, 1), (0, 2), (1, 2))):
+                continue
+            m = rigid(a[list(i)], b[list(j)])
+            moved = a @ m[:3, :3].T + m[:3, 3]
+            d = np.linalg.norm(moved[:, None] - b[None], axis=2)
+            pairs = [(k, int(d[k].argmin())) for k in range(len(a)) if d[k].min() <= tol and d[:, d[k].argmin()].argmin() == k]
+            error = sum(d[p] for p in pairs)
+            if (len(pairs), -error) > (len(best[0]), -best[2]):
+                best = (pairs, m, error)
+    if len(best[0]) < 3:
+        return [], None
+    k, j = zip(*best[0])
+    return best[0], rigid(a[list(k)], b[list(j)]).ravel().tolist()
+
+
+def rigid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """4 x 4 transform that takes rows of a to rows of b best."""
+    u, _, vt = np.linalg.svd((a - a.mean(0)).T @ (b - b.mean(0)))
+    r = vt.T @ np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T))]) @ u.T
+    m = np.eye(4)
+    m[:3, :3], m[:3, 3] = r, b.mean(0) - r @ a.mean(0)
+    return m
+
+
+def adjust_network(observed: dict[str, dict[str, list]], rounds: int = 1000, eps: float = 1e-6) -> dict:
+    """Poses of all scans from shared targets at once: ``observed[scan][target] = (x, y, z)``.
+
+    Targets' places are means over the scans that see them, scans are fitted to those, and so on until the residual
+    stands still (generalised Procrustes); the first scan stays where it is. ``{poses, rmse}``.
+    """
+    scans = list(observed)
+    poses, last = {s: np.eye(4) for s in scans}, np.inf
+    # A first guess scan by scan, along shared targets.
+    known, waiting = {scans[0]}, scans[1:]
+    place = {t: np.array(p, float) for t, p in observed[scans[0]].items()}
+    while waiting:
+        ready = max(waiting, key=lambda s: len(set(observed[s]) & set(place)))
+        shared = sorted(set(observed[ready]) & set(place))
+        if len(shared) < 3:
+            raise ValueError(f"{ready} shares fewer than three targets with the others")
+        poses[ready] = rigid(np.array([observed[ready][t] for t in shared], float), np.array([place[t] for t in shared]))
+        for t, p in observed[ready].items():
+            place.setdefault(t, poses[ready][:3, :3] @ np.array(p, float) + poses[ready][:3, 3])
+        waiting.remove(ready)
+        known.add(ready)
+    rmse = 0.0
+    for _ in range(rounds):
+        seen: dict[str, list] = {}
+        for s in scans:
+            for t, p in observed[s].items():
+                seen.setdefault(t, []).append(poses[s][:3, :3] @ np.array(p, float) + poses[s][:3, 3])
+        place = {t: np.mean(v, axis=0) for t, v in seen.items()}
+        rmse = float(np.sqrt(np.mean([((q - place[t]) ** 2).sum() for t, v in seen.items() for q in v])))
+        if abs(last - rmse) < eps * 1e-3:
+            break
+        last = rmse
+        for s in scans[1:]:
+            names = sorted(observed[s])
+            poses[s] = rigid(np.array([observed[s][t] for t in names], float), np.array([place[t] for t in names]))
+    return {"poses": {s: m.ravel().tolist() for s, m in poses.items()}, "rmse": rmse}

@@ -60,7 +60,7 @@ def fit_stems(points: DataFrame, low: float = 1.0, high: float = 3.0, tol: float
         return pd.DataFrame([row], columns=["tree_id", "dbh", "center_x", "center_y", "inlier_count", "band_count", "rmse"])
 
     band = points.filter((F.col("tree_id") > 0) & F.col("hag").between(low, high)).select("tree_id", "x", "y", "z")
-    return band.orderBy("x", "y", "z").groupBy("tree_id").applyInPandas(lambda pdf: fit(pdf.sort_values(["x", "y", "z"])), "tree_id int, dbh double, center_x double, center_y double, inlier_count int, band_count int, rmse double")
+    return band.groupBy("tree_id").applyInPandas(lambda pdf: fit(pdf.sort_values(["x", "y", "z"])), "tree_id int, dbh double, center_x double, center_y double, inlier_count int, band_count int, rmse double")
 
 
 def slices(points: DataFrame, step: float = 0.25, least: int = 15) -> DataFrame:

@@ -860,10 +860,54 @@ def _(spark, stage: str):
     return stage_tag(stage) in spark.sparkContext.getJobTags()
 
 
-#: Operations of the reference that need what is not here, with the reason.
-ABSENT = {
-    "preprocess.targets": "sphere and plane targets",
-    "preprocess.matchSpheres": "sphere and plane targets",
-    "preprocess.msa": "multi-station adjustment needs targets",
-    "segment.treeiso": "cut pursuit",
-}
+# ---------------------------------------------------------------- targets
+
+
+def _spheres(spark, project_folder: str | None, scan: str, spheres: dict | None) -> list[list[float]]:
+    p = spheres or {}
+    found = rg.find_spheres(_scan_points(spark, project_folder, scan), (p.get("minRadius", 0.05), p.get("maxRadius", 0.15)), p.get("tolerance", 0.01), p.get("minPoints", 40))
+    return [[r.cx, r.cy, r.cz] for r in found.orderBy(F.desc("n")).limit(p.get("most", 60)).collect()]
+
+
+@op("preprocess.targets")
+def _(spark, scan: str, planes: dict | None = None, project_folder: str | None = None, spheres: dict | None = None, with_planes: bool = False):
+    if with_planes:
+        raise ValueError("only sphere targets are here")
+    return {"spheres": _spheres(spark, project_folder, scan, spheres)}
+
+
+@op("preprocess.matchSpheres")
+def _(spark, source: str, target: str, apply: bool = False, project_folder: str | None = None, spheres: dict | None = None):
+    pairs, m = rg.match_targets(_spheres(spark, project_folder, source, spheres), _spheres(spark, project_folder, target, spheres))
+    if apply and m:
+        OPS["preprocess.apply"](spark, m, source, True, project_folder)
+    return {"pairs": pairs, "matrix": m}
+
+
+@op("preprocess.msa")
+def _(spark, apply: bool = False, lambda_init: float = 0.0001, max_iters: int = 1000, planes: dict | None = None, preserve_roll_pitch: bool = True, project_folder: str | None = None, rmse_eps: float = 1e-6, scans: list | None = None, spheres: dict | None = None, with_planes: bool = False):
+    if with_planes:
+        raise ValueError("only sphere targets are here")
+    names = scans or [s["id"] for s in _scans(project_folder)[1]]
+    found = {s: _spheres(spark, project_folder, s, spheres) for s in names}
+    # Targets are named by the first scan that sees them; each later scan is matched to what is known so far.
+    places, observed = {f"t{i}": p for i, p in enumerate(found[names[0]])}, {names[0]: {f"t{i}": p for i, p in enumerate(found[names[0]])}}
+    for s in names[1:]:
+        known = list(places)
+        pairs, m = rg.match_targets(found[s], [places[k] for k in known])
+        if not m:
+            raise ValueError(f"{s} cannot be matched to the scans before it")
+        observed[s] = {known[j]: found[s][i] for i, j in pairs}
+        for i in set(range(len(found[s]))) - {i for i, _ in pairs}:
+            places[f"t{len(places)}"] = [sum(m[4 * r + c] * found[s][i][c] for c in range(3)) + m[4 * r + 3] for r in range(3)]
+            observed[s][f"t{len(places) - 1}"] = found[s][i]
+    got = rg.adjust_network(observed, max_iters, rmse_eps)
+    if apply:
+        for s, m in got["poses"].items():
+            OPS["preprocess.apply"](spark, m, s, True, project_folder)
+    return got
+
+
+@op("segment.treeiso")
+def _(spark, octree_dir: str, decimate2: float = 0.1, k1: int = 5, k2: int = 20, k3: int = 20, lambda1: float = 1.0, lambda2: float = 20.0, max_gap: float = 2.0, min_tree_pts: int = 20, rho: float = 0.5, vertical_weight: float = 0.5, voxel_size: float = 0.1):
+    return _label(spark, octree_dir, sg.segment_treeiso(heights_of(spark, octree_dir), k1, lambda1, k2, lambda2, decimate2, max_gap, rho, vertical_weight, voxel_size, min_tree_pts))

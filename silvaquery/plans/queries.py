@@ -621,3 +621,56 @@ def preprocess_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transfer_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ad.trees(spark, sf_dir).filter("x IS NOT NULL").select(F.col("tree_id").alias("id"), "x", "y")
     return rounded(rg.vote_shift(t, t.select("id", (F.col("x") + 2.0).alias("x"), (F.col("y") - 1.0).alias("y")), 3.0).limit(1))
+
+
+@query(None)
+def segment_treeiso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sg.segment_treeiso(_stand(spark, sf_dir), voxel=0.3, tile=25.0)
+
+
+# ---------------------------------------------------------------- keys, tapers, unions, sidecars, events
+
+from ..streaming import events as ev  # noqa: E402
+
+
+@query(f"WITH {POINTS_SQL} SELECT point_id, ((CAST(floor(x / 0.5) AS BIGINT) + 1048576) << 42) | ((CAST(floor(y / 0.5) AS BIGINT) + 1048576) << 21) | (CAST(floor(z / 0.5) AS BIGINT) + 1048576) AS key FROM points")
+def voxel_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ad.points(spark, sf_dir).select("point_id", S.voxel_key(F.col("x"), F.col("y"), F.col("z"), 0.5).alias("key"))
+
+
+@query(f"""WITH {TREES_SQL}, p AS (SELECT tree_id, i, height * i / 10.0 AS h, dbh * 1.1 * (1 - i / 10.0) AS d FROM trees, (SELECT unnest(range(11)) AS i) WHERE dbh > 0 AND height > 0),
+n AS (SELECT *, lead(h) OVER w AS nh, lead(d) OVER w AS nd FROM p WINDOW w AS (PARTITION BY tree_id ORDER BY i))
+SELECT tree_id, round(sum(pi() / 12 * (nh - h) * (d * d + d * nd + nd * nd)), 6) AS volume, max(d) AS base_d FROM n GROUP BY tree_id""")
+def stem_taper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    t = ad.trees(spark, sf_dir).filter("dbh > 0 AND height > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(10))))
+    t = t.select("tree_id", "i", (F.col("height") * F.col("i") / 10.0).alias("h"), (F.col("dbh") * 1.1 * (1 - F.col("i") / 10.0)).alias("d"))
+    w = Window.partitionBy("tree_id").orderBy("i")
+    v = S.frustum(F.lead("h").over(w) - F.col("h"), F.col("d"), F.lead("d").over(w))
+    return t.withColumn("v", v).groupBy("tree_id").agg(F.round(F.sum("v"), 6).alias("volume"), F.max("d").alias("base_d"))
+
+
+@query("SELECT cloud, count(*) AS n, count(q) AS with_q, round(sum(coalesce(q, 0)), 4) AS q FROM (SELECT 'a' AS cloud, l_quantity AS q FROM lineitem WHERE l_linenumber % 2 = 0 UNION ALL SELECT 'b', NULL FROM lineitem WHERE l_linenumber % 2 = 1) GROUP BY cloud")
+def merge_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ad.read(spark, sf_dir, "lineitem")
+    a = t.filter("l_linenumber % 2 = 0").select(F.lit("a").alias("cloud"), F.col("l_quantity").alias("q"))
+    m = po.merge_clouds(a, t.filter("l_linenumber % 2 = 1").select(F.lit("b").alias("cloud")))
+    return m.groupBy("cloud").agg(F.count("*").alias("n"), F.count("q").alias("with_q"), F.round(F.sum(F.coalesce("q", F.lit(0.0))), 4).alias("q"))
+
+
+@query("SELECT user_id AS tree_id, arg_max(event_type, (ts, event_id)) AS verdict, count(*) AS edits FROM events GROUP BY user_id")
+def review_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ad.read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("tree_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("verdict"), F.count("*").alias("edits"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ev.window_counts(ad.read(spark, sf_dir, "events")), 4)
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.sessions(ad.read(spark, sf_dir, "events"))
