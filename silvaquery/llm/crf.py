@@ -98,6 +98,7 @@ def toxic_shapes(toxic: list[list[bytes]], clean: list[list[bytes]], purity: flo
     ratio = len(toxic) / max(1, len(clean))
     # Clean documents are weighed as if there were as many as toxic ones.
     pure = {s: d for s, d in where.items() if len(d) / (len(d) + spoiled[s] * max(ratio, 0.2)) >= purity}
+    words_alone = {s[0]: d for s, d in pure.items() if s[1] == 1 and s[0][0] == "=" and len(d) >= max(8, len(toxic) // 100)}
     chosen: dict[str, int] = {}
     open_docs, floor = set(range(len(toxic))), max(least, len(toxic) // 200)
     while pure:
@@ -108,6 +109,16 @@ def toxic_shapes(toxic: list[list[bytes]], clean: list[list[bytes]], purity: flo
         chosen[best[0]] = min(best[1], chosen.get(best[0], 3))
         open_docs -= pure.pop(best)
         pure = {s: d for s, x in pure.items() if len(d := x & open_docs) >= floor}
+    # Other words as pure, which the cover did not need, tell as well; but they must stand between different
+    # words from document to document, or they may only be words of one text that has many near copies.
+    between: dict[str, set] = defaultdict(set)
+    for words in toxic:
+        for a, w, b in zip([b"", *words], words, [*words[1:], b""]):
+            if (s := known[w][0]) in words_alone:
+                between[s].add((a, b))
+    for s, d in words_alone.items():
+        if len(between[s]) >= 0.8 * len(d):
+            chosen[s] = 1
     return chosen
 
 
