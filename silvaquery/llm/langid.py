@@ -156,12 +156,14 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         place: dict[bytes, int] = {}
         table = np.zeros((KEPT_WORDS, len(model.languages) + 1))
 
-        def add(word: bytes) -> int:
-            ids = subwords(word, model.buckets)
-            n = len(place)
-            table[n, :-1], table[n, -1] = model.scores[ids].sum(0), len(ids)
-            place[word] = n
-            return n
+        def add(words: list[bytes]) -> None:
+            bags = [subwords(w, model.buckets) for w in words]
+            n = np.fromiter(map(len, bags), np.int64, len(bags))
+            flat = np.fromiter((i for b in bags for i in b), np.int64, int(n.sum()))
+            at = len(place)
+            table[at:at + len(words), :-1] = np.add.reduceat(model.scores[flat], np.cumsum(n) - n)
+            table[at:at + len(words), -1] = n
+            place.update(zip(words, range(at, at + len(words))))
 
         def total(words: list[bytes]) -> np.ndarray:
             out = np.zeros(len(model.languages) + 1)
@@ -171,19 +173,29 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 if len(place) + len(new) > KEPT_WORDS:
                     place.clear()
                     new = set(part)
-                for x in new:
-                    add(x)
+                if new:
+                    add(list(new))
                 out += table[np.fromiter(map(place.__getitem__, part), np.int64, len(part))].sum(0)
             return out
 
         def compute(texts: list[str | None]) -> tuple:
             lang, score, rejected = [], np.zeros(len(texts)), []
-            for k, t in enumerate(texts):
-                if not t or not LETTER.search(t):
+            split = [t.encode().lower().split() if t and LETTER.search(t) else None for t in texts]
+            for k, words in enumerate(split):
+                if k % 100 == 0:
+                    # New words of a hundred texts are hashed together.
+                    new = {w for s in split[k:k + 100] if s for w in s}.difference(place)
+                    if len(new) <= KEPT_WORDS:
+                        if len(new) + len(place) > KEPT_WORDS:
+                            place.clear()
+                            new = {w for s in split[k:k + 100] if s for w in s}
+                        if 0 < len(new) <= KEPT_WORDS:
+                            add(list(new))
+                if words is None:
                     lang.append("und")
                     rejected.append(True)
                     continue
-                got = total(t.encode().lower().split())
+                got = total(words)
                 z = (got[:-1] / got[-1] + model.bias) / model.temperature
                 p = np.exp(z - z.max())
                 best = int(p.argmax())
