@@ -33,6 +33,12 @@ KEPT_WORDS = 200_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; the pattern also takes number signs such as fractions, which are looked at again."""
+    m = LETTER.search(text)
+    return bool(m) and (m[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def subwords(word: bytes, buckets: int) -> list[int]:
     """Hash buckets of a word's 2-, 3- and 4-grams with its boundaries, and of the word itself."""
     w = b"<" + word[:60] + b">" if len(word) <= 60 else b"<" + word + b">"
@@ -180,7 +186,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
         def compute(texts: list[str | None]) -> tuple:
             lang, score, rejected = [], np.zeros(len(texts)), []
-            split = [t.encode().lower().split() if t and LETTER.search(t) else None for t in texts]
+            split = [t.encode().lower().split() if t and has_letter(t) else None for t in texts]
             for k, words in enumerate(split):
                 if k % 100 == 0:
                     # New words of a hundred texts are hashed together.

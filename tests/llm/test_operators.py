@@ -280,6 +280,8 @@ def test_language_edges(spark, docs, empty, sf):
     for r in got.collect():
         blank = not r.text or not any(c.isalpha() for c in r.text)
         assert (r.lang_pred == "und") == blank and (not blank or (r["_score"] == 0 and r.rejected))
+    odd = spark.createDataFrame([(0, "½ ② 12 !?"), (1, "½ x")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.predict(odd, model).orderBy("doc_id").collect()] == [True, False]
     none = langid.fit_sample(empty, F.lit(True))
     assert none is None and {r.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}
 
