@@ -250,21 +250,20 @@ def similar_components(distinct: DataFrame, similarity: float = 0.8, width: int
     return connected_components(edges, "simhash-cc")
 
 
-def link_fingerprints(prints: DataFrame, fp: str, doc_id: str, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows with fingerprint and id -> ``(fp, root, component_id)``, one row per distinct fingerprint."""
-    nodes = prints.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least"))
-    nodes = written(nodes, "simhash-nodes")
+def rooted_fingerprints(prints: DataFrame, fp: str, doc_id: str, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows with fingerprint and id -> ``(fp, least, root)``, one row per distinct fingerprint: its smallest id and its component."""
+    nodes = written(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")), "simhash-nodes")
     parts = components(nodes.select("fp"))
-    rooted = written(nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    return written(nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """``(doc_id, fingerprint string, component_id)`` for each row of ``docs``."""
     prints = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle, name="fp").drop("text")
     prints = written(prints, "simhash-prints")
-    found = link_fingerprints(prints, "fp", "doc_id", lambda d: fingerprint_components(d, radius, hot)).withColumnRenamed("fp", "node")
+    rooted = rooted_fingerprints(prints, "fp", "doc_id", lambda d: fingerprint_components(d, radius, hot))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = rooted.select(F.col("fp").alias("node"), "root").join(least, "root")
     return prints.join(found, prints.fp == found.node).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -276,10 +275,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     """
     fp = free_name(docs.columns, "fp")
     prints = written(with_fingerprints(docs, text, shingle, name=fp, width=width), "simhash-docs")
-    found = link_fingerprints(prints.select(F.col(fp).alias("fp"), F.col(doc_id).alias("id")), "fp", "id", lambda d: similar_components(d, similarity, width))
+    rooted = rooted_fingerprints(prints.select(F.col(fp).alias("fp"), F.col(doc_id).alias("id")), "fp", "id", lambda d: similar_components(d, similarity, width))
     # The kept row of each component is named first, by ids alone, so that only kept rows' texts move.
-    ids = prints.select(F.col(fp).alias("fp"), F.col(doc_id).alias("id")).distinct()
-    named = ids.join(found, "fp").filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("id", "fp")).alias("k"))
+    named = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "fp")).alias("k"))
     own_id, own_fp = free_name(prints.columns, "kept_id"), free_name(prints.columns, "kept_fp")
     right = named.select(F.col("k.id").alias(own_id), F.col("k.fp").alias(own_fp))
     kept = prints.join(right, prints[doc_id].eqNullSafe(right[own_id]) & (prints[fp] == right[own_fp]))
