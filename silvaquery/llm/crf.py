@@ -301,21 +301,33 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.place, self.table = model, {}, np.zeros(KEPT_WORDS)
 
+    def learn(self, words: set[bytes]) -> None:
+        """Emissions of new words, summed in one go; at most KEPT_WORDS are kept."""
+        if len(self.place) + len(words) > KEPT_WORDS:
+            self.place.clear()
+        names = list(words)
+        bags = [features(w) for w in names]
+        n = np.fromiter(map(len, bags), np.int64, len(bags))
+        flat = np.fromiter((i for b in bags for i in b), np.int64, int(n.sum()))
+        at = len(self.place)
+        self.table[at:at + len(names)] = np.add.reduceat(self.model.weights[flat], np.cumsum(n) - n)
+        self.place.update(zip(names, range(at, at + len(names))))
+
     def emissions(self, words: list[bytes]) -> np.ndarray:
         out = []
         for at in range(0, len(words), 50_000):
             part = words[at:at + 50_000]
             new = set(part).difference(self.place)
-            if len(self.place) + len(new) > KEPT_WORDS:
-                self.place.clear()
-                new = set(part)
-            for w in new:
-                n = len(self.place)
-                self.place[w], self.table[n] = n, self.model.weights[features(w)].sum()
+            if new:
+                self.learn(set(part) if len(self.place) + len(new) > KEPT_WORDS else new)
             out.append(self.table[np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))])
         return np.concatenate(out) if out else np.zeros(0)
 
     def chances(self, rows: list[list[bytes]]) -> list[np.ndarray]:
+        # New words of many texts are taken together, if they fit; the rest is met text by text.
+        new = set().union(*rows).difference(self.place)
+        if 0 < len(new) <= KEPT_WORDS - len(self.place):
+            self.learn(new)
         return marginals([self.emissions(r) for r in rows], self.model.trans)
 
     def score(self, p: np.ndarray) -> float:
