@@ -28,13 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, free_name, words_of, written
+from .common import add_columns, bounded, free_name, words_of, written
 from .components import connected_components, local_components
 
 #: First bits of the five blocks, and the end.
 BLOCKS = (0, 13, 26, 39, 52, 64)
 RADIUS = 3
 HOT = 4096
+#: Minima of shingle hashes that the nodes of a shard share in the near-duplicate stage.
+BAND = 4
 
 
 def _stirred(h: np.ndarray, nth: int) -> np.ndarray:
@@ -45,19 +47,31 @@ def _stirred(h: np.ndarray, nth: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, width: int = 1) -> np.ndarray:
-    """The text's SimHash as ``width`` signed 64-bit integers; the first comes from the shingles' hashes themselves."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the text's word shingles, repeats included; a shorter text is one shingle, one without words has none."""
     w = words_of(text)
     if not w:
-        return np.zeros(width, np.int64)
+        return np.zeros(0, np.uint64)
     if len(w) > shingle:
         parts = map(b" ".join, zip(*(w[i:] for i in range(shingle))))
         n = len(w) - shingle + 1
     else:
         parts, n = iter([b" ".join(w)]), 1
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(p, seed) for p in parts), np.uint64, n)
+    return np.fromiter((digest(p, seed) for p in parts), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, width: int = 1) -> np.ndarray:
+    """The text's SimHash as ``width`` signed 64-bit integers; the first comes from the shingles' hashes themselves."""
+    return simhash(shingle_hashes(text, shingle, seed), width)
+
+
+def simhash(h: np.ndarray, width: int = 1) -> np.ndarray:
+    """SimHash of 64-bit hashes; of none it is zero."""
+    n = len(h)
     out = np.zeros(width, np.int64)
+    if not n:
+        return out
     for k in range(width):
         counts = np.zeros(64, np.int64)
         for at in range(0, n, 1 << 16):
@@ -206,48 +220,160 @@ def fingerprint_components(distinct: DataFrame, radius: int = RADIUS, hot: int =
     return connected_components(edges, "simhash-cc")
 
 
-def bits_apart(similarity: float, bits: int, sureness: float = 1.65) -> tuple[float, int]:
-    """For texts of equal length with this Jaccard similarity of shingles: the chance that a bit differs, and a
-    number of differing bits that 95 % of such pairs keep to."""
+def bits_apart(similarity: float, bits: int, sureness: float = 5.0) -> int:
+    """A number of differing bits that texts with this Jaccard similarity of shingles keep to: for texts of equal length all
+    but one pair in a million, for sets of four and five shingles (whose bits differ more often) all but one in a thousand."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return p, math.floor(bits * p + sureness * math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + sureness * math.sqrt(bits * p * (1 - p)))
 
 
-def similar_components(distinct: DataFrame, similarity: float = 0.8, width: int = 4, recall: float = 0.95, seed: int = 9) -> DataFrame:
-    """Distinct wide fingerprints ``(fp binary)`` -> ``(node, root)``: linked where they differ as little as texts of that similarity do.
+def band_count(similarity: float, least: int = BAND, recall: float = 0.999) -> int:
+    """Tables of ``least`` minima that find a pair at the threshold with chance ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log1p(-(similarity**least)))
 
-    At such distances no block of bits must agree, so shards are named by bits drawn at random, in as many tables as find a pair
-    at the threshold with chance ``recall``; the number of bits grows with the number of
-    fingerprints, so that a shard holds few unrelated ones at any size. Each shard has its BK-tree.
-    """
-    p, radius = bits_apart(similarity, 64 * width)
-    n = distinct.count()
-    k = max(8, math.ceil(math.log2(max(n, 4) / 4)))
-    tables = math.ceil(math.log(1 - recall) / math.log1p(-((1 - p) ** k)))
+
+def bands_of(h: np.ndarray, tables: int, least: int = BAND, seed: int = 9) -> np.ndarray:
+    """One key a table, made of ``least`` minima of the distinct hashes in as many random orders."""
     rng = np.random.default_rng(seed)
-    drawn = np.stack([rng.choice(64 * width, k, replace=False) for _ in range(tables)])
-    power = np.int64(1) << np.arange(k, dtype=np.int64)
+    stir, times = (rng.integers(0, 1 << 63, (tables * least, 1), dtype=np.uint64) for _ in range(2))
+    low = np.full(tables * least, ~np.uint64(0))
+    for at in range(0, len(h), 1 << 13):
+        low = np.minimum(low, ((h[at:at + (1 << 13)] ^ stir) * (times << np.uint64(1) | np.uint64(1))).min(1))
+    key = np.arange(tables, dtype=np.uint64)
+    for column in low.reshape(tables, least).T:
+        key = _stirred(key ^ column, 1)
+    return key.view(np.int64)
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                fp = batch.column(0).slice(at, 2000)
-                bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([fp, pa.array(np.full(len(fp), t, np.int32)), pa.array(bits[:, drawn[t]] @ power)], names=["fp", "tab", "bits"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
-        shard = np.unique(np.column_stack([rows.column(c).to_numpy().astype(np.int64) for c in ("tab", "bits")]), axis=0, return_inverse=True)[1].ravel()
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets without repeats; of two empty ones 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+class Shards:
+    """The shards of more than one point in a task: points (fingerprints) with their numbers, and a BK-tree for each shard.
+
+    The root is the point nearest to the majority of its shard's bits, so copies of one text meet that text first.
+    """
+
+    def __init__(self, rows: pa.Table, width: int, radius: int):
+        _, shard, count = np.unique(rows.column("band").to_numpy(), return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(count[shard] > 1)
+        shared = shared[np.argsort(shard[shared], kind="stable")]
+        rows, shard = rows.take(pa.array(shared)), shard[shared]
         points = np.frombuffer(b"".join(rows.column("fp").to_pylist()), "<i8").reshape(-1, width)
-        a, b = near_links(points, shard, radius)
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in v], pa.binary()) for v in (a, b)], names=["u", "v"])
+        if len(points):
+            begin = np.flatnonzero(np.diff(shard, prepend=-1))
+            size = np.diff(begin, append=len(shard))
+            far = np.zeros(len(points), np.int64)
+            for k in range(width):
+                bits = np.unpackbits(np.ascontiguousarray(points[:, k:k + 1]).view(np.uint8), axis=1, bitorder="little")
+                most = np.packbits(np.add.reduceat(bits, begin, axis=0, dtype=np.int32) * 2 > size[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
+                far += np.bitwise_count((points[:, k] ^ np.repeat(most, size)).view(np.uint64))
+            order = np.lexsort((far, shard))
+            rows, points = rows.take(pa.array(order)), points[order]
+        self.radius, self.rows, self.points, self.node = radius, rows, points, rows.column("node").to_numpy()
+        self.forest = Forest(points, shard)
+        self.largest = int(count.max(initial=1))
+
+    def nearest_above(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each point the nearest of the points above it in its tree, and the distance; roots have -1."""
+        f = self.forest
+        best, gap, at = f.parent.copy(), f.edge.copy(), f.parent
+        while True:
+            at = np.where(at >= 0, f.parent[at], -1)
+            live = np.flatnonzero(at >= 0)
+            if not len(live):
+                return best, gap
+            d = f.distance(self.points[live], self.points[at[live]])
+            less = d < gap[live]
+            best[live[less]], gap[live[less]] = at[live[less]], d[less]
+
+    def outside(self, group: np.ndarray) -> np.ndarray:
+        """Points that are not in their shard's largest group; any pair of two groups has an end among them."""
+        pair, which, count = np.unique(np.column_stack((self.forest.root, group)), axis=0, return_inverse=True, return_counts=True)
+        order = np.lexsort((-count, pair[:, 0]))
+        first = order[np.unique(pair[order, 0], return_index=True)[1]]
+        return np.flatnonzero(~np.isin(which.ravel(), first))
+
+    def near(self, ask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a point asked for and another within the radius; blocks are small where shards are large."""
+        block = max(1, min(4000, 2_000_000 // self.largest))
+        for at in range(0, len(ask), block):
+            part = ask[at:at + block]
+            for q, p in self.forest.search(self.points[part], self.forest.root[part], self.radius):
+                yield part[q], p
+
+
+def similar_components(prints: DataFrame, nodes: DataFrame, text: str, shingle: int, similarity: float = 0.8, width: int = 4) -> DataFrame:
+    """``nodes(node, fp, bands)`` -> ``(node, root)`` for those linked to another: links are pairs whose sets of shingles have this Jaccard similarity.
+
+    ``prints`` has the texts of the nodes. Shards hold the nodes that agree on a band; BK-trees over the fingerprints find
+    the pairs that are near enough to be compared, and the sets of 32-bit shingle hashes of both decide. Each point is
+    compared first with the nearest above it in its tree, so a large group becomes one component at the cost of a tree;
+    then with all near points that are not in its component yet.
+    """
+    radius = bits_apart(similarity, 64 * width)
+    pair_type = "u long, v long"
+
+    def together(make: Callable[[Shards], Iterator[tuple[np.ndarray, np.ndarray]]]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if not held:
+                return
+            shards = Shards(pa.Table.from_batches(held), width, radius)
+            for u, v in make(shards) if len(shards.node) else ():
+                pairs = np.unique(np.column_stack((np.minimum(u, v), np.maximum(u, v))), axis=0)
+                for at in range(0, len(pairs), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[at:at + 10_000, k]) for k in (0, 1)], names=["u", "v"])
+
+        return run
+
+    def first(s: Shards) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Tree links; as (node, node) all nodes that any other is near."""
+        everyone = np.arange(len(s.node))
+        above, gap = s.nearest_above()
+        close = np.flatnonzero((above >= 0) & (gap <= radius))
+        yield s.node[close], s.node[above[close]]
+        close = np.flatnonzero((s.forest.parent >= 0) & (s.forest.edge <= radius))
+        seen = np.zeros(len(everyone), bool)
+        seen[close] = seen[s.forest.parent[close]] = True
+        for q, p in s.near(s.outside(local_components(close, s.forest.parent[close], len(everyone)))):
+            other = q != p
+            seen[q[other]] = seen[p[other]] = True
+        yield s.node[seen], s.node[seen]
+
+    def across(s: Shards) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        label = s.rows.column("label").to_numpy()
+        for q, p in s.near(s.outside(label)):
+            apart = label[q] != label[p]
+            yield s.node[q[apart]], s.node[p[apart]]
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in bounded(batch, 1):
+                sets = [np.unique(shingle_hashes(t, shingle).astype(np.uint32)).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "items"])
 
-    edges = distinct.select("fp").mapInArrow(shards, "fp binary, tab int, bits long").repartition("tab", "bits").mapInArrow(run, "u binary, v binary")
-    return connected_components(edges, "simhash-cc")
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [[np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(c)] for c in ("a", "b")]
+            yield batch.select(["u", "v"]).filter(pa.array([similarity_of(a, b) >= similarity for a, b in zip(*of)], pa.bool_()))
+
+    def verified(pairs: DataFrame, tag: str) -> DataFrame:
+        one, two = (sets.select(F.col("node").alias(n), F.col("items").alias(i)) for n, i in (("u", "a"), ("v", "b")))
+        return written(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(alike, pair_type), tag)
+
+    keyed = F.explode("bands").alias("band")
+    found = written(nodes.select("node", "fp", keyed).repartition("band").mapInArrow(together(first), pair_type).distinct(), "simhash-tree")
+    texts = prints.select("node", text).mapInArrow(hashes, "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
+    sets = written(texts.join(found.filter("u = v").select(F.col("u").alias("node")), "node"), "simhash-sets")
+    links = verified(found.filter("u <> v"), "simhash-links")
+    named = connected_components(links, "simhash-cc").withColumnRenamed("root", "label")
+    active = nodes.join(sets.select("node"), "node", "left_semi").join(named, "node", "left")
+    asked = active.select("node", "fp", F.coalesce("label", "node").alias("label"), keyed).repartition("band").mapInArrow(together(across), pair_type).distinct()
+    return connected_components(links.unionByName(verified(asked, "simhash-links")), "simhash-cc")
 
 
 def rooted_fingerprints(prints: DataFrame, fp: str, doc_id: str, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -270,15 +396,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
     """``docs`` without near-duplicates of at least this similarity: of each component one row stays, one with the smallest doc_id.
 
-    Rows with a null doc_id stay only where their component has no other, as one row. Similarity is what
-    fingerprints of 64 * ``width`` bits tell of it; texts without words are copies of one another.
+    Two texts are linked where the Jaccard similarity of their sets of word shingles is at least ``similarity``; a component is
+    what such links join. Rows with a null doc_id stay only where their component has no other, as one row; texts
+    without words are copies of one another.
     """
-    fp = free_name(docs.columns, "fp")
-    prints = written(with_fingerprints(docs, text, shingle, name=fp, width=width), "simhash-docs")
-    rooted = rooted_fingerprints(prints.select(F.col(fp).alias("fp"), F.col(doc_id).alias("id")), "fp", "id", lambda d: similar_components(d, similarity, width))
-    # The kept row of each component is named first, by ids alone, so that only kept rows' texts move.
-    named = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "fp")).alias("k"))
-    own_id, own_fp = free_name(prints.columns, "kept_id"), free_name(prints.columns, "kept_fp")
-    right = named.select(F.col("k.id").alias(own_id), F.col("k.fp").alias(own_fp))
-    kept = prints.join(right, prints[doc_id].eqNullSafe(right[own_id]) & (prints[fp] == right[own_fp]))
-    return kept.dropDuplicates([doc_id, fp]).select(*docs.columns)
+    tables = band_count(similarity)
+
+    def make() -> Callable:
+        def run(texts: list) -> list:
+            out = [], [], []
+            for t in texts:
+                h = np.unique(shingle_hashes(t, shingle))
+                out[0].append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
+                out[1].append(simhash(h, width).tobytes())
+                out[2].append(bands_of(h, tables) if len(h) else [])
+            return out
+
+        return run
+
+    prints = written(add_columns(docs, [text], [("node", "long"), ("fp", "binary"), ("bands", "array<long>")], make), "simhash-docs")
+    node, fp, bands = prints.columns[-3:]
+    slim = prints.select(F.col(node).alias("node"), F.col(fp).alias("fp"), F.col(bands).alias("bands"), F.col(doc_id).alias("id"))
+    nodes = written(slim.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("id").alias("least")), "simhash-nodes")
+    words = free_name(["node"], "text")
+    parts = similar_components(prints.select(F.col(node).alias("node"), F.col(text).alias(words)), nodes.select("node", "fp", "bands"), words, shingle, similarity, width)
+    rooted = nodes.select("node", "least").join(parts, "node", "left")
+    # The kept row of each component is named first, by ids alone, so that only kept rows' texts move, and once.
+    named = rooted.groupBy(F.coalesce("root", "node")).agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "node")).alias("k"))
+
+    def key(at: Column, ident: Column) -> Column:
+        return F.concat_ws(":", at.cast("string"), ident.cast("string"))
+
+    own = free_name(prints.columns, "kept_key")
+    right = named.select(key(F.col("k.node"), F.col("k.id")).alias(own))
+    return prints.withColumn(own, key(F.col(node), F.col(doc_id))).join(right, own).dropDuplicates([own]).select(*docs.columns)

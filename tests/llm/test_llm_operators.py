@@ -407,6 +407,27 @@ def test_keep_one_drops_near_copies(spark, docs, empty):
     assert simhash_bk.keep_one(empty).count() == 0
 
 
+def test_keep_one_links_at_the_exact_similarity(spark):
+    rng = np.random.default_rng(11)
+    vocab = [f"w{i}" for i in range(5000)]
+    texts = []
+    for n in (12, 40, 120, 300):
+        for _ in range(25):
+            base = list(rng.choice(vocab, n))
+            texts.append(base)
+            # A shared passage of some length, and another ending: similarities from 0.4 to 0.95.
+            texts += [base[:round(n * s)] + list(rng.choice(vocab, n - round(n * s))) for s in (0.6, 0.75, 0.8, 0.85, 0.88, 0.9, 0.92, 0.97)]
+    hub = list(rng.choice(vocab, 200))
+    texts += [hub[:at] + list(rng.choice(vocab, 16)) + hub[at + 16:] for at in range(0, 180, 3)]  # each near the hub, most not near one another
+    texts.append(hub)
+    data = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    u, v = np.array(links).T
+    want = sorted(set(components.local_components(u, v, len(sets)).tolist()))
+    assert sorted(r.doc_id for r in simhash_bk.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()) == want
+
+
 def test_connected_components_of_a_path(spark):
     d = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (101, 101)], "u long, v long")
     got = {r.node: r.root for r in components.connected_components(d).collect()}
