@@ -497,7 +497,7 @@ def match_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ne.dbscan(ad.points(spark, sf_dir).filter("z < 3"), 1.0, 4)
+    return ne.dbscan(ad.points(spark, sf_dir), 1.0, 4)
 
 
 # ---------------------------------------------------------------- measurement and segmentation
@@ -542,12 +542,12 @@ def stem_centerlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def rescan_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.shadows(tr.slices(_stand(spark, sf_dir).filter("x % 5 < 2.5"), 0.5, 5))
+    return tr.shadows(tr.slices(_stand(spark, sf_dir), 0.5, 5))
 
 
 @query(None)
 def virtual_caliper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tr.caliper(_stand(spark, sf_dir).filter("tree_id = 12"), 10.0, 5.0, 10.0, 1.0, 12.0))
+    return rounded(tr.caliper(_stand(spark, sf_dir), 10.0, 5.0, 10.0, 1.0, 12.0))
 
 
 @query(f"""WITH {TREES_SQL}, p AS (SELECT ln(height) AS x, ln(0.4 * dbh * dbh * height * (1 + (tree_id % 5) / 50.0::DOUBLE)) AS y FROM trees WHERE height > 0 AND dbh > 0)
@@ -607,7 +607,7 @@ def transfer_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def change_register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = ad.points(spark, sf_dir).filter("tree_id % 7 = 0")
+    p = ad.points(spark, sf_dir)
     got = rg.icp(po.transform(p, [1, 0, 0, 0.1, 0, 1, 0, -0.05, 0, 0, 1, 0.02, 0, 0, 0, 1]), p, 0.25, 1.0, 10)
     return spark.createDataFrame([(i, round(v, 4)) for i, v in enumerate(got["matrix"])], "i int, v double")
 

@@ -1,6 +1,7 @@
 """Every query that has SQL against DuckDB on the small tables; the others for rows and a stable schema."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -37,3 +38,30 @@ def test_sql(spark, duck, name):
 @pytest.mark.parametrize("name", ["metrics_qsm", "rescan_advice", "virtual_caliper", "ground_classify", "terrain_flow", "segment_chm", "transfer_run", "match_optimal", "transfer_align"])
 def test_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
+
+
+def test_dbscan_clusters_takes_all_points(spark):
+    from silvaquery.sources import adapters as ad
+
+    p = ad.points(spark, SF).select("point_id", "x", "y", "z").toPandas()
+    xyz = p[["x", "y", "z"]].to_numpy()
+    near = np.concatenate([((xyz[at:at + 500, None] - xyz[None]) ** 2).sum(2) <= 1.0 for at in range(0, len(xyz), 500)])
+    core = near.sum(1) >= 4
+    want = set(p.point_id[(near & core[None]).any(1)])
+    assert {r.point_id for r in plans.QUERIES["dbscan_clusters"](spark, SF).collect()} == want
+
+
+def test_change_register_takes_all_points(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(plans.rg, "icp", lambda moving, reference, *a: seen.append((moving.count(), reference.count())) or {"matrix": [0.0] * 16})
+    plans.QUERIES["change_register"](spark, SF)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert seen == [(n, n)]
+
+
+@pytest.mark.parametrize("name, operator", [("rescan_advice", "slices"), ("virtual_caliper", "caliper")])
+def test_stem_queries_take_all_points(spark, monkeypatch, name, operator):
+    seen, own = [], getattr(plans.tr, operator)
+    monkeypatch.setattr(plans.tr, operator, lambda points, *a: seen.append(points.count()) or own(points, *a))
+    assert plans.QUERIES[name](spark, SF).count() > 0
+    assert seen == [spark.read.parquet(f"{SF}/lineitem.parquet").count()]
