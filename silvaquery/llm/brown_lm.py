@@ -1,69 +1,129 @@
 """Scoring texts with a class-based n-gram model (Brown et al. 1992).
 
-Exchange clustering assigns items to classes so that the likelihood of class bigrams is highest; a word is scored as
-P(class | class before) * P(item | class) * P(word | item), mixed with the smoothed unigram. Items are
-the ``WORDS`` commonest words, and 256 families of all other words, by hash of their last three bytes; so every word,
-seen or not, has a class, and tables that tasks need have a fixed size. Each text ends with one end token,
-which is also the context of its first word.
+Every word of the training texts has one class, found by exchange: a word is in the class that makes the likelihood of
+class bigrams highest. The ``CORE`` commonest words are exchanged one after another against one another until none moves;
+then all other words are placed in rounds, each word by the classes before and behind all its occurrences and
+against the class bigrams of the round before, independently of other words, so the work is spread over the cluster by
+word (a distributed exchange in batches, as Uszkoreit and Brants 2008 have it). The vocabulary grows with the texts; no
+word is left out or put together with others by a hash.
 
-All counts cover all training rows: words and item bigrams are counted per task first, then summed by key. Counts of
-the ``LOCAL`` commonest words (a fixed bound) go to the tasks. Rarer words' counts are joined by word: as
-P(word | item) and the unigram are both proportional to count + 0.5, a text's score is a part known at once plus the
-sum of log10(count + 0.5) over its rare words, so only (text, rare word, times) moves, never whole texts.
+The model is a mixture, P(w | v) = a P(class w | class v) P(w | class w) + (1 - a) P(w). Both word probabilities are
+proportional to count + 0.5, and every class, as the vocabulary, keeps 0.5 for a word that was not seen; so over
+all words and the unseen one it sums to one, and it is the unigram times a factor that depends on two classes only.
+Each text ends with one end token, which is also the context of its first word. An unseen word has no class: as a word it
+may come from any, as a context it predicts classes by their frequency.
+
+Texts are split once, into blocks of about 2 MB with a dictionary each. Words among the ``LOCAL`` commonest (a
+bound on what tasks hold, not on the vocabulary) are known to every task; rarer ones are looked up by a join of
+(block, word) with the table of words. Neighbours of common words are contexts for placing; those of rare
+words count in the model's table as all do.
 
 Defined cases: null or empty texts have the end token alone; rows with a null id are scored but neither learned
-from nor held out; repeated rows count and are scored each; without training rows all counts are zero; an empty table
-gives an empty result; other columns are not read.
+from nor held out; repeated rows count and are scored each; without training rows all counts are zero; a word whose
+neighbours all are rare goes to the last class; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, written
+from .common import written
 
-WORDS, FAMILIES, CLASSES, LOCAL = 768, 256, 48, 1 << 18
+CORE, CLASSES, LOCAL, ROUNDS = 2048, 64, 1 << 18, 2
+#: Bytes of text in a block, most documents in it, tokens whose contexts one placing group is expected to hold.
+BLOCK_BYTES, BLOCK_ROWS, GROUP = 2 << 20, 5000, 2_000_000
+#: Counts up to this have their gains in a table.
+SMALL = 64
 END = b""
 
 
-def family(word: bytes) -> int:
-    return WORDS + zlib.crc32(word[-3:]) % FAMILIES
-
-
 def coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(distinct words, number of each token's word, tokens per text), A-Z lower-cased; end tokens are not in."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    """(distinct words, number of each token's word, tokens per text), A-Z lower-cased, with an end token behind each text."""
+    texts = texts.cast(pa.large_string())
+    # A new array, as ascii_lower misreads one that is a slice of another.
+    texts = pc.if_else(pc.is_valid(texts), texts, pa.scalar("", pa.large_string()))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     found = lists.flatten().dictionary_encode()
     names, codes = found.dictionary.cast(pa.large_binary()).to_pylist(), found.indices.to_numpy()
     row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    if END in (blank := names):
-        # Blanks at a text's beginning or end leave an empty string, which is no word.
-        real = codes != blank.index(END)
+    if END in names:
+        # Blanks at a text's beginning or end leave an empty string, which is no word; its number stands for the end.
+        end = names.index(END)
+        real = codes != end
         codes, row = codes[real], row[real]
-    return names, codes, np.bincount(row, minlength=len(lists))
+    else:
+        end = len(names)
+        names.append(END)
+    sizes = np.bincount(row, minlength=len(lists))
+    return names, np.insert(codes, np.cumsum(sizes), end), sizes + 1
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``texts(text)`` -> ``(word binary, family int, n long)``; the empty word is the end token."""
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """``rows(doc_id, training, text)`` as blocks: ``(block, ids, training, sizes, codes, words)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        high, nth = TaskContext.get().partitionId() << 36, 0
         for batch in batches:
-            for part in bounded(batch, 0, 2500):
-                names, codes, sizes = coded(part.column(0))
-                n = np.bincount(codes, minlength=len(names))
-                there = np.flatnonzero(n)
-                words = [names[i] for i in there.tolist()] + [END]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(family, words), pa.int32()), pa.array(np.append(n[there], len(sizes)))], names=["word", "family", "n"])
+            length = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                # As many rows as fit, at least one.
+                end = min(int(np.searchsorted(length, (length[at - 1] if at else 0) + BLOCK_BYTES, "right")), at + BLOCK_ROWS)
+                part = batch.slice(at, max(1, end - at))
+                names, codes, sizes = coded(part.column(2))
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(k)) for k in (0, 1)]
+                raw = [sizes.astype("<i4").tobytes(), codes.astype("<u2" if len(names) < 1 << 16 else "<u4").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([high + nth]), *lists, *(pa.array([x], pa.binary()) for x in raw), pa.array([names], pa.list_(pa.binary()))], names=["block", "ids", "training", "sizes", "codes", "words"])
+                at, nth = at + part.num_rows, nth + 1
+
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.select("doc_id", "training", "text").mapInArrow(run, f"block long, ids array<{kind}>, training array<boolean>, sizes binary, codes binary, words array<binary>")
+
+
+def tokens_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, sizes, whether each token is of a training text) of a block."""
+    sizes = np.frombuffer(row["sizes"], "<i4")
+    codes = np.frombuffer(row["codes"], "<u2" if len(row["codes"]) == 2 * sizes.sum() else "<u4").astype(np.int64)
+    return codes, sizes, np.repeat(np.array(row["training"], bool), sizes)
+
+
+def contexts(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The code before each token; a text's first word stands behind an end token."""
+    return np.concatenate((codes[sizes[:1] - 1], codes[:-1]))
 
-    return texts.select("text").mapInArrow(run, "word binary, family int, n long").groupBy("word", "family").agg(F.sum("n").alias("n"))
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Blocks one by one."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def word_counts(blocks: DataFrame) -> DataFrame:
+    """``(word binary, n long)`` over training texts; the empty word is the end token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            codes, _, learn = tokens_of(row)
+            n = np.bincount(codes[learn], minlength=len(row["words"]))
+            there = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([row["words"][i] for i in there.tolist()], pa.binary()), pa.array(n[there])], names=["word", "n"])
+
+    return blocks.select("training", "sizes", "codes", "words").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
 
 
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
@@ -83,7 +143,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     np.add.at(right.T, of, bigrams.T)
     table = np.zeros((classes, classes))
     np.add.at(table.T, of, left.T)
-    f = lambda x: x * np.log(np.maximum(x, 1e-300))
+    f = xlogx
     for _ in range(sweeps):
         moved = 0
         for i in order.tolist():
@@ -99,8 +159,10 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
             table[old, old] -= own
             rows, cols = table.sum(1), table.sum(0)
             # Adding to class k changes row k by out, column k by into, and the corner by own and both.
-            gain_row = (f(table + out) - f(table)).sum(1)
-            gain_col = (f(table + into[:, None]) - f(table)).sum(0)
+            some_out, some_in = np.flatnonzero(out), np.flatnonzero(into)
+            a, b = table[:, some_out], table[some_in]
+            gain_row = (f(a + out[some_out]) - f(a)).sum(1)
+            gain_col = (f(b + into[some_in, None]) - f(b)).sum(0)
             d = np.diagonal(table)
             corner = f(d + out + into + own) - f(d + out) - f(d + into) + f(d)
             r, c = out.sum() + own, into.sum() + own
@@ -123,125 +185,348 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     return of
 
 
-def class_model(bigrams: np.ndarray, unit: np.ndarray, all_d: float, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each item, log10 of what a token adds less its log10(count + 0.5), by class before and item).
+class Placing:
+    """Places words by what stands around them, against fixed class bigrams."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, k = table, len(table)
+        self.row, self.col, self.classes = table.sum(1), table.sum(0), k
+        # Slot s < k: the class s stands before; slot k + s: it stands behind. Cells that a word of class j would add to.
+        self.cells = np.concatenate((table, table.T))
+        x = np.arange(1, SMALL + 1)[:, None, None]
+        self.add = (xlogx(self.cells + x) - xlogx(self.cells)).astype(np.float32)
 
-    ``unit`` is the divisor of count + 0.5 within each item, ``all_d`` the unigram's.
+    def gains(self, start: np.ndarray, slot: np.ndarray, n: np.ndarray, old: np.ndarray) -> np.ndarray:
+        """Change of the likelihood (words x classes); a word's entries begin at ``start``, ``old`` is its class in the table or -1."""
+        e = self.add[np.minimum(n, SMALL) - 1, slot]
+        big = np.flatnonzero(n > SMALL)
+        e[big] = xlogx(self.cells[slot[big]] + n[big, None]) - xlogx(self.cells[slot[big]])
+        # For a class that has the word already, what taking it out would lose.
+        own = np.repeat(old, np.diff(start, append=len(slot)))
+        held = np.flatnonzero(own >= 0)
+        cell = self.cells[slot[held], own[held]]
+        e[held, own[held]] = xlogx(cell) - xlogx(np.maximum(cell - n[held], 0.0))
+        out = np.add.reduceat(e.astype(np.float64), start)
+        for side, total in ((slot < self.classes, self.col), (slot >= self.classes, self.row)):
+            m = np.add.reduceat(np.where(side, n, 0), start)[:, None].astype(float)
+            change = xlogx(total + m) - xlogx(total)
+            i = np.flatnonzero(old >= 0)
+            change[i, old[i]] = xlogx(total[old[i]]) - xlogx(np.maximum(total[old[i]] - m[i, 0], 0.0))
+            out -= change
+        return out
+
+    def best(self, start: np.ndarray, slot: np.ndarray, n: np.ndarray, old: np.ndarray, step: int = 5000) -> np.ndarray:
+        """The class of each word, ties to the smallest."""
+        edge = np.append(start, len(slot))
+        out = [self.gains(start[i:i + step] - start[i], slot[edge[i]:edge[min(i + step, len(start))]], n[edge[i]:edge[min(i + step, len(start))]], old[i:i + step]).argmax(1) for i in range(0, len(start), step)]
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def transitions(table: np.ndarray) -> np.ndarray:
+    """P(class | class before), smoothed; the row beyond the last is that of an unseen word."""
+    k = len(table)
+    t = table + 0.1
+    by_frequency = t.sum(0)
+    return np.concatenate((t / t.sum(1, keepdims=True), (by_frequency / by_frequency.sum())[None])).reshape(k + 1, k)
+
+
+def class_factors(table: np.ndarray, class_mass: np.ndarray, all_d: float) -> np.ndarray:
+    """What the model's probability is as a multiple of the unigram's, by class before and class; the last row and column stand for unseen words.
+
+    ``class_mass``: the sum of count + 0.5 over a class's words, and 0.5 for an unseen one.
     """
-    of = exchange(bigrams, classes)
-    table = np.zeros((classes, classes))
-    np.add.at(table, (of[:, None], of[None, :]), bigrams)
-    to_class = (table + 0.1) / (table + 0.1).sum(1, keepdims=True)
-    n = bigrams.sum(0) + 0.5
-    emission = n / np.bincount(of, n, classes)[of]
-    by_class = to_class[:, of] * emission / unit
-    seen = np.zeros((classes, len(of)))
-    np.add.at(seen, of, bigrams)
+    to = transitions(table) * (all_d / class_mass)
+    ratio = np.concatenate((to, to.sum(1, keepdims=True)), axis=1)
     # Weight of the class model against the unigram, by expectation maximisation on the counts.
-    weight = 0.9
-    for _ in range(20):
-        share = weight * by_class / (weight * by_class + (1 - weight) / all_d)
-        if seen.sum():
-            weight = min(0.99, float((share * seen).sum() / seen.sum()))
-    return of, np.log10(weight * by_class + (1 - weight) / all_d)
+    seen, weight = table, 0.9
+    for _ in range(30):
+        if not seen.sum():
+            break
+        part = weight * ratio[:-1, :-1]
+        weight = min(0.99, float((part / (part + 1 - weight) * seen).sum() / seen.sum()))
+    return weight * ratio + 1 - weight
 
 
-def score_texts(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` and, before them, ``training``, one row per row of ``docs``."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    vocabulary = written(word_counts(rows.filter("training")), "brown-words")
+@dataclass
+class Fitted:
+    """Words with their classes: common ones by place, rarer ones in a table."""
+
+    number: Broadcast  # word -> place, of the common words
+    count: np.ndarray
+    of: np.ndarray
+    rare: DataFrame  # (word, class, n)
+    total: int
+    distinct: int
+
+    @property
+    def all_d(self) -> float:
+        return self.total + 0.5 * (self.distinct + 1)
+
+
+def ranks_by(number: Broadcast) -> Callable[[list[bytes]], np.ndarray]:
+    """Places of words among the common ones, or -1."""
+
+    def ranks(words: list[bytes]) -> np.ndarray:
+        get = number.value.get
+        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+
+    return ranks
+
+
+def fit_classes(blocks: DataFrame, classes: int = CLASSES) -> Fitted:
+    """Classes of all words of the blocks' training texts."""
+    spark = blocks.sparkSession
+    vocabulary = written(word_counts(blocks), "brown-words")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    all_d = total + 0.5 * (distinct + 1)
     # The largest set of words, all of those as common as its rarest, that keeps to the bound.
-    from pyspark.sql import Window
-
     sizes = vocabulary.groupBy("n").agg(F.count("*").alias("m"))
     least = sizes.select("n", F.sum("m").over(Window.orderBy(F.desc("n"))).alias("so_far")).filter(F.col("so_far") <= LOCAL).agg(F.min("n")).first()[0]
     common = vocabulary.filter(F.col("n") >= (least if least is not None else 1 << 62)).toArrow()
-    words, counts = common.column("word").to_pylist(), common.column("n").to_numpy()
-    rank = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
-    top = rank[:WORDS]
-    item = [family(w) for w in words]
-    for k, i in enumerate(top):
-        item[i] = k
-    number = dict(zip(words, range(len(words))))
-    item, counts = np.array(item, np.int32), np.array(counts, np.int64)
-    families = vocabulary.groupBy("family").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    unit = np.full(WORDS + FAMILIES, 1.0)
-    for r in families:
-        unit[r["family"]] = r["n"] + 0.5 * (r["v"] + 1)
-    for k, i in enumerate(top):
-        unit[k] = counts[i] + 0.5
-        unit[family(words[i])] -= counts[i] + 0.5
-    unit = np.maximum(unit, 0.5)
-    shared = spark.sparkContext.broadcast((number, item, counts))
-    items = WORDS + FAMILIES
-
-    def items_of(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(item, place among the common words or -1) of distinct words."""
-        number, item, _ = shared.value
-        place = np.fromiter((number.get(w, -1) for w in names), np.int64, len(names))
-        out = item[place] if len(item) else np.zeros(len(names), np.int32)
-        for i in np.flatnonzero(place < 0).tolist():
-            out[i] = family(names[i])
-        return out, place
-
-    def with_ends(codes: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
-        return np.insert(codes, np.cumsum(sizes), end)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(items * items, np.int64)
-        end = items_of([END])[0][0]
+    pairs = sorted(zip((-common.column("n").to_numpy()).tolist(), common.column("word").to_pylist()))
+    count = np.array([-n for n, _ in pairs], np.int64)
+    number = spark.sparkContext.broadcast({w: i for i, (_, w) in enumerate(pairs)})
+    core = min(CORE, len(pairs))
+
+    ranks = ranks_by(number)
+
+    # ---- the commonest words, against one another
+    def core_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(core * core, np.int64)
+        for row in rows_of(batches):
+            codes, sizes, learn = tokens_of(row)
+            rank = ranks(row["words"])
+            rank = np.where(rank < core, rank, -1)
+            a, b = rank[contexts(codes, sizes)], rank[codes]
+            ok = learn & (a >= 0) & (b >= 0)
+            seen += np.bincount(a[ok] * core + b[ok], minlength=core * core)
+        there = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(seen[there])], names=["pair", "n"])
+
+    of = np.full(len(pairs), -1, np.int64)
+    if core:
+        summed = blocks.select("training", "sizes", "codes", "words").mapInArrow(core_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        bigrams = np.zeros(core * core)
+        bigrams[summed.column("pair").to_numpy()] = summed.column("n").to_numpy()
+        of[:core] = exchange(bigrams.reshape(core, core), classes)
+
+    # ---- all other words, in rounds
+    def class_table(known: np.ndarray) -> np.ndarray:
+        """Class bigrams between common words that have a class."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(classes * classes, np.int64)
+            for row in rows_of(batches):
+                codes, sizes, learn = tokens_of(row)
+                rank = ranks(row["words"])
+                c = np.where(rank >= 0, known[rank], -1) if len(known) else np.full(len(rank), -1)
+                a, b = c[contexts(codes, sizes)], c[codes]
+                ok = learn & (a >= 0) & (b >= 0)
+                seen += np.bincount(a[ok] * classes + b[ok], minlength=classes * classes)
+            there = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(seen[there])], names=["pair", "n"])
+
+        return summed_table(blocks.select("training", "sizes", "codes", "words").mapInArrow(run, "pair long, n long"), classes)
+
+    groups = max(1, math.ceil(total / GROUP))
+
+    def around(known: np.ndarray, rare_too: bool) -> DataFrame:
+        """Words with the classes around them, in groups: common ones by place, rare ones by name."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in rows_of(batches):
+                codes, sizes, learn = tokens_of(row)
+                words, rank = row["words"], ranks(row["words"])
+                c = np.where(rank >= 0, known[rank], -1) if len(known) else np.full(len(rank), -1)
+                n = np.bincount(codes[learn], minlength=len(words))
+                asked = (n > 0) & ((rank >= core) | (rare_too & (rank < 0)))
+                before = contexts(codes, sizes)
+                # A token's slots: the class before it, and that of the next one; a text's end has none behind it.
+                w, slot = [], []
+                for own, other, base in ((codes, before, 0), (before, codes, classes)):
+                    ok = learn & asked[own] & (c[other] >= 0)
+                    if base and len(ok):
+                        ok[np.cumsum(sizes)[:-1]] = ok[0] = False
+                    w.append(own[ok])
+                    slot.append((c[other[ok]] + base).astype(np.uint8))
+                w, slot = np.concatenate(w), np.concatenate(slot)
+                names = np.flatnonzero(asked)
+                if not len(names):
+                    continue
+                group = rank[names] % groups
+                for i in np.flatnonzero(rank[names] < 0).tolist():
+                    group[i] = zlib.crc32(words[names[i]]) % groups
+                names, group = (v[np.argsort(group, kind="stable")] for v in (names, group))
+                place = np.zeros(len(words), np.int64)
+                place[names] = np.arange(len(names))
+                order = np.argsort(place[w], kind="stable")
+                slot, held = slot[order], np.bincount(place[w], minlength=len(names))
+                edge, ends = np.flatnonzero(np.diff(group, prepend=-1)), np.cumsum(held)
+                cut = [int(ends[i - 1]) if i else 0 for i in edge]
+                out = []
+                for a, b, p, q in zip(edge.tolist(), [*edge[1:].tolist(), len(names)], cut, [*cut[1:], len(slot)]):
+                    own = names[a:b]
+                    out.append((int(group[a]), rank[own].astype("<i4").tobytes(), [words[i] for i in own.tolist() if rank[i] < 0], n[own].astype("<i4").tobytes(), held[a:b].astype("<i4").tobytes(), slot[p:q].tobytes()))
+                kinds = (pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names=["grp", "ranks", "names", "n", "held", "slots"])
+
+        return blocks.select("training", "sizes", "codes", "words").mapInArrow(run, "grp int, ranks binary, names array<binary>, n binary, held binary, slots binary")
+
+    def placed(known: np.ndarray, table: np.ndarray, rare_too: bool, inside: bool) -> DataFrame:
+        """``(rank, word, class, n)``: common words have a place, rare ones a name. ``inside``: the table counts common words already."""
+        placing = Placing(table)
+
+        def finish(names: list[bytes], count_: np.ndarray, keys: list[np.ndarray], commons: np.ndarray) -> pa.RecordBatch:
+            """Keys are 256 * word + slot; words are the common ones' places first, then the rare."""
+            key, times = packed(keys)
+            word, slot = key >> 8, (key & 255).astype(np.int64)
+            some, start = np.unique(word, return_index=True)
+            base = len(commons)
+            old = np.full(len(some), -1, np.int64)
+            if inside:
+                here = some < base
+                old[here] = known[commons[some[here]]]
+            best = np.full(base + len(names), classes - 1, np.int64)
+            best[some] = placing.best(start, slot, times, old)
+            ranks_ = np.concatenate((commons, np.full(len(names), -1)))
+            return pa.RecordBatch.from_arrays([pa.array(ranks_.astype(np.int32)), pa.array([None] * base + names, pa.binary()), pa.array(best.astype(np.int32)), pa.array(count_)], names=["rank", "word", "class", "n"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, index, names, commons, keys, size, tally = None, {}, [], [], [], 0, []
+
+            def close() -> pa.RecordBatch:
+                # Common words and rare ones were numbered as they came; common ones go first.
+                flag = np.array([r >= 0 for r in commons], bool)
+                order = np.argsort(~flag, kind="stable")
+                to = np.empty(len(order), np.int64)
+                to[order] = np.arange(len(order))
+                moved = [((to[k >> 8] << 8) | (k & 255), m) for k, m in keys]
+                total_n = np.zeros(len(commons), np.int64)
+                for at, m in tally:
+                    np.add.at(total_n, at, m)
+                return finish([names[i] for i in order.tolist() if commons[i] < 0], total_n[order], moved, np.array([commons[i] for i in order.tolist() if commons[i] >= 0], np.int64))
+
+            for row in rows_of(batches):
+                if row["grp"] != now:
+                    if commons:
+                        yield close()
+                    now, index, names, commons, keys, size, tally = row["grp"], {}, [], [], [], 0, []
+                rare = iter(row["names"])
+                at = np.empty(len(row["ranks"]) // 4, np.int64)
+                for i, r in enumerate(np.frombuffer(row["ranks"], "<i4").tolist()):
+                    name = r if r >= 0 else next(rare)
+                    k = index.setdefault(name, len(index))
+                    if k == len(commons):
+                        commons.append(r)
+                        names.append(None if r >= 0 else name)
+                    at[i] = k
+                tally.append((at, np.frombuffer(row["n"], "<i4").astype(np.int64)))
+                slots = np.frombuffer(row["slots"], np.uint8).astype(np.int64)
+                keys.append(((np.repeat(at, np.frombuffer(row["held"], "<i4")) << 8) | slots, np.ones(len(slots), np.int64)))
+                size += len(slots)
+                if size > 4_000_000:
+                    keys = [packed(keys)]
+                    size = len(keys[0][0])
+            if commons:
+                yield close()
+
+        sent = around(known, rare_too).repartition("grp").sortWithinPartitions("grp")
+        return sent.mapInArrow(run, "rank int, word binary, class int, n long")
+
+    table, rare = class_table(of), None
+    for r in range(ROUNDS):
+        last = r == ROUNDS - 1
+        got = written(placed(of, table, last, r > 0), "brown-classes")
+        mine = got.filter("rank >= 0").select("rank", "class").toArrow()
+        of[mine.column("rank").to_numpy()] = mine.column("class").to_numpy()
+        if last:
+            rare = got.filter("rank < 0").select("word", "class", "n")
+        else:
+            table = class_table(of)
+    return Fitted(number, count, of, rare, total, distinct)
+
+
+def score_texts(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", classes: int = CLASSES) -> DataFrame:
+    """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` and, before them, ``training``, one row per row of ``docs``."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text).alias("text"))
+    kind = dict(rows.dtypes)["doc_id"]
+    blocks = written(blocks_of(rows), "brown-blocks")
+    fitted = fit_classes(blocks, classes)
+    of, count, rare, total, all_d, ranks = fitted.of, fitted.count, fitted.rare, fitted.total, fitted.all_d, ranks_by(fitted.number)
+
+    # Every word of every block gets its class and count.
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            code = np.flatnonzero(ranks(row["words"]) < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), row["block"])), pa.array(code.astype(np.int32)), pa.array([row["words"][i] for i in code.tolist()], pa.binary())], names=["block", "code", "word"])
+
+    asked = blocks.select("block", "words").mapInArrow(unknown, "block long, code int, word binary").join(rare, "word")
+    by_block = asked.groupBy("block").agg(F.collect_list(F.struct("code", "class", "n")).alias("rare"))
+
+    def known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded(batch, 0, 2500):
-                names, codes, sizes = coded(part.column(0))
-                run = with_ends(items_of(names)[0][codes], sizes, end).astype(np.int64)
-                # Every text begins behind an end token, as the run of texts does.
-                seen += np.bincount(np.concatenate(([end], run[:-1])) * items + run, minlength=items * items)
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                row = part.select(["words", "rare"]).to_pylist()[0]
+                rank = ranks(row["words"])
+                c, n = np.full(len(rank), classes, np.uint8), np.zeros(len(rank), "<i8")
+                there = np.flatnonzero(rank >= 0)
+                c[there], n[there] = of[rank[there]], count[rank[there]]
+                for x in row["rare"] or ():
+                    c[x["code"]], n[x["code"]] = x["class"], x["n"]
+                raw = [pa.array([v.tobytes()], pa.binary()) for v in (c, n)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), *raw], names=["ids", "training", "sizes", "codes", "classes", "counts"])
+
+    full = blocks.join(by_block, "block", "left").select("ids", "training", "sizes", "codes", "words", "rare")
+    kept = written(full.mapInArrow(known_words, f"ids array<{kind}>, training array<boolean>, sizes binary, codes binary, classes binary, counts binary"), "brown-coded")
+
+    def all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, wide = np.zeros((classes + 1) ** 2, np.int64), classes + 1
+        for row in rows_of(batches):
+            codes, sizes, learn = tokens_of(row)
+            c = np.frombuffer(row["classes"], np.uint8).astype(np.int64)
+            a, b = c[contexts(codes, sizes)], c[codes]
+            seen += np.bincount((a * wide + b)[learn], minlength=wide * wide)
         there = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(seen[there])], names=["pair", "n"])
 
-    summed = rows.filter("training").select("text").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    bigrams = np.zeros(items * items)
-    bigrams[summed.column("pair").to_numpy()] = summed.column("n").to_numpy()
-    of, table = class_model(bigrams.reshape(items, items), unit, all_d)
+    table = summed_table(kept.select("training", "sizes", "codes", "classes").mapInArrow(all_pairs, "pair long, n long"), classes + 1)[:classes, :classes]
+    mass = np.full(classes, 0.5) + np.bincount(of, count + 0.5, classes) if len(of) else np.full(classes, 0.5)
+    for r in rare.groupBy("class").agg(F.sum(F.col("n") + F.lit(0.5)).alias("m")).collect():
+        mass[r["class"]] += r["m"]
+    log_factor = np.log10(class_factors(table, mass, all_d))
     log_d = float(np.log10(all_d))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, _, counts = shared.value
-        end_item, end_place = (x[0] for x in items_of([END]))
-        end_count = counts[end_place] if end_place >= 0 else 0
-        nth, high = 0, TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in bounded(batch, 1, 2500):
-                names, codes, sizes = coded(part.column(1))
-                its, place = items_of(names)
-                n = len(sizes)
-                count = np.where(place >= 0, counts[place], 0) if len(counts) else np.zeros(len(names), np.int64)
-                log_c = np.where(place >= 0, np.log10(count + 0.5), 0.0)
-                run = with_ends(its[codes], sizes, end_item)
-                before = of[np.concatenate(([end_item], run[:-1]))]
-                row = np.repeat(np.arange(n), sizes + 1)
-                model = np.bincount(row, table[before, run], n)
-                words_row = np.repeat(np.arange(n), sizes)
-                known_log = np.bincount(words_row, log_c[codes], n) + np.log10(end_count + 0.5)
-                known = np.bincount(words_row, (place >= 0)[codes], n).astype(np.int64) + int(end_count > 0)
-                rare = place[codes] < 0
-                key, times = np.unique(words_row[rare] * max(1, len(names)) + codes[rare], return_counts=True)
-                rare_row, rare_word = key // max(1, len(names)), key % max(1, len(names))
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare_row, np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array([names[i] for i in rare_word.tolist()], pa.binary()), pa.array(times, pa.int64())], names=["word", "times"]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(nth, nth + n) + high), part.column(0), part.column(2), pa.array((sizes + 1).astype(np.int64)), pa.array(known), pa.array(known_log), pa.array(model), lists], names=["rid", "doc_id", "training", "n_tokens", "known", "known_log", "model", "rare"])
-                nth += n
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                row = part.select(["training", "sizes", "codes", "classes", "counts"]).to_pylist()[0]
+                codes, sizes, _ = tokens_of(row)
+                c, n = np.frombuffer(row["classes"], np.uint8).astype(np.int64), np.frombuffer(row["counts"], "<i8")
+                at = np.repeat(np.arange(len(sizes)), sizes)
+                base = np.bincount(at, np.log10(n + 0.5)[codes], len(sizes)) - sizes * log_d
+                more = np.bincount(at, log_factor[c[contexts(codes, sizes)], c[codes]], len(sizes))
+                known = np.bincount(at, (n > 0)[codes], len(sizes)).astype(np.int64)
+                ids = part.column(part.schema.get_field_index("ids")).flatten()
+                yield pa.RecordBatch.from_arrays([pa.array(row["training"], pa.bool_()), ids, pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(base + more)], names=["training", "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    kind = dict(rows.dtypes)["doc_id"]
-    half = written(rows.select("doc_id", "text", "training").mapInArrow(score, f"rid long, doc_id {kind}, training boolean, n_tokens long, known long, known_log double, model double, rare array<struct<word:binary,times:long>>"), "brown-half")
-    rare = half.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.times")
-    found = rare.join(vocabulary.select("word", "n"), "word", "left")
-    more = found.groupBy("rid").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("rare_log"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(F.lit(0))).alias("rare_known"))
-    logs = F.col("known_log") + F.coalesce("rare_log", F.lit(0.0))
-    return half.drop("rare").join(more, "rid", "left").select(
-        "training", "doc_id", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), (logs - F.col("n_tokens") * F.lit(log_d)).alias("base_score"), (logs + F.col("model")).alias("score"))
+    return kept.mapInArrow(score, f"training boolean, doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def packed(keys: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sums of their counts."""
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, n = (np.concatenate(x) for x in zip(*keys))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def summed_table(pairs: DataFrame, classes: int) -> np.ndarray:
+    """``pairs(pair, n)`` of numbered cells, added up: a square table."""
+    got = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(classes * classes)
+    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(classes, classes)

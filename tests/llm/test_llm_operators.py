@@ -52,11 +52,101 @@ def test_brown_counts_and_base(docs):
     assert all(r["train_tokens"] == n and math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
-def test_brown_rare_words_are_joined(docs, monkeypatch):
-    before = {(r.doc_id, r.n_known): r.score for r in brown_lm.score_texts(docs, F.lit(True)).collect()}
-    monkeypatch.setattr(brown_lm, "LOCAL", 3)
-    after = {(r.doc_id, r.n_known): r.score for r in brown_lm.score_texts(docs, F.lit(True)).collect()}
-    assert before.keys() == after.keys()
+def brown_corpus(spark, n=300):
+    """Texts of two word orders, long enough for several blocks and slices."""
+    rng = np.random.default_rng(12)
+    out = []
+    for i in range(n):
+        t = []
+        for _ in range(int(rng.integers(1, 60))):
+            t += [f"n{rng.zipf(1.4) % 400}", "is" if i % 2 else "Was", f"a{rng.zipf(1.4) % 300}"]
+        out.append((i, ("  " if i % 7 == 0 else "") + " ".join(t)))
+    return spark.createDataFrame(out, "doc_id long, text string"), out
+
+
+def test_brown_scores_against_brute_force(spark, monkeypatch):
+    """Whatever words are common, the score is that of the written-out mixture with the fitted classes."""
+    d, data = brown_corpus(spark)
+    learn = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    for core, local in ((2048, 1 << 18), (20, 60)):
+        monkeypatch.setattr(brown_lm, "CORE", core)
+        monkeypatch.setattr(brown_lm, "LOCAL", local)
+        monkeypatch.setattr(brown_lm, "BLOCK_BYTES", 20_000)
+        k = 6
+        rows_ = d.select("doc_id", (fold("doc_id", 5) != 1).alias("training"), "text")
+        blocks = brown_lm.written(brown_lm.blocks_of(rows_), "test-blocks")
+        assert blocks.count() > 1
+        f = brown_lm.fit_classes(blocks, k)
+        of = {w: (int(f.of[i]), int(f.count[i])) for w, i in f.number.value.items()} | {bytes(r.word): (r["class"], r.n) for r in f.rare.collect()}
+        seen = collections.Counter()
+        for i, t in data:
+            if learn(i):
+                seen.update([*words(t), b""])
+        assert {w: n for w, (_, n) in of.items()} == dict(seen) and (len(f.number.value) < len(seen)) == (local == 60)
+        table, mass = np.zeros((k, k)), np.full(k, 0.5)
+        for i, t in data:
+            if learn(i):
+                run = [b"", *words(t), b""]
+                for a, b in zip(run, run[1:]):
+                    table[of[a][0], of[b][0]] += 1
+        for c, n in of.values():
+            mass[c] += n + 0.5
+        total, v = sum(seen.values()), len(seen)
+        all_d = total + 0.5 * (v + 1)
+        factor = brown_lm.class_factors(table, mass, all_d)
+
+        def p(w, before):
+            return (seen[w] + 0.5) / all_d * factor[of[before][0] if before in of else k, of[w][0] if w in of else k]
+
+        for before in (b"", b"is", b"never"):
+            assert sum(p(w, before) for w in [*of, b"never"]) == pytest.approx(1.0)
+        got = {r.doc_id: r.score for r in brown_lm.score_texts(d, fold("doc_id", 5) != 1, classes=k).collect()}
+        for i, t in data:
+            run = [b"", *words(t), b""]
+            assert got[i] == pytest.approx(sum(math.log10(p(w, a)) for a, w in zip(run, run[1:])), rel=1e-6)
+        held = [i for i, _ in data if not learn(i)]
+        base = {r.doc_id: r.base_score for r in brown_lm.score_texts(d, fold("doc_id", 5) != 1, classes=k).collect()}
+        assert sum(got[i] for i in held) > sum(base[i] for i in held)
+
+
+def test_brown_splits_slices_right():
+    import pyarrow as pa
+
+    texts = pa.array([f"É{i} Wörld  of\tTexts {i} ñ" * (i % 5) for i in range(400)] + [None])
+    for at, n in ((0, 401), (33, 200), (390, 11)):
+        names, codes, sizes = brown_lm.coded(texts.slice(at, n))
+        want = [w for t in texts.slice(at, n).to_pylist() for w in [*words(t), b""]]
+        assert [names[c] for c in codes] == want and sizes.sum() == len(want)
+
+
+def test_placing_takes_the_likeliest_class():
+    rng = np.random.default_rng(13)
+    k, table = 5, rng.integers(0, 50, (5, 5)).astype(float)
+    ll = lambda t: brown_lm.xlogx(t).sum() - brown_lm.xlogx(t.sum(0)).sum() - brown_lm.xlogx(t.sum(1)).sum()
+    for old in (-1, 2):
+        for big in (1, 100):
+            into, out = rng.integers(0, 4, k) * big, rng.integers(0, 4, k) * big
+            have = table.copy()
+            if old >= 0:
+                # Without corners: a word's own classes are not its neighbours' here.
+                into[old] = out[old] = 0
+                have[old] += out
+                have[:, old] += into
+            slots = np.flatnonzero(np.concatenate((into, out)))
+            g = brown_lm.Placing(have).gains(np.array([0]), slots, np.concatenate((into, out))[slots], np.array([old]))[0]
+            best = []
+            for c in range(k):
+                t = table.copy()
+                t[c] += out
+                t[:, c] += into
+                # The neighbours' own totals grow by the same wherever the word goes.
+                f = brown_lm.xlogx
+                best.append(ll(t) + (f(table.sum(0) + out) - f(table.sum(0))).sum() + (f(table.sum(1) + into) - f(table.sum(1))).sum())
+            if old >= 0:
+                assert g[old] == pytest.approx(best[old] - ll(table), abs=1e-3)
+            else:
+                near = [c for c in range(k) if not into[c] and not out[c]]
+                assert all(g[c] == pytest.approx(best[c] - ll(table), abs=1e-3) for c in near)
 
 
 def test_brown_empty_and_untrained(empty, docs):
