@@ -14,22 +14,28 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares, from ``spark.checkpoint.dir``; one is made only where it is unset."""
+    """The folder the cluster shares, from ``spark.checkpoint.dir``; where it is unset, one is made for local sessions, and others are refused."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
-    # Unset only in local sessions such as tests, where driver and executors are one machine.
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = worker_cache().setdefault("shared_dir", "file://" + tempfile.mkdtemp(prefix="silvaquery-"))
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of Hadoop's API."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh folder name below the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    store, where = hadoop_path(spark, path)
+    store.deleteOnExit(where)
     return path
 
 
@@ -41,6 +47,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` made, once nothing will read it again."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        store, where = hadoop_path(df.sparkSession, folder)
+        store.delete(where, True)
+
+
+def drawn_at_most(rows: DataFrame, most: int, tag: str) -> DataFrame:
+    """Distinct ``rows``; where they are more than ``most``, a draw by their hash that ``most`` are expected in."""
+    rows = written(rows.distinct(), tag)
+    n = rows.count()
+    return rows if n <= most else rows.filter(hash_share(*rows.columns) < most / n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,10 +27,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, hash_share
+from .common import add_columns, drawn_at_most, hash_share
 
 #: Words kept by one task; beyond it the store starts anew, which changes no result.
 KEPT_WORDS = 200_000
@@ -66,12 +67,20 @@ class Model:
     prior: float
 
 
-def shape_counts(words: list[bytes], known: dict[bytes, list[str]]) -> Counter:
+class ShapeStore(dict):
+    """Shapes of words, worked out when asked for; starts anew when it holds many, so the driver's memory stays small."""
+
+    def __missing__(self, word: bytes) -> list[str]:
+        if len(self) > 20_000:
+            self.clear()
+        self[word] = out = shapes(word)
+        return out
+
+
+def shape_counts(words: list[bytes], known: ShapeStore) -> Counter:
     """How many of a text's words have each shape."""
     out: Counter = Counter()
     for w, n in Counter(words).items():
-        if w not in known:
-            known[w] = shapes(w)
         for s in known[w]:
             out[s] += n
     return out
@@ -82,13 +91,19 @@ def toxic_shapes(toxic: list[list[bytes]], clean: list[list[bytes]], purity: flo
 
     Gives each chosen shape with how many words of a document must have it (1 to 3) for it to tell.
     """
-    known: dict[bytes, list[str]] = {}
+    known = ShapeStore()
+    # Most shapes stand in fewer documents than count; hashed numbers of documents tell which may have enough.
+    slots = 1 << 22
+    often = np.zeros(slots, np.int32)
+    for words in toxic:
+        often[np.unique(np.fromiter((zlib.crc32(s.encode()) % slots for w in set(words) for s in known[w]), np.int64))] += 1
     where: dict[tuple[str, int], set[int]] = defaultdict(set)
     for i, words in enumerate(toxic):
         for s, n in shape_counts(words, known).items():
-            for k in range(1, min(n, 3) + 1):
-                where[s, k].add(i)
-    where = {s: d for s, d in where.items() if len(d) >= least and len(s[0]) > 2}
+            if len(s) > 2 and often[zlib.crc32(s.encode()) % slots] >= least:
+                for k in range(1, min(n, 3) + 1):
+                    where[s, k].add(i)
+    where = {s: d for s, d in where.items() if len(d) >= least}
     spoiled: Counter = Counter()
     for words in clean:
         for s, n in shape_counts(words, known).items():
@@ -124,7 +139,7 @@ def toxic_shapes(toxic: list[list[bytes]], clean: list[list[bytes]], purity: flo
 
 def token_labels(words: list[bytes], chosen: dict[str, int]) -> np.ndarray:
     """Flags for the tokens of a toxic document."""
-    known: dict[bytes, list[str]] = {}
+    known = ShapeStore()
     counts = shape_counts(words, known)
     live = {s for s, k in chosen.items() if counts[s] >= k}
     return np.array([not live.isdisjoint(known[w]) for w in words], bool)
@@ -253,13 +268,12 @@ def fit_field(rows: list[list[bytes]], marks: list[np.ndarray], rounds: int = 80
                 runs.append(words[at:at + width])
                 y.append(flags[at:at + width])
     runs, y = [r + [b""] * (width - len(r)) for r in runs], [np.pad(f, (0, width - len(f))) for f in y]
-    known: dict[bytes, list[int]] = {}
-    for r in runs:
-        for w in r:
-            if w not in known:
-                f = features(w)
-                known[w] = f + [BUCKETS] * (FEATURES - len(f))
-    idx = np.array([[known[w] for w in r] for r in runs]).reshape(-1, width, FEATURES)
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for r in runs for w in r))}
+    known = np.full((len(number), FEATURES), BUCKETS, np.int32)
+    for w, i in number.items():
+        f = features(w)
+        known[i, :len(f)] = f
+    idx = known[np.array([[number[w] for w in r] for r in runs], np.int32).reshape(-1, width)]
     gold = np.array(y, float).reshape(-1, width)
     weights, trans = np.zeros(BUCKETS + 1), np.zeros((2, 2))
     gw, gt = np.full(BUCKETS + 1, 1e-6), np.full((2, 2), 1e-6)
@@ -268,8 +282,9 @@ def fit_field(rows: list[list[bytes]], marks: list[np.ndarray], rounds: int = 80
     np.add.at(want, (states[:, :-1].ravel(), states[:, 1:].ravel()), 1)
     np.add.at(want[0], states[:, 0], 1)
     for _ in range(rounds):
-        p, pair = _chain(weights[idx].sum(2), trans)
-        g = np.bincount(idx.ravel(), np.repeat((gold - p).ravel(), FEATURES), BUCKETS + 1) - 0.02 * weights
+        p, pair = _chain(sum(weights[idx[:, :, k]] for k in range(FEATURES)), trans)
+        wrong = (gold - p).ravel()
+        g = sum(np.bincount(column, wrong, BUCKETS + 1) for column in idx.reshape(-1, FEATURES).T) - 0.02 * weights
         g[BUCKETS] = 0
         expected = pair.sum((0, 1))
         expected[0] += len(p) - p[:, 0].sum(), p[:, 0].sum()
@@ -315,8 +330,9 @@ class Scorer:
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
         out = []
-        for at in range(0, len(words), 50_000):
-            part = words[at:at + 50_000]
+        step = min(50_000, KEPT_WORDS)
+        for at in range(0, len(words), step):
+            part = words[at:at + step]
             new = set(part).difference(self.place)
             if new:
                 self.learn(set(part) if len(self.place) + len(new) > KEPT_WORDS else new)
@@ -336,7 +352,9 @@ class Scorer:
 
 def train(toxic: list[str], clean: list[str], prior: float) -> Model | None:
     """Fit on texts of either label; every fourth of each is kept from the field and fits the logistic model."""
-    t, c = ([(x or "").encode().lower().split() for x in texts] for texts in (toxic, clean))
+    # One object for each distinct word, however often it stands.
+    same: dict[bytes, bytes] = {}
+    t, c = ([[same.setdefault(w, w) for w in (x or "").encode().lower().split()] for x in texts] for texts in (toxic, clean))
     if not t or not c:
         return None
     held = lambda x: x[::4] if len(x) >= 4 else x
@@ -348,7 +366,10 @@ def train(toxic: list[str], clean: list[str], prior: float) -> Model | None:
     model = fit_field([fit_t[i] for i in some] + fit_c, [marks[i] for i in some] + [np.zeros(len(w), bool) for w in fit_c])
     model.prior = prior
     scorer = Scorer(model)
-    x = np.array([summary(p) for p in scorer.chances(held(t) + held(c))])
+    rows, x = held(t) + held(c), []
+    for at in range(0, len(rows), 50):
+        x += [summary(p) for p in scorer.chances(rows[at:at + 50])]
+    x = np.array(x)
     model.logistic = fit_logistic(x, np.array([1.0] * len(held(t)) + [0.0] * len(held(c))))
     return model
 
@@ -361,11 +382,12 @@ def fit_sample(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str =
     if not n1 + n0:
         return None, 0.0
     share = F.when(F.col("toxic_label") == 1, F.lit(TOXIC_ROWS / max(1, n1))).otherwise(F.lit(CLEAN_ROWS / max(1, n0)))
-    # The sampled ids are bounded by the two sizes above, whatever the tables hold.
+    # The sampled ids are bounded by the two sizes above, whatever the tables hold; ids that have many texts are drawn from once more.
     drawn = F.broadcast(known.filter(hash_share("doc_id") < share).select(F.col("doc_id").alias("label_id"), "toxic_label"))
     rows = docs.filter(usable).select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
-    got = rows.join(drawn, F.col("id") == F.col("label_id")).select("id", "t", "toxic_label").orderBy("id", "t").toPandas()
-    toxic, clean = (got["t"][got["toxic_label"] == k].tolist() for k in (1, 0))
+    got = drawn_at_most(rows.join(drawn, F.col("id") == F.col("label_id")).select("id", "t", "toxic_label"), 2 * (TOXIC_ROWS + CLEAN_ROWS), "crf-sample").orderBy("id", "t").toArrow()
+    flag = got.column("toxic_label").to_numpy()
+    toxic, clean = (got.filter(pa.array(flag == k)).column("t").to_pylist() for k in (1, 0))
     return train(toxic, clean, n1 / (n1 + n0)), n1 / (n1 + n0)
 
 
