@@ -33,7 +33,7 @@ def op2_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
-    model = langid.fit_sample(docs, ~held_out)
+    model = langid.fit_sample(docs, fold("doc_id", 4) != 2)
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 

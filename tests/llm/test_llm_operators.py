@@ -210,6 +210,29 @@ def test_toxicity_held_out_and_spans(spark):
             assert any(w in r.text[s["start"]:s["end"]].lower() for w in ("zarg", "vlorp"))
 
 
+def test_toxicity_score_against_brute_force(spark):
+    """The document's score from marginals by a plain pass over the chain, token after token."""
+    docs, labels = toxic_corpus(spark, 90)
+    model, prior = crf.fit_sample(docs, labels, F.lit(True))
+    for r in crf.score_toxicity(docs, model, prior).limit(40).collect():
+        e = [math.exp(sum(model.weights[f] for f in crf.features(w))) for w in words(r.text)]
+        a, n = np.exp(model.trans), len(words(r.text))
+        ahead, v = [], np.array([1.0, 0.0])
+        for x in e:
+            v = (v @ a) * [1, x]
+            v = v / v.sum()
+            ahead.append(v)
+        back, v = [np.ones(2)], np.ones(2)
+        for x in reversed(e[1:]):
+            v = a @ (v * [1, x])
+            v = v / v.sum()
+            back.append(v)
+        p = np.array([f[1] * b[1] / (f * b).sum() for f, b in zip(ahead, reversed(back))])
+        top = min(max(p.max(), 1e-6), 1 - 1e-6)
+        z = model.logistic @ [1, math.log(top / (1 - top)), math.log1p(p.sum()), math.log1p(n)]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6) and r.predicted == int(r.score >= 0.5)
+
+
 def test_toxicity_edges(spark, docs, empty):
     corpus, labels = toxic_corpus(spark, 60)
     model, prior = crf.fit_sample(corpus, labels, F.lit(True))
@@ -363,6 +386,38 @@ def test_language_held_out(spark, sf):
     assert sum(r.rejected for r in got) <= 1
 
 
+def test_language_rejects_what_was_not_learned(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit_sample(d, fold("doc_id", 4) != 2)
+    rng = np.random.default_rng(14)
+    letters = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 9)))) for _ in range(60)) for _ in range(40)]
+    foreign = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar, akıl ve vicdana sahiptirler", "Все люди рождаются свободными и равными в своём достоинстве и правах"]
+    got = langid.predict(spark.createDataFrame([(t,) for t in letters + foreign], "text string"), model).collect()
+    assert sum(r.rejected for r in got) >= len(got) - 1
+
+
+def brute_language(model, text):
+    """Averages over all n-grams of the text, written out."""
+    h = [v for w in words(text) for v in langid.subwords(w)]
+    z = np.mean([model.scores[v % model.buckets] for v in h], axis=0) + model.bias
+    p = np.exp((z - z.max()) / model.temperature)
+    four = [zlib.crc32((b"<" + w + b">")[i:i + 4]) for w in words(text) for i in range(len(w) - 1)]
+    return model.languages[int(p.argmax())], float(p.max() / p.sum()), (sum(int(model.seen(np.array([v]))[0]) for v in four), len(four))
+
+
+def test_language_scores_against_brute_force(spark, docs, sf, monkeypatch):
+    model = langid.fit_sample(spark.read.parquet(f"{sf}/documents.parquet"), fold("doc_id", 4) != 2)
+    monkeypatch.setattr(langid, "KEPT_WORDS", 3000)
+    sample = spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).unionByName(docs.select("text"))
+    for r in langid.predict(sample, model).collect():
+        if r.lang_pred != "und":
+            lang, score, (seen, n) = brute_language(model, r.text)
+            assert r.lang_pred == lang and r.score == pytest.approx(score)
+            share = seen / max(n, 1)
+            near = share + 3 * math.sqrt(max(share * (1 - share), 1 / max(n, 1)) / max(n, 1))
+            assert r.rejected == (score < langid.SURE or near < model.floor)
+
+
 def test_language_edges(spark, docs, empty, sf):
     model = langid.fit_sample(spark.read.parquet(f"{sf}/documents.parquet"), F.lit(True))
     got = langid.predict(docs, model)
@@ -518,10 +573,12 @@ def test_keep_one_links_at_the_exact_similarity(spark):
     assert sorted(r.doc_id for r in simhash_bk.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()) == want
 
 
-def test_connected_components_of_a_path(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_connected_components_of_a_path(spark, local):
     d = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (101, 101)], "u long, v long")
-    got = {r.node: r.root for r in components.connected_components(d).collect()}
+    got = {r.node: r.root for r in components.connected_components(d, local=local).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    assert components.connected_components(d.limit(0), local=local).count() == 0
 
 
 # ---------------------------------------------------------------- 10
