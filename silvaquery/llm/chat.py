@@ -13,9 +13,11 @@ texts, and : and newlines as well in roles, get a backslash in front, which ``un
 can write a control string.
 
 Long conversations: prefixes would cost the square of their length, so a conversation is cut into
-sections of ``section`` turns, each rendered after the last turn of the one before as context. This is right
+sections of ``section`` turns, each rendered after the last turn of the one before as context. Sections are made and
+rendered in any task, so neither one long conversation nor many rows without an id are one task's. This is right
 for templates whose output for a turn depends on that turn and the one before it only, which is
-probed first; for any other template, sections are switched off and whole prefixes are rendered.
+probed first, over more than two sections of turns; ``local`` says so for templates that the probes misjudge. For any other
+template, sections are switched off and whole prefixes are rendered. Digests are of whole conversations by definition, and stream.
 
 Defined cases: null text is empty, null role is an empty role; a null turn comes first, turns that tie are
 ordered by role, then text; a null conv_id is a conversation of its own; repeated rows are turns of their
@@ -29,7 +31,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -82,22 +85,37 @@ def text_frame(template: Template, before: Turns, role: str) -> tuple[int, int]:
     return head - base, tail
 
 
-def is_local(template: Template) -> bool:
+def is_local(template: Template, turns: int = 140) -> bool:
     """Whether outputs only grow and a turn's output depends on itself and the turn before only, on probes."""
     roles = ("system", "user", "assistant", "user", "assistant", "user", "user", "assistant", "assistant", "tool")
-    turns = [(r, f"probe {i}" * (i % 3)) for i, r in enumerate(roles)]
-    out = [template(turns[:n]) for n in range(len(turns) + 1)]
-    for n in range(1, len(turns) + 1):
-        if not out[n].startswith(out[n - 1]):
+    said = [(roles[i % 10] if i < 20 else roles[1 + i % 9], f"probe {i}" * (i % 3)) for i in range(turns)]
+    last = template([])
+    for n in range(1, len(said) + 1):
+        now = template(said[:n])
+        if not now.startswith(last):
             return False
-        context = turns[max(0, n - 2):n - 1]
-        if n > 1 and template([*context, turns[n - 1]])[len(template(context)):] != out[n][len(out[n - 1]):]:
+        context = said[max(0, n - 2):n - 1]
+        if n > 1 and template([*context, said[n - 1]])[len(template(context)):] != now[len(last):]:
             return False
+        last = now
     return True
 
 
+def text_inside(template: Template, turns: Turns, nth: int, out: str) -> tuple[int, int] | None:
+    """Where the text of the nth turn lies in the output of all turns, by two probes in its place; None where it is not written."""
+    role = turns[nth][0]
+    one, two = (template([*turns[:nth], (role, x), *turns[nth + 1:]]) for x in "ab")
+    if one == two:
+        return None
+    head = common_start(one, two)
+    return head, len(out) - common_start(one[head:][::-1], two[head:][::-1])
+
+
 def render(template: Template, turns: Turns, context: Turns = [], marked_role: str = "assistant") -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], bool]:
-    """(output of ``turns`` behind ``context``, span of each turn, spans of the marked role's texts, whether history was rewritten)."""
+    """(output of ``turns`` behind ``context``, span of each turn, spans of the marked role's texts, whether history was rewritten).
+
+    Where history was rewritten, texts are looked for in the whole output.
+    """
     last = template(context)
     base, spans, mask, rewritten = len(last), [], [], False
     for n, (role, _) in enumerate(turns):
@@ -106,43 +124,70 @@ def render(template: Template, turns: Turns, context: Turns = [], marked_role: s
         if not now.startswith(last):
             rewritten, start = True, common_start(now, last)
             spans = [(min(a, start - base), min(b, start - base)) for a, b in spans]
-            mask = [(min(a, start - base), min(b, start - base)) for a, b in mask]
         spans.append((start - base, len(now) - base))
-        if role == marked_role:
+        if role == marked_role and not rewritten:
             head, tail = text_frame(template, [*context, *turns[:n]], role)
-            mask.append((len(last) + head - base if not rewritten else start - base, len(now) - tail - base))
+            mask.append((len(last) + head - base, len(now) - tail - base))
         last = now
+    if rewritten:
+        every = [*context, *turns]
+        found = [text_inside(template, every, n, last) for n in range(len(context), len(every)) if every[n][0] == marked_role]
+        mask = [(max(a - base, 0), max(b - base, 0)) for a, b in filter(None, found)]
     return last[base:], spans, mask, rewritten
 
 
-def format_conversations(rows: DataFrame, template: Template = marked_turns, section: int = 64, marked_role: str = "assistant") -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``number``: each turn's place in its conversation, from 0.
+
+    Ranges of the sort order are numbered apart, and a conversation that begins before its range is shifted by what it has there.
+    """
+    order = ["conv_id", "turn", "role", "text", "salt"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, n = TaskContext.get().partitionId(), (), 0
+        for batch in batches:
+            at = []
+            for c in batch.column(0).to_pylist():
+                n = n + 1 if (c,) == last else 0
+                last = (c,)
+                at.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64())], names=[*order[:4], "part", "nth"])
+
+    # Rows alike in all that orders them may be dealt anyhow.
+    dealt = rows.withColumn("salt", F.rand(7)).repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = written(dealt.mapInArrow(count, "conv_id long, turn long, role string, text string, part int, nth long"), "chat-turns")
+    sizes = parts.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    before = sizes.select("conv_id", "part", (F.sum("n").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("n")).alias("before")).filter("before > 0")
+    # At most one conversation of a range begins before it, so this has no more rows than there are ranges.
+    shift = F.broadcast(before.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "before"))
+    return parts.join(shift, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left").select(*order[:4], (F.col("nth") + F.coalesce("before", F.lit(0))).alias("number"))
+
+
+def format_conversations(rows: DataFrame, template: Template = marked_turns, section: int = 64, marked_role: str = "assistant", local: bool | None = None) -> DataFrame:
     """``rows(conv_id, turn, role, text)`` -> one row per section: ``(conv_id, section, formatted, spans, mask, rewritten)``.
 
     Spans count code points from the beginning of the section's output; sections in order make up the whole output.
     """
-    local = is_local(template)
+    local = is_local(template, 2 * section + 12) if local is None else local
     fields = "conv_id long, section long, formatted string, spans array<struct<start:long,end:long>>, mask array<struct<start:long,end:long>>, rewritten boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(conv: int | None, number: int, turns: Turns, context: Turns) -> tuple:
-            out, spans, mask, rewritten = render(template, turns, context if local else [], marked_role)
+            out, spans, mask, rewritten = render(template, turns, context, marked_role)
             pair = lambda x: [{"start": a, "end": b} for a, b in x]
             return conv, number, out, pair(spans), pair(mask), rewritten
 
         def sections() -> Iterator[tuple]:
-            conv, number, turns, context, begun = None, 0, [], [], False
+            now, turns, context = None, [], []
             for batch in batches:
-                for c, role, text in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "role", "text"))):
-                    if begun and c != conv:
-                        yield made(conv, number, turns, context)
-                        turns, context, number = [], [], 0
-                    elif local and len(turns) >= section:
-                        yield made(conv, number, turns, context)
-                        context, turns, number = turns[-1:], [], number + 1
-                    conv, begun = c, True
-                    turns.append((role or "", text or ""))
-            if begun:
-                yield made(conv, number, turns, context)
+                for c, part, lead, role, text in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "section", "lead", "role", "text"))):
+                    if (c, part) != now:
+                        if turns:
+                            yield made(*now, turns, context)
+                        now, turns, context = (c, part), [], []
+                    (context if lead else turns).append((role or "", text or ""))
+            if turns:
+                yield made(*now, turns, context)
 
         held = []
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.bool_())
@@ -155,8 +200,15 @@ def format_conversations(rows: DataFrame, template: Template = marked_turns, sec
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held), kinds)], names=names)
 
-    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, fields)
+    rows = numbered(rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"))
+    if local:
+        # A section's last turn goes to the next one too, as its context.
+        own = F.floor(F.col("number") / section).cast("long")
+        both = F.array(F.struct(own.alias("section"), F.lit(False).alias("lead")), F.struct((own + 1).alias("section"), F.lit(True).alias("lead")))
+        rows = rows.withColumn("s", F.explode(F.when(F.col("number") % section == section - 1, both).otherwise(F.slice(both, 1, 1)))).select("conv_id", "s.section", "s.lead", "number", "role", "text")
+    else:
+        rows = rows.select("conv_id", F.lit(0).cast("long").alias("section"), F.lit(False).alias("lead"), "number", "role", "text")
+    return rows.repartition("conv_id", "section").sortWithinPartitions("conv_id", "section", "number").mapInArrow(run, fields)
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -6,18 +6,19 @@ candidates and a query with k-th best score s so far:
 
   * |q| * (longest length left) < s: nothing further in this run can enter, the query is done;
   * partial product over the leading coordinates + |q rest| * |c rest| < s (Cauchy-Schwarz): c is pruned;
-  * what is left is scored exactly, in integers.
+  * what is left is scored exactly, in integers: of 64 bits where the lengths' product says that they suffice, else
+    of any size.
 
 Bounds carry a margin for rounding, so pruning never decides a tie. A first pass scores every query against
 the ``head`` longest candidates (a set of that fixed size) for its starting s. The second goes through the candidates'
 partitions; each reads the queries in blocks from the shared folder, one block in memory at a time,
 and returns only candidates that reach s. The best k of those are the answer.
 
-Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
+Defined cases: vectors that are null, empty, or hold null or non-finite components (or such that overflow when scaled) take no part, nor do rows
 with a null id; zero vectors do; vectors of other lengths than one another are compared as if padded with zeros;
 a repeated row counts once, and an id with several vectors is a candidate with each, but never of a query with that id; fewer than k
-candidates give fewer rows; an empty table gives an empty result; other columns are not read. Components
-beyond 2**28 after scaling are refused with an error, as their products would not be exact.
+candidates give fewer rows; an empty table gives an empty result; other columns are not read. Scores are ranked as they are;
+those beyond 64 bits are shown as the nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -36,8 +37,28 @@ from .pstable import to_matrix
 SAMPLE, HEAD, BLOCK = 4096, 2048, 1024
 
 
+#: Products of lengths below this leave 64-bit sums exact.
+NARROW = float(1 << 62)
+#: Bytes of a score that 64 bits do not hold: a product of doubles, times a count.
+WIDE_BYTES = 280
+
+
 def quantised(vector: Column, scale: int = 1024) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
+    """Integers as doubles; from 2**52 on, doubles are integers already."""
+    y = lambda x: x.cast("double") * F.lit(float(scale))
+    return F.transform(vector, lambda x: F.when(F.abs(y(x)) < float(1 << 52), F.floor(y(x)).cast("double")).otherwise(y(x)))
+
+
+def below(score: np.ndarray) -> np.ndarray:
+    """Doubles that are not above the scores."""
+    top = np.finfo(float).max
+    f = np.array([float(min(max(v, -int(top)), int(top))) for v in score.tolist()]) if score.dtype == object else score.astype(float)
+    return np.where(np.abs(f) < float(1 << 53), f, f - np.abs(f) * 2.0**-52)
+
+
+def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of integer-valued doubles as Python integers."""
+    return np.array([sum(int(x) * int(y) for x, y in zip(p, q)) for p, q in zip(a.tolist(), b.tolist())] + [None], object)[:-1]
 
 
 def rotation(sample: np.ndarray) -> np.ndarray:
@@ -53,56 +74,72 @@ class Run:
     """Candidates of one run, by descending length, with their rotated partial sums."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, basis: np.ndarray, lead: int):
-        length = np.sqrt((vectors * vectors).sum(1))
-        order = np.lexsort((ids, -length))
-        self.ids, self.vectors, self.length = ids[order], vectors[order], length[order]
-        self.whole = self.vectors.astype(np.int64)
-        turned = self.vectors @ basis
-        self.front, self.lead = turned[:, :lead], lead
-        self.rest = np.sqrt((turned[:, lead:] ** 2).sum(1))
+        with np.errstate(all="ignore"):
+            length = np.sqrt((vectors * vectors).sum(1))
+            order = np.lexsort((ids, -length))
+            self.ids, self.vectors, self.length = ids[order], vectors[order], length[order]
+            # Where a component is beyond 64 bits its pairs are never counted so.
+            self.whole = self.vectors.astype(np.int64)
+            turned = self.vectors @ basis
+            self.front, self.lead = turned[:, :lead], lead
+            self.rest = np.sqrt((turned[:, lead:] ** 2).sum(1))
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray, basis: np.ndarray, floor: np.ndarray, k: int, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, candidate id, score) of at most k candidates per query that reach ``floor``; ties by smaller id."""
-        size = np.sqrt((queries * queries).sum(1))
-        turned = queries @ basis
-        front, rest = turned[:, :self.lead], np.sqrt((turned[:, self.lead:] ** 2).sum(1))
-        bar, whole = floor.copy(), queries.astype(np.int64)
-        kept_q, kept_id, kept_s = (np.zeros(0, np.int64) for _ in range(3))
-        for at in range(0, len(self.ids), block):
-            slack = 1e-6 * (1 + size * self.length[at])
-            live = np.flatnonzero(size * self.length[at] + slack >= bar)
-            if not len(live):
-                break
-            c = slice(at, at + block)
-            bound = front[live] @ self.front[c].T + np.outer(rest[live], self.rest[c]) + slack[live, None]
-            qi, ci = np.nonzero(bound >= bar[live, None])
-            qi, ci = live[qi], ci + at
-            other = query_ids[qi] != self.ids[ci]
-            qi, ci = qi[other], ci[other]
-            score = np.concatenate([np.einsum("ij,ij->i", whole[qi[p:p + 65536]], self.whole[ci[p:p + 65536]]) for p in range(0, len(qi), 65536)] or [np.zeros(0, np.int64)])
-            reach = score >= bar[qi]
-            q, i, s = np.concatenate((kept_q, qi[reach])), np.concatenate((kept_id, self.ids[ci[reach]])), np.concatenate((kept_s, score[reach]))
-            order = np.lexsort((i, -s, q))
-            q, i, s = q[order], i[order], s[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            kept_q, kept_id, kept_s = (v[place < k] for v in (q, i, s))
-            full = place == k - 1
-            bar[q[full]] = np.maximum(bar[q[full]], s[full])
+        with np.errstate(all="ignore"):
+            size = np.sqrt((queries * queries).sum(1))
+            turned = queries @ basis
+            front, rest = turned[:, :self.lead], np.sqrt((turned[:, self.lead:] ** 2).sum(1))
+            bar, whole = floor.copy(), queries.astype(np.int64)
+            kept_q, kept_id, kept_s = (np.zeros(0, np.int64) for _ in range(3))
+            for at in range(0, len(self.ids), block):
+                slack = 1e-6 * (1 + size * self.length[at])
+                ceiling = size * self.length[at] + slack
+                # What overflows is no bound: it counts as unlimited.
+                live = np.flatnonzero((ceiling >= bar) | np.isnan(ceiling))
+                if not len(live):
+                    break
+                c = slice(at, at + block)
+                bound = front[live] @ self.front[c].T + np.outer(rest[live], self.rest[c]) + slack[live, None]
+                qi, ci = np.nonzero((bound >= bar[live, None]) | ~np.isfinite(bound))
+                qi, ci = live[qi], ci + at
+                other = query_ids[qi] != self.ids[ci]
+                qi, ci = qi[other], ci[other]
+                score = np.concatenate([np.einsum("ij,ij->i", whole[qi[p:p + 65536]], self.whole[ci[p:p + 65536]]) for p in range(0, len(qi), 65536)] or [np.zeros(0, np.int64)])
+                wide = np.flatnonzero(~(size[qi] * self.length[ci] < NARROW))
+                if len(wide):
+                    score = score.astype(object)
+                    score[wide] = exact_products(queries[qi[wide]], self.vectors[ci[wide]])
+                reach = below(score) >= bar[qi]
+                q, i, s = np.concatenate((kept_q, qi[reach])), np.concatenate((kept_id, self.ids[ci[reach]])), np.concatenate((kept_s, score[reach]))
+                order = np.array(sorted(range(len(q)), key=lambda t: (q[t], -s[t], i[t])), np.int64) if s.dtype == object else np.lexsort((i, -s, q))
+                q, i, s = q[order], i[order], s[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                kept_q, kept_id, kept_s = (v[place < k] for v in (q, i, s))
+                full = place == k - 1
+                bar[q[full]] = np.maximum(bar[q[full]], below(s[full]))
         return kept_q, kept_id, kept_s
 
 
+def shown(score: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(scores as 64-bit numbers, order among those that are beyond them as bytes)."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    if score.dtype != object:
+        return pa.array(score), pa.nulls(len(score), pa.binary())
+    v = score.tolist()
+    return pa.array([min(max(x, low), high) for x in v], pa.int64()), pa.array([None if low <= x <= high else (x + (1 << (8 * WIDE_BYTES - 1))).to_bytes(WIDE_BYTES, "big") for x in v], pa.binary())
+
+
 def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 1024, lead: int = 16) -> DataFrame:
     """``queries`` and ``vectors`` have the same columns -> ``(query_id, rank, vec_id, score)``."""
     spark = vectors.sparkSession
 
     def sound(df: DataFrame) -> DataFrame:
         v = F.col(vector)
-        ok = F.col(vec_id).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
-        limit = F.forall("v", lambda x: F.abs(x) <= float(1 << 28))
-        q = df.filter(ok).select(F.col(vec_id).cast("long").alias("id"), quantised(v, scale).alias("v"))
-        return q.select("id", F.when(limit, F.col("v")).otherwise(F.raise_error(F.lit("a component is beyond 2**28 after scaling"))).alias("v"))
+        ok = F.col(vec_id).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * float(scale)) != float("inf"))), F.lit(False))
+        return df.filter(ok).select(F.col(vec_id).cast("long").alias("id"), quantised(v, scale).alias("v"))
 
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     all_rows = written(sound(vectors).distinct().withColumn("len2", square), "topk-candidates")
     query_path = new_path(spark, "topk-queries")
     asked = written(sound(queries).distinct(), "topk-asked")
@@ -116,7 +153,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_
     dims = max(all_rows.agg(F.max(F.size("v"))).first()[0], asked.agg(F.coalesce(F.max(F.size("v")), F.lit(1))).first()[0])
 
     def dense(column) -> np.ndarray:
-        return _padded(to_matrix(pa.array(column, pa.list_(pa.int64()))), dims)
+        return _padded(to_matrix(pa.array(column, pa.list_(pa.float64()))), dims)
 
     basis = rotation(dense(sample["v"].tolist()))
     head_ids, head_vectors = head["id"].to_numpy(), dense(head["v"].tolist())
@@ -131,11 +168,11 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_
                 low = np.full(len(x), -np.inf)
                 count = np.bincount(q, minlength=len(x))
                 least = np.full(len(x), np.inf)
-                np.minimum.at(least, q, s)
+                np.minimum.at(least, q, below(s))
                 low[count >= k] = least[count >= k]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(low)], names=["id", "v", "low"])
 
-    asked.mapInArrow(first, "id long, v array<bigint>, low double").write.parquet(query_path)
+    asked.mapInArrow(first, "id long, v array<double>, low double").write.parquet(query_path)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import dataset, fs
@@ -150,8 +187,8 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_
             if part.num_rows:
                 ids = part.column("id").to_numpy()
                 q, i, s = run.best(ids, _padded(to_matrix(part.column("v")), dims), basis, part.column("low").to_numpy(), k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(i), *shown(s)], names=["query_id", "vec_id", "score", "wide"])
 
-    found = all_rows.select("id", "v").mapInArrow(rest, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = all_rows.select("id", "v").mapInArrow(rest, "query_id long, vec_id long, score long, wide binary")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("wide"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

@@ -465,6 +465,38 @@ def test_chat_detects_rewritten_history():
     assert [chat.unescape(out[a:b]) for a, b in mask] == [x for r, x in TURNS if r == "assistant"]
 
 
+def test_chat_masks_of_rewriting_templates():
+    def drops_system(turns):
+        return "".join(f"<{r}>{t}</{r}>" for i, (r, t) in enumerate(turns) if r != "system" or i == len(turns) - 1)
+
+    turns = [("system", "S"), ("user", "U1"), ("assistant", "A1"), ("user", "U2"), ("assistant", "A2 more")]
+    out, spans, mask, rewritten = chat.render(drops_system, turns)
+    assert rewritten and [out[a:b] for a, b in mask] == ["A1", "A2 more"]
+
+    def forgets(turns):
+        return "".join(f"[{r}]{t if i > len(turns) - 3 else ''}" for i, (r, t) in enumerate(turns))
+
+    out, spans, mask, rewritten = chat.render(forgets, turns)
+    assert rewritten and [out[a:b] for a, b in mask] == ["A2 more"]
+
+    def turns_late(turns):
+        return "".join(f"{r}:{t};" if i < 70 else f"{i}{r}:{t};" for i, (r, t) in enumerate(turns))
+
+    assert not chat.is_local(turns_late) and chat.is_local(chat.marked_turns)
+
+
+@pytest.mark.parametrize("local", [None, False])
+def test_chat_of_long_conversations(spark, local):
+    data = [(c, t, ("user", "assistant")[t % 2], f"text # {t} of {c}") for c in (5, None) for t in range(90)] + [(6, 0, "assistant", "same")] * 50
+    d = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(6)
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(d, section=16, local=local)).collect()}
+    for c in (5, 6, None):
+        own = [(r, x) for k, _, r, x in data if k == c]
+        assert got[c].n_turns == len(own) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in own).encode()).hexdigest()
+        said = "".join(x for r, x in own if r == "assistant")
+        assert got[c].loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[c].formatted_chars == len(chat.marked_turns(own))
+
+
 # ---------------------------------------------------------------- 8
 
 
@@ -491,6 +523,22 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert topk.top_inner_products(few, few.filter("vec_id = 100")).count() == 2
 
 
+def test_topk_of_very_large_components(spark):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(120, 6)) * 10.0 ** rng.choice([0, 4, 8, 30, 160], (120, 1))
+    x[100] = x[101]
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    d = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)
+    q = [[int(v * 1024) if abs(v) > 2**52 else math.floor(v * 1024) for v in r] for _, r in data]
+    got = collections.defaultdict(list)
+    for r in topk.top_inner_products(d, d.filter("vec_id % 20 = 0")).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    clip = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    for k in range(0, 120, 20):
+        s = [(-sum(a * b for a, b in zip(q[k], q[j])), j) for j in range(120) if j != k]
+        assert sorted(got[k]) == [(n + 1, j, clip(-v)) for n, (v, j) in enumerate(sorted(s)[:10])]
+
+
 # ---------------------------------------------------------------- 9
 
 
