@@ -2,9 +2,9 @@
 
 Every word of the training texts has one class, found by exchange: a word is in the class that makes the likelihood of
 class bigrams highest. The ``CORE`` commonest words are exchanged one after another against one another until none moves;
-then all other words are placed in rounds, each word by the classes before and behind all its occurrences and
-against the class bigrams of the round before, independently of other words, so the work is spread over the cluster by
-word (a distributed exchange in batches, as Uszkoreit and Brants 2008 have it). The vocabulary grows with the texts; no
+then every other word goes to the class that does so given the classes of core words before and behind all its
+occurrences, each word by itself, so the work is spread over the cluster by
+word (a step of the distributed exchange of Uszkoreit and Brants 2008). The vocabulary grows with the texts; no
 word is left out or put together with others by a hash.
 
 The model is a mixture, P(w | v) = a P(class w | class v) P(w | class w) + (1 - a) P(w). Both word probabilities are
@@ -15,31 +15,30 @@ may come from any, as a context it predicts classes by their frequency.
 
 Texts are split once, into blocks of about 2 MB with a dictionary each. Words among the ``LOCAL`` commonest (a
 bound on what tasks hold, not on the vocabulary) are known to every task; rarer ones are looked up by a join of
-(block, word) with the table of words. Neighbours of common words are contexts for placing; those of rare
-words count in the model's table as all do.
+(block, word) with the table of words. In the model's table all words count.
 
 Defined cases: null or empty texts have the end token alone; rows with a null id are scored but neither learned
-from nor held out; repeated rows count and are scored each; without training rows all counts are zero; a word whose
-neighbours all are rare goes to the last class; an empty table gives an empty result; other columns are not read.
+from nor held out; repeated rows count and are scored each; without training rows all counts are zero; a word without
+a core word beside it goes to the last class; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
-CORE, CLASSES, LOCAL, ROUNDS = 2048, 64, 1 << 18, 2
+CORE, CLASSES, LOCAL = 2048, 64, 1 << 18
 #: Bytes of text in a block, most documents in it, tokens whose contexts one placing group is expected to hold.
 BLOCK_BYTES, BLOCK_ROWS, GROUP = 2 << 20, 5000, 2_000_000
 #: Counts up to this have their gains in a table.
@@ -113,11 +112,14 @@ def word_counts(blocks: DataFrame) -> DataFrame:
     """``(word binary, n long)`` over training texts; the empty word is the end token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            codes, _, learn = tokens_of(row)
-            n = np.bincount(codes[learn], minlength=len(row["words"]))
-            there = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([row["words"][i] for i in there.tolist()], pa.binary()), pa.array(n[there])], names=["word", "n"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                codes, _, learn = tokens_of(part.select(["training", "sizes", "codes"]).to_pylist()[0])
+                words = part.column(3).flatten()
+                n = np.bincount(codes[learn], minlength=len(words))
+                there = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(there)), pa.array(n[there])], names=["word", "n"])
 
     return blocks.select("training", "sizes", "codes", "words").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -196,29 +198,23 @@ class Placing:
         x = np.arange(1, SMALL + 1)[:, None, None]
         self.add = (xlogx(self.cells + x) - xlogx(self.cells)).astype(np.float32)
 
-    def gains(self, start: np.ndarray, slot: np.ndarray, n: np.ndarray, old: np.ndarray) -> np.ndarray:
-        """Change of the likelihood (words x classes); a word's entries begin at ``start``, ``old`` is its class in the table or -1."""
+    def gains(self, start: np.ndarray, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Change of the likelihood (words x classes); a word's entries begin at ``start``."""
         e = self.add[np.minimum(n, SMALL) - 1, slot]
         big = np.flatnonzero(n > SMALL)
         e[big] = xlogx(self.cells[slot[big]] + n[big, None]) - xlogx(self.cells[slot[big]])
-        # For a class that has the word already, what taking it out would lose.
-        own = np.repeat(old, np.diff(start, append=len(slot)))
-        held = np.flatnonzero(own >= 0)
-        cell = self.cells[slot[held], own[held]]
-        e[held, own[held]] = xlogx(cell) - xlogx(np.maximum(cell - n[held], 0.0))
-        out = np.add.reduceat(e.astype(np.float64), start)
+        out = np.add.reduceat(e, start).astype(np.float64)
         for side, total in ((slot < self.classes, self.col), (slot >= self.classes, self.row)):
-            m = np.add.reduceat(np.where(side, n, 0), start)[:, None].astype(float)
-            change = xlogx(total + m) - xlogx(total)
-            i = np.flatnonzero(old >= 0)
-            change[i, old[i]] = xlogx(total[old[i]]) - xlogx(np.maximum(total[old[i]] - m[i, 0], 0.0))
-            out -= change
+            m, of = np.unique(np.add.reduceat(np.where(side, n, 0), start), return_inverse=True)
+            out -= (xlogx(total + m[:, None]) - xlogx(total))[of]
         return out
 
-    def best(self, start: np.ndarray, slot: np.ndarray, n: np.ndarray, old: np.ndarray, step: int = 5000) -> np.ndarray:
+    def best(self, start: np.ndarray, slot: np.ndarray, n: np.ndarray, step: int = 5000) -> np.ndarray:
         """The class of each word, ties to the smallest."""
-        edge = np.append(start, len(slot))
-        out = [self.gains(start[i:i + step] - start[i], slot[edge[i]:edge[min(i + step, len(start))]], n[edge[i]:edge[min(i + step, len(start))]], old[i:i + step]).argmax(1) for i in range(0, len(start), step)]
+        edge, out = np.append(start, len(slot)), []
+        for i in range(0, len(start), step):
+            a, b = edge[i], edge[min(i + step, len(start))]
+            out.append(self.gains(start[i:i + step] - a, slot[a:b], n[a:b]).argmax(1))
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
@@ -249,9 +245,10 @@ def class_factors(table: np.ndarray, class_mass: np.ndarray, all_d: float) -> np
 
 @dataclass
 class Fitted:
-    """Words with their classes: common ones by place, rarer ones in a table."""
+    """Blocks with the places of their words, and classes: of common words by place, of rarer ones in a table."""
 
-    number: Broadcast  # word -> place, of the common words
+    blocks: DataFrame
+    common: list[bytes]
     count: np.ndarray
     of: np.ndarray
     rare: DataFrame  # (word, class, n)
@@ -263,19 +260,30 @@ class Fitted:
         return self.total + 0.5 * (self.distinct + 1)
 
 
-def ranks_by(number: Broadcast) -> Callable[[list[bytes]], np.ndarray]:
-    """Places of words among the common ones, or -1."""
+TOKENS = ["training", "sizes", "codes"]
+
 
-    def ranks(words: list[bytes]) -> np.ndarray:
-        get = number.value.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+def placed_blocks(blocks: DataFrame, common: list[bytes]) -> DataFrame:
+    """Blocks with ``ranks``, each word's place among the common ones or -1, and the names of the others only."""
+    number = blocks.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(common)})
+    names = [*blocks.columns[:5], "ranks", "rare"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                words = part.column(5).flatten().to_pylist()
+                get = number.value.get
+                rank = np.fromiter((get(w, -1) for w in words), "<i4", len(words))
+                rare = [words[k] for k in np.flatnonzero(rank < 0).tolist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(5)), pa.array([rank.tobytes()], pa.binary()), pa.array([rare], pa.list_(pa.binary()))], names=names)
 
-    return ranks
+    kinds = dict(blocks.dtypes)
+    return blocks.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in blocks.columns[:5]) + ", ranks binary, rare array<binary>")
 
 
 def fit_classes(blocks: DataFrame, classes: int = CLASSES) -> Fitted:
-    """Classes of all words of the blocks' training texts."""
-    spark = blocks.sparkSession
+    """Classes of all words of the blocks' training texts; ``blocks`` are rewritten, and their files deleted."""
     vocabulary = written(word_counts(blocks), "brown-words")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # The largest set of words, all of those as common as its rarest, that keeps to the bound.
@@ -283,18 +291,18 @@ def fit_classes(blocks: DataFrame, classes: int = CLASSES) -> Fitted:
     least = sizes.select("n", F.sum("m").over(Window.orderBy(F.desc("n"))).alias("so_far")).filter(F.col("so_far") <= LOCAL).agg(F.min("n")).first()[0]
     common = vocabulary.filter(F.col("n") >= (least if least is not None else 1 << 62)).toArrow()
     pairs = sorted(zip((-common.column("n").to_numpy()).tolist(), common.column("word").to_pylist()))
-    count = np.array([-n for n, _ in pairs], np.int64)
-    number = spark.sparkContext.broadcast({w: i for i, (_, w) in enumerate(pairs)})
+    count, common = np.array([-n for n, _ in pairs], np.int64), [w for _, w in pairs]
+    forget(vocabulary)
+    ranked = written(placed_blocks(blocks, common), "brown-blocks")
+    forget(blocks)
     core = min(CORE, len(pairs))
 
-    ranks = ranks_by(number)
-
     # ---- the commonest words, against one another
     def core_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(core * core, np.int64)
         for row in rows_of(batches):
             codes, sizes, learn = tokens_of(row)
-            rank = ranks(row["words"])
+            rank = np.frombuffer(row["ranks"], "<i4").astype(np.int64)
             rank = np.where(rank < core, rank, -1)
             a, b = rank[contexts(codes, sizes)], rank[codes]
             ok = learn & (a >= 0) & (b >= 0)
@@ -302,182 +310,136 @@ def fit_classes(blocks: DataFrame, classes: int = CLASSES) -> Fitted:
         there = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(seen[there])], names=["pair", "n"])
 
-    of = np.full(len(pairs), -1, np.int64)
+    of, table = np.full(len(pairs), -1, np.int64), np.zeros((classes, classes))
     if core:
-        summed = blocks.select("training", "sizes", "codes", "words").mapInArrow(core_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-        bigrams = np.zeros(core * core)
-        bigrams[summed.column("pair").to_numpy()] = summed.column("n").to_numpy()
-        of[:core] = exchange(bigrams.reshape(core, core), classes)
-
-    # ---- all other words, in rounds
-    def class_table(known: np.ndarray) -> np.ndarray:
-        """Class bigrams between common words that have a class."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = np.zeros(classes * classes, np.int64)
-            for row in rows_of(batches):
-                codes, sizes, learn = tokens_of(row)
-                rank = ranks(row["words"])
-                c = np.where(rank >= 0, known[rank], -1) if len(known) else np.full(len(rank), -1)
-                a, b = c[contexts(codes, sizes)], c[codes]
-                ok = learn & (a >= 0) & (b >= 0)
-                seen += np.bincount(a[ok] * classes + b[ok], minlength=classes * classes)
-            there = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(seen[there])], names=["pair", "n"])
-
-        return summed_table(blocks.select("training", "sizes", "codes", "words").mapInArrow(run, "pair long, n long"), classes)
-
-    groups = max(1, math.ceil(total / GROUP))
-
-    def around(known: np.ndarray, rare_too: bool) -> DataFrame:
-        """Words with the classes around them, in groups: common ones by place, rare ones by name."""
+        bigrams = summed_table(ranked.select(*TOKENS, "ranks").mapInArrow(core_pairs, "pair long, n long"), core)
+        of[:core] = exchange(bigrams, classes)
+        np.add.at(table, (of[:core, None], of[None, :core]), bigrams)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in rows_of(batches):
-                codes, sizes, learn = tokens_of(row)
-                words, rank = row["words"], ranks(row["words"])
-                c = np.where(rank >= 0, known[rank], -1) if len(known) else np.full(len(rank), -1)
-                n = np.bincount(codes[learn], minlength=len(words))
-                asked = (n > 0) & ((rank >= core) | (rare_too & (rank < 0)))
-                before = contexts(codes, sizes)
-                # A token's slots: the class before it, and that of the next one; a text's end has none behind it.
-                w, slot = [], []
-                for own, other, base in ((codes, before, 0), (before, codes, classes)):
-                    ok = learn & asked[own] & (c[other] >= 0)
-                    if base and len(ok):
-                        ok[np.cumsum(sizes)[:-1]] = ok[0] = False
-                    w.append(own[ok])
-                    slot.append((c[other[ok]] + base).astype(np.uint8))
-                w, slot = np.concatenate(w), np.concatenate(slot)
-                names = np.flatnonzero(asked)
-                if not len(names):
-                    continue
-                group = rank[names] % groups
-                for i in np.flatnonzero(rank[names] < 0).tolist():
-                    group[i] = zlib.crc32(words[names[i]]) % groups
-                names, group = (v[np.argsort(group, kind="stable")] for v in (names, group))
-                place = np.zeros(len(words), np.int64)
-                place[names] = np.arange(len(names))
-                order = np.argsort(place[w], kind="stable")
-                slot, held = slot[order], np.bincount(place[w], minlength=len(names))
-                edge, ends = np.flatnonzero(np.diff(group, prepend=-1)), np.cumsum(held)
-                cut = [int(ends[i - 1]) if i else 0 for i in edge]
-                out = []
-                for a, b, p, q in zip(edge.tolist(), [*edge[1:].tolist(), len(names)], cut, [*cut[1:], len(slot)]):
-                    own = names[a:b]
-                    out.append((int(group[a]), rank[own].astype("<i4").tobytes(), [words[i] for i in own.tolist() if rank[i] < 0], n[own].astype("<i4").tobytes(), held[a:b].astype("<i4").tobytes(), slot[p:q].tobytes()))
-                kinds = (pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names=["grp", "ranks", "names", "n", "held", "slots"])
-
-        return blocks.select("training", "sizes", "codes", "words").mapInArrow(run, "grp int, ranks binary, names array<binary>, n binary, held binary, slots binary")
-
-    def placed(known: np.ndarray, table: np.ndarray, rare_too: bool, inside: bool) -> DataFrame:
-        """``(rank, word, class, n)``: common words have a place, rare ones a name. ``inside``: the table counts common words already."""
-        placing = Placing(table)
-
-        def finish(names: list[bytes], count_: np.ndarray, keys: list[np.ndarray], commons: np.ndarray) -> pa.RecordBatch:
-            """Keys are 256 * word + slot; words are the common ones' places first, then the rare."""
-            key, times = packed(keys)
-            word, slot = key >> 8, (key & 255).astype(np.int64)
-            some, start = np.unique(word, return_index=True)
-            base = len(commons)
-            old = np.full(len(some), -1, np.int64)
-            if inside:
-                here = some < base
-                old[here] = known[commons[some[here]]]
-            best = np.full(base + len(names), classes - 1, np.int64)
-            best[some] = placing.best(start, slot, times, old)
-            ranks_ = np.concatenate((commons, np.full(len(names), -1)))
-            return pa.RecordBatch.from_arrays([pa.array(ranks_.astype(np.int32)), pa.array([None] * base + names, pa.binary()), pa.array(best.astype(np.int32)), pa.array(count_)], names=["rank", "word", "class", "n"])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, index, names, commons, keys, size, tally = None, {}, [], [], [], 0, []
-
-            def close() -> pa.RecordBatch:
-                # Common words and rare ones were numbered as they came; common ones go first.
-                flag = np.array([r >= 0 for r in commons], bool)
-                order = np.argsort(~flag, kind="stable")
-                to = np.empty(len(order), np.int64)
-                to[order] = np.arange(len(order))
-                moved = [((to[k >> 8] << 8) | (k & 255), m) for k, m in keys]
-                total_n = np.zeros(len(commons), np.int64)
-                for at, m in tally:
-                    np.add.at(total_n, at, m)
-                return finish([names[i] for i in order.tolist() if commons[i] < 0], total_n[order], moved, np.array([commons[i] for i in order.tolist() if commons[i] >= 0], np.int64))
-
-            for row in rows_of(batches):
-                if row["grp"] != now:
-                    if commons:
-                        yield close()
-                    now, index, names, commons, keys, size, tally = row["grp"], {}, [], [], [], 0, []
-                rare = iter(row["names"])
-                at = np.empty(len(row["ranks"]) // 4, np.int64)
-                for i, r in enumerate(np.frombuffer(row["ranks"], "<i4").tolist()):
-                    name = r if r >= 0 else next(rare)
-                    k = index.setdefault(name, len(index))
-                    if k == len(commons):
-                        commons.append(r)
-                        names.append(None if r >= 0 else name)
-                    at[i] = k
-                tally.append((at, np.frombuffer(row["n"], "<i4").astype(np.int64)))
-                slots = np.frombuffer(row["slots"], np.uint8).astype(np.int64)
-                keys.append(((np.repeat(at, np.frombuffer(row["held"], "<i4")) << 8) | slots, np.ones(len(slots), np.int64)))
-                size += len(slots)
-                if size > 4_000_000:
-                    keys = [packed(keys)]
-                    size = len(keys[0][0])
-            if commons:
-                yield close()
-
-        sent = around(known, rare_too).repartition("grp").sortWithinPartitions("grp")
-        return sent.mapInArrow(run, "rank int, word binary, class int, n long")
-
-    table, rare = class_table(of), None
-    for r in range(ROUNDS):
-        last = r == ROUNDS - 1
-        got = written(placed(of, table, last, r > 0), "brown-classes")
-        mine = got.filter("rank >= 0").select("rank", "class").toArrow()
-        of[mine.column("rank").to_numpy()] = mine.column("class").to_numpy()
-        if last:
-            rare = got.filter("rank < 0").select("word", "class", "n")
-        else:
-            table = class_table(of)
-    return Fitted(number, count, of, rare, total, distinct)
+    # ---- all other words, by the core words beside them
+    groups, known = max(1, math.ceil(total / GROUP)), of.copy()
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words with the classes around them, in groups: common ones by place, rare ones by name."""
+        for row in rows_of(batches):
+            codes, sizes, learn = tokens_of(row)
+            rank = np.frombuffer(row["ranks"], "<i4").astype(np.int64)
+            c = np.where(rank >= 0, known[rank], -1) if len(known) else np.full(len(rank), -1)
+            n = np.bincount(codes[learn], minlength=len(rank))
+            asked = (n > 0) & ((rank >= core) | (rank < 0))
+            before = contexts(codes, sizes)
+            # A token's slots: the class before it, and that of the next one; a text's end has none behind it.
+            w, slot = [], []
+            for own, other, base in ((codes, before, 0), (before, codes, classes)):
+                ok = learn & asked[own] & (c[other] >= 0)
+                if base and len(ok):
+                    ok[np.cumsum(sizes)[:-1]] = ok[0] = False
+                w.append(own[ok])
+                slot.append((c[other[ok]] + base).astype(np.uint8))
+            w, slot = np.concatenate(w), np.concatenate(slot)
+            names = np.flatnonzero(asked)
+            if not len(names):
+                continue
+            nth = np.cumsum(rank < 0) - 1  # place among the block's rare names
+            hashed = np.fromiter(map(zlib.crc32, row["rare"]), np.int64, len(row["rare"]))
+            group = np.where(rank[names] >= 0, rank[names], hashed[nth[names]] if len(hashed) else 0) % groups
+            order = np.argsort(group, kind="stable")
+            names, group = names[order], group[order]
+            place = np.zeros(len(rank), np.int64)
+            place[names] = np.arange(len(names))
+            order = np.argsort(place[w], kind="stable")
+            slot, held = slot[order], np.bincount(place[w], minlength=len(names))
+            edge, ends = np.flatnonzero(np.diff(group, prepend=-1)), np.concatenate(([0], np.cumsum(held)))
+            out = []
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(names)]):
+                own = names[a:b]
+                out.append((int(group[a]), rank[own].astype("<i4").tobytes(), [row["rare"][i] for i in nth[own[rank[own] < 0]].tolist()], n[own].astype("<i4").tobytes(), held[a:b].astype("<i4").tobytes(), slot[ends[a]:ends[b]].tobytes()))
+            kinds = (pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names=["grp", "ranks", "names", "n", "held", "slots"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows ``(rank, word, class, n)``, group by group: common words have a place, rare ones a name."""
+        placing, gather = Placing(table), None
+        for row in rows_of(batches):
+            if gather is None or gather.group != row["grp"]:
+                if gather:
+                    yield gather.close(placing)
+                gather = Gather(row["grp"])
+            gather.add(row)
+        if gather:
+            yield gather.close(placing)
+
+    sent = ranked.select(*TOKENS, "ranks", "rare").mapInArrow(around, "grp int, ranks binary, names array<binary>, n binary, held binary, slots binary")
+    got = written(sent.repartition("grp").sortWithinPartitions("grp").mapInArrow(place, "rank int, word binary, class int, n long"), "brown-classes")
+    mine = got.filter("rank >= 0").select("rank", "class").toArrow()
+    of[mine.column("rank").to_numpy()] = mine.column("class").to_numpy()
+    return Fitted(ranked, common, count, of, got.filter("rank < 0").select("word", "class", "n"), total, distinct)
+
+
+class Gather:
+    """Counts of the words of one group with their slots, from the blocks' rows."""
+
+    def __init__(self, group: int):
+        self.group, self.index, self.keys, self.size, self.tally = group, {}, [], 0, []
+
+    def add(self, row: dict) -> None:
+        rare, index = iter(row["names"]), self.index
+        at = np.fromiter((index.setdefault(r if r >= 0 else next(rare), len(index)) for r in np.frombuffer(row["ranks"], "<i4").tolist()), np.int64, len(row["ranks"]) // 4)
+        self.tally.append((at, np.frombuffer(row["n"], "<i4").astype(np.int64)))
+        slots = np.frombuffer(row["slots"], np.uint8)
+        self.keys.append(((np.repeat(at, np.frombuffer(row["held"], "<i4")) << 8) | slots, np.ones(len(slots), np.int64)))
+        self.size += len(slots)
+        if self.size > 4_000_000:
+            self.keys = [packed(self.keys)]
+            self.size = len(self.keys[0][0])
+
+    def close(self, placing: Placing) -> pa.RecordBatch:
+        n, best = np.zeros(len(self.index), np.int64), np.full(len(self.index), placing.classes - 1, np.int64)
+        for at, m in self.tally:
+            np.add.at(n, at, m)
+        key, times = packed(self.keys)
+        some, start = np.unique(key >> 8, return_index=True)
+        best[some] = placing.best(start, key & 255, times)
+        names = list(self.index)
+        return pa.RecordBatch.from_arrays([
+            pa.array([x if isinstance(x, int) else -1 for x in names], pa.int32()), pa.array([None if isinstance(x, int) else x for x in names], pa.binary()),
+            pa.array(best, pa.int32()), pa.array(n)], names=["rank", "word", "class", "n"])
 
 
 def score_texts(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", classes: int = CLASSES) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` and, before them, ``training``, one row per row of ``docs``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    blocks = written(blocks_of(rows), "brown-blocks")
-    fitted = fit_classes(blocks, classes)
-    of, count, rare, total, all_d, ranks = fitted.of, fitted.count, fitted.rare, fitted.total, fitted.all_d, ranks_by(fitted.number)
+    fitted = fit_classes(written(blocks_of(rows), "brown-texts"), classes)
+    of, count, rare, total, all_d, blocks = fitted.of, fitted.count, fitted.rare, fitted.total, fitted.all_d, fitted.blocks
 
     # Every word of every block gets its class and count.
     def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            code = np.flatnonzero(ranks(row["words"]) < 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), row["block"])), pa.array(code.astype(np.int32)), pa.array([row["words"][i] for i in code.tolist()], pa.binary())], names=["block", "code", "word"])
+        for batch in batches:
+            for block, words in zip(batch.column(0).to_pylist(), (batch.column(1).slice(i, 1).flatten() for i in range(batch.num_rows))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(np.arange(len(words), dtype=np.int32)), words.cast(pa.binary())], names=["block", "nth", "word"])
 
-    asked = blocks.select("block", "words").mapInArrow(unknown, "block long, code int, word binary").join(rare, "word")
-    by_block = asked.groupBy("block").agg(F.collect_list(F.struct("code", "class", "n")).alias("rare"))
+    asked = blocks.select("block", "rare").mapInArrow(unknown, "block long, nth int, word binary").join(rare, "word")
+    by_block = asked.groupBy("block").agg(F.collect_list(F.struct("nth", "class", "n")).alias("found"))
 
     def known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 part = batch.slice(i, 1)
-                row = part.select(["words", "rare"]).to_pylist()[0]
-                rank = ranks(row["words"])
+                rank = np.frombuffer(part.column(4)[0].as_py(), "<i4")
                 c, n = np.full(len(rank), classes, np.uint8), np.zeros(len(rank), "<i8")
                 there = np.flatnonzero(rank >= 0)
                 c[there], n[there] = of[rank[there]], count[rank[there]]
-                for x in row["rare"] or ():
-                    c[x["code"]], n[x["code"]] = x["class"], x["n"]
+                found = part.column(5).flatten()
+                if len(found):
+                    code = np.flatnonzero(rank < 0)[found.field("nth").to_numpy()]
+                    c[code], n[code] = found.field("class").to_numpy(), found.field("n").to_numpy()
                 raw = [pa.array([v.tobytes()], pa.binary()) for v in (c, n)]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), *raw], names=["ids", "training", "sizes", "codes", "classes", "counts"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), *raw], names=["ids", *TOKENS, "classes", "counts"])
 
-    full = blocks.join(by_block, "block", "left").select("ids", "training", "sizes", "codes", "words", "rare")
+    full = blocks.drop("rare").join(by_block, "block", "left").select("ids", *TOKENS, "ranks", "found")
     kept = written(full.mapInArrow(known_words, f"ids array<{kind}>, training array<boolean>, sizes binary, codes binary, classes binary, counts binary"), "brown-coded")
+    forget(blocks)
 
     def all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, wide = np.zeros((classes + 1) ** 2, np.int64), classes + 1
@@ -489,26 +451,24 @@ def score_texts(docs: DataFrame, training: Column, doc_id: str = "doc_id", text:
         there = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(seen[there])], names=["pair", "n"])
 
-    table = summed_table(kept.select("training", "sizes", "codes", "classes").mapInArrow(all_pairs, "pair long, n long"), classes + 1)[:classes, :classes]
+    table = summed_table(kept.select(*TOKENS, "classes").mapInArrow(all_pairs, "pair long, n long"), classes + 1)[:classes, :classes]
     mass = np.full(classes, 0.5) + np.bincount(of, count + 0.5, classes) if len(of) else np.full(classes, 0.5)
     for r in rare.groupBy("class").agg(F.sum(F.col("n") + F.lit(0.5)).alias("m")).collect():
         mass[r["class"]] += r["m"]
-    log_factor = np.log10(class_factors(table, mass, all_d))
-    log_d = float(np.log10(all_d))
+    log_factor, log_d = np.log10(class_factors(table, mass, all_d)), float(np.log10(all_d))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 part = batch.slice(i, 1)
-                row = part.select(["training", "sizes", "codes", "classes", "counts"]).to_pylist()[0]
+                row = part.select([*TOKENS, "classes", "counts"]).to_pylist()[0]
                 codes, sizes, _ = tokens_of(row)
                 c, n = np.frombuffer(row["classes"], np.uint8).astype(np.int64), np.frombuffer(row["counts"], "<i8")
                 at = np.repeat(np.arange(len(sizes)), sizes)
                 base = np.bincount(at, np.log10(n + 0.5)[codes], len(sizes)) - sizes * log_d
                 more = np.bincount(at, log_factor[c[contexts(codes, sizes)], c[codes]], len(sizes))
                 known = np.bincount(at, (n > 0)[codes], len(sizes)).astype(np.int64)
-                ids = part.column(part.schema.get_field_index("ids")).flatten()
-                yield pa.RecordBatch.from_arrays([pa.array(row["training"], pa.bool_()), ids, pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(base + more)], names=["training", "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["training"], pa.bool_()), part.column(0).flatten(), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(base + more)], names=["training", "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return kept.mapInArrow(score, f"training boolean, doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
