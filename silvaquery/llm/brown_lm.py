@@ -32,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ from .common import forget, written
 
 CORE, CLASSES, LOCAL = 2048, 64, 1 << 18
 #: Bytes of text in a block, most documents in it, tokens whose contexts one placing group is expected to hold.
-BLOCK_BYTES, BLOCK_ROWS, GROUP = 2 << 20, 5000, 2_000_000
+BLOCK_BYTES, BLOCK_ROWS, GROUP = 2 << 20, 5000, 1_000_000
 #: Counts up to this have their gains in a table.
 SMALL = 64
 END = b""
@@ -263,9 +263,8 @@ class Fitted:
 TOKENS = ["training", "sizes", "codes"]
 
 
-def placed_blocks(blocks: DataFrame, common: list[bytes]) -> DataFrame:
+def placed_blocks(blocks: DataFrame, number: Broadcast) -> DataFrame:
     """Blocks with ``ranks``, each word's place among the common ones or -1, and the names of the others only."""
-    number = blocks.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(common)})
     names = [*blocks.columns[:5], "ranks", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +292,9 @@ def fit_classes(blocks: DataFrame, classes: int = CLASSES) -> Fitted:
     pairs = sorted(zip((-common.column("n").to_numpy()).tolist(), common.column("word").to_pylist()))
     count, common = np.array([-n for n, _ in pairs], np.int64), [w for _, w in pairs]
     forget(vocabulary)
-    ranked = written(placed_blocks(blocks, common), "brown-blocks")
+    number = blocks.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(common)})
+    ranked = written(placed_blocks(blocks, number), "brown-blocks")
+    number.destroy()
     forget(blocks)
     core = min(CORE, len(pairs))
 
@@ -306,9 +307,12 @@ def fit_classes(blocks: DataFrame, classes: int = CLASSES) -> Fitted:
             rank = np.where(rank < core, rank, -1)
             a, b = rank[contexts(codes, sizes)], rank[codes]
             ok = learn & (a >= 0) & (b >= 0)
-            seen += np.bincount(a[ok] * core + b[ok], minlength=core * core)
-        there = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(seen[there])], names=["pair", "n"])
+            pair, n = np.unique((a[ok] * core + b[ok]).astype(np.int32), return_counts=True)
+            seen[pair] += n
+        there = np.flatnonzero(seen).astype(np.int32)
+        for at in range(0, len(there), 100_000):
+            part = there[at:at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(seen[part])], names=["pair", "n"])
 
     of, table = np.full(len(pairs), -1, np.int64), np.zeros((classes, classes))
     if core:
@@ -389,7 +393,7 @@ class Gather:
         slots = np.frombuffer(row["slots"], np.uint8)
         self.keys.append(((np.repeat(at, np.frombuffer(row["held"], "<i4")) << 8) | slots, np.ones(len(slots), np.int64)))
         self.size += len(slots)
-        if self.size > 4_000_000:
+        if self.size > 1_500_000:
             self.keys = [packed(self.keys)]
             self.size = len(self.keys[0][0])
 
