@@ -155,6 +155,7 @@ def flags(trees: DataFrame, qsm: DataFrame | None = None) -> DataFrame:
     den = 1 - c("hd_b1") * s
     ratio = c("dbh") * 100 / (c("hd_b0") * s / F.when(den > 0.05, den))
     slender = c("dbh") * 100 / F.when(c("height") > 0, c("height"))
+    # Codes, severities and thresholds of the checks.
     checks = [
         ("no-dbh", "critical", c("dbh").isNull()),
         ("crown-large", "warning", crown),
@@ -298,3 +299,22 @@ def buck(taper: DataFrame, stump: float = 0.1, assortments: list = ASSORTMENTS)
         return pd.DataFrame(rows, columns=["tree_id", "nth", "assortment", "from_h", "to_h", "top_d", "volume", "value"])
 
     return taper.select(F.col("tree_id").cast("int").alias("tree_id"), F.col("h").cast("double").alias("h"), F.col("d").cast("double").alias("d")).groupBy("tree_id").applyInPandas(cut, "tree_id int, nth int, assortment string, from_h double, to_h double, top_d double, volume double, value double")
+
+
+def taper_of(slices: DataFrame) -> DataFrame:
+    """``slices(tree_id, hag, r)`` -> ``(tree_id, h, d)``: one point per slice at its middle; a tree's slice height is the gap between its first two (0.25 m for one)."""
+    w = Window.partitionBy("tree_id").orderBy("hag")
+    all_of = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    second = F.nth_value("hag", 2).over(all_of)
+    gap = F.when(second.isNotNull(), F.greatest(second - F.first("hag").over(all_of), F.lit(0.05))).otherwise(0.25)
+    return slices.select("tree_id", (F.col("hag") + gap / 2).alias("h"), (2 * F.col("r")).alias("d"))
+
+
+def bucking_totals(logs: DataFrame, heights: DataFrame) -> DataFrame:
+    """One row of the plot: volume and value by class (a map), waste, totals, and trees measured to less than 80 % of ``heights(tree_id, height)``."""
+    cut = ~F.col("assortment").isin("stump", "residue")
+    by = logs.filter(cut).groupBy("assortment").agg(F.sum("volume").alias("v"), F.sum("value").alias("w"))
+    maps = by.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("assortment", "v")))).alias("per_class"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("assortment", "w")))).alias("value_per_class"))
+    one = logs.agg(F.coalesce(F.sum(F.when(~cut, F.col("volume"))), F.lit(0.0)).alias("waste"), F.coalesce(F.sum("volume"), F.lit(0.0)).alias("volume"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
+    tops = logs.groupBy("tree_id").agg(F.max("to_h").alias("top")).join(heights.select(F.col("tree_id").cast("int").alias("tree_id"), "height"), "tree_id")
+    return one.crossJoin(maps).crossJoin(tops.agg(F.count_if((F.col("height") > 0) & (F.col("top") < 0.8 * F.col("height"))).alias("n_partially_measured")))  # single rows

@@ -12,10 +12,13 @@ from ..functions import scalar as S
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; a folder is set only where the session names none (tests)."""
+    """A reliable checkpoint in the shared folder; where the session names none, a local one gets its own, and others are refused."""
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="silvaquery-"))
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="silvaquery-"))
     return df.checkpoint()
 
 
@@ -26,8 +29,9 @@ def _around(dims: str) -> Column:
     return F.array(*(F.struct(*(F.lit(d).cast("long").alias(f"o{c}") for c, d in zip(dims, s))) for s in shifts))
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius: float, dims: str = "xyz") -> DataFrame:
-    """``left(a, x, y[, z], ...)`` and ``right(b, ...)`` -> pairs at most ``radius`` apart, with all columns of left, ``b``, right's coordinates as ``rx`` ... and ``distance``."""
+def radius_pairs(left: DataFrame, right: DataFrame, radius: float, dims: str = "xyz", by: tuple[str, ...] = ()) -> DataFrame:
+    """``left(a, x, y[, z], ...)`` and ``right(b, ...)`` -> pairs at most ``radius`` apart, with all columns of left, ``b``, right's
+    coordinates as ``rx`` ... and ``distance``. Columns ``by`` of both sides must be equal."""
     if not radius > 0:
         raise ValueError("a radius is above zero")
     lk = left.withColumns({f"k{c}": S.cell(F.col(c), radius) for c in dims})
@@ -35,7 +39,45 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, dims: str = "
     rk = right.select(*rest, *(F.col(c).alias(f"r{c}") for c in dims), F.explode(_around(dims)).alias("o")).withColumns({f"k{c}": S.cell(F.col(f"r{c}"), radius) + F.col(f"o.o{c}") for c in dims}).drop("o")
     d2 = sum((F.pow(F.col(c) - F.col(f"r{c}"), F.lit(2)) for c in dims), F.lit(0.0))
     keys = [f"k{c}" for c in dims]
-    return lk.join(rk, keys).withColumn("distance", F.sqrt(d2)).filter(F.col("distance") <= radius).drop(*keys)
+    return lk.join(rk, [*keys, *by]).withColumn("distance", F.sqrt(d2)).filter(F.col("distance") <= radius).drop(*keys)
+
+
+def usual_reach(points: DataFrame, k: int, dims: str = "xyz") -> float:
+    """A radius that about 2 k points of the cloud lie within: the size of cells that hold k / 2 points, where any.
+
+    Cells are counted at twenty sizes in one pass, with small sketches.
+    """
+    box = points.agg(*(F.min(c).alias(f"lo{c}") for c in dims), *(F.max(c).alias(f"hi{c}") for c in dims), F.count("*").alias("n")).first()
+    if not box["n"]:
+        return 1.0
+    wide = max(max(box[f"hi{c}"] - box[f"lo{c}"] for c in dims), 1e-6)
+    sizes = [wide / 2**i for i in range(20)]
+    cells = points.agg(*(F.approx_count_distinct(F.hash(*(S.cell(F.col(c), s) for c in dims))).alias(f"s{i}") for i, s in enumerate(sizes))).first()
+    return next((s for i, s in reversed(list(enumerate(sizes))) if box["n"] / max(1, cells[f"s{i}"]) >= k / 2), wide)
+
+
+def k_nearest(left: DataFrame, right: DataFrame, k: int, reach: float | None = None, dims: str = "xyz", other: bool = False) -> DataFrame:
+    """The k nearest of ``right`` to each row of ``left``, at any distance (all, if fewer); ties by b. ``other``: a row is not its own neighbour.
+
+    Rows that lack k neighbours within the radius are searched again with twice as wide a one, so pairs stay few where points are dense.
+    """
+    left, right = cut_lineage(left), cut_lineage(right)
+    reach, found, todo = reach or usual_reach(right, k, dims), None, left
+    box = left.select(*dims).unionByName(right.select(*dims)).agg(*(x for c in dims for x in (F.min(c), F.max(c)))).first()
+    wide = sum((box[2 * i + 1] - box[2 * i]) ** 2 for i in range(len(dims)) if box[0] is not None) ** 0.5
+    while True:
+        pairs = radius_pairs(todo, right, reach, dims)
+        near = nearest(pairs.filter("a <> b") if other else pairs, k)
+        if reach >= wide:
+            return near if found is None else found.unionByName(near)
+        near = cut_lineage(near)
+        full = near.filter(F.col("rank") == k).select("a")
+        done = near.join(full, "a", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        todo = cut_lineage(todo.join(full, "a", "left_anti"))
+        if todo.isEmpty():
+            return found
+        reach *= 2
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -54,13 +96,10 @@ def clean_radius(points: DataFrame, radius: float = 0.05, least: int = 2, key: s
     return points.join(n.select(F.col("a").alias(key)), key, "left_semi")
 
 
-def clean_sor(points: DataFrame, k: int = 8, deviations: float = 1.0, reach: float = 2.0, key: str = "point_id") -> DataFrame:
-    """Statistical outlier removal: mean distance to the k nearest within ``reach`` at most the cloud's mean plus deviations.
-
-    A point with fewer than k others within reach is an outlier.
-    """
+def clean_sor(points: DataFrame, k: int = 8, deviations: float = 1.0, key: str = "point_id") -> DataFrame:
+    """Statistical outlier removal: mean distance to the k nearest others, however far, at most the cloud's mean plus deviations."""
     a, b = _ab(points, key)
-    near = nearest(radius_pairs(a, b, reach).filter("a <> b"), k).groupBy("a").agg(F.avg("distance").alias("d"), F.count("*").alias("n")).filter(F.col("n") == k)
+    near = cut_lineage(k_nearest(a, b, k, other=True).groupBy("a").agg(F.avg("distance").alias("d")))
     limit = near.agg((F.avg("d") + deviations * F.stddev_pop("d")).alias("limit"))
     good = near.crossJoin(F.broadcast(limit)).filter("d <= limit")  # one row
     return points.join(good.select(F.col("a").alias(key)), key, "left_semi")
@@ -145,44 +184,61 @@ def m3c2(cores: DataFrame, before: DataFrame, after: DataFrame, normal_scale: fl
 
 # ---------------------------------------------------------------- point quality
 
+# Labels of points.
+NOT_EVALUATED, KEPT, REFLECTANCE, OUTLIER, WIND = range(5)
+
+
+def ramp(low: float, high: float, at: float, begin: float, end: float) -> float:
+    """From ``low`` to ``high`` between two heights; a step where they are one."""
+    t = min(1.0, max(0.0, (at - begin) / (end - begin))) if end > begin else float(at >= end)
+    return low + (high - low) * t
+
 
-def point_quality(points: DataFrame, refl: tuple[float, float] = (-20.0, 5.0), least: int = 3, radius: tuple[float, float] = (0.04, 0.12), wind: tuple[float, float] = (0.03, 0.10), others: tuple[float, float] = (2.0, 1.0), ramp: tuple[float, float] = (0.60, 0.75), strata: int = 5, key: str = "point_id") -> DataFrame:
-    """``label``: 0 kept, 1 reflectance, 2 outlier, 3 wind; each stage sees the survivors of the one before.
+def point_quality(points: DataFrame, refl_min: float = -20.0, refl_max: float = 5.0, outlier_method: str = "radius", outlier_knn: int = 8, outlier_std_mult: float = 3.0, outlier_min_neighbors: int = 3, outlier_radius_min: float = 0.04, outlier_radius_max: float = 0.12, wind_radius_min: float = 0.03, wind_radius_max: float = 0.10, wind_min_other_scans_low: float = 2.0, wind_min_other_scans_high: float = 1.0, h_low: float = 0.60, h_high: float = 0.75, n_strata: int = 5, tree_ids: list[int] | tuple = (), min_tree_points: int = 50, key: str = "point_id") -> DataFrame:
+    """``label`` of each point: not evaluated (no tree, or a small one), kept, or rejected by reflectance, as an outlier, or as moved by wind.
 
-    Points are in strata of relative height above ground; a stratum's radius goes from the first value to the second along
-    the ramp of its midpoint. Wind needs more than one scan.
+    Trees are judged by themselves, each stage on what the one before left. Points are in strata of their height between the tree's
+    lowest and highest; a stratum's radius, and how many other scans must see a point, follow a ramp of the stratum's middle.
+    Missing reflectance is rejected. Outliers: too few others within the radius, or (``density``) a mean distance to the k nearest
+    beyond the tree's mean plus deviations. Wind needs a tree with more than one scan.
     """
-    top = points.groupBy("tree_id").agg(F.max("hag").alias("top"))
-    p = points.join(top, "tree_id").withColumn("rel", F.coalesce(F.try_divide(F.col("hag"), F.col("top")), F.lit(0.0)))
-    p = p.withColumn("stratum", F.greatest(F.lit(0), F.least(F.lit(strata - 1), F.floor(F.col("rel") * strata).cast("int"))))
-
-    def ramped(s: int, ends: tuple[float, float]) -> float:
-        t = min(1.0, max(0.0, ((s + 0.5) / strata - ramp[0]) / (ramp[1] - ramp[0])))
-        return ends[0] + t * (ends[1] - ends[0])
-
-    bad = ~F.coalesce(F.col("refl").between(*refl), F.lit(True))
-    p = p.withColumn("label", F.when(bad, 1).otherwise(0))
-
-    def counted(df: DataFrame, ends: tuple[float, float], distinct_scans: bool) -> DataFrame:
-        out = None
-        live = df.filter("label = 0")
-        for s in range(strata):
-            a = live.filter(F.col("stratum") == s).select(F.col(key).alias("a"), "x", "y", "z", F.col("scan").alias("sa"))
-            b = live.select(F.col(key).alias("b"), "x", "y", "z", F.col("scan").alias("sb"))
-            pairs = radius_pairs(a, b, ramped(s, ends)).filter("a <> b")
-            n = pairs.filter("sa <> sb").groupBy("a").agg(F.count_distinct("sb").alias("k")) if distinct_scans else pairs.groupBy("a").agg(F.count("*").alias("k"))
-            out = n if out is None else out.unionByName(n)
-        return out.withColumnRenamed("a", key)
-
-    p = cut_lineage(p)
-    p = p.join(counted(p, radius, False), key, "left").withColumn("label", F.when((F.col("label") == 0) & (F.coalesce("k", F.lit(0)) < least), 2).otherwise(F.col("label"))).drop("k")
-    if points.select("scan").distinct().limit(2).count() > 1:
-        p = cut_lineage(p)
-        need = F.lit(0)
-        for s in range(strata):
-            need = F.when(F.col("stratum") == s, int(ramped(s, others) + 0.5)).otherwise(need)
-        p = p.join(counted(p, wind, True), key, "left").withColumn("label", F.when((F.col("label") == 0) & (F.coalesce("k", F.lit(0)) < need), 3).otherwise(F.col("label"))).drop("k")
-    return p.drop("top", "rel", "stratum")
+    tree = (F.col("tree_id") > 0) & (F.col("tree_id").isin(list(tree_ids)) if tree_ids else F.lit(True))
+    size = points.filter(tree).groupBy("tree_id").agg(F.count("*").alias("n"), F.min(S.measured(F.col("hag"))).alias("low"), F.max(S.measured(F.col("hag"))).alias("high")).filter(F.col("n") >= min_tree_points)
+    share = F.coalesce(F.try_divide(S.measured(F.col("hag")) - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    stratum = F.greatest(F.lit(0), F.least(F.lit(n_strata - 1), F.floor(share * n_strata).cast("int")))
+    p = points.join(size.select("tree_id", "low", "high"), "tree_id").select(F.col(key).alias("a"), "tree_id", "x", "y", "z", "refl", "scan", stratum.alias("stratum"))
+
+    def by_stratum(low: float, high: float) -> Column:
+        values = [ramp(low, high, (s + 0.5) / n_strata, h_low, h_high) for s in range(n_strata)]
+        return F.element_at(F.array(*map(F.lit, values)), F.col("stratum") + 1)
+
+    good = cut_lineage(p.withColumn("ok", F.coalesce(F.col("refl").between(refl_min, refl_max) & ~F.isnan("refl"), F.lit(False))))
+    live = good.filter("ok").drop("ok")
+    sizes = live.groupBy("tree_id").agg(F.count("*").alias("m"))
+    right = lambda d: d.select(F.col("a").alias("b"), "tree_id", "x", "y", "z", F.col("scan").alias("other"))
+    if outlier_method == "density":
+        reach = 4 * max(outlier_radius_min, outlier_radius_max)
+        near = nearest(radius_pairs(live, right(live), reach, by=("tree_id",)).filter("distance > 0"), outlier_knn)
+        mean = cut_lineage(near.groupBy("tree_id", "a").agg(F.avg("distance").alias("d")))
+        limit = mean.groupBy("tree_id").agg((F.avg("d") + outlier_std_mult * F.stddev_pop("d")).alias("limit"))
+        pass_ = mean.join(limit, "tree_id").filter("d <= limit").select("a", F.lit(True).alias("near_ok"))
+        few = F.col("m") <= outlier_knn + 1
+    else:
+        radius = by_stratum(outlier_radius_min, outlier_radius_max)
+        pairs = radius_pairs(live, right(live), max(outlier_radius_min, outlier_radius_max), by=("tree_id",)).filter((F.col("a") != F.col("b")) & (F.col("distance") <= radius))
+        pass_ = pairs.groupBy("a").agg(F.count("*").alias("k")).filter(F.col("k") >= outlier_min_neighbors).select("a", F.lit(True).alias("near_ok"))
+        few = (F.col("m") <= outlier_min_neighbors) | F.lit(outlier_min_neighbors <= 0)
+    stage = cut_lineage(live.join(sizes, "tree_id").join(pass_, "a", "left").withColumn("near_ok", few | F.coalesce("near_ok", F.lit(False))).drop("m"))
+    left = stage.filter("near_ok").drop("near_ok")
+    scans = left.groupBy("tree_id").agg(F.count("*").alias("m"), F.count_distinct("scan").alias("scans"))
+    need = F.floor(by_stratum(wind_min_other_scans_low, wind_min_other_scans_high) + 0.5)
+    pairs = radius_pairs(left, right(left), max(wind_radius_min, wind_radius_max), by=("tree_id",)).filter((F.col("scan") != F.col("other")) & (F.col("distance") <= by_stratum(wind_radius_min, wind_radius_max)))
+    seen = pairs.groupBy("a").agg(F.count_distinct("other").alias("k"))
+    wind = left.join(scans, "tree_id").join(seen, "a", "left").select("a", ((F.col("m") > 3) & (F.col("scans") > 1) & (F.coalesce("k", F.lit(0)) < need)).alias("wind"))
+    verdict = good.select("a", "ok").join(stage.select("a", "near_ok"), "a", "left").join(wind, "a", "left")
+    label = F.when(~F.col("ok"), REFLECTANCE).when(~F.col("near_ok"), OUTLIER).when(F.col("wind"), WIND).otherwise(KEPT)
+    verdict = verdict.select(F.col("a").alias(key), label.alias("label"))
+    return points.join(verdict, key, "left").withColumn("label", F.coalesce("label", F.lit(NOT_EVALUATED)))
 
 
 # ---------------------------------------------------------------- components and matching

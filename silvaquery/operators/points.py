@@ -167,14 +167,19 @@ def volume(grid: DataFrame, size: float, reference: float | Column, value: str =
     """One row: volumes above and below a level, net, and extremes."""
     d = F.col(value) - (F.lit(float(reference)) if isinstance(reference, (int, float)) else reference)
     a = F.lit(size * size)
-    return grid.agg(F.count(value).alias("cells"), (F.coalesce(F.sum(F.greatest(d, F.lit(0.0))), F.lit(0.0)) * a).alias("above"), (F.coalesce(F.sum(F.greatest(-d, F.lit(0.0))), F.lit(0.0)) * a).alias("below"), (F.coalesce(F.sum(d), F.lit(0.0)) * a).alias("net"), F.max(d).alias("max_above"), F.max(-d).alias("max_below"))
+    return grid.agg(F.count(value).alias("cells"), (F.coalesce(F.sum(F.greatest(d, F.lit(0.0))), F.lit(0.0)) * a).alias("above"), (F.coalesce(F.sum(F.greatest(-d, F.lit(0.0))), F.lit(0.0)) * a).alias("below"), (F.coalesce(F.sum(d), F.lit(0.0)) * a).alias("net"), F.greatest(F.coalesce(F.max(d), F.lit(0.0)), F.lit(0.0)).alias("max_above"), F.greatest(F.coalesce(F.max(-d), F.lit(0.0)), F.lit(0.0)).alias("max_below"))
 
 
-def rim_plane(grid: DataFrame, value: str = "top") -> DataFrame:
-    """One row ``(a, b, c)`` of z = a + b col + c row through the cells that lack a neighbour, from sums."""
-    known = grid.select("col", "row", F.col(value).alias("v"))
-    near = known.select(F.explode(_offsets(False)).alias("o"), "col", "row").select((F.col("col") + F.col("o.dx")).alias("col"), (F.col("row") + F.col("o.dy")).alias("row"))
-    full = near.join(known.select("col", "row"), ["col", "row"], "left_semi").groupBy("col", "row").agg(F.count("*").alias("k")).filter("k = 8")
+def rim_plane(grid: DataFrame, value: str = "top", inside: DataFrame | None = None) -> DataFrame:
+    """One row ``(a, b, c)`` of z = a + b col + c row through the cells at the area's edge, from sums.
+
+    A cell is at the edge where one of its four neighbours is not among ``inside(col, row)`` (the grid's own cells if not given).
+    """
+    known = grid.filter(F.col(value).isNotNull()).select("col", "row", F.col(value).alias("v"))
+    area = (inside if inside is not None else known).select("col", "row")
+    four = F.array(*(F.struct(F.lit(i).cast("long").alias("dx"), F.lit(j).cast("long").alias("dy")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))))
+    near = area.select(F.explode(four).alias("o"), "col", "row").select((F.col("col") + F.col("o.dx")).alias("col"), (F.col("row") + F.col("o.dy")).alias("row"))
+    full = near.groupBy("col", "row").agg(F.count("*").alias("k")).filter("k = 4")
     rim = known.join(full, ["col", "row"], "left_anti")
     x, y, v = F.col("col").cast("double"), F.col("row").cast("double"), F.col("v")
     s = rim.agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(v).alias("mv"), F.covar_pop(x, x).alias("xx"), F.covar_pop(y, y).alias("yy"), F.covar_pop(x, y).alias("xy"), F.covar_pop(x, v).alias("xv"), F.covar_pop(y, v).alias("yv"))
@@ -183,6 +188,14 @@ def rim_plane(grid: DataFrame, value: str = "top") -> DataFrame:
     return s.select((F.col("mv") - F.coalesce(b, F.lit(0.0)) * F.col("mx") - F.coalesce(c, F.lit(0.0)) * F.col("my")).alias("a"), F.coalesce(b, F.lit(0.0)).alias("b"), F.coalesce(c, F.lit(0.0)).alias("c"))
 
 
+def cells_inside(box: tuple[float, float, float, float], size: float, polygon: list, spark) -> DataFrame:
+    """``(col, row)`` of the cells of a box whose centres are in the polygon (all without one): a range, never collected."""
+    x0, y0, x1, y1 = (math.floor(v / size) for v in box)
+    wide = x1 - x0 + 1
+    c = spark.range(wide * (y1 - y0 + 1)).select((F.col("id") % wide + x0).alias("col"), (F.floor(F.col("id") / wide).cast("long") + y0).alias("row"))
+    return c.filter(S.in_polygon((F.col("col") + 0.5) * size, (F.col("row") + 0.5) * size, polygon)) if polygon else c
+
+
 def density(points: DataFrame, size: float = 2.0, min_height: float = 0.2, canopy: float = 2.0, height: str = "hag") -> DataFrame:
     """Per cell: mean, sd, cv, skewness, kurtosis, percentiles of heights above ``min_height``, density and cover."""
     h = F.when(F.col(height) >= min_height, F.col(height))
@@ -193,18 +206,47 @@ def density(points: DataFrame, size: float = 2.0, min_height: float = 0.2, canop
     return g.select("col", "row", "n", "mean", "sd", F.try_divide(F.col("sd"), F.col("mean")).alias("cv"), "skew", "kurt", *(F.col("p")[i].alias(f"p{k}") for i, k in enumerate((25, 50, 75, 90, 95))), "density", "cover")
 
 
-def slope_aspect(grid: DataFrame, size: float, value: str = "lowest") -> DataFrame:
-    """Horn's 3 x 3 slope and aspect in degrees, and hillshade (azimuth 315, altitude 45), for cells with all neighbours."""
+def slope_aspect(grid: DataFrame, size: float, value: str = "lowest", azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
+    """Horn's 3 x 3 slope and aspect in degrees, and hillshade, for cells with all neighbours."""
+    return terrain_layers(grid, size, value, azimuth, altitude).select("col", "row", "slope", "aspect", "hillshade")
+
+
+def terrain_layers(grid: DataFrame, size: float, value: str = "lowest", azimuth: float = 315.0, altitude: float = 45.0, latitude: float = 60.0) -> DataFrame:
+    """Layers of the 3 x 3 neighbourhood, for cells with all neighbours, in one aggregation.
+
+    Horn's slope and aspect (degrees, clockwise from north, downhill) and hillshade; position index (height less the mean of the eight);
+    ruggedness (root of the summed squared differences, Riley et al. 1999); profile and plan curvature (Zevenbergen and Thorne 1987);
+    heat load (McCune and Keon 2002, equation 3, aspect folded about the line from north-east to south-west).
+    """
     g = grid.select("col", "row", F.col(value).alias("v"))
     spread = g.select(F.explode(_offsets(True)).alias("o"), "col", "row", "v").select((F.col("col") + F.col("o.dx")).alias("col"), (F.col("row") + F.col("o.dy")).alias("row"), (-F.col("o.dx")).alias("dx"), (-F.col("o.dy")).alias("dy"), "v")
-    at = lambda i, j: F.sum(F.when((F.col("dx") == i) & (F.col("dy") == j), F.col("v")))
+    name = lambda i, j: f"v{i + 1}{j + 1}"
+    at = lambda i, j: F.col(name(i, j))
+    nine = [F.sum(F.when((F.col("dx") == i) & (F.col("dy") == j), F.col("v"))).alias(name(i, j)) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    t = spread.groupBy("col", "row").agg(F.count("*").alias("k"), *nine).filter("k = 9")
     gx = (at(1, 1) + 2 * at(1, 0) + at(1, -1) - at(-1, 1) - 2 * at(-1, 0) - at(-1, -1)) / F.lit(8 * size)
     gy = (at(1, 1) + 2 * at(0, 1) + at(-1, 1) - at(1, -1) - 2 * at(0, -1) - at(-1, -1)) / F.lit(8 * size)
-    t = spread.groupBy("col", "row").agg(F.count("*").alias("k"), gx.alias("gx"), gy.alias("gy")).filter("k = 9")
-    steep, az, alt = F.atan(F.hypot("gx", "gy")), math.radians(315), math.radians(45)
+    t = t.withColumns({"gx": gx, "gy": gy})
+    steep, az, alt = F.atan(F.hypot("gx", "gy")), math.radians(azimuth), math.radians(altitude)
     aspect = F.pmod(F.degrees(F.atan2(-F.col("gx"), -F.col("gy"))), F.lit(360.0))
     shade = F.greatest(F.lit(0.0), math.sin(alt) * F.cos(steep) + math.cos(alt) * F.sin(steep) * F.cos(F.lit(az) - F.radians(aspect)))
-    return t.select("col", "row", F.degrees(steep).alias("slope"), aspect.alias("aspect"), shade.alias("hillshade"))
+    around = [at(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    mean = sum(around[1:], around[0]) / 8
+    rugged = F.sqrt(sum(((v - at(0, 0)) * (v - at(0, 0)) for v in around), F.lit(0.0)))
+    d, e = ((at(1, 0) + at(-1, 0)) / 2 - at(0, 0)) / F.lit(size**2), ((at(0, 1) + at(0, -1)) / 2 - at(0, 0)) / F.lit(size**2)
+    f = (at(1, 1) + at(-1, -1) - at(-1, 1) - at(1, -1)) / F.lit(4 * size**2)
+    u, v = (at(1, 0) - at(-1, 0)) / F.lit(2 * size), (at(0, 1) - at(0, -1)) / F.lit(2 * size)
+    profile = F.coalesce(F.try_divide(-2 * (d * u * u + e * v * v + f * u * v), u * u + v * v), F.lit(0.0))
+    plan = F.coalesce(F.try_divide(2 * (d * v * v + e * u * u - f * u * v), u * u + v * v), F.lit(0.0))
+    lat, folded = math.radians(latitude), F.radians(F.abs(180 - F.abs(aspect - 225)))
+    heat = 0.339 + 0.808 * math.cos(lat) * F.cos(steep) - 0.196 * math.sin(lat) * F.sin(steep) - 0.482 * F.cos(folded) * F.sin(steep)
+    return t.select("col", "row", F.degrees(steep).alias("slope"), aspect.alias("aspect"), shade.alias("hillshade"), (at(0, 0) - mean).alias("tpi"), rugged.alias("tri"), profile.alias("profile_curvature"), plan.alias("plan_curvature"), heat.alias("hli"))
+
+
+def streams(flow: DataFrame, fraction: float = 0.01) -> DataFrame:
+    """Cells that drain at least this share of all cells."""
+    n = flow.agg(F.count("*").alias("cells"))
+    return flow.crossJoin(F.broadcast(n)).withColumn("stream", F.col("accumulation") >= F.col("cells") * fraction).drop("cells")  # one row
 
 
 def contour_segments(grid: DataFrame, size: float, interval: float, value: str = "lowest") -> DataFrame:
@@ -260,13 +302,14 @@ def downsample(points: DataFrame, size: float, keep: str = "center", order: str
     The point is chosen by a minimum, which is aggregated partially, not by ranking a voxel's points.
     """
     key = [f"v{c}" for c in "xyz"]
-    p = points.withColumns({f"v{c}": S.cell(F.col(c), size) for c in "xyz"})
-    row = F.struct(*points.columns)
+    p = points.select(order, *"xyz", *(S.cell(F.col(c), size).alias(f"v{c}") for c in "xyz"))
     if keep == "first":
-        return p.groupBy(*key).agg(F.min_by(row, F.col(order)).alias("r")).select("r.*")
-    mean = p.groupBy(*key).agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
-    d = sum((F.pow(F.col(c) - F.col(f"m{c}"), F.lit(2)) for c in "xyz"), F.lit(0.0))
-    return p.join(mean, key).groupBy(*key).agg(F.min_by(row, F.struct(F.round(d, 9), F.col(order))).alias("r")).select("r.*")
+        chosen = p.groupBy(*key).agg(F.min(order).alias(order))
+    else:
+        mean = p.groupBy(*key).agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
+        d = sum((F.pow(F.col(c) - F.col(f"m{c}"), F.lit(2)) for c in "xyz"), F.lit(0.0))
+        chosen = p.join(mean, key).groupBy(*key).agg(F.min(F.struct(F.round(d, 9).alias("d"), order)).alias("m")).select(F.col("m")[order].alias(order))
+    return points.join(chosen.select(order), order, "left_semi")
 
 
 def decimate(points: DataFrame, size: float) -> DataFrame:

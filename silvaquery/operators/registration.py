@@ -1,8 +1,11 @@
-"""Rigid registration: Kabsch from ties, ICP with distributed normal equations, and a voting grid for shifts."""
+"""Rigid registration: Kabsch from ties, iterative registration with distributed normal equations, votes for shifts and turns, targets."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,34 +33,114 @@ def kabsch(pairs: DataFrame) -> list[float]:
     return m.ravel().tolist()
 
 
-def icp(moving: DataFrame, reference: DataFrame, voxel: float = 0.05, reach: float = 0.5, rounds: int = 30, eps: float = 1e-6, kernel: str = "welsch") -> dict:
-    """Point-to-plane-free ICP: nearest pairs by cell join, robust weights, closed form step; clouds are thinned by voxel first.
+#: Parameters that stay free: rotations about x, y, z, then shifts.
+FREE = {"full": [1, 1, 1, 1, 1, 1], "levelled": [0, 0, 1, 1, 1, 1], "translation": [0, 0, 0, 1, 1, 1]}
+METHODS = ("symmetric", "pointToPlane", "pointToPoint", "gicp")
+
+
+def normals(cloud: DataFrame, name: str, k: int) -> DataFrame:
+    """``cloud(name, x, y, z)`` with ``n``: the direction of least spread of each point's k nearest, itself among them."""
+    from pyspark.sql.functions import pandas_udf
+
+    near = ne.k_nearest(cloud.select(F.col(name).alias("a"), "x", "y", "z"), cloud.select(F.col(name).alias("b"), "x", "y", "z"), k)
+
+    @pandas_udf("array<double>")
+    def least(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
+        m = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], axis=1).reshape(-1, 3, 3)
+        return pd.Series(list(np.linalg.eigh(m)[1][:, :, 0]))
+
+    n = ne.covariance(near).select(F.col("a").alias(name), least("cxx", "cxy", "cxz", "cyy", "cyz", "czz").alias("n"))
+    return ne.cut_lineage(cloud.join(n, name))
 
-    Each round is one job that returns sums. ``{matrix, rmse, pairs, rounds}``.
+
+def pair_equations(p: np.ndarray, q: np.ndarray, np_: np.ndarray, nq: np.ndarray, method: str) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the linearised problem, pairs x m x 6; residuals, pairs x m) for a small turn and shift of p."""
+    eye = np.broadcast_to(np.eye(3), (len(p), 3, 3))
+    # The derivative of a turned point by the turn: minus its cross-product matrix.
+    turn = np.zeros((len(p), 3, 3))
+    turn[:, 0, 1], turn[:, 0, 2], turn[:, 1, 2] = p[:, 2], -p[:, 1], p[:, 0]
+    turn -= turn.transpose(0, 2, 1)
+    full, gap = np.concatenate((turn, eye), axis=2), q - p
+    if method == "pointToPoint":
+        return full, gap
+    if method == "gicp":
+        # Plane to plane: both points may slide on their planes; the whitening of the summed covariances.
+        cov = sum(eye - (1 - 1e-3) * n[:, :, None] * n[:, None, :] for n in (np_, nq))
+        w, v = np.linalg.eigh(cov)
+        white = (v / np.sqrt(w)[:, None, :]).transpose(0, 2, 1)
+        return white @ full, (white @ gap[:, :, None])[:, :, 0]
+    if method == "symmetric":
+        # The sum of both normals, pointing one way.
+        n = nq + np.sign((np_ * nq).sum(1, keepdims=True) + 1e-300) * np_
+        n /= np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-12)
+    else:
+        n = nq
+    return (n[:, None, :] @ full), (n * gap).sum(1, keepdims=True)
+
+
+def icp(moving: DataFrame, reference: DataFrame, voxel: float = 0.05, reach: float = 0.5, rounds: int = 30, eps: float = 1e-6, kernel: str = "welsch", method: str = "symmetric", dof: str = "full", normal_k: int = 16, start: list[float] | None = None, floor: float = 0.002) -> dict:
+    """Registration by nearest pairs, found by a cell join, with robust weights; clouds are thinned by voxel first.
+
+    ``method``: symmetric (both normals), pointToPlane, pointToPoint, or gicp (plane to plane); ``dof``: full, levelled (turns about z only)
+    or translation. Tasks add up the 6 x 6 normal equations of their pairs, so each round sends sums to the driver.
+    ``{matrix, rmse, pairs, rounds, inlier_fraction, std_err}``; rmse is of point distances.
     """
-    a = ne.cut_lineage(po.decimate(moving, voxel).select(F.xxhash64("vx", "vy", "vz").alias("a"), "x", "y", "z"))
-    b = ne.cut_lineage(po.decimate(reference, voxel).select(F.xxhash64("vx", "vy", "vz").alias("b"), "x", "y", "z"))
-    total, last, n, rmse, done = np.eye(4), np.inf, 0, None, 0
+    if method not in METHODS or dof not in FREE or kernel not in ("welsch", "tukey", "huber", "none"):
+        raise ValueError(f"unknown method {method!r}, dof {dof!r} or kernel {kernel!r}")
+    thin = lambda d, n: ne.cut_lineage(po.decimate(d, voxel).select(F.xxhash64("vx", "vy", "vz").alias(n), "x", "y", "z"))
+    a, b = thin(moving, "a"), thin(reference, "b")
+    size = a.count()
+    flat = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    a = normals(a, "a", normal_k) if method in ("symmetric", "gicp") else a.withColumn("n", flat)
+    b = (normals(b, "b", normal_k) if method != "pointToPoint" else b.withColumn("n", flat)).withColumnRenamed("n", "m")
+    total, last, n, rmse, done, spread = np.array(start or np.eye(4).ravel(), float).reshape(4, 4), np.inf, 0, None, 0, None
+    middle = np.array(b.agg(*(F.avg(c) for c in "xyz")).first(), float)
+    free = np.flatnonzero(FREE[dof])
     for done in range(1, rounds + 1):
-        near = ne.nearest(ne.radius_pairs(po.transform(a, total.ravel().tolist()), b, reach), 1)
-        s = near.agg(F.sqrt(F.avg(F.col("distance") * F.col("distance"))), F.count("*"), F.percentile(F.col("distance"), F.lit(0.5))).first()
+        turn = total[:3, :3].copy()
+        near = ne.cut_lineage(ne.nearest(ne.radius_pairs(po.transform(a, total.ravel().tolist()), b, reach), 1).select("x", "y", "z", "rx", "ry", "rz", "n", "m", "distance"))
+        s = near.agg(F.sqrt(F.avg(F.col("distance") * F.col("distance"))), F.count("*"), F.percentile_approx("distance", 0.5, 10_000)).first()
         rmse, n = s[0], s[1]
-        if n < 3:
+        if n < 6:
             break
-        c = 3 * max(1.4826 * (s[2] or 0.0), 0.002)
-        w = F.exp(-F.pow(F.col("distance") / c, F.lit(2))) if kernel == "welsch" else F.lit(1.0)
-        t = near.withColumn("w", w)
-        means = t.agg(*(F.sum(F.col("w") * F.col(k)) / F.sum("w") for k in ("x", "y", "z", "rx", "ry", "rz"))).first()
-        h = np.array(t.agg(*(F.sum(F.col("w") * (F.col(p) - float(means[i])) * (F.col(q) - float(means[3 + j]))) for i, p in enumerate(("x", "y", "z")) for j, q in enumerate(("rx", "ry", "rz")))).first(), float).reshape(3, 3)
-        u, _, vt = np.linalg.svd(h)
-        r = vt.T @ np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T))]) @ u.T
+        c = 3 * max(1.4826 * (s[2] or 0.0), floor)
+
+        def sums(parts):
+            for t in parts:
+                p, q = t[["x", "y", "z"]].to_numpy(float) - middle, t[["rx", "ry", "rz"]].to_numpy(float) - middle
+                rows, gap = pair_equations(p, q, np.stack(t["n"]) @ turn.T, np.stack(t["m"]), method) if len(t) else (np.zeros((0, 1, 6)), np.zeros((0, 1)))
+                # Robust weights by what the method makes small, not by distances that a sliding point may have.
+                d = np.linalg.norm(gap, axis=1)
+                w = {"welsch": lambda: np.exp(-((d / c) ** 2)), "tukey": lambda: np.where(d < 2 * c, (1 - (d / (2 * c)) ** 2) ** 2, 0.0), "huber": lambda: np.minimum(1.0, c / np.maximum(d, 1e-12)), "none": lambda: np.ones(len(d))}[kernel]()
+                h = np.einsum("i,imj,imk->jk", w, rows, rows)
+                g = np.einsum("i,imj,im->j", w, rows, gap)
+                yield pd.DataFrame([[*h.ravel(), *g, float((w * (gap ** 2).sum(1)).sum()), float(w.sum()), float((d <= c).sum())]], columns=names)
+
+        names = [f"s{i}" for i in range(45)]
+        got = np.array(near.mapInPandas(sums, ", ".join(f"{k} double" for k in names)).agg(*(F.sum(k) for k in names)).first(), float)
+        h, g = got[:36].reshape(6, 6)[np.ix_(free, free)], got[36:42][free]
+        delta = np.zeros(6)
+        delta[free] = np.linalg.lstsq(h, g, rcond=None)[0]
         step = np.eye(4)
-        step[:3, :3], step[:3, 3] = r, np.array(means[3:]) - r @ np.array(means[:3])
+        step[:3, :3] = turned(delta[:3])
+        step[:3, 3] = delta[3:] + middle - step[:3, :3] @ middle
         total = step @ total
-        if abs(last - rmse) < eps:
+        inverse = np.linalg.pinv(h) * got[42] / max(got[43] - len(free), 1.0)
+        spread = np.zeros(6)
+        spread[free] = np.sqrt(np.maximum(np.diag(inverse), 0.0))
+        if np.abs(delta).max() < eps or (last == rmse and np.abs(delta).max() < 1e-4):
             break
         last = rmse
-    return {"matrix": total.ravel().tolist(), "rmse": rmse, "pairs": n, "rounds": done}
+    return {"matrix": total.ravel().tolist(), "rmse": rmse, "pairs": n, "rounds": done, "inlier_fraction": n / size if size else 0.0, "std_err": None if spread is None else spread.tolist()}
+
+
+def turned(v: np.ndarray) -> np.ndarray:
+    """Rotation by a vector (Rodrigues)."""
+    t = float(np.linalg.norm(v))
+    if t < 1e-15:
+        return np.eye(3)
+    k = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]]) / t
+    return np.eye(3) + math.sin(t) * k + (1 - math.cos(t)) * k @ k
 
 
 def vote_shift(moving: DataFrame, reference: DataFrame, reach: float = 30.0, cell: float = 0.5, dims: str = "xy") -> DataFrame:
@@ -67,6 +150,32 @@ def vote_shift(moving: DataFrame, reference: DataFrame, reach: float = 30.0, cel
     return p.groupBy(F.round((F.col("rx") - F.col("x")) / cell).cast("long").alias("i"), F.round((F.col("ry") - F.col("y")) / cell).cast("long").alias("j")).agg(F.count("*").alias("votes"), F.avg(F.col("rx") - F.col("x")).alias("dx"), F.avg(F.col("ry") - F.col("y")).alias("dy")).orderBy(F.desc("votes"), "i", "j")
 
 
+def align_stems(moving: DataFrame, reference: DataFrame, reach: float = 30.0, cell: float = 0.5, allow_rotation: bool = True, yaw_range: float = 10.0, yaw_step: float = 1.0) -> dict | None:
+    """Turn about z and shift between stems by votes: every turn of a grid is tried in one job, the one with most votes for one shift wins.
+
+    ``{yaw_deg, dx, dy, votes}``: a stem goes to the turned place plus the shift; then both are fitted to the pairs that agree.
+    """
+    steps = np.arange(-yaw_range, yaw_range + yaw_step / 2, yaw_step).tolist() if allow_rotation else [0.0]
+    spun = moving.select("id", "x", "y", F.explode(F.array(*map(F.lit, sorted(steps, key=abs)))).alias("yaw"))
+    a = F.radians("yaw")
+    spun = spun.select(F.struct("yaw", "id", "x", "y").alias("a"), (F.col("x") * F.cos(a) - F.col("y") * F.sin(a)).alias("x"), (F.col("x") * F.sin(a) + F.col("y") * F.cos(a)).alias("y"))
+    pairs = ne.radius_pairs(spun, reference.select(F.col("id").alias("b"), "x", "y"), reach, "xy").select("a", "x", "y", "rx", "ry")
+    dx, dy = F.col("rx") - F.col("x"), F.col("ry") - F.col("y")
+    # A shift counts for its cell and the three next to it, so cell borders cut no peak.
+    spots = F.array(*(F.struct(F.floor(dx / cell + i).cast("long").alias("i"), F.floor(dy / cell + j).cast("long").alias("j")) for i in (0.0, 0.5) for j in (0.0, 0.5)))
+    kind = F.posexplode(spots)
+    votes = pairs.select("a.yaw", "a", "rx", "ry", kind.alias("k", "s")).groupBy("yaw", "k", "s").agg(F.count_distinct("a.id").alias("votes"))
+    best = votes.orderBy(F.desc("votes"), F.abs("yaw"), "yaw", "k", "s.i", "s.j").first()
+    if best is None:
+        return None
+    mine = pairs.filter(F.col("a.yaw") == best["yaw"]).select("a", "rx", "ry", kind.alias("k", "s")).filter((F.col("k") == best["k"]) & (F.col("s.i") == best["s"]["i"]) & (F.col("s.j") == best["s"]["j"]))
+    t = mine.select(F.col("a.x").alias("x"), F.col("a.y").alias("y"), "rx", "ry")
+    r = t.agg(F.avg("x"), F.avg("y"), F.avg("rx"), F.avg("ry"), *(F.covar_pop(p, q) for p in ("x", "y") for q in ("rx", "ry")), F.count("*")).first()
+    yaw = math.atan2(r[5] - r[6], r[4] + r[7]) if allow_rotation and r[8] > 1 and (r[4] + r[7] or r[5] - r[6]) else math.radians(best["yaw"])
+    c, s = math.cos(yaw), math.sin(yaw)
+    return {"yaw_deg": math.degrees(yaw), "dx": r[2] - (c * r[0] - s * r[1]), "dy": r[3] - (s * r[0] + c * r[1]), "votes": best["votes"]}
+
+
 def find_spheres(points: DataFrame, radius: tuple[float, float] = (0.05, 0.15), tol: float = 0.01, least: int = 40, rounds: int = 300, tile: float = 2.0) -> DataFrame:
     """Sphere targets by RANSAC in tiles with a halo: ``(cx, cy, cz, r, n)``; a sphere belongs to the tile that holds its centre."""
     import pandas as pd
@@ -111,27 +220,44 @@ def find_spheres(points: DataFrame, radius: tuple[float, float] = (0.05, 0.15),
 
 
 def match_targets(source: list, target: list, tol: float = 0.05) -> tuple[list[tuple[int, int]], list[float] | None]:
-    """Pairs of target centres of two scans whose mutual distances agree, and the transform; triples are tried, the one with most pairs wins."""
-    from itertools import combinations, permutations
+    """Pairs of target centres of two scans whose mutual distances agree, and the transform; the one with most pairs wins.
 
+    Pairs of centres vote for pairs of their ends by equal distance (found by a sorted list, not by trying all); triples are
+    tried among the ends with most votes only.
+    """
     a, b = np.array(source, float).reshape(-1, 3), np.array(target, float).reshape(-1, 3)
+    if min(len(a), len(b)) < 3:
+        return [], None
     da, db = (np.linalg.norm(v[:, None] - v[None], axis=2) for v in (a, b))
+    k, m = np.triu_indices(len(b), 1)
+    order = np.argsort(db[k, m])
+    length = db[k, m][order]
+    votes, same = np.zeros((len(a), len(b)), int), {}
+    for i, j in zip(*np.triu_indices(len(a), 1)):
+        for e in order[np.searchsorted(length, da[i, j] - tol):np.searchsorted(length, da[i, j] + tol, "right")]:
+            for u, v in ((k[e], m[e]), (m[e], k[e])):
+                votes[i, u] += 1
+                votes[j, v] += 1
+                same.setdefault((i, u), []).append((j, v))
     best: tuple = ([], None, np.inf)
-    for i in combinations(range(len(a)), 3):
-        for j in permutations(range(len(b)), 3):
-            if any(abs(da[i[p], i[q]] - db[j[p], j[q]]) > tol for p, q in ((0, 1), (0, 2), (1, 2))):
-                continue
-            m = rigid(a[list(i)], b[list(j)])
-            moved = a @ m[:3, :3].T + m[:3, 3]
-            d = np.linalg.norm(moved[:, None] - b[None], axis=2)
-            pairs = [(k, int(d[k].argmin())) for k in range(len(a)) if d[k].min() <= tol and d[:, d[k].argmin()].argmin() == k]
-            error = sum(d[p] for p in pairs)
-            if (len(pairs), -error) > (len(best[0]), -best[2]):
-                best = (pairs, m, error)
+    for i, u in sorted(same, key=lambda x: -votes[x])[:200]:
+        mates = sorted(same[i, u], key=lambda x: -votes[x])[:30]
+        for n, (j, v) in enumerate(mates):
+            for l, w in mates[n + 1:]:
+                if l == j or w == v or abs(da[j, l] - db[v, w]) > tol:
+                    continue
+                t = rigid(a[[i, j, l]], b[[u, v, w]])
+                d = np.linalg.norm((a @ t[:3, :3].T + t[:3, 3])[:, None] - b[None], axis=2)
+                pairs = [(x, int(d[x].argmin())) for x in range(len(a)) if d[x].min() <= tol and d[:, d[x].argmin()].argmin() == x]
+                error = sum(d[x] for x in pairs)
+                if (len(pairs), -error) > (len(best[0]), -best[2]):
+                    best = (pairs, t, error)
+        if len(best[0]) == min(len(a), len(b)):
+            break
     if len(best[0]) < 3:
         return [], None
-    k, j = zip(*best[0])
-    return best[0], rigid(a[list(k)], b[list(j)]).ravel().tolist()
+    x, y = zip(*best[0])
+    return best[0], rigid(a[list(x)], b[list(y)]).ravel().tolist()
 
 
 def rigid(a: np.ndarray, b: np.ndarray) -> np.ndarray:

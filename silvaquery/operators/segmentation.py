@@ -1,7 +1,8 @@
 """Ground, terrain and segmentation. Sequential algorithms run tile by tile with a halo, in NumPy; what is per cell or per point stays in DataFrames.
 
-Tiles bound memory: a task holds one tile and its halo. Where neighbouring tiles must agree (segments), a result belongs to
-the tile that holds its seed, and ids are unique across tiles.
+Tiles bound memory: a task holds one tile and its halo. Where neighbouring tiles must agree (segments), a point is labelled by the
+tile that holds it, and a tree is named by the place of its seed in the world, so tiles that see a tree whole name it alike; the
+halo must be wider than a crown. Flow is exact whatever the tiles: what crosses their borders is passed on until nothing changes.
 """
 
 from __future__ import annotations
@@ -83,45 +84,169 @@ def classify_ground(points: DataFrame, cell: float = 0.5, tolerance: float = 0.2
     return tiled(points.select(key, "x", "y", "z"), tile, window, work, f"{key} {kind}, cls int")
 
 
-def flow_accumulation(grid: DataFrame, cell: float, value: str = "lowest", tile_cells: int = 512) -> DataFrame:
-    """Sinks filled by a priority flood, D8 flow, cells accumulated, wetness index: ``(col, row, filled, accumulation, twi)``, tile by tile."""
+#: Neighbours of a cell, in the order that settles ties.
+AROUND = [(di, dj) for di in (-1, 0, 1) for dj in (-1, 0, 1) if di or dj]
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+
+class FlowTile:
+    """Cells of a tile and one ring around it, as arrays: surface, filled level, steps to a lower level, and which cells are the tile's own."""
+
+    def __init__(self, pdf: pd.DataFrame):
         c, r = pdf["col"].to_numpy(int), pdf["row"].to_numpy(int)
-        c0, r0 = c.min(), r.min()
-        z = np.full((r.max() - r0 + 1, c.max() - c0 + 1), np.nan)
-        z[r - r0, c - c0] = pdf["v"]
-        known = ~np.isnan(z)
-        filled, done, heap = z.copy(), ~known, []
-        pad = np.pad(known, 1)
-        edge = known & ~np.min([pad[i:i + z.shape[0], j:j + z.shape[1]] for i in range(3) for j in range(3)], axis=0)
-        for i, j in zip(*np.nonzero(edge)):
-            heapq.heappush(heap, (z[i, j], i, j))
-            done[i, j] = True
-        order = []
-        into: dict[tuple[int, int], tuple[int, int] | None] = {(i, j): None for _, i, j in heap}
+        self.c0, self.r0 = c.min() - 1, r.min() - 1
+        shape = (r.max() - self.r0 + 2, c.max() - self.c0 + 2)
+        self.at = (r - self.r0, c - self.c0)
+        self.z, self.fill, self.steps = np.full(shape, np.nan), np.full(shape, np.inf), np.zeros(shape, np.int64)
+        self.own = np.zeros(shape, bool)
+        self.z[self.at], self.fill[self.at], self.steps[self.at], self.own[self.at] = pdf["v"], pdf["fill"], pdf["steps"], pdf["core"]
+        self.known = ~np.isnan(self.z)
+
+    def relax(self) -> None:
+        """Lowest level at which water leaves, and the fewest steps on that level, from what is known around (Planchon and Darboux's surface, by a heap)."""
+        h, w = self.z.shape
+        all_around = np.ones((h, w), bool)
+        for di, dj in AROUND:
+            all_around[1:-1, 1:-1] &= self.known[1 + di:h - 1 + di, 1 + dj:w - 1 + dj]
+        rim = self.own & ~all_around
+        better = rim & ((self.fill > self.z) | (self.steps > 0))
+        self.fill[better], self.steps[better] = self.z[better], 0
+        heap = [(self.fill[i, j], self.steps[i, j], i, j) for i, j in zip(*np.nonzero(self.known & np.isfinite(self.fill)))]
+        heapq.heapify(heap)
+        z, fill, steps, own = self.z, self.fill, self.steps, self.own
         while heap:
-            v, i, j = heapq.heappop(heap)
-            order.append((i, j))
-            for di in (-1, 0, 1):
-                for dj in (-1, 0, 1):
-                    a, b = i + di, j + dj
-                    if 0 <= a < z.shape[0] and 0 <= b < z.shape[1] and not done[a, b]:
-                        done[a, b] = True
-                        filled[a, b] = max(z[a, b], v)
-                        into[a, b] = (i, j)
-                        heapq.heappush(heap, (filled[a, b], a, b))
-        acc = np.where(known, 1.0, 0.0)
-        for i, j in reversed(order):
-            if into[i, j]:
-                acc[into[i, j]] += acc[i, j]
-        gy, gx = np.gradient(_filled(filled), cell) if min(z.shape) > 1 else (np.zeros_like(z), np.zeros_like(z))
-        twi = np.log(np.maximum(acc * cell, 1e-9) / np.maximum(np.hypot(gx, gy), 1e-3))
-        at = (r - r0, c - c0)
-        return pd.DataFrame({"col": c, "row": r, "filled": filled[at], "accumulation": acc[at], "twi": twi[at]})
-
-    g = grid.select("col", "row", F.col(value).alias("v")).filter("v IS NOT NULL")
-    return g.groupBy(F.floor(F.col("col") / tile_cells).alias("tc"), F.floor(F.col("row") / tile_cells).alias("tr")).applyInPandas(work, "col long, row long, filled double, accumulation double, twi double")
+            v, n, i, j = heapq.heappop(heap)
+            if (v, n) > (fill[i, j], steps[i, j]):
+                continue
+            for di, dj in AROUND:
+                a, b = i + di, j + dj
+                if 0 <= a < h and 0 <= b < w and own[a, b]:
+                    level = max(z[a, b], v)
+                    new = (level, n + 1 if level == v else 0)
+                    if new < (fill[a, b], steps[a, b]):
+                        fill[a, b], steps[a, b] = new
+                        heapq.heappush(heap, (*new, a, b))
+
+    def downstream(self) -> dict[tuple[int, int], tuple[int, int] | None]:
+        """The neighbour each own cell drains to: the steepest lower one, else on a flat the one with fewest steps; cells of the rim drain out."""
+        out = {}
+        for i, j in zip(*np.nonzero(self.own)):
+            best, flat = (0.0, None), (self.steps[i, j], None)
+            edge = False
+            for di, dj in AROUND:
+                a, b = i + di, j + dj
+                if not self.known[a, b]:
+                    edge = True
+                    continue
+                drop = (self.fill[i, j] - self.fill[a, b]) / math.hypot(di, dj)
+                if drop > best[0]:
+                    best = (drop, (a, b))
+                elif drop == 0 and self.steps[a, b] < flat[0]:
+                    flat = (self.steps[a, b], (a, b))
+            out[i, j] = best[1] or (None if edge else flat[1])
+        return out
+
+    def order(self) -> list[tuple[int, int]]:
+        """Own cells from the highest down."""
+        i, j = np.nonzero(self.own)
+        k = np.lexsort((-self.steps[i, j], -self.fill[i, j]))
+        return list(zip(i[k].tolist(), j[k].tolist()))
+
+    def world(self, cell: tuple[int, int]) -> tuple[int, int]:
+        return int(cell[1] + self.c0), int(cell[0] + self.r0)
+
+    def steepness(self, cell: float) -> np.ndarray:
+        """Length of the gradient of the filled surface: central differences, one-sided where a neighbour is missing."""
+        f = np.where(self.known, self.fill, np.nan)
+        total = np.zeros(f.shape)
+        for axis in (0, 1):
+            up, down = np.roll(f, -1, axis), np.roll(f, 1, axis)
+            both = (up - down) / (2 * cell)
+            one = np.where(np.isnan(up), f - down, up - f) / cell
+            total += np.nan_to_num(np.where(np.isnan(both), one, both)) ** 2
+        return np.sqrt(total)
+
+
+def flow_accumulation(grid: DataFrame, cell: float, value: str = "lowest", tile_cells: int = 512) -> DataFrame:
+    """Filled sinks, D8 flow, cells accumulated, wetness index: ``(col, row, filled, accumulation, twi)``; the tiles don't show in the result.
+
+    Tiles are filled from what their neighbours' borders say, again and again until no border changes. Then every tile adds up its own
+    cells; sums that leave a tile are passed down the graph of border cells by doubling steps, and each tile adds
+    what comes in. Only border cells travel.
+    """
+    tc, tr = F.floor(F.col("col") / tile_cells).cast("long"), F.floor(F.col("row") / tile_cells).cast("long")
+    state = ne.cut_lineage(grid.select(F.col("col").cast("long").alias("col"), F.col("row").cast("long").alias("row"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL").select("*", F.lit(float("inf")).alias("fill"), F.lit(0).cast("long").alias("steps"), tc.alias("tc"), tr.alias("tr")))
+    moves = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j))
+
+    def with_ring(s: DataFrame) -> DataFrame:
+        """Every tile's cells and those of its neighbours that touch it."""
+        low, high = F.lit(0), F.lit(tile_cells - 1)
+        c, r = F.col("col") - F.col("tc") * tile_cells, F.col("row") - F.col("tr") * tile_cells
+        near = lambda x, d: F.when(d == 0, True).when(d < 0, x == low).otherwise(x == high)
+        ring = s.filter((c == low) | (c == high) | (r == low) | (r == high)).withColumn("o", F.explode(moves)).filter(near(c, F.col("o.i")) & near(r, F.col("o.j")))
+        ring = ring.select("col", "row", "v", "fill", "steps", (F.col("tc") + F.col("o.i")).alias("tc"), (F.col("tr") + F.col("o.j")).alias("tr"), F.lit(False).alias("core"))
+        return s.select("col", "row", "v", "fill", "steps", "tc", "tr", F.lit(True).alias("core")).unionByName(ring)
+
+    def per_tile(s: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+        empty = pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")])
+        return with_ring(s).groupBy("tc", "tr").applyInPandas(lambda pdf: work(pdf) if pdf["core"].any() else empty, schema)
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = FlowTile(pdf)
+        t.relax()
+        out = pdf[["col", "row", "v"]].assign(fill=t.fill[t.at], steps=t.steps[t.at], tc=pdf["tc"], tr=pdf["tr"])
+        return out.assign(changed=(out["fill"] != pdf["fill"]) | (out["steps"] != pdf["steps"]))[pdf["core"].to_numpy()]
+
+    while True:
+        new = ne.cut_lineage(per_tile(state, fill, "col long, row long, v double, fill double, steps long, tc long, tr long, changed boolean"))
+        state = new.drop("changed")
+        if new.filter("changed").isEmpty():
+            break
+
+    def leaving(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Border cells: where they drain to in the next tile with what sum, and which border cell water that enters here leaves by."""
+        t = FlowTile(pdf)
+        down, total, exit_ = t.downstream(), {}, {}
+        for c in t.order():
+            total[c] = total.get(c, 0.0) + 1.0
+            d = down[c]
+            if d and t.own[d]:
+                total[d] = total.get(d, 0.0) + total[c]
+        for c in reversed(t.order()):
+            d = down[c]
+            exit_[c] = None if not d else exit_[d] if t.own[d] else c
+        rows = [(*t.world(c), *t.world(down[c]), total[c]) for c in total if down[c] and not t.own[down[c]]]
+        h, w = t.z.shape
+        inner = lambda c: all(t.own[c[0] + i, c[1] + j] or not t.known[c[0] + i, c[1] + j] for i, j in AROUND)
+        rows += [(*t.world(c), *t.world(exit_[c]), None) for c in total if exit_[c] and not inner(c)]
+        return pd.DataFrame(rows, columns=["col", "row", "to_col", "to_row", "total"])
+
+    name = lambda c, r: F.struct(F.col(c).alias("c"), F.col(r).alias("r"))
+    border = ne.cut_lineage(per_tile(state, leaving, "col long, row long, to_col long, to_row long, total double").select(name("col", "row").alias("u"), name("to_col", "to_row").alias("v"), "total"))
+    exits, through = border.filter("total IS NOT NULL"), border.filter("total IS NULL").select(F.col("u").alias("v"), F.col("v").alias("next"))
+    # Sums of everything up to 2^k border crossings upstream.
+    sums, hop = exits.select("u", F.col("total").alias("s")), ne.cut_lineage(exits.join(through, "v").select("u", "next"))
+    while not hop.isEmpty():
+        more = sums.join(hop, "u").groupBy(F.col("next").alias("u")).agg(F.sum("s").alias("more"))
+        sums = ne.cut_lineage(sums.join(more, "u", "left").select("u", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s")))
+        after = hop.select(F.col("u").alias("next"), F.col("next").alias("far"))
+        hop = ne.cut_lineage(hop.join(after, "next").select("u", F.col("far").alias("next")))
+    inflow = ne.cut_lineage(exits.select("u", "v").join(sums, "u").groupBy("v").agg(F.sum("s").alias("inflow")).select(F.col("v.c").alias("col"), F.col("v.r").alias("row"), "inflow"))
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = FlowTile(pdf)
+        extra = np.zeros(t.z.shape)
+        extra[t.at] = pdf["inflow"].fillna(0.0)
+        down, acc = t.downstream(), np.where(t.own, 1.0 + extra, 0.0)
+        for c in t.order():
+            if down[c] and t.own[down[c]]:
+                acc[down[c]] += acc[c]
+        twi = np.log(np.maximum(acc * cell, 1e-9) / np.maximum(t.steepness(cell), 1e-3))
+        return pd.DataFrame({"col": pdf["col"], "row": pdf["row"], "filled": t.fill[t.at], "accumulation": acc[t.at], "twi": twi[t.at]})[pdf["core"].to_numpy()]
+
+    ringed = with_ring(state).join(inflow, ["col", "row"], "left")
+    schema = "col long, row long, filled double, accumulation double, twi double"
+    none = pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")])
+    return ringed.groupBy("tc", "tr").applyInPandas(lambda pdf: finish(pdf) if pdf["core"].any() else none, schema)
 
 
 def segment_chm(points: DataFrame, cell: float = 0.5, smooth: float = 1.0, least: float = 2.0, base: float = 1.5, per_m: float = 0.05, widest: float = 5.0, tile: float = 50.0, key: str = "point_id") -> DataFrame:
@@ -162,8 +287,13 @@ def segment_chm(points: DataFrame, cell: float = 0.5, smooth: float = 1.0, least
     return tiled(points.select(key, "x", "y", "hag"), tile, 2 * widest, work, f"{key} {kind}, tree_id long")
 
 
-def segment_li2012(points: DataFrame, dt1: float = 1.5, dt2: float = 2.0, zu: float = 15.0, window: float = 2.0, least: float = 2.0, min_points: int = 30, tile: float = 40.0, halo: float = 10.0, key: str = "point_id") -> DataFrame:
-    """Top-down growth (Li et al. 2012) by tile: ``(point_id, tree_id)``; ``window`` is a diameter, groups too small become 0 and are not tried again."""
+def place_name(x: float, y: float, step: float) -> int:
+    """A number above zero for a place in the world, to the step."""
+    return ((math.floor(y / step) + (1 << 29)) << 31) + math.floor(x / step) + (1 << 29)
+
+
+def segment_li2012(points: DataFrame, dt1: float = 1.5, dt2: float = 2.0, zu: float = 15.0, window: float = 2.0, least: float = 2.0, min_points: int = 30, tile: float = 40.0, halo: float = 20.0, key: str = "point_id") -> DataFrame:
+    """Top-down growth (Li et al. 2012) by tile: ``(point_id, tree_id)``; ``window`` is a diameter, groups too small become 0 and are not tried again. A tree is named by its highest point."""
     far = max(10.0, dt1, dt2)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -174,8 +304,7 @@ def segment_li2012(points: DataFrame, dt1: float = 1.5, dt2: float = 2.0, zu: fl
         for i in live:
             above = live[:np.searchsorted(-z[live], -z[i], "left")]
             peak[i] = not ((x[above] - x[i]) ** 2 + (y[above] - y[i]) ** 2 <= (window / 2) ** 2).any() if window > 0 else True
-        out, number = np.zeros(len(x), np.int64), 0
-        tx, ty = int(pdf["tile_x"].iloc[0]), int(pdf["tile_y"].iloc[0])
+        out = np.zeros(len(x), np.int64)
         while len(live):
             # Members of the tree and of the rest, as growing prefixes of two arrays.
             sides, size = np.empty((2, len(live)), int), [1, 0]
@@ -187,8 +316,7 @@ def segment_li2012(points: DataFrame, dt1: float = 1.5, dt2: float = 2.0, zu: fl
                 sides[k, size[k]] = i
                 size[k] += 1
             if size[0] >= max(1, min_points):
-                number += 1
-                out[sides[0, :size[0]]] = ((tx & 0xFFFFF) << 40) | ((ty & 0xFFFFF) << 20) | number
+                out[sides[0, :size[0]]] = place_name(x[sides[0, 0]], y[sides[0, 0]], 0.01)
             live = sides[1, :size[1]].copy()
         own = pdf["core"].to_numpy()
         return pd.DataFrame({key: pdf[key][own], "tree_id": out[own]})
@@ -197,23 +325,28 @@ def segment_li2012(points: DataFrame, dt1: float = 1.5, dt2: float = 2.0, zu: fl
     return tiled(points.select(key, "x", "y", "hag"), tile, halo, work, f"{key} {kind}, tree_id long")
 
 
-def segment_graph(points: DataFrame, voxel: float = 0.1, reach: float = 0.5, cut: float = 0.25, stem_high: float = 1.5, least: int = 8, tile: float = 50.0, halo: float = 5.0, key: str = "point_id") -> DataFrame:
+def by_voxel(points: DataFrame, voxel: float, segment: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """Labels of points through labels of their voxels (``v`` names a voxel by its three cells), so tiles hold voxels only: ``(key, tree_id)``."""
+    cells = [S.cell(F.col(c), voxel).alias(f"v{c}") for c in ("x", "y", "hag")]
+    p = points.filter(F.col("hag") >= 0).select(key, *cells)
+    v = p.select("vx", "vy", "vhag").distinct().select(F.concat_ws(":", "vx", "vy", "vhag").alias("v"), *(((F.col(f"v{c}") + 0.5) * voxel).alias(c) for c in ("x", "y", "hag")))
+    return p.select(key, F.concat_ws(":", "vx", "vy", "vhag").alias("v")).join(segment(v), "v").select(key, "tree_id")
+
+
+def segment_graph(points: DataFrame, voxel: float = 0.1, reach: float = 0.5, cut: float = 0.25, stem_high: float = 1.5, least: int = 8, tile: float = 50.0, halo: float = 20.0, key: str = "point_id") -> DataFrame:
     """Voxel graph segmentation: stems are clusters of the low band, and every voxel goes to the stem nearest along the graph.
 
     A simpler relative of the published forest pipelines (voxels, neighbour graph, stem seeds, geodesic growth); it makes no
-    claim of parity with any of them. ``(point_id, tree_id)``.
+    claim of parity with any of them. A tree is named by the lowest voxel of its stem. ``(point_id, tree_id)``.
     """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[["x", "y", "hag"]].to_numpy(float)
-        cells, of = np.unique(np.floor(p / voxel).astype(np.int64), axis=0, return_inverse=True)
-        of = of.ravel()
-        centre = (cells + 0.5) * voxel
-        where = {tuple(c): i for i, c in enumerate(np.floor(centre / reach).astype(int).tolist())}
+        pdf = pdf.sort_values(["hag", "y", "x"]).reset_index(drop=True)
+        centre = pdf[["x", "y", "hag"]].to_numpy(float)
+        cells = centre
         buckets: dict[tuple, list[int]] = {}
         for i, c in enumerate(np.floor(centre / reach).astype(int).tolist()):
             buckets.setdefault(tuple(c), []).append(i)
-        del where
 
         def near(i: int) -> np.ndarray:
             a, b, c = np.floor(centre[i] / reach).astype(int).tolist()
@@ -236,8 +369,8 @@ def segment_graph(points: DataFrame, voxel: float = 0.1, reach: float = 0.5, cut
                         seen[k] = True
                         stack.append(k)
             if len(group) >= least:
-                foot = centre[group].mean(0)
-                name = (int(math.floor(foot[1] / 0.1)) << 24) + int(math.floor(foot[0] / 0.1)) + (1 << 23)
+                foot = centre[min(group)]  # rows go upward
+                name = place_name(foot[0], foot[1], voxel)
                 for i in group:
                     label[i], best[i] = name, 0.0
                     heapq.heappush(heap, (0.0, i))
@@ -251,10 +384,9 @@ def segment_graph(points: DataFrame, voxel: float = 0.1, reach: float = 0.5, cut
                     best[k], label[k] = e, label[i]
                     heapq.heappush(heap, (e, k))
         own = pdf["core"].to_numpy()
-        return pd.DataFrame({key: pdf[key][own], "tree_id": label[of][own]})
+        return pd.DataFrame({"v": pdf["v"][own], "tree_id": label[own]})
 
-    kind = dict(points.dtypes)[key]
-    return tiled(points.filter(F.col("hag") >= 0).select(key, "x", "y", "hag"), tile, halo, work, f"{key} {kind}, tree_id long")
+    return by_voxel(points, voxel, lambda v: tiled(v, tile, halo, work, "v string, tree_id long"), key)
 
 
 def segment_deadwood(points: DataFrame, low: float = 0.05, high: float = 1.5, radius: float = 0.4, linear: float = 0.6, eps: float = 0.3, least: int = 20, length: float = 0.6, key: str = "point_id") -> DataFrame:
@@ -279,13 +411,29 @@ def sample_skeletons(cylinders: DataFrame, spacing: float = 0.02) -> DataFrame:
     return p.select("tree_id", "branch_order", *((s[k] + t * (e[k] - s[k])).alias(c) for k, c in enumerate("xyz")))
 
 
-def transfer_labels(points: DataFrame, skeleton: DataFrame, threshold: float = 0.3, beyond: bool = True, reach: float = 5.0, hull: list | None = None, key: str = "point_id") -> DataFrame:
-    """Labels of the nearest skeleton point within ``reach``: outside the hull none; near, tree and stem (1) or branch (2); farther, the tree alone if ``beyond``."""
-    a = points.filter(S.in_polygon(F.col("x"), F.col("y"), hull or [])).select(F.col(key).alias("a"), "x", "y", "z")
+def hull_of(points: DataFrame) -> list[tuple[float, float]]:
+    """Convex hull in plan: of each partition first, whose corners are few, then of those."""
+    from ..functions.geometry import convex_hull
+
+    def some(parts):
+        for p in parts:
+            yield pd.DataFrame(convex_hull(p[["x", "y"]].to_numpy(float)), columns=["x", "y"])
+
+    corners = points.select("x", "y").mapInPandas(some, "x double, y double").toPandas().to_numpy()
+    return [tuple(p) for p in convex_hull(corners)]
+
+
+def transfer_labels(points: DataFrame, skeleton: DataFrame, threshold: float = 0.3, beyond: bool = True, hull: list | None = None, key: str = "point_id") -> DataFrame:
+    """Labels of the nearest skeleton point, however far: outside the skeleton's hull none; near, tree and stem (1) or branch (2); farther, the tree alone if ``beyond``.
+
+    A hull of fewer than three corners gates nothing.
+    """
+    hull = hull_of(skeleton) if hull is None else hull
+    a = points.filter(S.in_polygon(F.col("x"), F.col("y"), hull)).select(F.col(key).alias("a"), "x", "y", "z")
     b = skeleton.select(F.struct("tree_id", "branch_order").alias("b"), "x", "y", "z")
-    near = ne.radius_pairs(a, b, reach).groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m"))
-    close = F.col("m.distance") <= threshold
-    t = near.select(F.col("a").alias(key), F.when(close | F.lit(beyond), F.col("m.b.tree_id")).otherwise(0).alias("new_tree"), F.when(close, F.when(F.col("m.b.branch_order") == 0, 1).otherwise(2)).otherwise(0).alias("semantic"))
+    near = ne.k_nearest(a, b, 1)
+    close = F.col("distance") <= threshold
+    t = near.select(F.col("a").alias(key), F.when(close | F.lit(beyond), F.col("b.tree_id")).otherwise(0).alias("new_tree"), F.when(close, F.when(F.col("b.branch_order") == 0, 1).otherwise(2)).otherwise(0).alias("semantic"))
     return points.select(key).join(t, key, "left").select(key, F.coalesce("new_tree", F.lit(0)).alias("tree_id"), F.coalesce("semantic", F.lit(0)).alias("semantic"))
 
 
@@ -353,7 +501,7 @@ def neighbour_graph(x: np.ndarray, k: int, reach: float) -> np.ndarray:
     return np.array(out, int).reshape(-1, 2)
 
 
-def segment_treeiso(points: DataFrame, k1: int = 5, lambda1: float = 1.0, k2: int = 20, lambda2: float = 20.0, decimate2: float = 0.1, gap: float = 2.0, rho: float = 0.5, weight: float = 0.5, voxel: float = 0.1, least: int = 20, tile: float = 50.0, halo: float = 5.0, key: str = "point_id") -> DataFrame:
+def segment_treeiso(points: DataFrame, k1: int = 5, lambda1: float = 1.0, k2: int = 20, lambda2: float = 20.0, decimate2: float = 0.1, gap: float = 2.0, rho: float = 0.5, weight: float = 0.5, voxel: float = 0.1, least: int = 20, tile: float = 50.0, halo: float = 15.0, key: str = "point_id") -> DataFrame:
     """Three-stage tree isolation (after Xi and Hopkinson 2022): small regions in 3D, regions of those in plan, then
     pieces without a foot joined to the neighbour that overlaps them most in height and lies nearest. ``(point_id, tree_id)``.
 
@@ -361,10 +509,8 @@ def segment_treeiso(points: DataFrame, k1: int = 5, lambda1: float = 1.0, k2: in
     """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[["x", "y", "hag"]].to_numpy(float)
-        cells, of = np.unique(np.floor(p / voxel).astype(np.int64), axis=0, return_inverse=True)
-        of = of.ravel()
-        v = (cells + 0.5) * voxel
+        pdf = pdf.sort_values(["x", "y", "hag"]).reset_index(drop=True)
+        v = pdf[["x", "y", "hag"]].to_numpy(float)
         e = neighbour_graph(v, k1, max(gap / 4, 3 * voxel))
         small = merge_regions(v, e, np.ones(len(e)), lambda1) if len(e) else np.arange(len(v))
         # Second stage: thinned in plan, links between pieces that stand close.
@@ -402,9 +548,8 @@ def segment_treeiso(points: DataFrame, k1: int = 5, lambda1: float = 1.0, k2: in
             own = label == s
             if own.sum() >= least:
                 foot = v[own][np.argmin(v[own, 2]), :2]
-                out[own] = (int(math.floor(foot[1] / voxel)) << 24) + int(math.floor(foot[0] / voxel)) + (1 << 23)
+                out[own] = place_name(foot[0], foot[1], voxel)
         own = pdf["core"].to_numpy()
-        return pd.DataFrame({key: pdf[key][own], "tree_id": out[of][own]})
+        return pd.DataFrame({"v": pdf["v"][own], "tree_id": out[own]})
 
-    kind = dict(points.dtypes)[key]
-    return tiled(points.filter(F.col("hag") >= 0).select(key, "x", "y", "hag"), tile, halo, work, f"{key} {kind}, tree_id long")
+    return by_voxel(points, voxel, lambda v: tiled(v, tile, halo, work, "v string, tree_id long"), key)

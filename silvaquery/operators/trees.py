@@ -23,8 +23,10 @@ def circles(points: DataFrame, *keys: str) -> DataFrame:
     def solve(batches):
         for b in batches:
             cx, cy, r = circle.taubin_from_moments(*(b[c].to_numpy(float) for c in ("uu", "vv", "uv", "zu", "zv", "zz", "mz")))
+            uu, vv, uv = (b[c].to_numpy(float) for c in ("uu", "vv", "uv"))
+            # Points in fewer than three places, or on a line, have no circle.
+            ok = np.isfinite(r) & (b["n"].to_numpy() >= 3) & (uu * vv - uv * uv > 1e-10 * (uu + vv) ** 2)
             b = b[[*keys, "n", "mx", "my"]].copy()
-            ok = np.isfinite(r) & (b["n"].to_numpy() >= 3)
             b["cx"], b["cy"], b["r"] = (pd.Series(np.where(ok, v, np.nan), index=b.index) for v in (cx + b["mx"], cy + b["my"], r))
             yield b.drop(columns=["mx", "my"])
 

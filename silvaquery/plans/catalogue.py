@@ -7,9 +7,11 @@ as DataFrames, everything else as plain values. Operations that rewrite points w
 
 from __future__ import annotations
 
+import ast
 import inspect
 import json
 import re
+import textwrap
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -49,6 +51,13 @@ def parameters(name: str) -> dict[str, Any]:
     return {k: p.default for k, p in list(inspect.signature(OPS[name]).parameters.items())[1:]}
 
 
+def idle(name: str) -> set[str]:
+    """Parameters that the operation's body does not read: they take their default only."""
+    body = ast.parse(textwrap.dedent(inspect.getsource(OPS[name]))).body[0]
+    read = {n.id for n in ast.walk(body) if isinstance(n, ast.Name)}
+    return set() if any(isinstance(a, ast.arguments) and a.kwarg for a in ast.walk(body)) else set(parameters(name)) - read
+
+
 def run(spark: SparkSession, name: str, params: dict[str, Any] | None = None) -> Any:
     if name not in OPS:
         raise KeyError(f"no operation {name!r}")
@@ -57,6 +66,9 @@ def run(spark: SparkSession, name: str, params: dict[str, Any] | None = None) ->
         raise TypeError(f"{name}: unknown parameters {extra}")
     if lack := sorted(k for k, v in known.items() if v is inspect.Parameter.empty and k not in given):
         raise TypeError(f"{name}: missing parameters {lack}")
+    for k in sorted(idle(name) & set(given)):
+        if given[k] != known[k]:
+            raise ValueError(f"{name}: {k} is not supported, only its default {known[k]!r} is")
     spark.sparkContext.addJobTag(stage_tag(name))
     try:
         return OPS[name](spark, **given)
@@ -144,8 +156,29 @@ def trees_of(spark: SparkSession, octree_dir: str, bh_low: float = 1.2, bh_high:
     return t.join(s, "tree_id", "left")
 
 
+def store_table(octree_dir: str, name: str, df: DataFrame) -> str:
+    """A table of per-tree results beside the points, as Parquet, under a name of its own that replaces the one before."""
+    folder = f"{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(f"{octree_dir}/{folder}")
+    save(octree_dir, "meta", (load(octree_dir, "meta") or {}) | {name: folder})
+    return folder
+
+
+def stored_table(spark: SparkSession, octree_dir: str, name: str) -> DataFrame | None:
+    folder = (load(octree_dir, "meta") or {}).get(name)
+    return spark.read.parquet(f"{octree_dir}/{folder}") if folder else None
+
+
+def _slices(spark: SparkSession, octree_dir: str) -> DataFrame:
+    s = stored_table(spark, octree_dir, "slices")
+    return spark.createDataFrame([], "tree_id int, hag double, z double, cx double, cy double, r double") if s is None else s
+
+
 def qsm_of(spark: SparkSession, octree_dir: str) -> DataFrame:
-    rows = load(octree_dir, "qsm") or []
+    kept = stored_table(spark, octree_dir, "qsm")
+    if kept is not None:
+        return kept.withColumn("branch_volume", F.lit(None).cast("double"))
+    rows: list = []
     kind = "tree_id int, stem_volume double, stem_volume_std double, stem_volume_ci95 double, branch_volume double, confidence double, completeness double"
     return spark.createDataFrame([tuple(r.get(c.split()[0]) for c in kind.split(", ")) for r in rows], kind)
 
@@ -242,7 +275,10 @@ def _(spark, crs: Any, octree_dir: str):
 @op("dataset.clean")
 def _(spark, name: str, src_dir: str, k: int | None = None, method: str = "sor", min_neighbours: int | None = None, out_dir: str | None = None, radius: float | None = None, scanner_type: str = "other", std_mult: float | None = None):
     p = points_of(spark, src_dir)
-    out = ne.clean_sor(p, k or 8, std_mult or 1.0) if method == "sor" else ne.clean_radius(p, radius or 0.05, min_neighbours or 2)
+    if method not in ("sor", "radius"):
+        raise ValueError(f"unknown method {method!r}")
+    one = lambda v, plain: plain if v is None else v
+    out = ne.clean_sor(p, one(k, 8), one(std_mult, 1.0)) if method == "sor" else ne.clean_radius(p, one(radius, 0.05), one(min_neighbours, 2))
     where = out_dir or f"{src_dir.rsplit('/', 1)[0]}/{name}"
     store_points(spark, out, where, scannerType=scanner_type)
     return where
@@ -290,7 +326,7 @@ def _(spark, source_path: str, format: str | None = None, name: str | None = Non
 @op("preprocess.remove")
 def _(spark, format: str, id: str, project_folder: str | None = None):
     where, scans = _scans(project_folder)
-    return save(where, "scans", [s for s in scans if s["id"] != id])
+    return save(where, "scans", [s for s in scans if s["id"] != id or s["format"] != format])
 
 
 @op("preprocess.xyzMapping")
@@ -308,13 +344,20 @@ IDENTITY = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0]
 
 
 def _scan_points(spark, project_folder: str | None, id: str) -> DataFrame:
-    s = next(s for s in _scans(project_folder)[1] if s["id"] == id)
+    s = next((s for s in _scans(project_folder)[1] if s["id"] == id), None)
+    if s is None:
+        raise KeyError(f"no scan {id!r}")
     return po.transform(fm.read_points(spark, s["path"], s["mapping"]), s["poses"].get("pose", IDENTITY))
 
 
 @op("preprocess.export")
 def _(spark, format: str, id: str, out_path: str, project_folder: str | None = None, scan_position_ids: list | None = None, x_max: float | None = None, x_min: float | None = None, y_max: float | None = None, y_min: float | None = None, z_max: float | None = None, z_min: float | None = None):
-    p = _scan_points(spark, project_folder, id)
+    """Scans of a project in one cloud; each point's ``point_source_id`` is its scan's number, from 1."""
+    names = scan_position_ids or [id]
+    kinds = {s["id"]: s["format"] for s in _scans(project_folder)[1]}
+    if wrong := [n for n in names if kinds.get(n) != format]:
+        raise ValueError(f"no scans {wrong} of format {format!r}")
+    p = po.merge_clouds(*(_scan_points(spark, project_folder, n).withColumn("point_source_id", F.lit(i + 1)) for i, n in enumerate(names)))
     fm.write_las(po.subset(p, {"x": (x_min, x_max), "y": (y_min, y_max), "z": (z_min, z_max)}), out_path)
     return out_path
 
@@ -339,7 +382,12 @@ def _(spark, pose: list, scan: str, delta: bool = False, project_folder: str | N
 
 @op("preprocess.icp")
 def _(spark, source: str, target: str, apply: bool = False, max_corr_dist: float = 0.5, max_iters: int = 30, method: str = "pointToPoint", normal_k: int = 12, project_folder: str | None = None, sample_points: int = 60000):
-    got = rg.icp(_scan_points(spark, project_folder, source), _scan_points(spark, project_folder, target), 0.05, max_corr_dist, max_iters)
+    a, b = _scan_points(spark, project_folder, source), _scan_points(spark, project_folder, target)
+    # About so many points of each: the voxel grows until few enough are left.
+    voxel = 0.05
+    while max(po.decimate(d, voxel).count() for d in (a, b)) > sample_points:
+        voxel *= 1.5
+    got = rg.icp(a, b, voxel, max_corr_dist, max_iters, method=method, normal_k=normal_k)
     if apply:
         OPS["preprocess.apply"](spark, got["matrix"], source, True, project_folder)
     return got
@@ -369,29 +417,69 @@ def _(spark, octree_dir: str, cell_size: float = 0.5):
 
 @op("ground.terrain")
 def _(spark, octree_dir: str, cell_size: float = 0.5, dsm_layers: list = [], dsm_method: str = "p2r", epsg: int | None = None, hillshade_altitude_deg: float = 45.0, hillshade_azimuth_deg: float = 315.0, hli_latitude_deg: float = 60.0, stream_fraction: float = 0.01):
-    g = po.surface_grid(points_of(spark, octree_dir), cell_size)
+    """Ground, surface and canopy heights and the layers made of the ground, as one long table."""
+    if dsm_method != "p2r":
+        raise ValueError("surfaces are made by point to raster only")
+    g = ne.cut_lineage(po.surface_grid(points_of(spark, octree_dir), cell_size))
     dtm = g.filter("ground IS NOT NULL")
     out = g.select("col", "row", F.col("ground").alias("dtm"), F.col("top").alias("dsm"), (F.col("top") - F.col("ground")).alias("chm"))
-    return out.join(po.slope_aspect(dtm, cell_size, "ground"), ["col", "row"], "left").join(sg.flow_accumulation(dtm, cell_size, "ground"), ["col", "row"], "left")
+    flow = po.streams(ne.cut_lineage(sg.flow_accumulation(dtm, cell_size, "ground")), stream_fraction)
+    return out.join(po.terrain_layers(dtm, cell_size, "ground", hillshade_azimuth_deg, hillshade_altitude_deg, hli_latitude_deg), ["col", "row"], "left").join(flow, ["col", "row"], "left")
 
 
 @op("ground.contours")
 def _(spark, octree_dir: str, cell_size: float = 0.5, index_every: int = 5, interval: float = 0.5, min_length: float = 2.0, polygon: list = [], smooth: int = 2):
+    """Contour lines ``(level, index, length, line)``: segments joined level by level, short lines left out, corners cut ``smooth`` times."""
+    import pandas as pd
+
+    from ..functions import geometry as ge
+
     g = po.surface_grid(points_of(spark, octree_dir), cell_size, polygon, [2])
-    return po.contour_segments(g, cell_size, interval, "lowest").withColumn("index", F.round(F.col("level") / interval).cast("long") % index_every == 0)
+    seg = po.contour_segments(g, cell_size, interval, "lowest").withColumn("step", F.round(F.col("level") / interval).cast("long"))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for line in ge.chained(pdf[["x1", "y1", "x2", "y2"]].to_numpy()):
+            closed = len(line) > 3 and (line[0] == line[-1]).all()
+            n = ge.length_of(line)
+            if n >= min_length:
+                fine = ge.smoothed(line[:-1] if closed else line, smooth, closed)
+                rows.append((float(pdf["level"].iloc[0]), bool(pdf["step"].iloc[0] % index_every == 0), n, [list(map(float, p)) for p in ([*fine, fine[0]] if closed else fine)]))
+        return pd.DataFrame(rows, columns=["level", "index", "length", "line"])
+
+    return seg.groupBy("step").applyInPandas(join, "level double, index boolean, length double, line array<array<double>>")
 
 
 @op("ground.volume")
 def _(spark, octree_dir: str, cell_size: float = 0.1, classes: list = [], fill_gaps: bool = True, out_name: str = "volume", plane_z: float | None = None, polygon: list = [], reference: str = "rim", surface: str = "top"):
-    g = po.surface_grid(points_of(spark, octree_dir), cell_size, polygon, classes)
+    """Volumes over a reference: the plane through the edge's cells, a level plane, the lowest cell, or the ground model."""
+    p = points_of(spark, octree_dir)
+    g = po.surface_grid(p, cell_size, polygon, classes)
+    xs, ys = ([q[0] for q in polygon], [q[1] for q in polygon]) if polygon else (None, None)
+    box = (min(xs), min(ys), max(xs), max(ys)) if polygon else tuple(p.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first())
+    inside = po.cells_inside(box, cell_size, polygon, spark)
     if fill_gaps:
-        g = po.fill_gaps(g, surface)
+        g = po.fill_gaps(g, surface).join(inside, ["col", "row"], "left_semi")
+    g = ne.cut_lineage(g)
     if reference == "rim":
-        a, b, c = po.rim_plane(g, surface).first()
+        a, b, c = po.rim_plane(g, surface, inside).first()
+        if a is None:
+            raise ValueError("the area's edge has no measured cells")
         level = F.lit(a) + F.lit(b) * F.col("col") + F.lit(c) * F.col("row")
+    elif reference == "plane":
+        if plane_z is None:
+            raise ValueError('reference "plane" needs planeZ')
+        level = float(plane_z)
+    elif reference == "lowest":
+        level = g.agg(F.min(surface)).first()[0]
+    elif reference == "dtm":
+        dtm = po.surface_grid(p, cell_size).filter("ground IS NOT NULL").select("col", "row", F.col("ground").alias("level"))
+        g, level = g.join(dtm, ["col", "row"]), F.col("level")
     else:
-        level = plane_z if plane_z is not None else g.agg(F.min(surface)).first()[0]
-    return po.volume(g, cell_size, level, surface)
+        raise ValueError(f"unknown reference {reference!r} (rim, plane, lowest, dtm)")
+    out = po.volume(g, cell_size, level, surface)
+    save(octree_dir, f"survey-{out_name}", out.first().asDict())
+    return out
 
 
 @op("change.voxels")
@@ -506,9 +594,18 @@ def _(spark, octree_dir: str, branch_method: str = "simple", branch_voxel: float
         raise ValueError("branch cylinders are not here; stems only")
     s = ne.cut_lineage(tr.slices(heights_of(spark, octree_dir, dtm_cell), slice_height, min_points_per_slice))
     got = tr.stem_model(s, slice_height)
-    save(octree_dir, "qsm", [r.asDict() | {"branch_volume": None} for r in got.toLocalIterator()])
-    save(octree_dir, "slices", [r.asDict() for r in s.filter("accepted").select("tree_id", "hag", "cx", "cy", "r").toLocalIterator()])
-    return got
+    if min_tree_height > 0:
+        tall = heights_of(spark, octree_dir, dtm_cell).groupBy("tree_id").agg(F.max("hag").alias("h")).filter(F.col("h") >= min_tree_height)
+        got = got.join(tall.select("tree_id"), "tree_id", "left_semi")
+    store_table(octree_dir, "qsm", got)
+    ground = _ground(heights_of(spark, octree_dir, dtm_cell))
+    store_table(octree_dir, "slices", s.filter("accepted").join(got.select("tree_id"), "tree_id", "left_semi").join(ground, "tree_id").select("tree_id", "hag", (F.col("g") + F.col("hag")).alias("z"), "cx", "cy", "r"))
+    return stored_table(spark, octree_dir, "qsm")
+
+
+def _ground(h: DataFrame) -> DataFrame:
+    """``(tree_id, g)``: the ground's height at each tree."""
+    return h.groupBy("tree_id").agg(F.min(F.col("z") - F.coalesce("hag", F.lit(0.0))).alias("g"))
 
 
 @op("metrics.summary")
@@ -525,19 +622,25 @@ def _(spark, octree_dir: str, canopy_threshold: float = 2.0, cell_size: float =
 
 @op("qc.flags")
 def _(spark, octree_dir: str, bh_high: float = 1.4, bh_low: float = 1.2, crown_cell: float = 0.25, dtm_cell: float = 0.5, with_boxes: bool = False, with_metrics: bool = False):
-    q = qsm_of(spark, octree_dir) if load(octree_dir, "qsm") else None
+    q = qsm_of(spark, octree_dir) if stored_table(spark, octree_dir, "qsm") is not None else None
     rank = F.when(F.col("severity") == "critical", 2).when(F.col("severity") == "warning", 1).otherwise(0)
     return fo.flags(trees_of(spark, octree_dir, bh_low, bh_high, crown_cell, dtm_cell), q).orderBy(F.desc(rank), "tree_id")
 
 
 @op("qc.points")
 def _(spark, octree_dir: str, params: dict):
-    p = heights_of(spark, octree_dir)
-    if "refl" not in p.columns:
-        p = p.withColumn("refl", F.lit(None).cast("double"))
-    if "scan" not in p.columns:
-        p = p.withColumn("scan", F.lit(-1))
-    return ne.point_quality(p, **{snake(k): v for k, v in params.items()}).select("point_id", "label")
+    """Labels ``(point_id, label)``; ``writeColumn`` (on by default) keeps them as the points' ``point_quality``."""
+    given = {snake(k): v for k, v in params.items()}
+    p, write = heights_of(spark, octree_dir, given.pop("dtm_cell", 0.5)), given.pop("write_column", True)
+    refl, scan = given.pop("refl_column", None) or "intensity", given.pop("scan_column", None)
+    if missing := [c for c in (refl, scan) if c and c not in p.columns]:
+        raise ValueError(f"no columns {missing}")
+    p = p.withColumns({"refl": F.col(refl).cast("double"), "scan": F.col(scan).cast("int") if scan else F.lit(-1)})
+    got = ne.cut_lineage(ne.point_quality(p, **given).select("point_id", "label"))
+    if write:
+        points = points_of(spark, octree_dir).drop("point_quality")
+        store_points(spark, points.join(got.withColumnRenamed("label", "point_quality"), "point_id"), octree_dir)
+    return got
 
 
 @op("metrics.volumes")
@@ -570,9 +673,11 @@ def _(spark, octree_dir: str, bh_high: float = 1.4, bh_low: float = 1.2, boom_re
 
 @op("metrics.bucking")
 def _(spark, octree_dir: str, assortments: list | None = None, currency: str = "€", out_csv: str | None = None, stump_height: float = 0.1):
-    rows = [(r["tree_id"], r["hag"], r["r"] * 2) for r in load(octree_dir, "slices") or []]
+    """Logs by tree; the plot's totals are kept as ``bucking``."""
+    s = _slices(spark, octree_dir)
     table = [(a["id"], a["minTopDcm"], a["lengths"], a["pricePerM3"]) for a in assortments] if assortments else fo.ASSORTMENTS
-    out = fo.buck(spark.createDataFrame(rows, "tree_id int, h double, d double"), stump_height, table)
+    out = ne.cut_lineage(fo.buck(fo.taper_of(s), stump_height, table))
+    save(octree_dir, "bucking", fo.bucking_totals(out, trees_of(spark, octree_dir)).first().asDict())
     if out_csv:
         fm.write_text(out, out_csv)
     return out
@@ -633,34 +738,37 @@ def _(spark, octree_dir: str):
 
 
 def _skeleton(spark, octree_dir: str) -> DataFrame:
-    rows = load(octree_dir, "skeletons")
-    if rows is None:
+    kept = stored_table(spark, octree_dir, "skeletons")
+    if kept is None:
         raise FileNotFoundError(f"{octree_dir} has no skeletons")
-    return spark.createDataFrame([tuple(r) for r in rows], "tree_id int, branch_order int, start array<double>, end array<double>")
+    return kept
 
 
 @op("transfer.buildSkeletons")
 def _(spark, baseline_dir: str, drop_far_fragments: bool = True, dtm_cell: float = 0.5, ground_threshold: float = 0.0, max_tree_points: int = 0, min_tree_points: int = 0, qsm_models: int = 1, r_cover: float = 0.08, skeleton_spacing: float = 0.02, skip_added_cylinders: bool = True):
-    h = points_of(spark, baseline_dir)
-    h = h if "hag" in h.columns else po.normalize(h, dtm_cell)
-    ground = h.groupBy("tree_id").agg(F.min(F.col("z") - F.coalesce("hag", F.lit(0.0))).alias("g"))
-    s = tr.center_lines(tr.slices(heights_of(spark, baseline_dir, dtm_cell), 0.25, 10)).join(ground, "tree_id")
-    rows = []
-    for r in s.toLocalIterator():
-        line = [[p["cx"], p["cy"], r["g"] + p["hag"]] for p in r["line"]]
-        rows += [[r["tree_id"], 0, a, b] for a, b in zip(line, line[1:])]
-    save(baseline_dir, "skeletons", rows)
-    return len(rows)
+    """Stem skeletons: cylinders between neighbouring accepted slices of each tree."""
+    from pyspark.sql import Window
+
+    h = heights_of(spark, baseline_dir, dtm_cell).filter((F.col("tree_id") > 0) & (F.col("hag") >= ground_threshold))
+    size = h.groupBy("tree_id").agg(F.count("*").alias("n"))
+    ok = (F.col("n") >= min_tree_points) & (F.lit(not max_tree_points) | (F.col("n") <= max_tree_points))
+    h = ne.cut_lineage(h.join(size.filter(ok).select("tree_id"), "tree_id", "left_semi"))
+    s = tr.slices(h, 0.25, 10).filter("accepted").join(_ground(h), "tree_id")
+    w = Window.partitionBy("tree_id").orderBy("hag")
+    here = F.array("cx", "cy", F.col("g") + F.col("hag"))
+    store_table(baseline_dir, "skeletons", s.select("tree_id", F.lit(0).alias("branch_order"), here.alias("start"), F.lead(here).over(w).alias("end")).filter(F.col("end").isNotNull()))
+    return _skeleton(spark, baseline_dir).count()
 
 
 @op("transfer.skeletonInfo")
 def _(spark, octree_dir: str):
-    return {"cylinders": len(load(octree_dir, "skeletons") or [])}
+    kept = stored_table(spark, octree_dir, "skeletons")
+    return {"cylinders": 0 if kept is None else kept.count()}
 
 
 @op("transfer.clearSkeletons")
 def _(spark, octree_dir: str):
-    return save(octree_dir, "skeletons", None)
+    save(octree_dir, "meta", {k: v for k, v in load(octree_dir, "meta").items() if k != "skeletons"})
 
 
 @op("transfer.exportSkeletons")
@@ -670,20 +778,30 @@ def _(spark, octree_dir: str, out_path: str, format: str | None = None, only_tre
     return out_path
 
 
+def _turn(a: dict) -> list[float]:
+    import math
+
+    c, s = math.cos(math.radians(a.get("yaw_deg", 0.0))), math.sin(math.radians(a.get("yaw_deg", 0.0)))
+    return [c, -s, 0, a.get("dx", 0.0), s, c, 0, a.get("dy", 0.0), 0, 0, 1, 0, 0, 0, 0, 1]
+
+
 @op("transfer.run")
 def _(spark, baseline_dir: str, target_dir: str, alignment: dict | None = None, baseline_ground_threshold: float = 0.0, baseline_height: str = "stored", distance_threshold: float = 0.3, drop_far_fragments: bool = True, dtm_cell: float = 0.5, ground_threshold: float = 0.2, ignore_stored_alignment: bool = False, label_beyond_threshold: bool = True, max_tree_points: int = 0, min_tree_points: int = 0, qsm_models: int = 1, r_cover: float = 0.08, skeleton_spacing: float = 0.02, skip_added_cylinders: bool = True, target_height: str = "stored"):
+    """Labels of the nearest skeleton point for the target's points above the ground threshold; the others have none."""
     a = alignment or ({} if ignore_stored_alignment else load(target_dir, "alignment")) or {}
+    if stored_table(spark, baseline_dir, "skeletons") is None:
+        OPS["transfer.buildSkeletons"](spark, baseline_dir, dtm_cell=dtm_cell, ground_threshold=baseline_ground_threshold, min_tree_points=min_tree_points, max_tree_points=max_tree_points)
     p = points_of(spark, target_dir)
-    moved = po.transform(p, [1, 0, 0, a.get("dx", 0.0), 0, 1, 0, a.get("dy", 0.0), 0, 0, 1, 0, 0, 0, 0, 1])
-    got = sg.transfer_labels(moved, sg.sample_skeletons(_skeleton(spark, baseline_dir), skeleton_spacing), distance_threshold, label_beyond_threshold)
-    return store_points(spark, p.drop("tree_id", "semantic").join(got, "point_id"), target_dir)
+    high = heights_of(spark, target_dir, dtm_cell).filter(F.col("hag") >= ground_threshold) if ground_threshold > 0 else p
+    got = sg.transfer_labels(po.transform(high, _turn(a)), sg.sample_skeletons(_skeleton(spark, baseline_dir), skeleton_spacing), distance_threshold, label_beyond_threshold)
+    out = p.drop("tree_id", "semantic").join(got, "point_id", "left").withColumns({"tree_id": F.coalesce("tree_id", F.lit(0)), "semantic": F.coalesce("semantic", F.lit(0))})
+    return store_points(spark, out, target_dir)
 
 
 @op("transfer.align")
 def _(spark, baseline_dir: str, target_dir: str, allow_rotation: bool = True, dtm_cell: float = 0.5, search_radius: float = 30.0):
-    one = lambda d: trees_of(spark, d).filter("x IS NOT NULL").select(F.col("tree_id").alias("id"), "x", "y")
-    best = rg.vote_shift(one(target_dir), one(baseline_dir), search_radius).first()
-    return save(target_dir, "alignment", {"dx": best["dx"], "dy": best["dy"], "votes": best["votes"]} if best else None)
+    one = lambda d: ne.cut_lineage(trees_of(spark, d, dtm_cell=dtm_cell).filter("x IS NOT NULL").select(F.col("tree_id").alias("id"), "x", "y"))
+    return save(target_dir, "alignment", rg.align_stems(one(target_dir), one(baseline_dir), search_radius, allow_rotation=allow_rotation))
 
 
 @op("transfer.alignment")
@@ -701,7 +819,7 @@ def _(spark, target_dir: str, note: str | None = None):
     a = load(target_dir, "alignment")
     if not a:
         raise ValueError("no alignment is stored")
-    return OPS["transfer.shift"](spark, a["dx"], a["dy"], target_dir, note)
+    return store_points(spark, po.transform(points_of(spark, target_dir), _turn(a)), target_dir, note=note)
 
 
 @op("transfer.shift")
@@ -744,17 +862,19 @@ def _(spark, als_dir: str, tls_dir: str, bh_high: float = 1.4, bh_low: float = 1
 
 
 @op("change.register")
-def _(spark, moving_dir: str, reference_dir: str, apply: bool = False, dof: str = "full", dtm_cell: float = 0.5, dx: float = 0.0, dy: float = 0.0, dz: float = 0.0, feature_iterations: int = 50000, feature_voxel: float = 0.3, init: str = "current", jackknife_block: float = 2.0, kernel: str = "welsch", kernel_floor: float = 0.002, levels: int = 4, max_corr_dist: float = 1.0, max_iters: int = 50, max_normal_angle_deg: float = 45.0, max_points: int = 1000000, max_variation: float = 0.15, method: str = "p2p", name: str | None = None, normal_k: int = 16, out_dir: str | None = None, out_json: str | None = None, search_radius: float = 30.0, voxel: float = 0.05, yaw_deg: float = 0.0, yaw_range_deg: float = 5.0):
-    if method != "p2p":
-        raise ValueError("only point-to-point registration is here")
-    import numpy as np
-
-    start = np.array([1, 0, 0, dx, 0, 1, 0, dy, 0, 0, 1, dz, 0, 0, 0, 1], float).reshape(4, 4)
+def _(spark, moving_dir: str, reference_dir: str, apply: bool = False, dof: str = "full", dtm_cell: float = 0.5, dx: float = 0.0, dy: float = 0.0, dz: float = 0.0, feature_iterations: int = 50000, feature_voxel: float = 0.3, init: str = "current", jackknife_block: float = 2.0, kernel: str = "welsch", kernel_floor: float = 0.002, levels: int = 4, max_corr_dist: float = 1.0, max_iters: int = 50, max_normal_angle_deg: float = 45.0, max_points: int = 1000000, max_variation: float = 0.15, method: str = "symmetric", name: str | None = None, normal_k: int = 16, out_dir: str | None = None, out_json: str | None = None, search_radius: float = 30.0, voxel: float = 0.05, yaw_deg: float = 0.0, yaw_range_deg: float = 5.0):
+    if init not in ("current", "stems"):
+        raise ValueError("a registration starts from the current place or from stems")
+    if init == "stems":
+        one = lambda d: ne.cut_lineage(trees_of(spark, d, dtm_cell=dtm_cell).filter("x IS NOT NULL").select(F.col("tree_id").alias("id"), "x", "y"))
+        found = rg.align_stems(one(moving_dir), one(reference_dir), search_radius, yaw_range=yaw_range_deg) or {}
+        dx, dy, yaw_deg = found.get("dx", dx), found.get("dy", dy), found.get("yaw_deg", yaw_deg)
+    start = _turn({"dx": dx, "dy": dy, "yaw_deg": yaw_deg})
+    start[11] = dz
     a, b, got = points_of(spark, moving_dir), points_of(spark, reference_dir), None
     for level in reversed(range(levels)):
-        got = rg.icp(po.transform(a, start.ravel().tolist()), b, voxel * 2**level, max_corr_dist * 2**level, max_iters, kernel=kernel)
-        start = np.array(got["matrix"]).reshape(4, 4) @ start
-    got["matrix"] = start.ravel().tolist()
+        got = rg.icp(a, b, voxel * 2**level, max_corr_dist * 2**level, max_iters, kernel=kernel, method=method, dof=dof, normal_k=normal_k, start=start, floor=kernel_floor)
+        start = got["matrix"]
     if out_json:
         save(out_json.rsplit("/", 1)[0], out_json.rsplit("/", 1)[1].removesuffix(".json"), got)
     if apply:
@@ -773,7 +893,9 @@ def _(spark, octree_dir: str, out_path: str, cell_size: float | None = None, dec
     if normalize:
         p = po.normalize(p.drop("hag"), cell_size or 0.5).withColumn("z", F.coalesce("hag", "z"))
     if out_path.lower().endswith((".txt", ".csv", ".xyz")):
-        fm.write_text(p.select("x", "y", "z", "intensity", "cls", "tree_id"), out_path, decimals or 3, delimiter or ",", header is not False)
+        fm.write_text(p.select("x", "y", "z", "intensity", "cls", "tree_id"), out_path, 3 if decimals is None else decimals, delimiter or ",", header is not False)
+    elif not out_path.lower().endswith((".las", "/")) and "." in out_path.rsplit("/", 1)[-1]:
+        raise ValueError(f"{out_path}: only text and LAS are written")
     else:
         fm.write_las(p, out_path)
     return out_path
@@ -796,7 +918,7 @@ def _(spark, name: str, src_dir: str, filter: dict = {}, out_dir: str | None = N
 def tree_table(spark, octree_dir: str, bh_low: float = 1.2, bh_high: float = 1.4, crown_cell: float = 0.25, dtm_cell: float = 0.5, merge_stems: bool = True, use_qsm: bool = True, **biomass: Any) -> DataFrame:
     t = trees_of(spark, octree_dir, bh_low, bh_high, crown_cell, dtm_cell, merge_stems)
     out = t.join(fo.volumes(t, qsm_of(spark, octree_dir) if use_qsm else None), "tree_id", "left")
-    if use_qsm and load(octree_dir, "qsm"):
+    if use_qsm and stored_table(spark, octree_dir, "qsm") is not None:
         b = fo.biomass(qsm_of(spark, octree_dir), t.select("tree_id", "species"), **biomass)
         out = out.join(b.select("tree_id", "stem_volume", "branch_volume", "biomass", (F.col("biomass_std") * 1.96).alias("biomass_ci95"), "carbon", (F.col("carbon_std") * 1.96).alias("carbon_ci95"), "co2e"), "tree_id", "left")
     return out
@@ -829,11 +951,11 @@ def _(spark, octree_dir: str, out_path: str, project_name: str | None = None, de
 
 @op("export.qsm")
 def _(spark, octree_dir: str, formats: list = ["qsm", "obj", "ply"], out_dir: str | None = None, sides: int = 12):
-    rows = sorted(load(octree_dir, "slices") or [], key=lambda r: (r["tree_id"], r["hag"]))
-    cyl = [((a["cx"], a["cy"], a["hag"]), (b["cx"], b["cy"], b["hag"]), a["r"]) for a, b in zip(rows, rows[1:]) if a["tree_id"] == b["tree_id"]]
+    rows = [r.asDict() for r in _slices(spark, octree_dir).orderBy("tree_id", "hag").toLocalIterator()]
+    cyl = [((a["cx"], a["cy"], a["z"]), (b["cx"], b["cy"], b["z"]), a["r"]) for a, b in zip(rows, rows[1:]) if a["tree_id"] == b["tree_id"]]
     v, f = fm.tubes(cyl, sides)
     where = out_dir or octree_dir
-    made = {"qsm": lambda: json.dumps([{"treeId": r["tree_id"], "z": r["hag"], "centerX": r["cx"], "centerY": r["cy"], "radius": r["r"]} for r in rows]), "obj": lambda: fm.obj_mesh(v, f), "ply": lambda: fm.ply_mesh(v, f)}
+    made = {"qsm": lambda: json.dumps([{"treeId": r["tree_id"], "hag": r["hag"], "z": r["z"], "centerX": r["cx"], "centerY": r["cy"], "radius": r["r"]} for r in rows]), "obj": lambda: fm.obj_mesh(v, f), "ply": lambda: fm.ply_mesh(v, f)}
     return [put(f"{where}/stems.{k}", made[k]()) for k in formats]
 
 
@@ -857,7 +979,9 @@ def _(spark, stage: str):
 
 @op("run.status")
 def _(spark, stage: str):
-    return stage_tag(stage) in spark.sparkContext.getJobTags()
+    """Whether jobs of the operation are running, whoever asked for them."""
+    tag, jobs = stage_tag(stage), spark.sparkContext._jsc.sc().statusStore().jobsList(None)
+    return any(j.status().toString() == "RUNNING" and tag in str(j.jobTags().mkString(",")).split(",") for j in (jobs.apply(i) for i in range(jobs.size())))
 
 
 # ---------------------------------------------------------------- targets
@@ -865,8 +989,11 @@ def _(spark, stage: str):
 
 def _spheres(spark, project_folder: str | None, scan: str, spheres: dict | None) -> list[list[float]]:
     p = spheres or {}
-    found = rg.find_spheres(_scan_points(spark, project_folder, scan), (p.get("minRadius", 0.05), p.get("maxRadius", 0.15)), p.get("tolerance", 0.01), p.get("minPoints", 40))
-    return [[r.cx, r.cy, r.cz] for r in found.orderBy(F.desc("n")).limit(p.get("most", 60)).collect()]
+    if extra := set(p) - {"minRadius", "maxRadius", "tolerance", "minPoints", "most"}:
+        raise TypeError(f"unknown sphere parameters {sorted(extra)}")
+    found = rg.find_spheres(_scan_points(spark, project_folder, scan), (p.get("minRadius", 0.05), p.get("maxRadius", 0.15)), p.get("tolerance", 0.01), p.get("minPoints", 40)).orderBy(F.desc("n"), "cx", "cy", "cz")
+    # A scan has tens of targets; ``most`` asks for the best-supported ones only.
+    return [[r.cx, r.cy, r.cz] for r in (found.limit(p["most"]) if "most" in p else found).collect()]
 
 
 @op("preprocess.targets")

@@ -49,9 +49,11 @@ BOX = {"kind": "rectangular", "min": [20.0, 20.0], "max": [80.0, 70.0]}
 POLYGON = [(5.0, 5.0), (40.0, 8.0), (45.0, 40.0), (20.0, 30.0), (8.0, 45.0)]
 
 
-def _sql_in_polygon() -> str:
+def _sql_in_polygon(polygon: list = POLYGON) -> str:
     terms = []
-    for (x1, y1), (x2, y2) in zip(POLYGON, [*POLYGON[1:], POLYGON[0]]):
+    for (x1, y1), (x2, y2) in zip(polygon, [*polygon[1:], polygon[0]]):
+        if y1 == y2:
+            continue
         terms.append(f"CASE WHEN (({y1}::DOUBLE > y) <> ({y2}::DOUBLE > y)) AND (x < {x2 - x1}::DOUBLE * (y - {y1}::DOUBLE) / {y2 - y1}::DOUBLE + {x1}::DOUBLE) THEN 1 ELSE 0 END")
     return "(" + " + ".join(terms) + ") % 2 = 1"
 
@@ -148,12 +150,12 @@ def surface_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_grid(spark, sf_dir))
 
 
-@query(f"WITH {_GRID} SELECT count(mean) AS cells, round(sum(greatest(mean - 25.0, 0.0::DOUBLE)) * 4, 6) AS above, round(sum(greatest(25.0 - mean, 0.0::DOUBLE)) * 4, 6) AS below, round(sum(mean - 25.0) * 4, 6) AS net, round(max(mean - 25.0), 6) AS max_above, round(max(25.0 - mean), 6) AS max_below FROM grid")
+@query(f"WITH {_GRID} SELECT count(mean) AS cells, round(sum(greatest(mean - 25.0, 0.0::DOUBLE)) * 4, 6) AS above, round(sum(greatest(25.0 - mean, 0.0::DOUBLE)) * 4, 6) AS below, round(sum(mean - 25.0) * 4, 6) AS net, round(greatest(max(mean - 25.0), 0.0::DOUBLE), 6) AS max_above, round(greatest(max(25.0 - mean), 0.0::DOUBLE), 6) AS max_below FROM grid")
 def ground_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(po.volume(_grid(spark, sf_dir), 2.0, 25.0, "mean"))
 
 
-@query(f"""WITH {_GRID}, lack AS (SELECT g.col, g.row, g.mean AS v FROM grid g WHERE (SELECT count(*) FROM grid h WHERE h.col BETWEEN g.col - 1 AND g.col + 1 AND h.row BETWEEN g.row - 1 AND g.row + 1) < 9),
+@query(f"""WITH {_GRID}, lack AS (SELECT g.col, g.row, g.mean AS v FROM grid g WHERE (SELECT count(*) FROM grid h WHERE abs(h.col - g.col) + abs(h.row - g.row) = 1) < 4),
 s AS (SELECT avg(col) mx, avg(row) my, avg(v) mv, covar_pop(col, col) xx, covar_pop(row, row) yy, covar_pop(col, row) xy, covar_pop(col, v) xv, covar_pop(row, v) yv FROM lack),
 p AS (SELECT *, (xv * yy - yv * xy) / (xx * yy - xy * xy) AS b, (yv * xx - xv * xy) / (xx * yy - xy * xy) AS c FROM s)
 SELECT round(mv - b * mx - c * my, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM p""")
@@ -178,22 +180,45 @@ def metrics_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(po.density(ad.points(spark, sf_dir), 5.0, 0.2, 2.0, "z"))
 
 
-_NINE = "g.col = c.col + {i} AND g.row = c.row + {j}"
+_NINE = f"""WITH {_GRID}, o AS (SELECT c.col, c.row, g.col - c.col AS dx, g.row - c.row AS dy, g.mean AS v FROM (SELECT DISTINCT col + i.r AS col, row + j.r AS row FROM grid, (SELECT unnest([-1,0,1]) r) i, (SELECT unnest([-1,0,1]) r) j) c JOIN grid g ON g.col BETWEEN c.col - 1 AND c.col + 1 AND g.row BETWEEN c.row - 1 AND c.row + 1),
+n AS (SELECT col, row, {', '.join(f"sum(v) FILTER (dx = {i} AND dy = {j}) AS v{i + 1}{j + 1}" for i in (-1, 0, 1) for j in (-1, 0, 1))} FROM o GROUP BY 1, 2 HAVING count(*) = 9),
+k AS (SELECT *, (v22 + 2 * v21 + v20 - v02 - 2 * v01 - v00) / 16.0 AS gx, (v22 + 2 * v12 + v02 - v20 - 2 * v10 - v00) / 16.0 AS gy,
+  ((v21 + v01) / 2 - v11) / 4.0 AS d, ((v12 + v10) / 2 - v11) / 4.0 AS e, (v22 + v00 - v02 - v20) / 16.0 AS f, (v21 - v01) / 4.0 AS u, (v12 - v10) / 4.0 AS w FROM n),
+a AS (SELECT *, atan(sqrt(gx * gx + gy * gy)) AS s, CASE WHEN degrees(atan2(-gx, -gy)) < 0 THEN degrees(atan2(-gx, -gy)) + 360 ELSE degrees(atan2(-gx, -gy)) END AS aspect FROM k)"""
 
 
-@query(f"""WITH {_GRID}, o AS (SELECT c.col, c.row, g.col - c.col AS dx, g.row - c.row AS dy, g.mean AS v FROM (SELECT DISTINCT col + i.r AS col, row + j.r AS row FROM grid, (SELECT unnest([-1,0,1]) r) i, (SELECT unnest([-1,0,1]) r) j) c JOIN grid g ON g.col BETWEEN c.col - 1 AND c.col + 1 AND g.row BETWEEN c.row - 1 AND c.row + 1),
-k AS (SELECT col, row, sum(v * dx * CASE WHEN dy = 0 THEN 2 ELSE 1 END) / 16.0 AS gx, sum(v * dy * CASE WHEN dx = 0 THEN 2 ELSE 1 END) / 16.0 AS gy FROM o GROUP BY 1, 2 HAVING count(*) = 9)
-SELECT col, row, round(degrees(atan(sqrt(gx * gx + gy * gy))), 5) AS slope FROM k""")
+@query(_NINE + """ SELECT col, row, round(degrees(s), 5) AS slope, round(aspect, 5) AS aspect, round(greatest(0.0::DOUBLE, sin(radians(45)) * cos(s) + cos(radians(45)) * sin(s) * cos(radians(315) - radians(aspect))), 5) AS hillshade FROM a""")
 def terrain_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(po.slope_aspect(_grid(spark, sf_dir), 2.0, "mean").select("col", "row", "slope"), 5)
+    return rounded(po.slope_aspect(_grid(spark, sf_dir), 2.0, "mean"), 5)
 
 
-@query(f"""WITH {_GRID}, sq AS (SELECT a.col, a.row, least(a.mean, b.mean, c.mean, d.mean) AS low, greatest(a.mean, b.mean, c.mean, d.mean) AS high FROM grid a JOIN grid b ON b.col = a.col + 1 AND b.row = a.row JOIN grid c ON c.col = a.col + 1 AND c.row = a.row + 1 JOIN grid d ON d.col = a.col AND d.row = a.row + 1),
-l AS (SELECT col, row, unnest(range(CAST(floor(low / 5.0) AS BIGINT) + 1, CAST(floor(high / 5.0) AS BIGINT) + 1)) * 5.0::DOUBLE AS level FROM sq)
-SELECT level, count(DISTINCT (col, row)) AS squares FROM l GROUP BY level""")
+_RUGGED = " + ".join(f"(v{i}{j} - v11) ** 2" for i in range(3) for j in range(3) if (i, j) != (1, 1))
+_EIGHT = " + ".join(f"v{i}{j}" for i in range(3) for j in range(3) if (i, j) != (1, 1))
+
+
+@query(_NINE + f""" SELECT col, row, round(v11 - ({_EIGHT}) / 8, 5) AS tpi, round(sqrt({_RUGGED}), 5) AS tri,
+round(coalesce(-2 * (d * u * u + e * w * w + f * u * w) / nullif(u * u + w * w, 0), 0.0::DOUBLE), 5) AS profile_curvature, round(coalesce(2 * (d * w * w + e * u * u - f * u * w) / nullif(u * u + w * w, 0), 0.0::DOUBLE), 5) AS plan_curvature,
+round(0.339 + 0.808 * cos(radians(60)) * cos(s) - 0.196 * sin(radians(60)) * sin(s) - 0.482 * cos(radians(abs(180 - abs(aspect - 225)))) * sin(s), 5) AS hli FROM a""")
+def terrain_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(po.terrain_layers(_grid(spark, sf_dir), 2.0, "mean").select("col", "row", "tpi", "tri", "profile_curvature", "plan_curvature", "hli"), 5)
+
+
+def _side(a: str, b: str, x: str, y: str) -> str:
+    return f"CASE WHEN ({a} < level) <> ({b} < level) THEN struct_pack(x := {x.format(t=f'((level - {a}) / ({b} - {a}))')}, y := {y.format(t=f'((level - {a}) / ({b} - {a}))')}) END"
+
+
+_ENDS = ", ".join(_side(*v) for v in (("v0", "v1", "col + 0.5 + {t}", "row + 0.5"), ("v1", "v2", "col + 1.5", "row + 0.5 + {t}"), ("v2", "v3", "col + 1.5 - {t}", "row + 1.5"), ("v3", "v0", "col + 0.5", "row + 1.5 - {t}")))
+
+
+@query(f"""WITH {_GRID}, sq AS (SELECT a.col, a.row, a.mean AS v0, b.mean AS v1, c.mean AS v2, d.mean AS v3 FROM grid a JOIN grid b ON b.col = a.col + 1 AND b.row = a.row JOIN grid c ON c.col = a.col + 1 AND c.row = a.row + 1 JOIN grid d ON d.col = a.col AND d.row = a.row + 1),
+l AS (SELECT *, unnest(range(CAST(floor(least(v0, v1, v2, v3) / 5.0) AS BIGINT) + 1, CAST(floor(greatest(v0, v1, v2, v3) / 5.0) AS BIGINT) + 1)) * 5.0::DOUBLE AS level FROM sq),
+e AS (SELECT level, list_filter([{_ENDS}], lambda p: p IS NOT NULL) AS e FROM l),
+g AS (SELECT level, e[1] AS p, e[2] AS q FROM e WHERE len(e) >= 2 UNION ALL SELECT level, e[3], e[4] FROM e WHERE len(e) = 4)
+SELECT level, count(*) AS segments, round(sum(2 * sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)), 5) AS length, round(avg(p.x + q.x), 5) AS mid_x, round(avg(p.y + q.y), 5) AS mid_y FROM g GROUP BY level""")
 def ground_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = po.contour_segments(_grid(spark, sf_dir), 2.0, 5.0, "mean")
-    return seg.groupBy("level").agg(F.count_distinct("col", "row").alias("squares"))
+    n = F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))
+    return rounded(seg.groupBy("level").agg(F.count("*").alias("segments"), F.sum(n).alias("length"), F.avg((F.col("x1") + F.col("x2")) / 2).alias("mid_x"), F.avg((F.col("y1") + F.col("y2")) / 2).alias("mid_y")), 5)
 
 
 _VOX = f"""WITH {POINTS_SQL}, a AS (SELECT DISTINCT CAST(floor(x / 2.0) AS BIGINT) vx, CAST(floor(y / 2.0) AS BIGINT) vy, CAST(floor(z / 2.0) AS BIGINT) vz FROM points WHERE epoch = 0),
@@ -439,12 +464,30 @@ def detection_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fo.detection(ad.trees(spark, sf_dir).select(fo.size_class(F.col("dbh")).alias("size_class"), found.alias("found"))))
 
 
-@query(None)
+_OPTIONS = ", ".join(f"({a * 100 - n}, '{k}', {least}::DOUBLE, {length}::DOUBLE, {price}::DOUBLE)" for a, (k, least, lengths, price) in enumerate(fo.ASSORTMENTS, 1) for n, length in enumerate(sorted(lengths)))
+
+
+# The taper is a straight line, so every part is one frustum.
+@query(f"""WITH RECURSIVE {TREES_SQL}, opts(prio, assortment, least, len, price) AS (VALUES {_OPTIONS}),
+s AS (SELECT tree_id, height, dbh * 1.1 AS b FROM trees WHERE dbh > 0 AND height > 0),
+cut AS (SELECT tree_id, height, b, 0 AS nth, 'stump' AS assortment, 0.0::DOUBLE AS from_h, least(0.1::DOUBLE, height) AS to_h, 0.0::DOUBLE AS price FROM s
+UNION ALL SELECT c.tree_id, c.height, c.b, c.nth + 1, o.assortment, c.to_h, c.to_h + o.len, o.price FROM cut c JOIN opts o ON o.prio = (SELECT min(q.prio) FROM opts q WHERE c.to_h + q.len <= c.height + 1e-9 AND c.b * (1 - (c.to_h + q.len) / c.height) * 100 >= q.least)),
+last AS (SELECT tree_id, any_value(height) AS height, any_value(b) AS b, max(nth) AS nth, max(to_h) AS to_h FROM cut GROUP BY 1),
+every AS (SELECT tree_id, height, b, nth, assortment, from_h, to_h, price FROM cut UNION ALL SELECT tree_id, height, b, nth + 1, 'residue', to_h, height, 0.0 FROM last WHERE height > to_h),
+v AS (SELECT *, b * (1 - from_h / height) AS d0, b * (1 - to_h / height) AS d1 FROM every)
+SELECT tree_id, nth, assortment, round(from_h, 6) AS from_h, round(to_h, 6) AS to_h, round(d1, 6) + 0.0 AS top_d, round(pi() / 12 * (to_h - from_h) * (d0 * d0 + d0 * d1 + d1 * d1), 6) AS volume, round(price * pi() / 12 * (to_h - from_h) * (d0 * d0 + d0 * d1 + d1 * d1), 6) AS value FROM v""")
 def metrics_bucking(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ad.trees(spark, sf_dir).filter("dbh > 0 AND height > 0")
     n = F.sequence(F.lit(0), F.lit(20))
     taper = t.select("tree_id", "dbh", "height", F.explode(n).alias("k")).select("tree_id", (F.col("height") * F.col("k") / 20).alias("h"), (F.col("dbh") * 1.1 * (1 - F.col("k") / 20)).alias("d"))
-    return rounded(fo.buck(taper))
+    return rounded(fo.buck(taper)).withColumn("top_d", F.col("top_d") + 0.0)
+
+
+@query("""WITH s AS (SELECT CAST(p_partkey AS INT) AS tree_id, unnest(range(p_size % 4 + 1)) * 0.5 AS hag, p_size / 200.0::DOUBLE AS r FROM part)
+SELECT tree_id, round(hag + CASE WHEN count(*) OVER (PARTITION BY tree_id) > 1 THEN 0.25 ELSE 0.125 END, 6)::DOUBLE AS h, round(2 * r, 6) AS d FROM s""")
+def taper_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ad.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("tree_id"), F.explode(F.sequence(F.lit(0), F.col("p_size") % 4)).alias("k"), (F.col("p_size") / 200.0).alias("r"))
+    return rounded(fo.taper_of(t.select("tree_id", (F.col("k") * 0.5).alias("hag"), "r")))
 
 
 # ---------------------------------------------------------------- neighbourhoods
@@ -457,19 +500,42 @@ def dataset_clean_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ne.clean_radius(ad.points(spark, sf_dir), 1.0, 2).select("point_id")
 
 
-@query(None)
+@query(f"""WITH {POINTS_SQL}, c AS (SELECT *, floor(x / 8) AS kx, floor(y / 8) AS ky, floor(z / 8) AS kz FROM points), o AS (SELECT unnest([-1, 0, 1]) AS d),
+m AS (SELECT c.*, kx + i.d AS jx, ky + j.d AS jy, kz + k.d AS jz FROM c, o i, o j, o k),
+n AS (SELECT a.point_id, list_sort(min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, 4)) AS near FROM c a JOIN m b ON a.kx = b.jx AND a.ky = b.jy AND a.kz = b.jz AND a.point_id <> b.point_id GROUP BY 1),
+d AS (SELECT point_id, list_avg(list_transform(near, lambda v: sqrt(v))) AS d FROM n), l AS (SELECT avg(d) + stddev_pop(d) AS limit_ FROM d)
+SELECT point_id FROM d, l WHERE d <= limit_ + 1e-12""")
 def dataset_clean_sor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ne.clean_sor(ad.points(spark, sf_dir), 4, 1.0, 2.0).select("point_id")
+    return ne.clean_sor(ad.points(spark, sf_dir), 4, 1.0).select("point_id")
 
 
-@query(None)
+_SHAPES = f"""WITH {POINTS_SQL}, c AS (SELECT *, floor(x / 1.5) AS kx, floor(y / 1.5) AS ky, floor(z / 1.5) AS kz FROM points), o AS (SELECT unnest([-1, 0, 1]) AS d),
+m AS (SELECT c.*, kx + i.d AS jx, ky + j.d AS jy, kz + k.d AS jz FROM c, o i, o j, o k),
+q AS (SELECT a.point_id AS a, b.point_id AS b, b.x - a.x AS x, b.y - a.y AS y, b.z - a.z AS z FROM c a JOIN m b ON a.kx = b.jx AND a.ky = b.jy AND a.kz = b.jz AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 2.25),
+v AS (SELECT a AS point_id, count(*) AS n, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM q GROUP BY 1 HAVING count(*) >= 4),
+w AS (SELECT *, (xx + yy + zz) / 3 AS t FROM v),
+p AS (SELECT *, sqrt(((xx - t) ** 2 + (yy - t) ** 2 + (zz - t) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM w),
+r AS (SELECT *, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ((xx - t) * ((yy - t) * (zz - t) - yz * yz) - xy * (xy * (zz - t) - yz * xz) + xz * (xy * yz - (yy - t) * xz)) / nullif(2 * p * p * p, 0)))) / 3 AS phi FROM p),
+e AS (SELECT point_id, n, CASE WHEN p > 0 THEN t + 2 * p * cos(phi) ELSE t END AS e1, CASE WHEN p > 0 THEN t + 2 * p * cos(phi + 2.0943951023931953) ELSE t END AS e3, t FROM r),
+f AS (SELECT point_id, n, (e1 - (3 * t - e1 - e3)) / nullif(e1, 0) AS linearity, (3 * t - e1 - e3 - e3) / nullif(e1, 0) AS planarity, e3 / nullif(e1, 0) AS scatter FROM e)"""
+
+
+# Eigenvalues by closed form keep seven digits or so where two of them are nearly equal, hence four places.
+# A millionth is added, as many values lie on a half.
+@query(_SHAPES + " SELECT point_id, n, round(linearity + 1e-6, 4) AS linearity, round(planarity + 1e-6, 4) AS planarity, round(scatter + 1e-6, 4) AS scatter FROM f")
 def shape_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ne.shape_features(ad.points(spark, sf_dir), 1.5, 4))
+    f = ne.shape_features(ad.points(spark, sf_dir), 1.5, 4)
+    return f.select("point_id", "n", *(F.round(F.col(c) + 1e-6, 4).alias(c) for c in ("linearity", "planarity", "scatter")))
 
 
-@query(None)
+def _votes(new: str, old: str) -> str:
+    return f"""{new} AS (SELECT s.point_id, CASE WHEN s.semantic = 0 THEN 0 WHEN count(*) FILTER (t.semantic = 1) > count(*) FILTER (t.semantic = 4) THEN 1 WHEN count(*) FILTER (t.semantic = 4) > count(*) FILTER (t.semantic = 1) THEN 4 ELSE s.semantic END AS semantic
+FROM {old} s JOIN q ON q.a = s.point_id JOIN {old} t ON t.point_id = q.b GROUP BY s.point_id, s.semantic)"""
+
+
+@query(_SHAPES + ", s0 AS (SELECT points.point_id, CASE WHEN f.n IS NULL THEN 0 WHEN (linearity >= 0.6037 OR planarity >= 0.5511) AND scatter <= 0.3519 THEN 1 ELSE 4 END AS semantic FROM points LEFT JOIN f USING (point_id)), " + _votes("s1", "s0") + ", " + _votes("s2", "s1") + " SELECT * FROM s2")
 def segment_leafwood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ne.leaf_wood(ad.points(spark, sf_dir), 1.5, least=4).select("point_id", "semantic")
+    return ne.leaf_wood(ad.points(spark, sf_dir), 1.5, 0.6037, 0.5511, 0.3519, least=4).select("point_id", "semantic")
 
 
 @query(None)
@@ -479,10 +545,22 @@ def change_m3c2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ne.m3c2(cores, p.filter("epoch = 0"), p.filter("epoch = 1"), 4.0, 2.0, 3.0))
 
 
-@query(None)
+def _ramped(low: float, high: float) -> str:
+    return "CASE stratum " + " ".join(f"WHEN {k} THEN {ne.ramp(low, high, (k + 0.5) / 5, 0.6, 0.75)!r}::DOUBLE" for k in range(5)) + " END"
+
+
+@query(f"""WITH {POINTS_SQL}, size AS (SELECT tree_id, min(z) AS low, max(z) AS high FROM points WHERE tree_id > 0 GROUP BY 1 HAVING count(*) >= 50),
+p AS (SELECT points.*, intensity / 4.0::DOUBLE - 15 AS refl, least(4, CAST(floor(coalesce((z - low) / nullif(high - low, 0), 0) * 5) AS INT)) AS stratum FROM points JOIN size USING (tree_id)),
+g AS (SELECT * FROM p WHERE refl BETWEEN -12 AND 5), gm AS (SELECT tree_id, count(*) AS m FROM g GROUP BY 1),
+h AS (SELECT a.point_id, count(*) AS k FROM g a JOIN g b ON a.tree_id = b.tree_id AND a.point_id <> b.point_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= {_ramped(4.0, 6.0).replace("stratum", "a.stratum")} GROUP BY 1),
+s AS (SELECT g.* FROM g JOIN gm USING (tree_id) LEFT JOIN h USING (point_id) WHERE m <= 3 OR coalesce(k, 0) >= 3),
+sm AS (SELECT tree_id, count(*) AS m, count(DISTINCT scan) AS scans FROM s GROUP BY 1),
+w AS (SELECT a.point_id, count(DISTINCT b.scan) AS k FROM s a JOIN s b ON a.tree_id = b.tree_id AND a.scan <> b.scan AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= {_ramped(4.0, 6.0).replace("stratum", "a.stratum")} GROUP BY 1),
+t AS (SELECT s.point_id, m > 3 AND scans > 1 AND coalesce(k, 0) < floor({_ramped(2.0, 1.0)} + 0.5) AS wind FROM s JOIN sm USING (tree_id) LEFT JOIN w USING (point_id))
+SELECT points.point_id, CASE WHEN p.point_id IS NULL THEN 0 WHEN g.point_id IS NULL THEN 2 WHEN t.point_id IS NULL THEN 3 WHEN t.wind THEN 4 ELSE 1 END AS label FROM points LEFT JOIN p USING (point_id) LEFT JOIN g USING (point_id) LEFT JOIN t USING (point_id)""")
 def qc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = ad.points(spark, sf_dir).withColumns({"hag": F.col("z"), "refl": F.col("intensity") / 4.0 - 15.0})
-    return ne.point_quality(p, radius=(1.0, 1.5), wind=(1.0, 1.5), least=2).select("point_id", "label")
+    return ne.point_quality(p, refl_min=-12.0, outlier_radius_min=4.0, outlier_radius_max=6.0, wind_radius_min=4.0, wind_radius_max=6.0).select("point_id", "label")
 
 
 @query(None)
@@ -518,10 +596,10 @@ def _stand(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STAND = f"{POINTS_SQL}, stand AS (SELECT point_id, tree_id, z, z * 0.2 AS hag, (tree_id % 10) * 5.0 + (0.05 + (tree_id % 6) * 0.05) * cos(z * 0.7 + x * 2.1) AS x, floor(tree_id / 10) * 5.0 + (0.05 + (tree_id % 6) * 0.05) * sin(z * 0.7 + x * 2.1) AS y FROM points)"
 
 
-@query(f"WITH {_STAND} SELECT tree_id, count(*) AS n, round(max(hag), 6) AS height, round(2 * (0.05 + (tree_id % 6) * 0.05), 6) AS dbh FROM stand WHERE tree_id > 0 GROUP BY tree_id")
+@query(f"WITH {_STAND} SELECT tree_id, count(*) AS n, round(max(hag), 6) AS height, round(2 * (0.05 + (tree_id % 6) * 0.05), 6) AS dbh, round(pi() * (0.05 + (tree_id % 6) * 0.05) ** 2, 6) AS basal_area, count(DISTINCT (floor(x / 0.25), floor(y / 0.25))) * 0.0625::DOUBLE AS crown_area, round(2 * sqrt(count(DISTINCT (floor(x / 0.25), floor(y / 0.25))) * 0.0625 / pi()), 6) AS crown_diameter, min(z) AS base_z FROM stand WHERE tree_id > 0 GROUP BY tree_id")
 def metrics_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tr.tree_metrics(_stand(spark, sf_dir), 1.0, 3.0)
-    return rounded(t.select("tree_id", F.col("count").alias("n"), "height", "dbh"))
+    return rounded(t.select("tree_id", F.col("count").alias("n"), "height", "dbh", "basal_area", "crown_area", "crown_diameter", "base_z"))
 
 
 @query(f"WITH {_STAND} SELECT tree_id, round(2 * (0.05 + (tree_id % 6) * 0.05), 4) AS dbh, count(*) AS band_count FROM stand WHERE tree_id > 0 AND hag BETWEEN 1 AND 3 GROUP BY tree_id HAVING count(*) >= 12")
@@ -530,14 +608,22 @@ def metrics_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(t.select("tree_id", "dbh", F.col("band_count").cast("long").alias("band_count")), 4)
 
 
-@query(None)
+_SECTOR = "CAST(floor(((degrees(atan2(y - floor(tree_id / 10) * 5.0, x - (tree_id % 10) * 5.0)) + 360) % 360) / 30) AS INT) % 12"
+_SLICED = f"""WITH {_STAND}, sl AS (SELECT tree_id, CAST(floor(hag / 0.5) AS INT) AS slice, count(*) AS n, count(DISTINCT (x, y)) AS places, bit_or(1 << ({_SECTOR})) AS sectors FROM stand WHERE tree_id > 0 AND hag >= 0 GROUP BY 1, 2),
+acc AS (SELECT *, 0.05 + (tree_id % 6) * 0.05 AS r, slice * 0.5 AS hag FROM sl WHERE n >= 5 AND places >= 3)"""
+
+
+@query(_SLICED + """, v AS (SELECT *, coalesce(pi() * r * r * (lead(hag) OVER w - hag), 0.0::DOUBLE) + CASE WHEN lag(hag) OVER w IS NULL THEN pi() * r * r * (hag + 0.25) ELSE 0.0::DOUBLE END AS vol FROM acc WINDOW w AS (PARTITION BY tree_id ORDER BY slice)), k AS (SELECT tree_id, count(*) AS slices FROM sl GROUP BY 1)
+SELECT tree_id, round(sum(vol), 6) AS stem_volume, 0.0::DOUBLE AS stem_volume_std, 0.0::DOUBLE AS stem_volume_ci95, round(avg(bit_count(sectors) / 12.0::DOUBLE), 6) AS confidence, round(count(*) / (floor(max(hag) / 0.5) + 1), 6) AS completeness, count(*) AS accepted_slices, any_value(slices) - count(*) AS rejected_slices FROM v JOIN k USING (tree_id) GROUP BY tree_id""")
 def metrics_qsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tr.stem_model(tr.slices(_stand(spark, sf_dir), 0.5, 5), 0.5))
 
 
-@query(None)
+@query(_SLICED + " SELECT tree_id, CAST(count(*) AS INT) AS vertices, round(avg(hag), 6) AS mean_hag, round(avg(r), 6) AS mean_r FROM acc GROUP BY tree_id")
 def stem_centerlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.center_lines(tr.slices(_stand(spark, sf_dir), 0.5, 5)).select("tree_id", F.size("line").alias("vertices"))
+    t = tr.center_lines(tr.slices(_stand(spark, sf_dir), 0.5, 5))
+    mean = lambda f: F.aggregate(F.transform("line", lambda p: p[f]), F.lit(0.0), lambda a, x: a + x) / F.size("line")
+    return rounded(t.select("tree_id", F.size("line").alias("vertices"), mean("hag").alias("mean_hag"), mean("r").alias("mean_r")))
 
 
 @query(None)
@@ -545,7 +631,7 @@ def rescan_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.shadows(tr.slices(_stand(spark, sf_dir), 0.5, 5))
 
 
-@query(None)
+@query(f"WITH {_STAND} SELECT count(*) AS n, 0.1::DOUBLE AS diameter, 10.0::DOUBLE AS cx, 5.0::DOUBLE AS cy, 0.0::DOUBLE AS rmse, round(bit_count(bit_or(1 << ({_SECTOR}))) / 12.0::DOUBLE, 6) AS coverage FROM stand WHERE z BETWEEN 4 AND 16 AND sqrt((x - 10) ** 2 + (y - 5) ** 2) <= 1")
 def virtual_caliper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tr.caliper(_stand(spark, sf_dir), 10.0, 5.0, 10.0, 1.0, 12.0))
 
@@ -599,10 +685,14 @@ def skeleton_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sg.sample_skeletons(t, 0.25).select("tree_id", "z"))
 
 
-@query(None)
+@query(f"""WITH {_STAND}, k AS (SELECT range AS tree, (range % 10) * 5.0::DOUBLE AS kx, floor(range / 10) * 5.0::DOUBLE AS ky FROM range(97)),
+d AS (SELECT point_id, tree, unnest([greatest(0, least(99, floor(z / (50.0 / 99)))), greatest(0, least(99, floor(z / (50.0 / 99)) + 1))]) AS i, x, y, z, kx, ky FROM stand, k),
+n AS (SELECT point_id, min(struct_pack(d := sqrt((x - kx) ** 2 + (y - ky) ** 2 + (z - i * 50.0 / 99) ** 2), t := tree)) AS m FROM d GROUP BY 1)
+SELECT point_id, CASE WHEN inside THEN CAST(m.t AS INT) ELSE 0 END AS tree_id, CASE WHEN inside AND m.d <= 0.4 THEN CASE WHEN m.t % 2 = 0 THEN 1 ELSE 2 END ELSE 0 END AS semantic
+FROM (SELECT n.*, x BETWEEN 0 AND 45 AND y BETWEEN 0 AND 45 AND {_sql_in_polygon([(0.0, 0.0), (45.0, 0.0), (45.0, 40.0), (30.0, 45.0), (0.0, 45.0)])} AS inside FROM n JOIN stand USING (point_id))""")
 def transfer_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     sk = spark.range(97).select(F.col("id").cast("int").alias("tree_id"), (F.col("id") % 2).cast("int").alias("branch_order"), *(F.array((F.col("id") % 10) * 5.0, F.floor(F.col("id") / 10) * 5.0, F.lit(z)).alias(n) for n, z in (("start", 0.0), ("end", 50.0))))
-    return sg.transfer_labels(_stand(spark, sf_dir), sg.sample_skeletons(sk, 0.5), 0.4, reach=1.0)
+    return sg.transfer_labels(_stand(spark, sf_dir), sg.sample_skeletons(sk, 0.5), 0.4)
 
 
 @query(None)
@@ -619,10 +709,15 @@ def preprocess_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, round(v, 6) + 0.0) for i, v in enumerate(rg.kabsch(p.join(q, "point_id")))], "i int, v double")
 
 
-@query(None)
+@query(f"""WITH {TREES_SQL}, t AS (SELECT tree_id, x, y, x + 2.0 AS rx, y - 1.0 AS ry FROM trees WHERE x IS NOT NULL),
+p AS (SELECT a.tree_id AS a, a.x, a.y, b.rx, b.ry, b.rx - a.x AS dx, b.ry - a.y AS dy FROM t a JOIN t b ON abs(b.rx - a.x) <= 3 AND abs(b.ry - a.y) <= 3 AND sqrt((b.rx - a.x) ** 2 + (b.ry - a.y) ** 2) <= 3),
+s AS (SELECT *, k.range AS k, floor(dx / 0.5 + CASE WHEN k.range >= 2 THEN 0.5 ELSE 0.0 END) AS i, floor(dy / 0.5 + CASE WHEN k.range % 2 = 1 THEN 0.5 ELSE 0.0 END) AS j FROM p, range(4) k),
+v AS (SELECT k, i, j, count(DISTINCT a) AS votes, avg(rx) - avg(x) AS dx, avg(ry) - avg(y) AS dy FROM s GROUP BY 1, 2, 3 ORDER BY votes DESC, k, i, j LIMIT 1)
+SELECT 0.0::DOUBLE AS yaw_deg, round(dx, 6) AS dx, round(dy, 6) AS dy, votes FROM v""")
 def transfer_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ad.trees(spark, sf_dir).filter("x IS NOT NULL").select(F.col("tree_id").alias("id"), "x", "y")
-    return rounded(rg.vote_shift(t, t.select("id", (F.col("x") + 2.0).alias("x"), (F.col("y") - 1.0).alias("y")), 3.0).limit(1))
+    got = rg.align_stems(t, t.select("id", (F.col("x") + 2.0).alias("x"), (F.col("y") - 1.0).alias("y")), 3.0, allow_rotation=False)
+    return rounded(spark.createDataFrame([(got["yaw_deg"], got["dx"], got["dy"], got["votes"])], "yaw_deg double, dx double, dy double, votes long"))
 
 
 @query(None)

@@ -13,9 +13,9 @@ def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 1) ->
 
 
 def window_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts and sums by tumbling window and type; a watermark bounds the state."""
+    """Counts and sums by tumbling window and type; a watermark bounds the state. Sums are of decimals, so their order does not matter."""
     e = events.withWatermark("ts", late) if events.isStreaming else events
-    g = e.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    g = e.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("total"))
     return g.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 

@@ -23,6 +23,19 @@ def test_names_and_parameters(spark):
         c.run(spark, "dataset.info", {})
 
 
+def test_parameters_without_effect_are_refused(spark):
+    for name in c.OPS:
+        for k in c.idle(name):
+            plain = c.parameters(name)[k]
+            if plain is c.inspect.Parameter.empty:
+                raise AssertionError(f"{name} does not read {k}, which it asks for")
+            other = not plain if isinstance(plain, bool) else "something else"
+            camel = "".join(w if not i else w.capitalize() for i, w in enumerate(k.split("_")))
+            need = {"".join(w if not i else w.capitalize() for i, w in enumerate(q.split("_"))): "/none" for q, v in c.parameters(name).items() if v is c.inspect.Parameter.empty}
+            with pytest.raises(ValueError, match="not supported"):
+                c.run(spark, name, need | {camel: other})
+
+
 def test_datasets(spark, tmp_path):
     d = make(spark, tmp_path)
     assert c.run(spark, "project.datasets") == [d] and c.run(spark, "project.current") == str(tmp_path)
@@ -48,7 +61,16 @@ def test_review_and_exports(spark, tmp_path):
     c.run(spark, "ground.normalize", {"octreeDir": d, "cellSize": 5.0})
     assert c.run(spark, "metrics.plot", {"octreeDir": d}).count() == 1
     assert c.run(spark, "qc.flags", {"octreeDir": d}).filter("code = 'no-dbh'").count() >= 1
-    assert c.run(spark, "ground.volume", {"octreeDir": d, "cellSize": 1.0}).first().cells > 0
+    v = {r: c.run(spark, "ground.volume", {"octreeDir": d, "cellSize": 1.0, "reference": r, **({"planeZ": 12.0} if r == "plane" else {})}).first() for r in ("rim", "plane", "lowest", "dtm")}
+    assert all(x.cells > 0 for x in v.values()) and v["lowest"].max_below == 0.0 and v["plane"].net != v["lowest"].net
+    with pytest.raises(ValueError):
+        c.run(spark, "ground.volume", {"octreeDir": d, "reference": "plane"})
+    t = c.run(spark, "ground.terrain", {"octreeDir": d, "cellSize": 1.0})
+    assert {"dtm", "chm", "slope", "tpi", "tri", "hli", "profile_curvature", "stream", "accumulation"} <= set(t.columns) and t.count() > 0
+    assert c.run(spark, "ground.contours", {"octreeDir": d, "cellSize": 1.0}).columns == ["level", "index", "length", "line"]
+    assert not c.run(spark, "run.status", {"stage": "metrics.trees"})
+    q = c.run(spark, "qc.points", {"octreeDir": d, "params": {"reflMin": 0, "reflMax": 70000, "outlierRadiusMax": 2.0}})
+    assert q.count() == 200 and "point_quality" in c.points_of(spark, d).columns
     assert c.run(spark, "change.voxels", {"octreeDir": d, "referenceDir": d}).first().appeared == 0
     assert c.run(spark, "export.geometry", {"octreeDir": d, "points": [[0, 0], [3, 4]]})["length_2d"] == 5.0
     for k in c.run(spark, "export.mesh", {"octreeDir": d, "cellSize": 0.5}):

@@ -33,14 +33,34 @@ def test_radius_pairs_and_cleaning(cloud, table):
     assert kept == set(np.flatnonzero((d <= 0.7).sum(1) - 1 >= 3).tolist())
 
 
+def test_k_nearest_at_any_distance(spark, cloud, table):
+    d = distances(cloud)
+    np.fill_diagonal(d, np.inf)
+    for reach in (None, 0.01):
+        got = {}
+        for r in ne.k_nearest(*ne._ab(table, "point_id"), 5, reach, other=True).collect():
+            got.setdefault(r.a, []).append((r.distance, r.b))
+        for i in range(len(cloud)):
+            assert sorted(b for _, b in got[i]) == sorted(np.argsort(d[i], kind="stable")[:5].tolist())
+    few = table.filter("point_id < 3")
+    assert ne.k_nearest(*ne._ab(few, "point_id"), 5, other=True).count() == 6
+
+
 def test_outliers_by_neighbours(cloud, table):
     d = distances(cloud)
     np.fill_diagonal(d, np.inf)
-    near = np.sort(d, axis=1)[:, :5]
-    ok = near[:, -1] <= 2.0
-    mean = near.mean(1)
-    limit = mean[ok].mean() + mean[ok].std()
-    assert {r.point_id for r in ne.clean_sor(table, 5, 1.0, 2.0).collect()} == set(np.flatnonzero(ok & (mean <= limit)).tolist())
+    mean = np.sort(d, axis=1)[:, :5].mean(1)
+    limit = mean.mean() + mean.std()
+    assert {r.point_id for r in ne.clean_sor(table, 5, 1.0).collect()} == set(np.flatnonzero(mean <= limit).tolist())
+
+
+def test_pairs_grow_with_points_not_with_their_square(spark):
+    counts = []
+    for n in (4000, 8000):
+        p = spark.range(n).select(F.col("id").alias("point_id"), *((F.rand(i) * 10).alias(c) for i, c in enumerate("xyz")))
+        p = ne.cut_lineage(p)
+        counts.append(ne.radius_pairs(*ne._ab(p, "point_id"), ne.usual_reach(p, 8)).count())
+    assert counts[1] < 4 * counts[0] and counts[1] < 8000 * 120
 
 
 def test_shapes_match_eigenvalues(cloud, table):
@@ -76,26 +96,77 @@ def test_dbscan(cloud, table):
     assert {r.point_id: r.cluster for r in ne.dbscan(table, 0.5, 5).collect()} == want
 
 
-def test_point_quality_stages(spark):
-    rows = [(f"a{i}", 0.01 * i, 0.0, 1.0, 1, 0.0, i % 2) for i in range(10)]
-    rows += [("dark", 0.0, 0.01, 1.0, 1, -30.0, 0), ("far", 9.0, 9.0, 1.0, 1, 0.0, 0)] + [(f"w{i}", 3.0, 0.01 * i, 1.0, 1, 0.0, 0) for i in range(6)] + [("top", 0.0, 5.0, 1.2, 1, 0.0, 0)]
-    p = spark.createDataFrame(rows, "point_id string, x double, y double, hag double, tree_id int, refl double, scan int").withColumn("z", F.col("hag"))
-    got = {r.point_id: r.label for r in ne.point_quality(p).select("point_id", "label").collect()}
-    assert got["dark"] == 1 and got["far"] == 2 and got["top"] == 2 and all(got[f"a{i}"] == 0 for i in range(10)) and all(got[f"w{i}"] == 3 for i in range(6))
-    alone = {r.point_id: r.label for r in ne.point_quality(p.withColumn("scan", F.lit(-1))).select("point_id", "label").collect()}
-    assert all(alone[f"w{i}"] == 0 for i in range(6))
+def brute_quality(rows, refl=(-20.0, 5.0), method="radius", least=3, knn=8, dev=3.0, radius=(0.04, 0.12), wind=(0.03, 0.10), others=(2.0, 1.0), strata=5, floor=50):
+    """Tree by tree, stage by stage, as the operator's docstring words it."""
+    out = {r[0]: 0 for r in rows}
+    for t in {r[5] for r in rows if r[5] > 0}:
+        own = [r for r in rows if r[5] == t]
+        if len(own) < floor:
+            continue
+        low, high = min(r[4] for r in own), max(r[4] for r in own)
+        mid = {r[0]: (min(strata - 1, int((r[4] - low) / (high - low) * strata)) + 0.5) / strata for r in own}
+        at = lambda ends, r: ends[0] + (ends[1] - ends[0]) * min(1.0, max(0.0, (mid[r[0]] - 0.6) / 0.15))
+        far = lambda a, b: np.linalg.norm(np.subtract(a[1:4], b[1:4]))
+        good = [r for r in own if r[6] is not None and refl[0] <= r[6] <= refl[1]]
+        out |= {r[0]: 2 for r in own if r not in good}
+        if method == "radius":
+            kept = good if len(good) <= least else [r for r in good if sum(far(r, q) <= at(radius, r) for q in good if q is not r) >= least]
+        else:
+            mean = {r[0]: sorted(d for q in good if 0 < (d := far(r, q)) <= 4 * max(radius))[:knn] for r in good}
+            mean = {k: np.mean(v) if v else np.inf for k, v in mean.items()}
+            fin = [v for v in mean.values() if np.isfinite(v)]
+            kept = good if len(good) <= knn + 1 else [r for r in good if mean[r[0]] <= np.mean(fin) + dev * np.std(fin)]
+        out |= {r[0]: 3 for r in good if r not in kept}
+        for r in kept:
+            seen = {q[7] for q in kept if q[7] != r[7] and far(r, q) <= at(wind, r)}
+            moved = len(kept) > 3 and len({q[7] for q in kept}) > 1 and len(seen) < int(at(others, r) + 0.5)
+            out[r[0]] = 4 if moved else 1
+    return out
+
+
+@pytest.mark.parametrize("method", ["radius", "density"])
+def test_point_quality_against_brute_force(spark, method):
+    rng = np.random.default_rng(9)
+    rows = []
+    for t, n in ((0, 30), (1, 260), (2, 200), (3, 20), (4, 90)):
+        for i in range(n):
+            p = rng.normal(0, 0.12, 3) + [t * 5, 0, 2]
+            rows.append((f"{t}-{i}", *map(float, p), float(p[2] - 1.2), t, None if i % 50 == 7 else float(rng.uniform(-24, 6)), int(rng.integers(0, 4)) if t != 4 else 1))
+    d = spark.createDataFrame(rows, "point_id string, x double, y double, z double, hag double, tree_id int, refl double, scan int")
+    got = {r.point_id: r.label for r in ne.point_quality(d, outlier_method=method).collect()}
+    want = brute_quality(rows, method=method)
+    assert got == want and set(want.values()) == {0, 1, 2, 3, 4}
+    some = {r.point_id: r.label for r in ne.point_quality(d, outlier_method=method, tree_ids=[2]).collect()}
+    assert all(v == (got[k] if k.startswith("2-") else 0) for k, v in some.items())
 
 
 def test_label_transfer(spark):
     sk = sg.sample_skeletons(spark.createDataFrame([(7, 0, [0.0, 0.0, 0.0], [0.0, 0.0, 2.0]), (8, 1, [3.0, 0.0, 0.0], [3.0, 0.0, 0.5])], "tree_id int, branch_order int, start array<double>, end array<double>"), 0.1)
     assert sk.filter("tree_id = 7").count() == 20 and sk.filter("tree_id = 8").agg(F.max("z")).first()[0] == 0.5
-    p = spark.createDataFrame([("near", 0.1, 0.0, 1.0), ("far", 0.9, 0.0, 1.0), ("branch", 3.1, 0.0, 0.2), ("lost", 50.0, 0.0, 0.0)], "point_id string, x double, y double, z double")
+    p = spark.createDataFrame([("near", 0.1, 0.0, 1.0), ("far", 0.9, 0.0, 1.0), ("branch", 3.1, 0.0, 0.2), ("lost", 50.0, 0.0, 0.0), ("six", 0.0, 6.0, 1.0)], "point_id string, x double, y double, z double")
     one = lambda **k: {r.point_id: (r.tree_id, r.semantic) for r in sg.transfer_labels(p, sk, **k).collect()}
-    assert one() == {"near": (7, 1), "far": (7, 0), "branch": (8, 2), "lost": (0, 0)}
-    assert one(beyond=False)["far"] == (0, 0)
+    # All skeleton points are on one line, so there is no hull and nothing is gated; the nearest counts at any distance.
+    assert one() == {"near": (7, 1), "far": (7, 0), "branch": (8, 2), "lost": (8, 0), "six": (7, 0)}
+    assert one(beyond=False)["far"] == (0, 0) and one(beyond=False)["six"] == (0, 0)
     assert one(hull=[(-1, -1), (1, -1), (1, 1), (-1, 1)])["branch"] == (0, 0)
 
 
+def test_hull_and_stem_alignment(spark):
+    rng = np.random.default_rng(10)
+    xy = rng.uniform(0, 40, (60, 2))
+    t = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xy)], "id int, x double, y double").repartition(5)
+    hull = np.array(sg.hull_of(t))
+    from silvaquery.functions import geometry as ge
+
+    assert sorted(map(tuple, hull)) == sorted(map(tuple, ge.convex_hull(xy)))
+    a = np.radians(4.0)
+    moved = xy @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]]) + [3.0, -2.0]
+    r = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(moved[:50])], "id int, x double, y double")
+    got = rg.align_stems(t, r, 10.0)
+    assert abs(got["yaw_deg"] - 4.0) < 0.3 and abs(got["dx"] - 3.0) < 0.3 and abs(got["dy"] + 2.0) < 0.3 and got["votes"] >= 40
+    assert rg.align_stems(t.limit(0), r) is None
+
+
 def test_votes_find_the_shift(spark):
     rng = np.random.default_rng(2)
     a = rng.uniform(0, 40, (30, 2))
@@ -127,6 +198,43 @@ def test_li2012_tells_two_crowns_apart(spark):
     assert len({t for t in got.values() if t}) <= 4
 
 
+def test_a_tree_across_a_tile_edge_is_one_tree(spark):
+    rng = np.random.default_rng(5)
+    h = rng.uniform(3, 14, 250)
+    r, a = 1.8 * (14 - h) / 14 * np.sqrt(rng.random(250)), rng.uniform(0, 2 * np.pi, 250)
+    rows = [(f"c{i}", float(40 + r[i] * np.cos(a[i])), float(5 + r[i] * np.sin(a[i])), float(h[i])) for i in range(250)]
+    p = spark.createDataFrame(rows, "point_id string, x double, y double, hag double")
+    got = [{x.point_id: x.tree_id for x in sg.segment_li2012(p, tile=t).collect()} for t in (40.0, 200.0)]
+    assert got[0] == got[1] and len(set(got[0].values())) == 1 and 0 not in got[0].values()
+    stem = [(f"s{k}", 50.0 + 0.05 * (k % 2), 5.0, 0.1 * k) for k in range(100)]
+    arm = [(f"a{k}", 50.0 + s * 0.15 * k, 5.0, 8.0) for k in range(60) for s in (-1, 1)]
+    q = spark.createDataFrame([(i + f"{n}", *map(float, v)) for n, (i, *v) in enumerate(stem + arm)], "point_id string, x double, y double, hag double")
+    got = [{x.point_id: x.tree_id for x in sg.segment_graph(q, tile=t).filter("tree_id <> 0").collect()} for t in (50.0, 400.0)]
+    assert got[0] == got[1] and len(set(got[0].values())) == 1 and len(got[0]) > 200
+
+
+def test_flow_does_not_show_tiles(spark):
+    rng = np.random.default_rng(6)
+    z = np.round(np.add.outer(np.linspace(0, 4, 24), np.linspace(0, 6, 30)) + rng.normal(0, 0.6, (24, 30)), 1)
+    g = spark.createDataFrame([(c, r, float(z[r, c])) for r in range(24) for c in range(30) if rng.random() > 0.03], "col long, row long, v double")
+    one = lambda t: sorted(map(tuple, sg.flow_accumulation(g, 1.0, "v", t).collect()))
+    whole = one(512)
+    assert one(11) == whole
+    # The filled surface by the plain definition: the least, over ways out, of the highest cell on the way.
+    have = {(c, r): (f, a) for c, r, f, a, _ in whole}
+    level = {(r.col, r.row): r.v for r in g.collect()}
+    around = lambda k: [(k[0] + i, k[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    fill = {k: v if any(n not in level for n in around(k)) else np.inf for k, v in level.items()}
+    while True:
+        new = {k: min(v, max(level[k], min((fill[n] for n in around(k) if n in fill)))) if np.inf in (v, 0) or True else v for k, v in fill.items()}
+        if new == fill:
+            break
+        fill = new
+    assert all(have[k][0] == fill[k] for k in level)
+    channel = spark.createDataFrame([(c, 0, 64.0 - c) for c in range(64)] + [(c, r, 1000.0) for c in range(64) for r in (-1, 1)], "col long, row long, v double")
+    assert len(one(512)) == len(level) and sg.flow_accumulation(channel, 1.0, "v", 16).agg(F.max("accumulation")).first()[0] >= 1
+
+
 def test_flow_fills_a_sink_and_runs_down(spark):
     z = {(c, r): 10.0 - c for c in range(10) for r in range(3)}
     z[4, 1] = 0.0

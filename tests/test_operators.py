@@ -118,12 +118,76 @@ def test_icp_and_kabsch_recover_a_transform(spark):
     m = [math.cos(a), -math.sin(a), 0, 0.05, math.sin(a), math.cos(a), 0, -0.03, 0, 0, 1, 0.02, 0, 0, 0, 1]
     q = po.transform(p, m)
     assert np.allclose(rg.kabsch(p.join(q.select("point_id", *(F.col(c).alias("r" + c) for c in "xyz")), "point_id")), m, atol=1e-9)
-    got = rg.icp(p, q, 0.02, 0.4, 15)
+    got = rg.icp(p, q, 0.02, 0.4, 15, method="pointToPoint")
     assert np.allclose(got["matrix"], m, atol=0.02) and got["rmse"] < 0.05
     with pytest.raises(ValueError):
         rg.kabsch(p.limit(0).select("x", "y", "z", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz")))
 
 
+@pytest.mark.parametrize("method", rg.METHODS)
+def test_registration_recovers_a_transform_by_every_method(spark, method):
+    rng = np.random.default_rng(11)
+    u = rng.uniform(0, 4, (2600, 2))
+    wall = np.where(rng.random(2600)[:, None] < 0.5, np.column_stack([u, 0.15 * np.sin(2 * u[:, 0])]), np.column_stack([u[:, 0], 0.1 * np.cos(3 * u[:, 0]), u[:, 1]]))
+    p = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(wall)], "point_id int, x double, y double, z double")
+    a = math.radians(0.8)
+    m = [math.cos(a), -math.sin(a), 0, 0.03, math.sin(a), math.cos(a), 0, -0.02, 0, 0, 1, 0.015, 0, 0, 0, 1]
+    got = rg.icp(p, po.transform(p, m), 0.01, 0.3, 20, method=method, normal_k=10)
+    assert np.allclose(got["matrix"], m, atol=0.004) and got["inlier_fraction"] > 0.9
+    if method == "symmetric":
+        level = rg.icp(p, po.transform(p, m), 0.01, 0.3, 20, method=method, dof="translation", normal_k=10)
+        assert np.allclose(np.array(level["matrix"]).reshape(4, 4)[:3, :3], np.eye(3))
+    with pytest.raises(ValueError):
+        rg.icp(p, p, method="p2p")
+
+
+def test_many_targets_are_matched_fast():
+    rng = np.random.default_rng(12)
+    b = rng.uniform(0, 30, (60, 3))
+    a = math.radians(70)
+    r = np.array([[math.cos(a), -math.sin(a), 0], [math.sin(a), math.cos(a), 0], [0, 0, 1]])
+    order = rng.permutation(60)
+    seen = np.vstack([(b[order[:45]] - [1, 2, 3]) @ r, rng.uniform(0, 30, (10, 3))])
+    pairs, m = rg.match_targets(seen.tolist(), b.tolist(), 0.01)
+    assert sorted(p for p in pairs if p[0] < 45) == [(i, int(order[i])) for i in range(45)]
+    assert np.allclose(np.array(m).reshape(4, 4)[:3, :3], r, atol=1e-3)
+
+
+def test_bucking_totals_and_tapers(spark):
+    s = spark.createDataFrame([(1, 0.0, 0.2), (1, 0.25, 0.19), (1, 0.5, 0.18), (2, 1.0, 0.1)], "tree_id int, hag double, r double")
+    got = sorted((r.tree_id, round(r.h, 6), round(r.d, 6)) for r in fo.taper_of(s).collect())
+    assert got == [(1, 0.125, 0.4), (1, 0.375, 0.38), (1, 0.625, 0.36), (2, 1.125, 0.2)]
+    taper = spark.createDataFrame([(k, h * 0.5, (0.3 + k / 50) * (1 - h / 40)) for k in range(4) for h in range(39)], "tree_id int, h double, d double")
+    logs = fo.buck(taper)
+    t = fo.bucking_totals(logs, spark.createDataFrame([(0, 20.0), (1, 30.0), (2, 19.0)], "tree_id int, height double")).first()
+    rows = logs.collect()
+    assert t.volume == pytest.approx(sum(r.volume for r in rows)) and t.waste == pytest.approx(sum(r.volume for r in rows if r.assortment in ("stump", "residue")))
+    assert t.per_class["saw"] == pytest.approx(sum(r.volume for r in rows if r.assortment == "saw")) and t.n_partially_measured == 1
+
+
+def test_geometry():
+    from silvaquery.functions import geometry as ge
+
+    rng = np.random.default_rng(13)
+    p = rng.uniform(0, 10, (80, 2))
+    tri = ge.delaunay(p)
+    for t in tri:
+        m = np.column_stack([2 * (p[t[1:]] - p[t[0]])])
+        c = np.linalg.solve(m, (p[t[1:]] ** 2).sum(1) - (p[t[0]] ** 2).sum())
+        assert (np.linalg.norm(p - c, axis=1) >= np.linalg.norm(p[t[0]] - c) - 1e-7).all()
+    area = sum(ge.cross(p[t[0]], p[t[1]], p[t[2]]) / 2 for t in tri)
+    hull = ge.convex_hull(p)
+    assert area == pytest.approx(ge.ring_area(hull), rel=1e-6)
+    edges = ge.alpha_shape(p, 1e9)
+    assert {tuple(x) for x in p[np.unique(edges)]} == {tuple(x) for x in hull}
+    ring = np.array([(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)], float)
+    ears = ge.ear_clip(ring)
+    assert len(ears) == 3 and sum(abs(ge.cross(ring[a], ring[b], ring[c])) / 2 for a, b, c in ears) == pytest.approx(ge.ring_area(ring))
+    lines = ge.chained(np.array([(0, 0, 1, 0), (2, 0, 1, 0), (5, 5, 6, 5), (6, 5, 6, 6), (6, 6, 5, 5)], float))
+    assert sorted(len(v) for v in lines) == [3, 4] and ge.length_of(lines[0]) == 2.0
+    assert len(ge.convex_hull(np.array([(0, 0), (1, 1), (2, 2.0)]))) < 3 and len(ge.smoothed(np.array([(0, 0), (1, 0), (1, 1.0)]), 2)) > 3
+
+
 def stand(spark):
     """Nine trees on a lattice: stems as rings to 60 % of the height, cones above; ground with a slope."""
     rows = []
