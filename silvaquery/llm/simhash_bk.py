@@ -306,13 +306,56 @@ class Shards:
                 yield part[q], p
 
 
+def across(s: Shards, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between points with different labels, found by the trees and checked by their sets, as many as join all that can be joined.
+
+    A link joins two labels at once, so later points need not be compared with those they are joined to already. Within a shard the
+    sets are turned into lists of the points that have each hash, and a point's list of lists gives the sizes of all its intersections.
+    """
+    names, label = np.unique(s.rows.column("label").to_numpy(), return_inverse=True)
+    joined = np.arange(len(names))  # label by label, its smallest so far
+    raw = s.rows.column("items").combine_chunks() if isinstance(s.rows.column("items"), pa.ChunkedArray) else s.rows.column("items")
+    sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in raw]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    ask, root = s.outside(label), s.forest.root
+    begin = np.flatnonzero(np.diff(root, prepend=-1))
+    end = np.append(begin[1:], len(root))
+    for shard in np.unique(np.searchsorted(begin, ask, "right") - 1).tolist():
+        low, high = int(begin[shard]), int(end[shard])
+        mine = ask[np.searchsorted(ask, low):np.searchsorted(ask, high)]
+        codes, owner = np.concatenate(sets[low:high]), np.repeat(np.arange(high - low), size[low:high])
+        order = np.argsort(codes, kind="stable")
+        codes, owner = codes[order], owner[order]
+        for q, p in s.near(mine):
+            apart = joined[label[q]] != joined[label[p]]
+            q, p = q[apart], p[apart]
+            order = np.argsort(q, kind="stable")
+            q, p = q[order], p[order]
+            first = np.flatnonzero(np.diff(q, prepend=-1))
+            for own, other in zip(q[first].tolist(), np.split(p, first[1:])):
+                other = other[joined[label[other]] != joined[label[own]]]
+                if not len(other):
+                    continue
+                a, b = np.searchsorted(codes, sets[own], "left"), np.searchsorted(codes, sets[own], "right")
+                both = np.bincount(np.concatenate([owner[i:j] for i, j in zip(a.tolist(), b.tolist())]) if len(a) else owner[:0], minlength=high - low)[other - low]
+                total = size[own] + size[other] - both
+                hit = other[both / np.maximum(total, 1) >= similarity]
+                _, one = np.unique(joined[label[hit]], return_index=True)
+                hit = hit[one]
+                if len(hit):
+                    yield np.full(len(hit), s.node[own]), s.node[hit]
+                    same = np.append(joined[label[hit]], joined[label[own]])
+                    joined[np.isin(joined, same)] = same.min()
+
+
 def similar_components(prints: DataFrame, nodes: DataFrame, text: str, shingle: int, similarity: float = 0.8, width: int = 4) -> DataFrame:
     """``nodes(node, fp, bands)`` -> ``(node, root)`` for those linked to another: links are pairs whose sets of shingles have this Jaccard similarity.
 
     ``prints`` has the texts of the nodes. Shards hold the nodes that agree on a band; BK-trees over the fingerprints find
     the pairs that are near enough to be compared, and the sets of 32-bit shingle hashes of both decide. Each point is
     compared first with the nearest above it in its tree, so a large group becomes one component at the cost of a tree;
-    then with all near points that are not in its component yet.
+    then, where the trees find near points of other components, with those, in the shard's own task, so no list of pairs
+    leaves it but the links that join components.
     """
     radius = bits_apart(similarity, 64 * width)
     pair_type = "u long, v long"
@@ -344,12 +387,6 @@ def similar_components(prints: DataFrame, nodes: DataFrame, text: str, shingle:
             seen[q[other]] = seen[p[other]] = True
         yield s.node[seen], s.node[seen]
 
-    def across(s: Shards) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        label = s.rows.column("label").to_numpy()
-        for q, p in s.near(s.outside(label)):
-            apart = label[q] != label[p]
-            yield s.node[q[apart]], s.node[p[apart]]
-
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bounded(batch, 1):
@@ -371,9 +408,10 @@ def similar_components(prints: DataFrame, nodes: DataFrame, text: str, shingle:
     sets = written(texts.join(found.filter("u = v").select(F.col("u").alias("node")), "node"), "simhash-sets")
     links = verified(found.filter("u <> v"), "simhash-links")
     named = connected_components(links, "simhash-cc").withColumnRenamed("root", "label")
-    active = nodes.join(sets.select("node"), "node", "left_semi").join(named, "node", "left")
-    asked = active.select("node", "fp", F.coalesce("label", "node").alias("label"), keyed).repartition("band").mapInArrow(together(across), pair_type).distinct()
-    return connected_components(links.unionByName(verified(asked, "simhash-links")), "simhash-cc")
+    active = nodes.join(sets, "node").join(named, "node", "left")
+    asked = active.select("node", "fp", F.coalesce("label", "node").alias("label"), "items", keyed).repartition("band")
+    more = written(asked.mapInArrow(together(lambda shards: across(shards, similarity)), pair_type), "simhash-links")
+    return connected_components(links.unionByName(more), "simhash-cc")
 
 
 def rooted_fingerprints(prints: DataFrame, fp: str, doc_id: str, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
