@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -14,6 +15,7 @@ from .common import worker_cache
 #: Runs that one process keeps, some 30 bytes each; beyond it the store starts anew, which changes no result.
 KEPT_RUNS = 1_000_000
 #: Lower-case Latin letters that every normaliser leaves alone, and ASCII marks but apostrophes behind them.
+PAIR = np.dtype([("high", "<u8"), ("low", "<u8")])
 PLAIN = re.compile(r"([a-zß-öø-įı-ňŊ-ž]+)([!-&(-/:-@\[-`{-~]*)")
 
 
@@ -21,31 +23,46 @@ class Store:
     """Ids of runs by 128-bit hash, in sorted arrays: a tenth of a dict's memory."""
 
     def __init__(self) -> None:
-        self.high, self.low = np.zeros(0, "<u8"), np.zeros(0, "<u8")
+        self.key = np.zeros(0, PAIR)
         self.first, self.size, self.blob = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, whether found) for rows of (high, low)."""
-        if not len(self.high):
+        """(position, whether found) of hashes; both halves count, so runs that share one are told apart."""
+        if not len(self.key):
             return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(self.high, key[:, 0]), len(self.high) - 1)
-        return at, (self.high[at] == key[:, 0]) & (self.low[at] == key[:, 1])
+        at = np.minimum(np.searchsorted(self.key["high"], key["high"]), len(self.key) - 1)
+        # Keys with the same upper half stand side by side; step to the one with the lower half.
+        while True:
+            on = (self.key["high"][at] == key["high"]) & (self.key["low"][at] < key["low"]) & (at + 1 < len(self.key))
+            on[on] = self.key["high"][at[on] + 1] == key["high"][on]
+            if not on.any():
+                return at, self.key[at] == key
+            at = at + on
 
     def add(self, key: np.ndarray, values: list[bytes]) -> None:
         size = np.fromiter(map(len, values), np.int32, len(values)) // 4
         first = np.cumsum(size, dtype=np.int64) - size + len(self.blob)
-        order = np.argsort(np.concatenate((self.high, key[:, 0])), kind="stable")
-        self.high, self.low, self.first, self.size = (np.concatenate(x)[order] for x in ((self.high, key[:, 0]), (self.low, key[:, 1]), (self.first, first), (self.size, size)))
+        both = np.concatenate((self.key, key))
+        order = np.lexsort((both["low"], both["high"]))
+        self.key, self.first, self.size = both[order], np.concatenate((self.first, first))[order], np.concatenate((self.size, size))[order]
         self.blob = np.concatenate((self.blob, np.frombuffer(b"".join(values), "<u4")))
 
 
+def splits_by_blanks(path: str) -> bool:
+    """Whether a tokenizer file lower-cases, drops white space and puts an end on words, so that runs between blanks are encoded each by itself."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    text = lambda part: json.dumps(spec.get(part) or {})
+    return spec["model"].get("type") == "BPE" and spec["model"].get("end_of_word_suffix") == "</w>" and "Lowercase" in text("normalizer") and "\\\\s+" in text("pre_tokenizer") + text("normalizer")
+
+
 class Encoder:
-    """Encodes texts with a tokenizer file that lower-cases, drops white space, and splits words from marks.
+    """Encodes texts with a tokenizer file; one that lower-cases, drops white space, and splits words from marks goes run by run.
 
     With such a tokenizer a text has the ids of its runs between blanks one after another, whatever the
     case of A-Z, and a run of letters with marks behind has those of the letters, then
     those of the marks (checked against whole texts in the tests). New words are encoded many at a time, as one text, whose
-    words the end-of-word tokens tell apart. Texts that may hold special tokens are encoded whole.
+    words the end-of-word tokens tell apart. Texts that may hold special tokens are encoded whole, and all texts are with other tokenizers.
     """
 
     def __init__(self, path: str):
@@ -57,8 +74,8 @@ class Encoder:
             vocabulary = kept["tokenizer"].get_vocab(with_added_tokens=True)
             ends = np.zeros(max(vocabulary.values()) + 1, bool)
             ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-            kept["ends"], kept["store"] = ends, Store()
-        self.tokenizer, self.ends, self.store = kept["tokenizer"], kept["ends"], kept["store"]
+            kept["ends"], kept["store"], kept["by_runs"] = ends, Store(), splits_by_blanks(path)
+        self.tokenizer, self.ends, self.store, self.by_runs = kept["tokenizer"], kept["ends"], kept["store"], kept["by_runs"]
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -94,19 +111,24 @@ class Encoder:
     def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text, ``end`` last; a null text is an empty one."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_runs:
+            last = np.array([end], "<u4").tobytes()
+            return [np.frombuffer(x + last, "<u4") for x in self._alone(texts.to_pylist())]
         special = pc.match_substring(texts, "<|")
         plain = pc.if_else(special, pa.scalar("", pa.large_string()), texts)
         lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(plain), "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         names = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        key = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names)), "<u8").reshape(-1, 2)
+        key = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names)), PAIR)
         _, known = self.store.find(key)
         new = np.flatnonzero(~known)
-        if len(self.store.high) + len(new) > KEPT_RUNS:
+        if len(self.store.key) + len(new) > KEPT_RUNS:
             self.store.__init__()
             new = np.arange(len(names))
         self.store.add(key[new], self._ids([names[i] for i in new.tolist()]))
-        at, _ = self.store.find(key)
+        at, found = self.store.find(key)
+        if not found.all():
+            raise RuntimeError("a run is missing from the store")
         first, size, blob = self.store.first[at], self.store.size[at], self.store.blob
         runs, edge = coded.indices.to_numpy(), lists.offsets.to_numpy()
         edge = edge - edge[0]

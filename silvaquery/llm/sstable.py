@@ -19,7 +19,7 @@ so that a lost executor leaves no half shard. They go to the shared folder throu
 file systems, or below ``path``.
 
 Defined cases: a null text is an empty one and has its end id alone; repeated doc_ids stay separate
-entries, in order of their texts; an empty table gives no shards and an empty result; other columns
+entries, in order of their texts' hashes, in as many shards as they need; an empty table gives no shards and an empty result; other columns
 are not read.
 """
 
@@ -219,8 +219,10 @@ def write_shards(docs: DataFrame, path: str, end: int = 2, doc_id: str = "doc_id
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([name]), pa.array([len(writer.keys)]), pa.array([writer.ids])], names=["shard", "file", "entries", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
-    return written(dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, "shard long, file string, entries long, ids long"), "sst-manifest")
+    # By text as well, so that rows without an id, or with one that repeats, are several shards; rows alike in both may go anywhere.
+    order = ["doc_id", F.xxhash64("text"), F.rand(5)]
+    dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    return written(dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, "shard long, file string, entries long, ids long"), "sst-manifest")
 
 
 def read_shards(manifest: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -251,7 +253,8 @@ def read_shards(manifest: DataFrame, path: str, with_ids: bool = False) -> DataF
                     if rows:
                         yield made(rows)
 
-    return at.repartition(max(1, at.sparkSession.sparkContext.defaultParallelism * 4), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    # One shard a task: ranges of the shard's number cut the manifest into as many parts as it has rows.
+    return at.repartitionByRange(max(1, manifest.count()), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def lookup(path: str, manifest_rows: list, doc_id: int | None) -> list[np.ndarray]:

@@ -298,6 +298,24 @@ def test_pstable_against_brute_force(spark):
     assert got[None].n_links == 0 and not got[None].kept
 
 
+def test_pstable_recall_just_above_the_threshold(spark):
+    rng = np.random.default_rng(16)
+    data, pairs = [], []
+    for i in range(1500):
+        u = rng.normal(size=32)
+        v = rng.normal(size=32)
+        u /= np.linalg.norm(u)
+        v -= u * (u @ v)
+        v /= np.linalg.norm(v)
+        c = rng.uniform(0.9501, 0.97)
+        data += [(2 * i, (u * 3).tolist()), (2 * i + 1, (c * u + math.sqrt(1 - c * c) * v).tolist())]
+    x = np.array([r for _, r in data])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = np.argwhere(np.triu(x @ x.T >= 0.95, 1))
+    got = {r.vec_id: r.n_links for r in pstable.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert len(link) >= 1500 and 0.95 * 2 * len(link) <= sum(got.values()) <= 2 * len(link)
+
+
 def test_pstable_blocks_and_empty(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=8) + rng.normal(size=(60, 8)) * 0.01
@@ -329,19 +347,54 @@ def test_encoder_equals_whole_texts():
 
 def test_sstable_round_trip(spark, docs, empty, tmp_path):
     got = sstable.round_trip(spark, docs)
-    plain = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    ids = [np.append(w, 2).astype("<u4") for w in whole_encodings([r[1] for r in plain])]
-    want, at = [], 0
-    for r, w in zip(plain, ids):
-        want.append((str(r[0]), at, len(w), zlib.crc32(w.tobytes())))
-        at += len(w)
-    assert sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in got.collect()) == sorted(want)
+    ids = [np.append(w, 2).astype("<u4") for w in whole_encodings([r[1] for r in rows()])]
+    want = sorted((-1 if r[0] is None else r[0], len(w), zlib.crc32(w.tobytes())) for r, w in zip(rows(), ids))
+    back = sorted((r.start, -1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in got.collect())
+    assert sorted(x[1:] for x in back) == want and [x[1] for x in back] == [x[0] for x in want]
+    assert [x[0] for x in back] == np.concatenate(([0], np.cumsum([x[2] for x in back])[:-1])).tolist()
     assert sstable.round_trip(spark, empty).count() == 0
     path = f"file://{tmp_path}/shards"
     manifest = sstable.write_shards(docs, path, partitions=3).collect()
     assert len(sstable.lookup(path, manifest, 0)) == 2 and len(sstable.lookup(path, manifest, None)) == 1 and not sstable.lookup(path, manifest, 5000)
 
 
+def test_sstable_splits_ids_that_repeat(spark, tmp_path):
+    d = spark.createDataFrame([(None, f"text {i}") for i in range(300)] + [(7, "same")] * 300 + [(9, "last")], "doc_id long, text string")
+    path = f"file://{tmp_path}/shards"
+    manifest = sstable.write_shards(d, path, partitions=4)
+    assert manifest.agg(F.max("entries")).first()[0] < 400 and manifest.count() == 4
+    got = sstable.read_shards(manifest, path).collect()
+    assert collections.Counter(r.doc_id for r in got) == {None: 300, 7: 300, 9: 1} and max(got, key=lambda r: r.start).doc_id == 9
+    assert len(sstable.lookup(path, manifest.collect(), 7)) == 300 and len(sstable.lookup(path, manifest.collect(), None)) == 300
+
+
+def test_store_tells_runs_with_half_a_hash_apart():
+    from silvaquery.llm.encoding import PAIR, Store
+
+    s, key = Store(), np.array([(5, 9), (5, 1), (5, 4), (2, 7), (9, 0)], PAIR)
+    s.add(key[:3], [np.array([k], "<u4").tobytes() for k in (59, 51, 54)])
+    s.add(key[3:], [np.array([k], "<u4").tobytes() for k in (27, 90)])
+    at, found = s.find(key)
+    assert found.all() and s.blob[s.first[at]].tolist() == [59, 51, 54, 27, 90]
+    assert not s.find(np.array([(5, 2), (5, 10), (1, 1), (99, 99)], PAIR))[1].any()
+
+
+def test_encoder_of_another_tokenizer_takes_whole_texts(tmp_path):
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(vocabulary_path(), encoding="utf-8"))
+    spec["normalizer"] = None
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w"))
+    texts = ["Two Words  and-more", None, ""]
+    got = Encoder(path).encode(pa.array(texts), 2)
+    want = Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [g.tolist() for g in got] == [[*e.ids, 2] for e in want] and Encoder(vocabulary_path()).by_runs
+
+
 def test_sstable_blocks(tmp_path, monkeypatch):
     monkeypatch.setattr(sstable, "BLOCK_BYTES", 64)
     p = tmp_path / "x.sst"
