@@ -109,9 +109,15 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def word_counts(blocks: DataFrame) -> DataFrame:
-    """``(word binary, n long)`` over training texts; the empty word is the end token."""
+    """``(word binary, n long)`` over training texts; the empty word is the end token. Counts of a task's blocks are added up before they are sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def added() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).group_by("word").aggregate([("n", "sum")]).combine_chunks()
+            return pa.RecordBatch.from_arrays([t.column("word").chunk(0), t.column("n_sum").chunk(0)], names=["word", "n"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 part = batch.slice(i, 1)
@@ -119,7 +125,14 @@ def word_counts(blocks: DataFrame) -> DataFrame:
                 words = part.column(3).flatten()
                 n = np.bincount(codes[learn], minlength=len(words))
                 there = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(there)), pa.array(n[there])], names=["word", "n"])
+                if len(there):
+                    held.append(pa.RecordBatch.from_arrays([words.take(pa.array(there)), pa.array(n[there])], names=["word", "n"]))
+                    size += len(there)
+                if size > 1_000_000:
+                    yield added()
+                    held, size = [], 0
+        if held:
+            yield added()
 
     return blocks.select("training", "sizes", "codes", "words").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -209,7 +222,7 @@ class Placing:
             out -= (xlogx(total + m[:, None]) - xlogx(total))[of]
         return out
 
-    def best(self, start: np.ndarray, slot: np.ndarray, n: np.ndarray, step: int = 5000) -> np.ndarray:
+    def best(self, start: np.ndarray, slot: np.ndarray, n: np.ndarray, step: int = 1000) -> np.ndarray:
         """The class of each word, ties to the smallest."""
         edge, out = np.append(start, len(slot)), []
         for i in range(0, len(start), step):

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +49,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def forget(df: DataFrame) -> None:
-    """Delete the files of a table that ``written`` made, once nothing will read it again."""
+    """Delete the files of a table that ``written`` made, once nothing will read it again; shuffles that made it are let go as well."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         store, where = hadoop_path(df.sparkSession, folder)
         store.delete(where, True)
+    # Spark deletes a shuffle's files when the driver's collector finds nothing that refers to it.
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def drawn_at_most(rows: DataFrame, most: int, tag: str) -> DataFrame:
@@ -123,6 +126,31 @@ def bounded(batch: pa.RecordBatch, column: int, rows: int = 2000) -> Iterator[pa
         start += step
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 50_000) -> Iterator[pa.Table]:
+    """Batches sorted by ``keys`` as tables of about ``rows`` rows that cut no group of equal keys."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        changed = np.zeros(t.num_rows, bool)
+        for k in keys:
+            c = t.column(k).to_numpy()
+            changed[1:] |= c[1:] != c[:-1]
+        cut = np.flatnonzero(changed)
+        if len(cut):
+            yield t.slice(0, int(cut[-1]))
+            t = t.slice(int(cut[-1]))
+        held, size = t.to_batches(), t.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The contract's words, with A-Z lower-cased: bytes.lower and bytes.split know ASCII letters and blanks only."""
     return text.encode().lower().split() if text else []

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import whole_groups, written
 from .components import connected_components, local_components
 
 HOT = 2048
@@ -131,10 +131,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.98,
     dealt = shared.select("node", "tab", "bucket", "own", F.explode(meets).alias("e")).select("node", "tab", "bucket", "e.a", "e.b", F.when(F.col("own") == F.col("e.a"), 0).otherwise(1).alias("side"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
+        for t in whole_groups(batches, ["tab", "bucket", "a", "b"], 8192):
+            yield linked_in(t)
+
+    def linked_in(t: pa.Table) -> pa.RecordBatch:
         x = units(to_matrix(t.column("v").chunk(0)))
         numbers = np.stack(t.column("numbers").chunk(0).flatten().to_numpy().reshape(t.num_rows, -1))
         node, n, tab, side = (t.column(c).to_numpy() for c in ("node", "n", "tab", "side"))
@@ -164,9 +164,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.98,
                     label, waiting, size = join(), [], 0
         label = join()
         some = np.flatnonzero((links > 0) | (label != np.arange(len(names))))
-        yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(links[some]), pa.array(names[label[some]])], names=["node", "links", "low"])
+        return pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(links[some]), pa.array(names[label[some]])], names=["node", "links", "low"])
 
-    met = dealt.join(keyed, "node").repartition("tab", "bucket", "a", "b").mapInArrow(linked, "node long, links long, low long")
+    met = dealt.join(keyed, "node").repartition("tab", "bucket", "a", "b").sortWithinPartitions("tab", "bucket", "a", "b").mapInArrow(linked, "node long, links long, low long")
     met = written(met, "pstable-met")
     roots = connected_components(met.select(F.col("node").alias("u"), F.col("low").alias("v")), "pstable-cc")
     links = met.groupBy("node").agg(F.sum("links").alias("links"))

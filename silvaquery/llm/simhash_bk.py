@@ -7,8 +7,8 @@ child hangs from its parent by the integer Hamming distance between them, and a
 edges whose label is within the radius of the distance found. Trees travel to the fingerprints that
 must search them by that key; nothing that grows with the corpus is broadcast or collected.
 Equal fingerprints are one node, so exact copies cost nothing, however many there are. A shard of
-more than ``hot`` fingerprints is dealt out anew by four finer keys (one more agreeing block of what
-is left), which loses no pair and no longer puts it in one task.
+more than ``hot`` fingerprints is dealt out anew by four finer keys (the bits it leaves open in four runs, one of which agrees),
+which loses no pair; what is still as large is dealt out again, three times at most, after which 16 open bits bound a shard.
 
 Defined cases: a null text is an empty one; a text without words has fingerprint zero and is linked
 like any other; null doc_ids get a fingerprint, and as component the smallest doc_id that is not null,
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, bounded, free_name, words_of, written
+from .common import add_columns, bounded, free_name, whole_groups, words_of, written
 from .components import connected_components, local_components
 
 #: First bits of the five blocks, and the end.
@@ -182,41 +182,43 @@ def _mask(blocks: tuple[int, ...]) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def _finer(pair: int) -> list[int]:
-    """Masks of four runs of the bits that a pair of blocks leaves over."""
-    left = [b for b in range(64) if not (_mask(list(combinations(range(5), 2))[pair]) >> b) & 1]
+def _finer(mask: int) -> list[int]:
+    """Four masks that each add a run of the bits which this one leaves open."""
+    left = [b for b in range(64) if not (mask >> b) & 1]
     out = []
     for k in range(4):
-        bits = sum(1 << b for b in left[k * len(left) // 4:(k + 1) * len(left) // 4])
+        bits = mask & ((1 << 64) - 1) | sum(1 << b for b in left[k * len(left) // 4:(k + 1) * len(left) // 4])
         out.append(bits - (1 << 64) if bits >> 63 else bits)
     return out
 
 
-def fingerprint_components(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Distinct fingerprints ``(fp)`` -> ``(node, root)`` for those that have a link, root the component's smallest."""
+def fingerprint_components(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT, levels: int = 3) -> DataFrame:
+    """Distinct fingerprints ``(fp)`` -> ``(node, root)`` for those that have a link, root the component's smallest.
+
+    A shard is a mask and the bits under it; the first masks are pairs of blocks.
+    """
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the shards hold all pairs up to radius {RADIUS}")
-    pairs = list(combinations(range(5), 2))
-    keyed = distinct.select("fp", F.explode(F.array(*(
-        F.struct(F.lit(i).alias("pair"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("bits"), F.lit(-1).alias("part"), F.lit(0).cast("long").alias("more")) for i, p in enumerate(pairs)
-    ))).alias("k")).select("fp", "k.*")
-    crowded = written(keyed.groupBy("pair", "bits").count().filter(F.col("count") > hot).select("pair", "bits"), "simhash-hot")
-    if not crowded.isEmpty():
-        finer = F.create_map(*(x for i in range(len(pairs)) for x in (F.lit(i), F.array(*map(F.lit, _finer(i))))))
-        dealt = keyed.join(crowded, ["pair", "bits"]).select("pair", "bits", "fp", F.posexplode(finer[F.col("pair")]).alias("part", "mask"))
-        keyed = keyed.join(crowded, ["pair", "bits"], "left_anti").unionByName(dealt.withColumn("more", F.col("fp").bitwiseAND(F.col("mask"))).drop("mask"))
+    masks = [_mask(p) for p in combinations(range(5), 2)]
+    under = lambda m: F.struct(m.alias("mask"), F.col("fp").bitwiseAND(m).alias("bits"))
+    keyed = distinct.select("fp", F.explode(F.array(*(under(F.lit(m)) for m in masks))).alias("k")).select("fp", "k.*")
+    for _ in range(levels):
+        crowded = written(keyed.groupBy("mask", "bits").count().filter(F.col("count") > hot).select("mask", "bits"), "simhash-hot")
+        if crowded.isEmpty():
+            break
+        finer = F.create_map(*(x for m in masks for x in (F.lit(m), F.array(*map(F.lit, _finer(m))))))
+        dealt = keyed.join(crowded, ["mask", "bits"]).select("fp", F.explode(F.transform(finer[F.col("mask")], under)).alias("k")).select("fp", "k.*")
+        keyed = keyed.join(crowded, ["mask", "bits"], "left_anti").select("fp", "mask", "bits").unionByName(dealt)
+        masks = sorted({x for m in masks for x in [m, *_finer(m)]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
-        key = np.column_stack([rows.column(c).to_numpy().astype(np.int64) for c in ("pair", "bits", "part", "more")])
-        shard = np.unique(key, axis=0, return_inverse=True)[1].ravel()
-        a, b = near_links(rows.column("fp").to_numpy().reshape(-1, 1), shard, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(b[:, 0])], names=["u", "v"])
-
-    edges = keyed.repartition("pair", "bits", "part", "more").mapInArrow(run, "u long, v long")
+        for rows in whole_groups(batches, ["mask", "bits"], 200_000):
+            key = np.column_stack([rows.column(c).to_numpy() for c in ("mask", "bits")])
+            shard = np.cumsum((np.diff(key, axis=0, prepend=key[:1]) != 0).any(1))
+            a, b = near_links(rows.column("fp").to_numpy().reshape(-1, 1), shard, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(b[:, 0])], names=["u", "v"])
+
+    edges = keyed.repartition("mask", "bits").sortWithinPartitions("mask", "bits").mapInArrow(run, "u long, v long")
     return connected_components(edges, "simhash-cc")
 
 
@@ -362,14 +364,12 @@ def similar_components(prints: DataFrame, nodes: DataFrame, text: str, shingle:
 
     def together(make: Callable[[Shards], Iterator[tuple[np.ndarray, np.ndarray]]]) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [b for b in batches if b.num_rows]
-            if not held:
-                return
-            shards = Shards(pa.Table.from_batches(held), width, radius)
-            for u, v in make(shards) if len(shards.node) else ():
-                pairs = np.unique(np.column_stack((np.minimum(u, v), np.maximum(u, v))), axis=0)
-                for at in range(0, len(pairs), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[at:at + 10_000, k]) for k in (0, 1)], names=["u", "v"])
+            for rows in whole_groups(batches, ["band"]):
+                shards = Shards(rows, width, radius)
+                for u, v in make(shards) if len(shards.node) else ():
+                    pairs = np.unique(np.column_stack((np.minimum(u, v), np.maximum(u, v))), axis=0)
+                    for at in range(0, len(pairs), 10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[at:at + 10_000, k]) for k in (0, 1)], names=["u", "v"])
 
         return run
 
@@ -403,13 +403,13 @@ def similar_components(prints: DataFrame, nodes: DataFrame, text: str, shingle:
         return written(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(alike, pair_type), tag)
 
     keyed = F.explode("bands").alias("band")
-    found = written(nodes.select("node", "fp", keyed).repartition("band").mapInArrow(together(first), pair_type).distinct(), "simhash-tree")
+    found = written(nodes.select("node", "fp", keyed).repartition("band").sortWithinPartitions("band").mapInArrow(together(first), pair_type).distinct(), "simhash-tree")
     texts = prints.select("node", text).mapInArrow(hashes, "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
     sets = written(texts.join(found.filter("u = v").select(F.col("u").alias("node")), "node"), "simhash-sets")
     links = verified(found.filter("u <> v"), "simhash-links")
     named = connected_components(links, "simhash-cc").withColumnRenamed("root", "label")
     active = nodes.join(sets, "node").join(named, "node", "left")
-    asked = active.select("node", "fp", F.coalesce("label", "node").alias("label"), "items", keyed).repartition("band")
+    asked = active.select("node", "fp", F.coalesce("label", "node").alias("label"), "items", keyed).repartition("band").sortWithinPartitions("band")
     more = written(asked.mapInArrow(together(lambda shards: across(shards, similarity)), pair_type), "simhash-links")
     return connected_components(links.unionByName(more), "simhash-cc")
 
