@@ -54,7 +54,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: Fitted models and fingerprints have no SQL; the stages are tested against brute force.
+#: Fitted models and fingerprints have no SQL; all stages are tested against a brute-force version of them.
 ORACLE_SQL = None
 
 
