@@ -282,15 +282,23 @@ def voxels(points: DataFrame, size: float, min_points: int = 1) -> DataFrame:
 
 def voxel_change(now: DataFrame, before: DataFrame, size: float, min_points: int = 1, neighbours: bool = True) -> DataFrame:
     """One row: voxels unchanged, appeared, disappeared, and volumes; with ``neighbours`` any of 26 counts as occupied before or after."""
-    a, b, key = voxels(now, size, min_points), voxels(before, size, min_points), ["vx", "vy", "vz"]
-
-    def grown(v: DataFrame) -> DataFrame:
+    key = ["vx", "vy", "vz"]
+    a, b = (voxels(p, size, min_points).select(*key, F.lit(True).alias(side)) for p, side in ((now, "now"), (before, "ref")))
+    # Voxels that both have need no neighbours; only the others are spread over the 26 around them.
+    both = a.join(b, key, "full")
+    near = F.array(*(F.struct(*(F.lit(d).cast("long").alias(n) for d, n in zip((i, j, k), "ijk"))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if i or j or k))
+
+    def alone(side: str, other: DataFrame, kind: str) -> DataFrame:
+        """Voxels of one side only: ``unchanged`` (of now) where the other side has one beside them."""
+        own = both.filter(F.col("ref" if side == "now" else "now").isNull()).select(*key)
         if not neighbours:
-            return v.select(*key)
-        o = F.array(*(F.struct(*(F.lit(d).cast("long").alias(n) for d, n in zip((i, j, k), "ijk"))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-        return v.select(F.explode(o).alias("o"), *key).select(*((F.col(k) + F.col(f"o.{n}")).alias(k) for k, n in zip(key, "ijk"))).distinct()
+            return own.select(F.lit(kind).alias("kind"))
+        around = own.select(F.struct(*key).alias("own"), F.explode(near).alias("o")).select("own", *((F.col(f"own.{k}") + F.col(f"o.{n}")).alias(k) for k, n in zip(key, "ijk")))
+        met = around.join(other.select(*key), key, "left_semi").select("own").distinct().withColumn("met", F.lit(True))
+        marked = own.select(F.struct(*key).alias("own")).join(met, "own", "left")
+        return marked.select(F.when(F.col("met"), "unchanged" if side == "now" else "near").otherwise(kind).alias("kind"))
 
-    kind = a.join(grown(b), key, "left_anti").select(F.lit("appeared").alias("kind")).unionByName(b.join(grown(a), key, "left_anti").select(F.lit("disappeared").alias("kind"))).unionByName(a.join(grown(b), key, "left_semi").select(F.lit("unchanged").alias("kind")))
+    kind = both.filter("now AND ref").select(F.lit("unchanged").alias("kind")).unionByName(alone("now", b, "appeared")).unionByName(alone("ref", a, "disappeared"))
     one = lambda k: F.count_if(F.col("kind") == k)
     m3 = F.lit(size ** 3)
     return kind.agg(one("unchanged").alias("unchanged"), one("appeared").alias("appeared"), one("disappeared").alias("disappeared"), (one("appeared") * m3).alias("appeared_m3"), (one("disappeared") * m3).alias("disappeared_m3"))
