@@ -163,6 +163,22 @@ def normalize(points: DataFrame, size: float = 0.5) -> DataFrame:
     return keyed.join(dtm, ["col", "row"], "left").withColumn("hag", F.col("z") - F.col("dtm")).drop("col", "row", "dtm")
 
 
+def sampled(points: DataFrame, grid: DataFrame, size: float, value: str, name: str) -> DataFrame:
+    """``points`` with ``name``: the grid's value between the centres of the four cells around (bilinear); null where one is missing.
+
+    For ground models, geoid undulations and grid shifts alike: the grid has the points' own coordinates.
+    """
+    g = grid.select("col", "row", F.col(value).alias("v"))
+    corners = g.select(F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (0, 1) for j in (0, 1)))).alias("o"), "col", "row", "v")
+    at = lambda i, j: F.max(F.when((F.col("o.i") == i) & (F.col("o.j") == j), F.col("v"))).alias(f"v{i}{j}")
+    square = corners.groupBy((F.col("col") - F.col("o.i")).alias("gc"), (F.col("row") - F.col("o.j")).alias("gr")).agg(*(at(i, j) for i in (0, 1) for j in (0, 1)))
+    u, v = (F.col(c) / F.lit(size) - 0.5 for c in "xy")
+    p = points.withColumns({"gc": F.floor(u).cast("long"), "gr": F.floor(v).cast("long")}).join(square, ["gc", "gr"], "left")
+    fx, fy = u - F.col("gc"), v - F.col("gr")
+    mixed = (F.col("v00") * (1 - fx) + F.col("v10") * fx) * (1 - fy) + (F.col("v01") * (1 - fx) + F.col("v11") * fx) * fy
+    return p.withColumn(name, mixed).drop("gc", "gr", "v00", "v01", "v10", "v11")
+
+
 def volume(grid: DataFrame, size: float, reference: float | Column, value: str = "top") -> DataFrame:
     """One row: volumes above and below a level, net, and extremes."""
     d = F.col(value) - (F.lit(float(reference)) if isinstance(reference, (int, float)) else reference)

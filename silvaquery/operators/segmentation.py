@@ -84,6 +84,38 @@ def classify_ground(points: DataFrame, cell: float = 0.5, tolerance: float = 0.2
     return tiled(points.select(key, "x", "y", "z"), tile, window, work, f"{key} {kind}, cls int")
 
 
+def classify_cloth(points: DataFrame, cell: float = 0.5, tolerance: float = 0.2, rigidity: int = 2, rounds: int = 500, step: float = 0.65, tile: float = 50.0, halo: float = 10.0, key: str = "point_id") -> DataFrame:
+    """Cloth simulation (Zhang et al. 2016): ``(point_id, cls)``, 2 for ground, else 1.
+
+    The cloud is turned over and a cloth of square cells falls on it: a particle that meets the cloud stays, the others are drawn
+    to their neighbours, ``rigidity`` times a round, by halves of what is left. Points near the cloth at rest are ground.
+    """
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, r, c = _raster(pdf, cell, "z", "min")
+        floor = -_filled(low)  # the cloud turned over
+        cloth = np.full(floor.shape, np.nanmax(floor) + 0.05)
+        before, free = cloth.copy(), np.ones(floor.shape, bool)
+        for _ in range(rounds):
+            now = np.where(free, cloth + 0.99 * (cloth - before) - 0.2 * step * step, cloth)
+            before, cloth = cloth, now
+            for _ in range(rigidity):
+                p = np.pad(cloth, 1, mode="edge")
+                pull = sum(p[1 + i:p.shape[0] - 1 + i, 1 + j:p.shape[1] - 1 + j] - cloth for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))) / 4
+                cloth = np.where(free, cloth + pull / 2, cloth)
+            landed = free & (cloth <= floor)
+            cloth[landed] = floor[landed]
+            free &= ~landed
+            if not free.any() or np.abs(cloth - before)[free].max(initial=0.0) < 1e-4:
+                break
+        near = np.abs(pdf["z"].to_numpy() + cloth[r, c]) <= tolerance
+        own = pdf["core"].to_numpy()
+        return pd.DataFrame({key: pdf[key][own], "cls": np.where(near, 2, 1)[own].astype("int32")})
+
+    kind = dict(points.dtypes)[key]
+    return tiled(points.select(key, "x", "y", "z"), tile, halo, work, f"{key} {kind}, cls int")
+
+
 #: Neighbours of a cell, in the order that settles ties.
 AROUND = [(di, dj) for di in (-1, 0, 1) for dj in (-1, 0, 1) if di or dj]
 

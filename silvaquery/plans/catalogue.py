@@ -398,10 +398,10 @@ def _(spark, source: str, target: str, apply: bool = False, max_corr_dist: float
 
 @op("ground.classify")
 def _(spark, octree_dir: str, cell_size: float = 0.5, initial_threshold: float = 0.3, max_threshold: float = 2.5, max_window_m: float = 20.0, method: str = "pmf", rigidity: float = 2.0, slope: float = 0.2, tolerance: float = 0.2):
-    if method != "pmf":
-        raise ValueError("only the progressive morphological filter is here")
+    if method not in ("pmf", "csf"):
+        raise ValueError(f"unknown method {method!r} (pmf, csf)")
     p = points_of(spark, octree_dir)
-    cls = sg.classify_ground(p, cell_size, tolerance, slope, initial_threshold, max_threshold, max_window_m)
+    cls = sg.classify_ground(p, cell_size, tolerance, slope, initial_threshold, max_threshold, max_window_m) if method == "pmf" else sg.classify_cloth(p, cell_size, tolerance, max(1, round(rigidity)))
     return store_points(spark, p.drop("cls").join(cls, "point_id"), octree_dir)
 
 

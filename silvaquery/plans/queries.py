@@ -169,6 +169,13 @@ def ground_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return po.normalize(ad.points(spark, sf_dir), 0.5).select("point_id", "hag")
 
 
+@query(f"""WITH {_GRID}, p AS (SELECT point_id, x / 2.0 - 0.5 AS u, y / 2.0 - 0.5 AS v FROM points), q AS (SELECT *, floor(u) AS c, floor(v) AS r FROM p)
+SELECT point_id, round((a.mean * (1 - (u - c)) + b.mean * (u - c)) * (1 - (v - r)) + (d.mean * (1 - (u - c)) + e.mean * (u - c)) * (v - r), 6) AS undulation FROM q
+LEFT JOIN grid a ON a.col = c AND a.row = r LEFT JOIN grid b ON b.col = c + 1 AND b.row = r LEFT JOIN grid d ON d.col = c AND d.row = r + 1 LEFT JOIN grid e ON e.col = c + 1 AND e.row = r + 1""")
+def grid_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(po.sampled(ad.points(spark, sf_dir), _grid(spark, sf_dir), 2.0, "mean", "undulation").select("point_id", "undulation"))
+
+
 _M = "(avg(h * h * h) - 3 * avg(h) * avg(h * h) + 2 * avg(h) ** 3) / nullif(stddev_pop(h) ** 3, 0)"
 
 
@@ -650,6 +657,11 @@ def ground_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sg.classify_ground(ad.points(spark, sf_dir), 1.0, 2.0, window=10.0, tile=25.0)
 
 
+@query(None)
+def ground_classify_cloth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sg.classify_cloth(ad.points(spark, sf_dir), 1.0, 2.0, tile=25.0)
+
+
 @query(None)
 def terrain_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sg.flow_accumulation(_grid(spark, sf_dir), 2.0, "mean"))

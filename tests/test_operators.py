@@ -228,6 +228,13 @@ def test_synthetic_plot_end_to_end(spark):
             assert got[k].stem_volume == pytest.approx(math.pi * r * r * 8, rel=0.1)
 
 
+def test_cloth_finds_the_ground_of_a_stand(spark):
+    p = stand(spark)
+    got = {r.point_id: r.cls for r in sg.classify_cloth(p, 1.0, 0.15, 2).collect()}
+    ground = [f"{i:06d}" for i in range(61 * 61)]
+    assert np.mean([got[i] == 2 for i in ground]) > 0.95 and np.mean([v == 2 for k, v in got.items() if k > ground[-1]]) < 0.05
+
+
 def test_text_formats(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿X;Y;Z;TreeID\n1,5;2,0;3,25;7\nbad;1,0;1,0;1\n4,0;5,0;6,0;8\n")
     got = fm.read_points(spark, f"{tmp_path}/a.csv").collect()
