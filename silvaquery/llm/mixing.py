@@ -5,23 +5,25 @@ all words, none more than ``most`` times its own, and what a source can't take i
 out again by weight. That water level has a closed form over the sources sorted by
 most * size / weight, so no loop runs.
 
-Sampling: within a source every document expects target / size copies. Ordered by (size, md5 of doc_id, doc_id),
+Sampling: within a source every document expects target / size copies. Ordered by (size, md5 of doc_id, or of the text where there is none, doc_id),
 expectations are prefix-summed, one offset in [0, 1) drawn from the source's name is added, and a
 document is emitted once for each integer boundary its interval crosses. As sizes ascend in that
 order, the words taken differ from the target by little more than the longest document.
 
 A prefix sum of equal expectations is a rank, and the rank of a row is put together from counts:
-rows of smaller size in the source, rows of the same size in earlier hash buckets (256 of them), and the
-row's number in its bucket. So a source or size that holds a third of all rows is counted with
+rows of smaller size in the source, rows of the same size in earlier hash buckets (256 of them at least, and so many that a bucket
+has some 50,000 rows even if all rows are of one source and size), and the row's number in its bucket. So a source or size that holds a third of all rows is counted with
 partial aggregation and numbered in many tasks.
 
-Defined cases: null text has size 0; a null source is a source of its own, last in order; a null doc_id counts
-as the text ''; repeated rows are separate documents; a source without words has target 0 and
+Defined cases: null text has size 0; a null source is a source of its own, last in order; rows with a null doc_id are ordered by their text;
+repeated rows are separate documents; a source without words has target 0 and
 takes nothing; an empty table gives an empty result. Reruns agree.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def order_hash(doc_id: Column, text: Column) -> Column:
+    return F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("n"), F.coalesce(text, F.lit("")))))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``(source_key, source_size)``, one row per source -> with ``target``, ``rate`` and ``shift``; windows here run over sources, not documents."""
     nth = F.row_number().over(Window.orderBy("source_key"))
@@ -51,9 +57,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
 
 def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``rows(doc_id, source, size, row, tie)`` -> ``(doc_id, size, source_size, target, copies, row)``; ``row`` goes through, ``tie`` settles order."""
-    keyed = rows.select("*", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("source_key"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
-    keyed = keyed.withColumn("cell", F.substring("h", 1, 2))
+    """``rows(doc_id, source, size, row, h, tie)`` -> ``(doc_id, size, source_size, target, copies, row)``; ``row`` goes through, ``h`` and ``tie`` settle order."""
+    digits = max(2, math.ceil(math.log(max(rows.count(), 1) / 50_000, 16)))
+    keyed = rows.select("*", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("source_key"), F.substring("h", 1, digits).alias("cell"))
     cells = written(keyed.groupBy("source_key", "size", "cell").agg(F.count("*").alias("n")), "mix-cells")
     sizes = cells.groupBy("source_key", "size").agg(F.sum("n").alias("n"))
     below = sizes.select("source_key", "size", (F.sum("n").over(Window.partitionBy("source_key").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("smaller"))
@@ -70,7 +76,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Per document: ``(doc_id, size, source_size, target, taken, copies)``."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.lit(None).cast("int").alias("row"), F.lit(0).alias("tie"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.lit(None).cast("int").alias("row"), order_hash(F.col(doc_id), F.col(text)).alias("h"), F.lit(0).alias("tie"))
     # Sizes are counted once and written: the counting pass and the numbering pass both read them.
     m = mix(written(rows, "mix-sizes"))
     return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -80,7 +86,7 @@ def mixed_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source"
     """``docs`` as the mix takes them: each row as many times as it has copies."""
     size = free_name(docs.columns, "size")
     sized = written(docs.withColumn(size, word_count(F.col(text))), "mix-docs")
-    rows = sized.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(size).alias("size"), F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(text)).alias("tie"))
+    rows = sized.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(size).alias("size"), F.struct(*docs.columns).alias("row"), order_hash(F.col(doc_id), F.col(text)).alias("h"), F.xxhash64(F.col(text)).alias("tie"))
     taken = mix(rows).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
@@ -91,7 +97,7 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, coalesce('s' || source, 't') AS k, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  SELECT doc_id, coalesce('s' || source, 't') AS k, md5(coalesce(CAST(doc_id AS VARCHAR), 'n' || coalesce(text, ''))) AS h,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY k),

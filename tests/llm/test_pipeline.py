@@ -121,7 +121,7 @@ def brute_pipeline(spark, docs, sf_dir):
     for k, g in groups.items():
         shift = int(hashlib.md5(f"mix:{k}".encode()).hexdigest()[:8], 16) / 2**32
         rate = target[k] / size[k] if size[k] else 0.0
-        hashed = lambda r: hashlib.md5(str("" if r["doc_id"] is None else r["doc_id"]).encode()).hexdigest()
+        hashed = lambda r: hashlib.md5(("n" + (r["text"] or "") if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest()
         for n, r in enumerate(sorted(g, key=lambda r: (len(words(r["text"])), hashed(r))), 1):
             taken += [r] * int(math.floor(n * rate + shift) - math.floor((n - 1) * rate + shift))
     steps.append([r["doc_id"] for r in taken])
