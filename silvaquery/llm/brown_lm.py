@@ -36,7 +36,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, small_batches, written
 
 CORE, CLASSES, LOCAL = 2048, 64, 1 << 18
 #: Bytes of text in a block, most documents in it, tokens whose contexts one placing group is expected to hold.
@@ -426,8 +426,15 @@ class Gather:
 def score_texts(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", classes: int = CLASSES) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` and, before them, ``training``, one row per row of ``docs``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    fitted = fit_classes(written(blocks_of(rows), "brown-texts"), classes)
+    blocks = written(blocks_of(rows), "brown-texts")
+    # A block is a megabyte or so, so tasks take two at a time.
+    with small_batches(docs.sparkSession, 2):
+        return score_blocks(blocks, dict(rows.dtypes)["doc_id"], classes)
+
+
+def score_blocks(blocks: DataFrame, kind: str, classes: int) -> DataFrame:
+    """Scores of the blocks' texts, written; ``kind`` is the type of the ids."""
+    fitted = fit_classes(blocks, classes)
     of, count, rare, total, all_d, blocks = fitted.of, fitted.count, fitted.rare, fitted.total, fitted.all_d, fitted.blocks
 
     # Every word of every block gets its class and count.
@@ -487,7 +494,7 @@ def score_texts(docs: DataFrame, training: Column, doc_id: str = "doc_id", text:
                 known = np.bincount(at, (n > 0)[codes], len(sizes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(row["training"], pa.bool_()), part.column(0).flatten(), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(base + more)], names=["training", "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return kept.mapInArrow(score, f"training boolean, doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return written(kept.mapInArrow(score, f"training boolean, doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "brown-scores")
 
 
 def packed(keys: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,18 @@ def forget(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows, for tables whose rows are large, in what is run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drawn_at_most(rows: DataFrame, most: int, tag: str) -> DataFrame:
     """Distinct ``rows``; where they are more than ``most``, a draw by their hash that ``most`` are expected in."""
     rows = written(rows.distinct(), tag)
