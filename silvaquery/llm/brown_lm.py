@@ -36,11 +36,13 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, small_batches, written
+from .common import forget, written
 
 CORE, CLASSES, LOCAL = 2048, 64, 1 << 18
 #: Bytes of text in a block, most documents in it, tokens whose contexts one placing group is expected to hold.
 BLOCK_BYTES, BLOCK_ROWS, GROUP = 2 << 20, 5000, 1_000_000
+#: Blocks that go to Python at a time; each is a megabyte or so.
+AT_ONCE = 2
 #: Counts up to this have their gains in a table.
 SMALL = 64
 END = b""
@@ -296,7 +298,7 @@ def placed_blocks(blocks: DataFrame, number: Broadcast) -> DataFrame:
 
 def fit_classes(blocks: DataFrame, classes: int = CLASSES) -> Fitted:
     """Classes of all words of the blocks' training texts; ``blocks`` are rewritten, and their files deleted."""
-    vocabulary = written(word_counts(blocks), "brown-words")
+    vocabulary = written(word_counts(blocks), "brown-words", AT_ONCE)
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # The largest set of words, all of those as common as its rarest, that keeps to the bound.
     sizes = vocabulary.groupBy("n").agg(F.count("*").alias("m"))
@@ -306,7 +308,7 @@ def fit_classes(blocks: DataFrame, classes: int = CLASSES) -> Fitted:
     count, common = np.array([-n for n, _ in pairs], np.int64), [w for _, w in pairs]
     forget(vocabulary)
     number = blocks.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(common)})
-    ranked = written(placed_blocks(blocks, number), "brown-blocks")
+    ranked = written(placed_blocks(blocks, number), "brown-blocks", AT_ONCE)
     number.destroy()
     forget(blocks)
     core = min(CORE, len(pairs))
@@ -387,7 +389,7 @@ def fit_classes(blocks: DataFrame, classes: int = CLASSES) -> Fitted:
             yield gather.close(placing)
 
     sent = ranked.select(*TOKENS, "ranks", "rare").mapInArrow(around, "grp int, ranks binary, names array<binary>, n binary, held binary, slots binary")
-    got = written(sent.repartition("grp").sortWithinPartitions("grp").mapInArrow(place, "rank int, word binary, class int, n long"), "brown-classes")
+    got = written(sent.repartition("grp").sortWithinPartitions("grp").mapInArrow(place, "rank int, word binary, class int, n long"), "brown-classes", AT_ONCE)
     mine = got.filter("rank >= 0").select("rank", "class").toArrow()
     of[mine.column("rank").to_numpy()] = mine.column("class").to_numpy()
     return Fitted(ranked, common, count, of, got.filter("rank < 0").select("word", "class", "n"), total, distinct)
@@ -427,9 +429,7 @@ def score_texts(docs: DataFrame, training: Column, doc_id: str = "doc_id", text:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` and, before them, ``training``, one row per row of ``docs``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text).alias("text"))
     blocks = written(blocks_of(rows), "brown-texts")
-    # A block is a megabyte or so, so tasks take two at a time.
-    with small_batches(docs.sparkSession, 2):
-        return score_blocks(blocks, dict(rows.dtypes)["doc_id"], classes)
+    return score_blocks(blocks, dict(rows.dtypes)["doc_id"], classes)
 
 
 def score_blocks(blocks: DataFrame, kind: str, classes: int) -> DataFrame:
@@ -462,7 +462,7 @@ def score_blocks(blocks: DataFrame, kind: str, classes: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), *raw], names=["ids", *TOKENS, "classes", "counts"])
 
     full = blocks.drop("rare").join(by_block, "block", "left").select("ids", *TOKENS, "ranks", "found")
-    kept = written(full.mapInArrow(known_words, f"ids array<{kind}>, training array<boolean>, sizes binary, codes binary, classes binary, counts binary"), "brown-coded")
+    kept = written(full.mapInArrow(known_words, f"ids array<{kind}>, training array<boolean>, sizes binary, codes binary, classes binary, counts binary"), "brown-coded", AT_ONCE)
     forget(blocks)
 
     def all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -494,7 +494,7 @@ def score_blocks(blocks: DataFrame, kind: str, classes: int) -> DataFrame:
                 known = np.bincount(at, (n > 0)[codes], len(sizes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(row["training"], pa.bool_()), part.column(0).flatten(), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(base + more)], names=["training", "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return written(kept.mapInArrow(score, f"training boolean, doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "brown-scores")
+    return written(kept.mapInArrow(score, f"training boolean, doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "brown-scores", AT_ONCE)
 
 
 def packed(keys: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -510,7 +510,7 @@ def packed(keys: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 def summed_table(pairs: DataFrame, classes: int) -> np.ndarray:
     """``pairs(pair, n)`` of numbered cells, added up: a square table."""
-    got = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    got = written(pairs.groupBy("pair").agg(F.sum("n").alias("n")), "brown-pairs", AT_ONCE).toArrow()
     out = np.zeros(classes * classes)
     out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(classes, classes)

@@ -6,7 +6,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +41,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends there, and lost executors lose nothing."""
+def written(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: lineage ends there, and lost executors lose nothing.
+
+    ``batch_rows``: so many rows go to Python at a time while it is made, where rows are large.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    with small_batches(spark, batch_rows) if batch_rows else nullcontext():
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
