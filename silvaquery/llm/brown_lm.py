@@ -41,8 +41,8 @@ from .common import forget, written
 CORE, CLASSES, LOCAL = 2048, 64, 1 << 18
 #: Bytes of text in a block, most documents in it, tokens whose contexts one placing group is expected to hold.
 BLOCK_BYTES, BLOCK_ROWS, GROUP = 2 << 20, 5000, 1_000_000
-#: Blocks that go to Python at a time; each is a megabyte or so.
-AT_ONCE = 2
+#: Blocks that go to Python at a time, each some megabytes, and rows of placing groups, whose number grows with blocks times groups (blocks among them stop at bytes).
+AT_ONCE, SENT_AT_ONCE = 2, 256
 #: Counts up to this have their gains in a table.
 SMALL = 64
 END = b""
@@ -278,19 +278,18 @@ class Fitted:
 TOKENS = ["training", "sizes", "codes"]
 
 
-def placed_blocks(blocks: DataFrame, number: Broadcast) -> DataFrame:
-    """Blocks with ``ranks``, each word's place among the common ones or -1, and the names of the others only."""
+def placed_blocks(blocks: DataFrame, common: Broadcast) -> DataFrame:
+    """Blocks with ``ranks``, each word's place among the common ones (an Arrow array) or -1, and the names of the others only."""
     names = [*blocks.columns[:5], "ranks", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 part = batch.slice(i, 1)
-                words = part.column(5).flatten().to_pylist()
-                get = number.value.get
-                rank = np.fromiter((get(w, -1) for w in words), "<i4", len(words))
-                rare = [words[k] for k in np.flatnonzero(rank < 0).tolist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(5)), pa.array([rank.tobytes()], pa.binary()), pa.array([rare], pa.list_(pa.binary()))], names=names)
+                words = part.column(5).flatten().cast(pa.binary())
+                rank = pc.fill_null(pc.index_in(words, common.value), -1).to_numpy().astype("<i4")
+                rare = words.filter(pa.array(rank < 0))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(5)), pa.array([rank.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(rare)], pa.int32()), rare)], names=names)
 
     kinds = dict(blocks.dtypes)
     return blocks.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in blocks.columns[:5]) + ", ranks binary, rare array<binary>")
@@ -307,9 +306,9 @@ def fit_classes(blocks: DataFrame, classes: int = CLASSES) -> Fitted:
     pairs = sorted(zip((-common.column("n").to_numpy()).tolist(), common.column("word").to_pylist()))
     count, common = np.array([-n for n, _ in pairs], np.int64), [w for _, w in pairs]
     forget(vocabulary)
-    number = blocks.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(common)})
-    ranked = written(placed_blocks(blocks, number), "brown-blocks", AT_ONCE)
-    number.destroy()
+    sent = blocks.sparkSession.sparkContext.broadcast(pa.array(common, pa.binary()))
+    ranked = written(placed_blocks(blocks, sent), "brown-blocks", AT_ONCE, large=True)
+    sent.destroy()
     forget(blocks)
     core = min(CORE, len(pairs))
 
@@ -389,7 +388,7 @@ def fit_classes(blocks: DataFrame, classes: int = CLASSES) -> Fitted:
             yield gather.close(placing)
 
     sent = ranked.select(*TOKENS, "ranks", "rare").mapInArrow(around, "grp int, ranks binary, names array<binary>, n binary, held binary, slots binary")
-    got = written(sent.repartition("grp").sortWithinPartitions("grp").mapInArrow(place, "rank int, word binary, class int, n long"), "brown-classes", AT_ONCE)
+    got = written(sent.repartition("grp").sortWithinPartitions("grp").mapInArrow(place, "rank int, word binary, class int, n long"), "brown-classes", SENT_AT_ONCE)
     mine = got.filter("rank >= 0").select("rank", "class").toArrow()
     of[mine.column("rank").to_numpy()] = mine.column("class").to_numpy()
     return Fitted(ranked, common, count, of, got.filter("rank < 0").select("word", "class", "n"), total, distinct)
@@ -428,7 +427,7 @@ class Gather:
 def score_texts(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", classes: int = CLASSES) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` and, before them, ``training``, one row per row of ``docs``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text).alias("text"))
-    blocks = written(blocks_of(rows), "brown-texts")
+    blocks = written(blocks_of(rows), "brown-texts", large=True)
     return score_blocks(blocks, dict(rows.dtypes)["doc_id"], classes)
 
 
@@ -462,7 +461,7 @@ def score_blocks(blocks: DataFrame, kind: str, classes: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), *raw], names=["ids", *TOKENS, "classes", "counts"])
 
     full = blocks.drop("rare").join(by_block, "block", "left").select("ids", *TOKENS, "ranks", "found")
-    kept = written(full.mapInArrow(known_words, f"ids array<{kind}>, training array<boolean>, sizes binary, codes binary, classes binary, counts binary"), "brown-coded", AT_ONCE)
+    kept = written(full.mapInArrow(known_words, f"ids array<{kind}>, training array<boolean>, sizes binary, codes binary, classes binary, counts binary"), "brown-coded", AT_ONCE, large=True)
     forget(blocks)
 
     def all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,15 +41,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def written(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
+#: Of files whose rows are large: bytes of a row group, which is held while it is written; each row is a page of its own,
+#: as Parquet looks at sizes every 100 rows otherwise and compresses, and reads, a page as a whole.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1"}
+#: Where rows are large: bytes after which no row is added to an Arrow batch, rows that are read from files at a time.
+BATCH_BYTES, READ_ROWS = 4 << 20, 2
+
+
+def written(df: DataFrame, tag: str, batch_rows: int | None = None, large: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends there, and lost executors lose nothing.
 
-    ``batch_rows``: so many rows go to Python at a time while it is made, where rows are large.
+    ``batch_rows``: so many rows go to Python at a time while it is made, where what it reads has large rows; ``large``: its own rows are large.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
     with small_batches(spark, batch_rows) if batch_rows else nullcontext():
-        df.write.parquet(path)
+        df.write.options(**(LARGE_ROWS if large else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,14 +71,16 @@ def forget(df: DataFrame) -> None:
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of so many rows, for tables whose rows are large, in what is run inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Batches of so many rows or fewer, in Arrow and as files are read, for tables whose rows are large, in what is run inside."""
+    now = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": READ_ROWS}
+    before = {name: spark.conf.get(name) for name in now}
+    for name, value in now.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def drawn_at_most(rows: DataFrame, most: int, tag: str) -> DataFrame:

@@ -3,9 +3,12 @@
 import collections
 import hashlib
 import math
+import urllib.parse
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +112,35 @@ def test_brown_scores_against_brute_force(spark, monkeypatch):
         assert sum(got[i] for i in held) > sum(base[i] for i in held)
 
 
+def test_brown_tasks_hold_few_blocks(spark, monkeypatch):
+    """What a task writes, reads or sends to Python at a time is bounded by bytes, however many blocks it has."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(np.char.mod("%x", rng.integers(1 << 60, 1 << 62, 40_000)).tolist()) for _ in range(24)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    groups, real = {}, brown_lm.written
+
+    def spied(df, tag, *a, **b):
+        out = real(df, tag, *a, **b)
+        metas = [pq.ParquetFile(urllib.parse.urlparse(f).path).metadata for f in out.inputFiles()]
+        groups[tag] = [m.row_group(i).num_rows for m in metas for i in range(m.num_row_groups)]
+        return out
+
+    monkeypatch.setattr(brown_lm, "written", spied)
+    monkeypatch.setattr(brown_lm, "BLOCK_BYTES", 500_000)
+    assert brown_lm.score_texts(d, F.lit(True)).count() == 24
+    for tag in ("brown-texts", "brown-blocks"):
+        assert sum(groups[tag]) == 24 and max(groups[tag]) <= 12, groups
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    sent = [r.n for r in real(d.mapInArrow(sizes, "n long"), "test-sizes", brown_lm.SENT_AT_ONCE).collect()]
+    assert sum(sent) == 24 and max(sent) <= 8 and spark.conf.get(name) == before
+
+
 def test_brown_splits_slices_right():
     import pyarrow as pa
 
