@@ -43,7 +43,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 #: Of files whose rows are large: bytes of a row group, which is held while it is written; each row is a page of its own,
 #: as Parquet looks at sizes every 100 rows otherwise and compresses, and reads, a page as a whole.
-LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1"}
+LARGE_ROWS = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1"}
 #: Where rows are large: bytes after which no row is added to an Arrow batch, rows that are read from files at a time.
 BATCH_BYTES, READ_ROWS = 4 << 20, 2
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silvaquery.llm import brown_lm, chat, components, crf, langid, mixing, packing, pstable, simhash_bk, sstable, topk
-from silvaquery.llm.common import fold
+from silvaquery.llm.common import LARGE_ROWS, fold
 from silvaquery.llm.encoding import Encoder, vocabulary_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, fp string, row int"
@@ -127,6 +127,7 @@ def test_brown_tasks_hold_few_blocks(spark, monkeypatch):
 
     monkeypatch.setattr(brown_lm, "written", spied)
     monkeypatch.setattr(brown_lm, "BLOCK_BYTES", 500_000)
+    monkeypatch.setitem(LARGE_ROWS, "parquet.block.size", str(2 << 20))
     assert brown_lm.score_texts(d, F.lit(True)).count() == 24
     for tag in ("brown-texts", "brown-blocks"):
         assert sum(groups[tag]) == 24 and max(groups[tag]) <= 12, groups
