@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, chat, crf, langid, mixing, packing, pstable, simhash_bk, sstable, topk
+from . import alignment, brown_lm, chat, crf, langid, mixing, packing, pstable, repair, simhash_bk, sstable, topk, transducer
 from .common import fold, table
 
 
@@ -60,6 +60,18 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.documents_counted(table(spark, sf_dir, "documents"))
+
+
 TOPK = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS e FROM embeddings
@@ -84,8 +96,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_norm_sorted": op8_norm_sorted,
         "op9_simhash_bk": op9_simhash_bk,
         "op10_sum_of_squares": op10_sum_of_squares,
+        "op11_repair": op11_repair,
+        "op12_alignment": op12_alignment,
+        "op13_transducer": op13_transducer,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op8_norm_sorted": TOPK}
+    return {"op3_mixing": mixing.ORACLE, "op8_norm_sorted": TOPK, "op11_repair": repair.ORACLE}
