@@ -469,48 +469,7 @@ def transfer_labels(points: DataFrame, skeleton: DataFrame, threshold: float = 0
     return points.select(key).join(t, key, "left").select(key, F.coalesce("new_tree", F.lit(0)).alias("tree_id"), F.coalesce("semantic", F.lit(0)).alias("semantic"))
 
 
-# ---------------------------------------------------------------- isolation by region merging
-
-
-def merge_regions(x: np.ndarray, edges: np.ndarray, weight: np.ndarray, penalty: float) -> np.ndarray:
-    """Region number of each row of ``x``: pairs of neighbouring regions are merged, best first, while that lowers
-    the sum of squared distances to region means plus ``penalty`` times the length of borders (the Potts energy)."""
-    n = len(x)
-    mean, size, up = x.astype(float).copy(), np.ones(n), np.arange(n)
-    near: list[dict[int, float]] = [{} for _ in range(n)]
-    for (a, b), w in zip(edges.tolist(), weight.tolist()):
-        if a != b:
-            near[a][b] = near[b][a] = near[a].get(b, 0.0) + w
-
-    def gain(a: int, b: int) -> float:
-        d = mean[a] - mean[b]
-        return penalty * near[a][b] - size[a] * size[b] / (size[a] + size[b]) * float(d @ d)
-
-    stamp = np.zeros(n, int)
-    heap = [(-gain(a, b), a, b, 0, 0) for a in range(n) for b in near[a] if a < b]
-    heapq.heapify(heap)
-    while heap:
-        g, a, b, sa, sb = heapq.heappop(heap)
-        if g >= 0:
-            break
-        if stamp[a] != sa or stamp[b] != sb or up[a] != a or up[b] != b:
-            continue
-        mean[a] = (mean[a] * size[a] + mean[b] * size[b]) / (size[a] + size[b])
-        size[a] += size[b]
-        up[b] = a
-        near[a].pop(b, None)
-        for c, w in near[b].items():
-            near[c].pop(b, None)
-            if c != a:
-                near[a][c] = near[c][a] = near[a].get(c, 0.0) + w
-        near[b] = {}
-        stamp[a] += 1
-        for c in near[a]:
-            p, q = min(a, c), max(a, c)
-            heapq.heappush(heap, (-gain(p, q), p, q, stamp[p], stamp[q]))
-    while (up != up[up]).any():
-        up = up[up]
-    return np.unique(up, return_inverse=True)[1]
+# ---------------------------------------------------------------- isolation by cut pursuit
 
 
 def neighbour_graph(x: np.ndarray, k: int, reach: float) -> np.ndarray:
@@ -533,48 +492,50 @@ def neighbour_graph(x: np.ndarray, k: int, reach: float) -> np.ndarray:
     return np.array(out, int).reshape(-1, 2)
 
 
-def segment_treeiso(points: DataFrame, k1: int = 5, lambda1: float = 1.0, k2: int = 20, lambda2: float = 20.0, decimate2: float = 0.1, gap: float = 2.0, rho: float = 0.5, weight: float = 0.5, voxel: float = 0.1, least: int = 20, tile: float = 50.0, halo: float = 15.0, key: str = "point_id") -> DataFrame:
-    """Three-stage tree isolation (after Xi and Hopkinson 2022): small regions in 3D, regions of those in plan, then
-    pieces without a foot joined to the neighbour that overlaps them most in height and lies nearest. ``(point_id, tree_id)``.
+def joined_pieces(v: np.ndarray, label: np.ndarray, k3: int, gap: float, rho: float, weight: float, least: int, voxel: float) -> np.ndarray:
+    """Pieces without a foot go to the one of their k3 nearest pieces, in plan, that overlaps them most in height and lies nearest."""
+    label = np.unique(label, return_inverse=True)[1]
+    while True:
+        n = int(label.max()) + 1
+        many = np.bincount(label, minlength=n)
+        low, high = np.full(n, np.inf), np.full(n, -np.inf)
+        np.minimum.at(low, label, v[:, 2])
+        np.maximum.at(high, label, v[:, 2])
+        mid = np.stack([np.bincount(label, v[:, i], n) / many for i in (0, 1)], axis=1)
+        loose = np.flatnonzero((low > np.maximum(1.0, rho * high * 0.2)) | (many < least))
+        target = np.arange(n)
+        for s in loose[np.argsort(-low[loose], kind="stable")].tolist():
+            d = np.hypot(*(mid - mid[s]).T)
+            d[s] = np.inf
+            near = np.argpartition(d, min(k3, n - 1) - 1)[:k3] if n > 1 else np.zeros(0, int)
+            near = near[(d[near] <= 2 * gap) & ((low[near] < low[s]) | (many[s] < least))]
+            if len(near):
+                lap = np.clip(np.minimum(high[s], high[near]) - np.maximum(low[s], low[near]), 0.0, None) / max(high[s] - low[s], voxel)
+                score = weight * lap - (1 - weight) * d[near] / gap
+                target[s] = near[np.lexsort((near, -score))[0]]
+                break
+        if (target == np.arange(n)).all():
+            return label
+        label = np.unique(target[label], return_inverse=True)[1]
 
-    Both cuts minimise the same Potts energy as cut pursuit does, by merging regions instead; results may differ from it.
-    """
+
+def segment_treeiso(points: DataFrame, k1: int = 5, lambda1: float = 1.0, k2: int = 20, lambda2: float = 20.0, decimate2: float = 0.1, gap: float = 2.0, k3: int = 20, rho: float = 0.5, weight: float = 0.5, voxel: float = 0.1, least: int = 20, tile: float = 50.0, halo: float = 15.0, key: str = "point_id") -> DataFrame:
+    """Three-stage tree isolation (after Xi and Hopkinson 2022) by cut pursuit: small regions in 3D, regions of those in plan, then
+    pieces without a foot joined to one of their ``k3`` nearest pieces, which overlaps them most in height and lies nearest. ``(point_id, tree_id)``."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        from silvaquery.operators.cuts import cut_pursuit
+
         pdf = pdf.sort_values(["x", "y", "hag"]).reset_index(drop=True)
         v = pdf[["x", "y", "hag"]].to_numpy(float)
         e = neighbour_graph(v, k1, max(gap / 4, 3 * voxel))
-        small = merge_regions(v, e, np.ones(len(e)), lambda1) if len(e) else np.arange(len(v))
+        small = cut_pursuit(v, e, np.ones(len(e)), lambda1)
         # Second stage: thinned in plan, links between pieces that stand close.
         flat, flat_of = np.unique(np.column_stack([np.floor(v[:, :2] / max(decimate2, voxel)).astype(np.int64), small]), axis=0, return_inverse=True)
         flat_of, spots = flat_of.ravel(), (flat[:, :2] + 0.5) * max(decimate2, voxel)
         e = neighbour_graph(spots, k2, gap)
-        big = merge_regions(spots, e, np.full(len(e), 1 / k2), lambda2) if len(e) else np.arange(len(spots))
-        label = big[flat_of]
-        while True:
-            names = np.unique(label)
-            low = {s: v[label == s, 2].min() for s in names}
-            high = {s: v[label == s, 2].max() for s in names}
-            mid = {s: v[label == s, :2].mean(0) for s in names}
-            joined = False
-            for s in sorted(names, key=lambda s: -low[s]):
-                if low[s] <= max(1.0, rho * high[s] * 0.2) and (label == s).sum() >= least:
-                    continue
-                best = None
-                for t in names:
-                    if t == s or low[t] >= low[s] and (label == s).sum() >= least:
-                        continue
-                    d = float(np.hypot(*(mid[s] - mid[t])))
-                    lap = max(0.0, min(high[s], high[t]) - max(low[s], low[t])) / max(high[s] - low[s], voxel)
-                    score = weight * lap - (1 - weight) * d / gap
-                    if d <= 2 * gap and (best is None or score > best[0]):
-                        best = (score, t)
-                if best:
-                    label[label == s] = best[1]
-                    joined = True
-                    break
-            if not joined:
-                break
+        big = cut_pursuit(spots, e, np.full(len(e), 1 / k2), lambda2)
+        label = joined_pieces(v, big[flat_of], k3, gap, rho, weight, least, voxel)
         out = np.zeros(len(v), np.int64)
         for s in np.unique(label):
             own = label == s

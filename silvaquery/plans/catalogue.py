@@ -1037,4 +1037,4 @@ def _(spark, apply: bool = False, lambda_init: float = 0.0001, max_iters: int =
 
 @op("segment.treeiso")
 def _(spark, octree_dir: str, decimate2: float = 0.1, k1: int = 5, k2: int = 20, k3: int = 20, lambda1: float = 1.0, lambda2: float = 20.0, max_gap: float = 2.0, min_tree_pts: int = 20, rho: float = 0.5, vertical_weight: float = 0.5, voxel_size: float = 0.1):
-    return _label(spark, octree_dir, sg.segment_treeiso(heights_of(spark, octree_dir), k1, lambda1, k2, lambda2, decimate2, max_gap, rho, vertical_weight, voxel_size, min_tree_pts))
+    return _label(spark, octree_dir, sg.segment_treeiso(heights_of(spark, octree_dir), k1, lambda1, k2, lambda2, decimate2, max_gap, k3, rho, vertical_weight, voxel_size, min_tree_pts))

@@ -275,30 +275,6 @@ def test_streaming_matches_batch(spark, tmp_path):
     assert ev.sessions(e).agg(F.sum("n")).first()[0] == e.count()
 
 
-def test_region_merging_splits_two_clouds():
-    rng = np.random.default_rng(6)
-    x = np.vstack([rng.normal(0, 0.1, (60, 2)), rng.normal(3, 0.1, (60, 2))])
-    e = sg.neighbour_graph(x, 5, 5.0)
-    got = sg.merge_regions(x, e, np.ones(len(e)), 0.5)
-    assert len(set(got[:60])) == 1 and len(set(got[60:])) == 1 and got[0] != got[60]
-
-
-def test_treeiso_tells_two_stems_apart(spark):
-    rng = np.random.default_rng(7)
-    rows = []
-    for k, (cx, cy) in enumerate(((5.0, 5.0), (11.0, 5.0))):
-        for h in np.arange(0, 8, 0.1):
-            for a in range(4):
-                rows.append((f"{k}-{len(rows)}", cx + 0.1 * math.cos(a * 1.6), cy + 0.1 * math.sin(a * 1.6), float(h)))
-        for v in rng.normal(0, 0.8, (150, 3)):
-            rows.append((f"{k}-{len(rows)}", cx + v[0], cy + v[1], 8 + abs(float(v[2]))))
-    p = spark.createDataFrame([(i, float(x), float(y), z) for i, x, y, z in rows], "point_id string, x double, y double, hag double")
-    got = {r.point_id: r.tree_id for r in sg.segment_treeiso(p, voxel=0.2).collect()}
-    main = [max(set(v), key=v.count) for v in ([t for i, t in got.items() if i.startswith(f"{k}-")] for k in (0, 1))]
-    assert main[0] != main[1] and 0 not in main
-    assert sum(t == main[int(i[0])] for i, t in got.items()) / len(got) > 0.9
-
-
 def test_sphere_targets_and_network(spark):
     rng = np.random.default_rng(8)
     centres = np.array([[0.5, 0.5, 1.0], [3.2, 0.7, 1.5], [1.1, 4.3, 0.8], [4.6, 4.1, 2.0]])
