@@ -23,6 +23,7 @@ from ..functions import scalar as S
 from ..functions import stats
 from ..operators import forestry as fo
 from ..operators import neighbours as ne
+from ..operators import planes as pl
 from ..operators import points as po
 from ..operators import registration as rg
 from ..operators import segmentation as sg
@@ -996,11 +997,28 @@ def _spheres(spark, project_folder: str | None, scan: str, spheres: dict | None)
     return [[r.cx, r.cy, r.cz] for r in (found.limit(p["most"]) if "most" in p else found).collect()]
 
 
+PLANE_PARAMETERS = {"voxelSize": "cell", "planarityMax": "planarity", "minVoxelPoints": "least_cell", "normalAngleTolDeg": "angle", "minPatchPoints": "least", "maxStdDev": "max_std", "minSize": "min_size", "maxSize": "max_size"}
+
+
+def _patches(spark, project_folder: str | None, scans: list[str], planes: dict | None) -> DataFrame:
+    """Plane patches of scans, found in the scanners' frames, in world coordinates."""
+    given = dict(planes or {})
+    given.pop("centroidDistTol", None)
+    if extra := set(given) - set(PLANE_PARAMETERS):
+        raise TypeError(f"unknown plane parameters {sorted(extra)}")
+    entries = {s["id"]: s for s in _scans(project_folder)[1]}
+    if lack := [s for s in scans if s not in entries]:
+        raise KeyError(f"no scans {lack}")
+    clouds = [fm.read_points(spark, entries[s]["path"], entries[s]["mapping"]).select(F.lit(s).alias("scan"), "x", "y", "z") for s in scans]
+    own = pl.plane_patches(po.merge_clouds(*clouds), by=("scan",), **{PLANE_PARAMETERS[k]: v for k, v in given.items()})
+    return pl.posed(own, {s: entries[s]["poses"].get("pose", IDENTITY) for s in scans})
+
+
 @op("preprocess.targets")
-def _(spark, scan: str, planes: dict | None = None, project_folder: str | None = None, spheres: dict | None = None, with_planes: bool = False):
-    if with_planes:
-        raise ValueError("only sphere targets are here")
-    return {"spheres": _spheres(spark, project_folder, scan, spheres)}
+def _(spark, scan: str, planes: dict | None = None, project_folder: str | None = None, spheres: dict | None = None, with_planes: bool = True):
+    """``{spheres: [[x, y, z]], planes: table}``, in world coordinates."""
+    out = {"spheres": _spheres(spark, project_folder, scan, spheres)}
+    return out | {"planes": _patches(spark, project_folder, [scan], planes)} if with_planes else out
 
 
 @op("preprocess.matchSpheres")
@@ -1012,23 +1030,41 @@ def _(spark, source: str, target: str, apply: bool = False, project_folder: str
 
 
 @op("preprocess.msa")
-def _(spark, apply: bool = False, lambda_init: float = 0.0001, max_iters: int = 1000, planes: dict | None = None, preserve_roll_pitch: bool = True, project_folder: str | None = None, rmse_eps: float = 1e-6, scans: list | None = None, spheres: dict | None = None, with_planes: bool = False):
-    if with_planes:
-        raise ValueError("only sphere targets are here")
+def _(spark, apply: bool = False, lambda_init: float = 0.0001, max_iters: int = 1000, planes: dict | None = None, preserve_roll_pitch: bool = True, project_folder: str | None = None, rmse_eps: float = 1e-6, scans: list | None = None, spheres: dict | None = None, with_planes: bool = True):
+    """Corrections of all scans' poses, from spheres and planes; a scan starts where its spheres say, else where it stands, else where its planes fit the first scan's."""
     names = scans or [s["id"] for s in _scans(project_folder)[1]]
     found = {s: _spheres(spark, project_folder, s, spheres) for s in names}
     # Targets are named by the first scan that sees them; each later scan is matched to what is known so far.
-    places, observed = {f"t{i}": p for i, p in enumerate(found[names[0]])}, {names[0]: {f"t{i}": p for i, p in enumerate(found[names[0]])}}
+    places, observed, start = {f"t{i}": p for i, p in enumerate(found[names[0]])}, {names[0]: {f"t{i}": p for i, p in enumerate(found[names[0]])}}, {s: IDENTITY for s in names}
+    unmatched = []
     for s in names[1:]:
         known = list(places)
         pairs, m = rg.match_targets(found[s], [places[k] for k in known])
         if not m:
-            raise ValueError(f"{s} cannot be matched to the scans before it")
-        observed[s] = {known[j]: found[s][i] for i, j in pairs}
+            unmatched.append(s)
+            continue
+        start[s], observed[s] = m, {known[j]: found[s][i] for i, j in pairs}
         for i in set(range(len(found[s]))) - {i for i, _ in pairs}:
             places[f"t{len(places)}"] = [sum(m[4 * r + c] * found[s][i][c] for c in range(3)) + m[4 * r + 3] for r in range(3)]
             observed[s][f"t{len(places) - 1}"] = found[s][i]
-    got = rg.adjust_network(observed, max_iters, rmse_eps)
+    rows = [(s, t, *map(float, observed[s][k]), *map(float, observed[t][k]), *[None] * 7) for i, s in enumerate(names) for t in names[i + 1:] for k in observed.get(s, {}) if k in observed.get(t, {})]
+    matches = spark.createDataFrame(rows, pl.CORRESPONDENCE)
+    if with_planes:
+        patches, reach = ne.cut_lineage(_patches(spark, project_folder, names, planes)), (planes or {}).get("centroidDistTol", 5.0)
+        pairs = ne.cut_lineage(pl.paired(pl.posed(patches, start), reach=reach))
+        met = {r.s for r in pairs.select(F.explode(F.array("a_scan", "b_scan")).alias("s")).distinct().collect()}
+        if lost := [s for s in unmatched if s not in met]:
+            for s in lost:
+                got = pl.plane_pose(patches.filter(F.col("scan") == s), patches.filter(F.col("scan") == names[0]), reach=reach, levelled=preserve_roll_pitch)
+                if got:
+                    start[s] = got["matrix"]
+                    unmatched.remove(s)
+            pairs = pl.paired(pl.posed(patches, start), reach=reach)
+        unmatched = [s for s in unmatched if s not in met]
+        matches = matches.unionByName(pl.correspondences(pairs, patches))
+    if unmatched:
+        raise ValueError(f"{unmatched} cannot be matched to the scans before them")
+    got = pl.adjust_poses(matches, start, max_iters, rmse_eps, lambda_init, preserve_roll_pitch)
     if apply:
         for s, m in got["poses"].items():
             OPS["preprocess.apply"](spark, m, s, True, project_folder)
