@@ -22,19 +22,27 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, worker_cache, written
+from .encoding import KEPT_RUNS, PAIR, Store
 from .transducer import byte_letters
 
+#: A blank between characters that are no white space: no token of either kind goes over it, so what stands on both sides is encoded apart.
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: In place of a run's tokens where they do not give its bytes.
+NOT_ITS_BYTES = 0xFFFFFFFF
+
 #: Bytes of text that are encoded and cut at a time; bytes of text, and documents, of a block.
-PART_BYTES, BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 8 << 20, 10_000
+PART_BYTES, BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 8 << 20, 10_000
 #: Distinct pairs in one row of the written table.
 ROW_PAIRS = 4096
 
@@ -61,6 +69,11 @@ class Pair:
             self.bytes_a[i] = bytes(letters[c] for c in name)
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
+        # Pieces have blanks at their beginning only, and A cuts texts in front of a blank before a word: then runs are encoded each by itself.
+        with open(a, encoding="utf-8") as f:
+            cut = json.load(f)["pre_tokenizer"]
+        self.by_runs = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
+        self.store = Store()
         # Spelled ids: one followed by a comma, one that is its side's last of a group.
         self.spelled = np.array([s for n, end in ((len(self.bytes_a), b"|"), (len(self.bytes_b), b";")) for s in (*(b"%d," % i for i in range(n)), *(b"%d" % i + end for i in range(n)))], object)
 
@@ -80,9 +93,44 @@ class Pair:
         return a, b
 
 
-def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for x in lists for i in x), np.int64, int(size.sum())), size
+    def _values(self, runs: list[str]) -> list[bytes]:
+        """Of each run the number of A's ids, those, and B's."""
+        out = []
+        for at in range(0, len(runs), 20_000):
+            for run, a, b in zip(runs[at:at + 20_000], *self.tokens(runs[at:at + 20_000])):
+                out.append(np.array([len(a), *a, *b] if a or not run else [NOT_ITS_BYTES], "<u4").tobytes())
+        return out
+
+    def encoded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A of all texts, how many each text has, and the same of B; each distinct run is encoded once while it is kept."""
+        parts = [BETWEEN.split(t) if self.by_runs else [t] for t in (t or "" for t in texts)]
+        coded = pa.array([r for x in parts for r in x], pa.large_string()).dictionary_encode()
+        names, run = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        key = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names.cast(pa.large_binary()).to_pylist())), PAIR)
+        _, known = self.store.find(key)
+        new = np.flatnonzero(~known)
+        if len(self.store.key) + len(new) > KEPT_RUNS:
+            self.store.__init__()
+            new = np.arange(len(names))
+        self.store.add(key[new], self._values(names.take(pa.array(new)).to_pylist()))
+        at, _ = self.store.find(key)
+        first, size, blob = self.store.first[at], self.store.size[at].astype(np.int64), self.store.blob
+        n_a = blob[first].astype(np.int64)
+        wrong = n_a == NOT_ITS_BYTES
+        n_a[wrong] = 0
+        n_b = np.where(wrong, 0, size - 1 - n_a)
+        edge = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        # A text of which one run is wrong has no tokens at all.
+        bad = np.diff(np.concatenate(([0], np.cumsum(wrong[run])))[edge]) > 0
+        run = run[~np.repeat(bad, np.diff(edge))]
+        edge = np.concatenate(([0], np.cumsum(np.where(bad, 0, np.diff(edge)))))
+        out = []
+        for begin, n in ((first + 1, n_a), (first + 1 + n_a, n_b)):
+            own = n[run]
+            upto = np.cumsum(own)
+            total = int(upto[-1]) if len(upto) else 0
+            out += [blob[np.repeat(begin[run] - upto + own, own) + np.arange(total)].astype(np.int64), np.diff(np.concatenate(([0], upto))[edge])]
+        return tuple(out)
 
 
 def by_document(counts: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -91,9 +139,8 @@ def by_document(counts: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.diff(sums[before])
 
 
-def align(pair: Pair, a_lists: list[list[int]], b_lists: list[list[int]]) -> dict:
-    """A batch's documents: groups, links as (id of A, id of B) in order, and the digest of each document's groups."""
-    (a, n_a), (b, n_b) = flat(a_lists), flat(b_lists)
+def align(pair: Pair, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> dict:
+    """A batch's documents (ids of all, and how many each has): groups, links as (id of A, id of B) in order, and the digest of each document's groups."""
     end_a, end_b = np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b])
     total = int(end_a[-1]) if len(end_a) else 0
     # Where each document's bytes begin: behind those of all tokens before.
@@ -161,7 +208,7 @@ def blocks_of(docs: DataFrame, a: str | None, b: str | None) -> DataFrame:
                     while to < len(texts) and n < PART_BYTES:
                         n += len(texts[to] or "")
                         to += 1
-                    parts.append(align(pair, *pair.tokens(texts[at:to])))
+                    parts.append(align(pair, *pair.encoded(texts[at:to])))
                     ids += names[at:to]
                     size += n
                     at = to
