@@ -78,12 +78,62 @@ def pair_equations(p: np.ndarray, q: np.ndarray, np_: np.ndarray, nq: np.ndarray
     return (n[:, None, :] @ full), (n * gap).sum(1, keepdims=True)
 
 
-def icp(moving: DataFrame, reference: DataFrame, voxel: float = 0.05, reach: float = 0.5, rounds: int = 30, eps: float = 1e-6, kernel: str = "welsch", method: str = "symmetric", dof: str = "full", normal_k: int = 16, start: list[float] | None = None, floor: float = 0.002) -> dict:
+#: Numbers that a set of pairs adds to: the normal matrix, its right side, the squared error, the weight, pairs within the robust bound.
+SUMS = [f"s{i}" for i in range(45)]
+
+
+def pair_sums(near: DataFrame, turn: np.ndarray, middle: np.ndarray, method: str, kernel: str, c: float, block: float | None = None) -> DataFrame:
+    """Normal equations of nearest pairs, added up by task, or by square ``block`` of the reference (columns ``bx``, ``by``)."""
+
+    def sums(parts):
+        for t in parts:
+            p, q = t[["x", "y", "z"]].to_numpy(float) - middle, t[["rx", "ry", "rz"]].to_numpy(float) - middle
+            rows, gap = pair_equations(p, q, np.stack(t["n"]) @ turn.T, np.stack(t["m"]), method) if len(t) else (np.zeros((0, 1, 6)), np.zeros((0, 1)))
+            # Robust weights by what the method makes small, not by distances that a sliding point may have.
+            d = np.linalg.norm(gap, axis=1)
+            w = {"welsch": lambda: np.exp(-((d / c) ** 2)), "tukey": lambda: np.where(d < 2 * c, (1 - (d / (2 * c)) ** 2) ** 2, 0.0), "huber": lambda: np.minimum(1.0, c / np.maximum(d, 1e-12)), "none": lambda: np.ones(len(d))}[kernel]()
+            each = np.hstack([np.einsum("i,imj,imk->ijk", w, rows, rows).reshape(len(t), 36), np.einsum("i,imj,im->ij", w, rows, gap), np.stack([w * (gap ** 2).sum(1), w, (d <= c).astype(float)], axis=1)])
+            if block is None:
+                yield pd.DataFrame([each.sum(0)], columns=SUMS)
+            elif len(t):
+                spots, own = np.unique(np.floor(t[["rx", "ry"]].to_numpy(float) / block).astype(np.int64), axis=0, return_inverse=True)
+                added = np.stack([np.bincount(own.ravel(), v, len(spots)) for v in each.T], axis=1)
+                yield pd.DataFrame(added, columns=SUMS).assign(bx=spots[:, 0], by=spots[:, 1])
+
+    kinds = ", ".join(f"{k} double" for k in SUMS)
+    if block is None:
+        return near.mapInPandas(sums, kinds)
+    return near.mapInPandas(sums, f"{kinds}, bx long, by long").groupBy("bx", "by").agg(*(F.sum(k).alias(k) for k in SUMS))
+
+
+def solved(h: np.ndarray, g: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """The small turn and shift that the normal equations ask for."""
+    delta = np.zeros(6)
+    delta[free] = np.linalg.lstsq(h[np.ix_(free, free)], g[free], rcond=None)[0]
+    return delta
+
+
+def jackknife(blocks: DataFrame, free: np.ndarray) -> tuple[int, list[float]]:
+    """(blocks, standard error of each parameter) by leaving out one block after another: its sums are taken off the whole ones and the rest is solved, in tasks."""
+    whole = np.array(blocks.agg(*(F.sum(k) for k in SUMS)).first(), float)
+
+    def without(parts):
+        for t in parts:
+            left = whole[None, :42] - t[SUMS[:42]].to_numpy(float)
+            yield pd.DataFrame([solved(v[:36].reshape(6, 6), v[36:42], free) for v in left], columns=[f"d{i}" for i in range(6)])
+
+    r = blocks.mapInPandas(without, ", ".join(f"d{i} double" for i in range(6))).agg(F.count(F.lit(1)), *(F.var_pop(f"d{i}") for i in range(6))).first()
+    n = r[0]
+    return n, [float(np.sqrt(max(v or 0.0, 0.0) * (n - 1))) for v in r[1:]]
+
+
+def icp(moving: DataFrame, reference: DataFrame, voxel: float = 0.05, reach: float = 0.5, rounds: int = 30, eps: float = 1e-6, kernel: str = "welsch", method: str = "symmetric", dof: str = "full", normal_k: int = 16, start: list[float] | None = None, floor: float = 0.002, jackknife_block: float | None = None) -> dict:
     """Registration by nearest pairs, found by a cell join, with robust weights; clouds are thinned by voxel first.
 
     ``method``: symmetric (both normals), pointToPlane, pointToPoint, or gicp (plane to plane); ``dof``: full, levelled (turns about z only)
     or translation. Tasks add up the 6 x 6 normal equations of their pairs, so each round sends sums to the driver.
-    ``{matrix, rmse, pairs, rounds, inlier_fraction, std_err}``; rmse is of point distances.
+    ``{matrix, rmse, pairs, rounds, inlier_fraction, std_err}``; rmse is of point distances. ``jackknife_block``: also ``jackknife_blocks`` and
+    ``jackknife_std_err``, from leaving out square blocks of that side, which correlated errors do not flatter.
     """
     if method not in METHODS or dof not in FREE or kernel not in ("welsch", "tukey", "huber", "none"):
         raise ValueError(f"unknown method {method!r}, dof {dof!r} or kernel {kernel!r}")
@@ -104,34 +154,26 @@ def icp(moving: DataFrame, reference: DataFrame, voxel: float = 0.05, reach: flo
         if n < 6:
             break
         c = 3 * max(1.4826 * (s[2] or 0.0), floor)
-
-        def sums(parts):
-            for t in parts:
-                p, q = t[["x", "y", "z"]].to_numpy(float) - middle, t[["rx", "ry", "rz"]].to_numpy(float) - middle
-                rows, gap = pair_equations(p, q, np.stack(t["n"]) @ turn.T, np.stack(t["m"]), method) if len(t) else (np.zeros((0, 1, 6)), np.zeros((0, 1)))
-                # Robust weights by what the method makes small, not by distances that a sliding point may have.
-                d = np.linalg.norm(gap, axis=1)
-                w = {"welsch": lambda: np.exp(-((d / c) ** 2)), "tukey": lambda: np.where(d < 2 * c, (1 - (d / (2 * c)) ** 2) ** 2, 0.0), "huber": lambda: np.minimum(1.0, c / np.maximum(d, 1e-12)), "none": lambda: np.ones(len(d))}[kernel]()
-                h = np.einsum("i,imj,imk->jk", w, rows, rows)
-                g = np.einsum("i,imj,im->j", w, rows, gap)
-                yield pd.DataFrame([[*h.ravel(), *g, float((w * (gap ** 2).sum(1)).sum()), float(w.sum()), float((d <= c).sum())]], columns=names)
-
-        names = [f"s{i}" for i in range(45)]
-        got = np.array(near.mapInPandas(sums, ", ".join(f"{k} double" for k in names)).agg(*(F.sum(k) for k in names)).first(), float)
-        h, g = got[:36].reshape(6, 6)[np.ix_(free, free)], got[36:42][free]
-        delta = np.zeros(6)
-        delta[free] = np.linalg.lstsq(h, g, rcond=None)[0]
+        got = np.array(pair_sums(near, turn, middle, method, kernel, c).agg(*(F.sum(k) for k in SUMS)).first(), float)
+        h = got[:36].reshape(6, 6)
+        delta = solved(h, got[36:42], free)
         step = np.eye(4)
         step[:3, :3] = turned(delta[:3])
         step[:3, 3] = delta[3:] + middle - step[:3, :3] @ middle
         total = step @ total
-        inverse = np.linalg.pinv(h) * got[42] / max(got[43] - len(free), 1.0)
+        inverse = np.linalg.pinv(h[np.ix_(free, free)]) * got[42] / max(got[43] - len(free), 1.0)
         spread = np.zeros(6)
         spread[free] = np.sqrt(np.maximum(np.diag(inverse), 0.0))
         if np.abs(delta).max() < eps or (last == rmse and np.abs(delta).max() < 1e-4):
             break
         last = rmse
-    return {"matrix": total.ravel().tolist(), "rmse": rmse, "pairs": n, "rounds": done, "inlier_fraction": n / size if size else 0.0, "std_err": None if spread is None else spread.tolist()}
+    out = {"matrix": total.ravel().tolist(), "rmse": rmse, "pairs": n, "rounds": done, "inlier_fraction": n / size if size else 0.0, "std_err": None if spread is None else spread.tolist()}
+    if jackknife_block:
+        # Blocks of the last round's pairs; one block alone leaves nothing to solve.
+        blocks = ne.cut_lineage(pair_sums(near, turn, middle, method, kernel, c, jackknife_block)) if n >= 6 else None
+        many, errors = jackknife(blocks, free) if blocks is not None else (0, None)
+        out |= {"jackknife_blocks": many, "jackknife_std_err": errors if many > 1 else None}
+    return out
 
 
 def turned(v: np.ndarray) -> np.ndarray:

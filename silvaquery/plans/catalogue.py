@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import stats
+from ..operators import features as ft
 from ..operators import forestry as fo
 from ..operators import neighbours as ne
 from ..operators import planes as pl
@@ -862,19 +863,40 @@ def _(spark, als_dir: str, tls_dir: str, bh_high: float = 1.4, bh_low: float = 1
     return {"detection": fo.detection(rows), "model": tr.volume_model(pairs, [snake(p) for p in predictors], form, folds)}
 
 
+def _start(spark, init: str, a: DataFrame, b: DataFrame, moving_dir: str, reference_dir: str, given: dict, dtm_cell: float, search_radius: float, yaw_range: float, feature_voxel: float, trials: int, reach: float) -> list[float]:
+    """Where a registration starts: the given place (current), stems, features, or of these the one with most overlap (auto)."""
+    if init not in ("current", "stems", "features", "auto"):
+        raise ValueError(f"unknown init {init!r} (current, stems, features, auto)")
+    at = _turn(given)
+    at[11] = given["dz"]
+    found = {"current": at}
+    if init in ("stems", "auto"):
+        one = lambda d: ne.cut_lineage(trees_of(spark, d, dtm_cell=dtm_cell).filter("x IS NOT NULL").select(F.col("tree_id").alias("id"), "x", "y"))
+        stems = rg.align_stems(one(moving_dir), one(reference_dir), search_radius, yaw_range=yaw_range)
+        if stems:
+            found["stems"] = _turn(stems)
+            found["stems"][11] = given["dz"]
+        elif init == "stems":
+            found["stems"] = at
+    if init in ("features", "auto"):
+        got = ft.feature_start(a, b, feature_voxel, trials)
+        if got:
+            found["features"] = got["matrix"]
+        elif init == "features":
+            raise ValueError("the clouds have too few features in common")
+    if init != "auto":
+        return found[init]
+    share = {k: ft.overlap(a, b, m, feature_voxel, max(reach, feature_voxel)) for k, m in found.items()}
+    return found[max(share, key=share.get)]
+
+
 @op("change.register")
 def _(spark, moving_dir: str, reference_dir: str, apply: bool = False, dof: str = "full", dtm_cell: float = 0.5, dx: float = 0.0, dy: float = 0.0, dz: float = 0.0, feature_iterations: int = 50000, feature_voxel: float = 0.3, init: str = "current", jackknife_block: float = 2.0, kernel: str = "welsch", kernel_floor: float = 0.002, levels: int = 4, max_corr_dist: float = 1.0, max_iters: int = 50, max_normal_angle_deg: float = 45.0, max_points: int = 1000000, max_variation: float = 0.15, method: str = "symmetric", name: str | None = None, normal_k: int = 16, out_dir: str | None = None, out_json: str | None = None, search_radius: float = 30.0, voxel: float = 0.05, yaw_deg: float = 0.0, yaw_range_deg: float = 5.0):
-    if init not in ("current", "stems"):
-        raise ValueError("a registration starts from the current place or from stems")
-    if init == "stems":
-        one = lambda d: ne.cut_lineage(trees_of(spark, d, dtm_cell=dtm_cell).filter("x IS NOT NULL").select(F.col("tree_id").alias("id"), "x", "y"))
-        found = rg.align_stems(one(moving_dir), one(reference_dir), search_radius, yaw_range=yaw_range_deg) or {}
-        dx, dy, yaw_deg = found.get("dx", dx), found.get("dy", dy), found.get("yaw_deg", yaw_deg)
-    start = _turn({"dx": dx, "dy": dy, "yaw_deg": yaw_deg})
-    start[11] = dz
-    a, b, got = points_of(spark, moving_dir), points_of(spark, reference_dir), None
+    a, b = points_of(spark, moving_dir), points_of(spark, reference_dir)
+    start = _start(spark, init, a, b, moving_dir, reference_dir, {"dx": dx, "dy": dy, "dz": dz, "yaw_deg": yaw_deg}, dtm_cell, search_radius, yaw_range_deg, feature_voxel, feature_iterations, max_corr_dist)
+    got = None
     for level in reversed(range(levels)):
-        got = rg.icp(a, b, voxel * 2**level, max_corr_dist * 2**level, max_iters, kernel=kernel, method=method, dof=dof, normal_k=normal_k, start=start, floor=kernel_floor)
+        got = rg.icp(a, b, voxel * 2**level, max_corr_dist * 2**level, max_iters, kernel=kernel, method=method, dof=dof, normal_k=normal_k, start=start, floor=kernel_floor, jackknife_block=jackknife_block if not level else None)
         start = got["matrix"]
     if out_json:
         save(out_json.rsplit("/", 1)[0], out_json.rsplit("/", 1)[1].removesuffix(".json"), got)
