@@ -56,7 +56,7 @@ def close_pairs(own: np.ndarray, other: np.ndarray, radius: float) -> Iterator[t
         j = order[np.repeat(begin[at:to].ravel() - np.cumsum(n) + n, n) + np.arange(total)]
         i = np.repeat(np.arange(at, to), many[at:to])
         d2 = ((own[i] - other[j]) ** 2).sum(1)
-        near = np.flatnonzero(d2 <= radius * radius)
+        near = np.flatnonzero(np.sqrt(d2) <= radius)
         near = near[np.lexsort((j[near], i[near]))]
         yield i[near], j[near], d2[near]
         at = to
@@ -189,3 +189,71 @@ def moments_within(left: DataFrame, right: DataFrame, radius: float) -> DataFram
         yield from each_left(l, r, radius, "xyz", measure, keep)
 
     return searched(left, right.select("x", "y", "z"), radius, "xyz", work, schema)
+
+
+def nearest_within(left: DataFrame, right: DataFrame, radius: float, k: int, dims: str, other: bool) -> DataFrame:
+    """The k nearest of ``right(b, ...)`` at most ``radius`` from each row of ``left(a, ...)``, ties by b: left's columns, right's, its place as ``rx`` .., ``distance`` and ``rank``."""
+    keep, rest = left.columns, [c for c in right.columns if c not in dims]
+    schema = T.StructType([*left.schema.fields, *(right.schema[c] for c in rest), *(T.StructField(f"r{c}", T.DoubleType()) for c in dims), T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+
+    def work(l: pa.Table, r: pa.Table) -> Iterator[pa.Table]:
+        own, there = places(l, dims), places(r, dims)
+        for i, j, d2 in close_pairs(own, there, radius):
+            at, rank = first_k(i, j, d2, k + other)
+            if other:
+                at = at[~_same(l, r, i[at], j[at])]
+                rank = np.arange(len(at)) - np.searchsorted(i[at], i[at]) + 1
+                at, rank = at[rank <= k], rank[rank <= k]
+            out = l.take(pa.array(i[at])).select(keep)
+            for c in rest:
+                out = out.append_column(c, r.column(c).take(pa.array(j[at])))
+            yield _with(out, {f"r{c}": there[j[at], n] for n, c in enumerate(dims)} | {"distance": np.sqrt(d2[at]), "rank": rank.astype(np.int32)})
+
+    return searched(left, right, radius, dims, work, schema, order="b")
+
+
+def _same(l: pa.Table, r: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j are one: a equals b."""
+    return pc.fill_null(pc.equal(l.column("a").take(pa.array(i)), r.column("b").take(pa.array(j))), False).to_numpy(zero_copy_only=False) if len(i) else np.zeros(0, bool)
+
+
+def mean_distances(left: DataFrame, right: DataFrame, radius: float, k: int) -> DataFrame:
+    """``left(a, x, y, z)`` with ``n``, how many of the k nearest others are within ``radius``, and ``d``, the mean of their distances."""
+    schema = T.StructType([*left.schema.fields, T.StructField("n", T.LongType()), T.StructField("d", T.DoubleType())])
+    keep = left.columns
+
+    def work(l: pa.Table, r: pa.Table) -> Iterator[pa.Table]:
+        done = 0
+
+        def measure(i: np.ndarray, j: np.ndarray, d2: np.ndarray, n: int) -> dict:
+            nonlocal done
+            at, _ = first_k(i, j, d2, k + 1)
+            at = at[~_same(l, r, i[at] + done, j[at])]
+            done += n
+            rank = np.arange(len(at)) - np.searchsorted(i[at], i[at])
+            at = at[rank < k]
+            many = np.bincount(i[at], minlength=n)
+            return {"n": many, "d": pa.array(np.bincount(i[at], np.sqrt(d2[at]), n) / np.maximum(many, 1), mask=many == 0)}
+
+        yield from each_left(l, r, radius, "xyz", measure, keep)
+
+    return searched(left, right, radius, "xyz", work, schema, order="b")
+
+
+def measured_pairs(left: DataFrame, right: DataFrame, radius: float, fields: str, measure: Callable, by: tuple[str, ...] = (), dims: str = "xyz", order: str | None = None) -> DataFrame:
+    """``left`` with what ``measure(left rows, right rows, i, j, d2)`` makes of a part's pairs: one value for each left row and field; i count left rows of the part."""
+    schema = T.StructType([*left.schema.fields, *T._parse_datatype_string(fields).fields])
+    keep = left.columns
+
+    def work(l: pa.Table, r: pa.Table) -> Iterator[pa.Table]:
+        done = 0
+
+        def part(i: np.ndarray, j: np.ndarray, d2: np.ndarray, n: int) -> dict:
+            nonlocal done
+            rows = l.slice(done, n)
+            done += n
+            return measure(rows, r, i, j, d2)
+
+        yield from each_left(l, r, radius, dims, part, keep)
+
+    return searched(left, right, radius, dims, work, schema, by, order)

@@ -1,14 +1,22 @@
-"""Neighbourhood operators. Pairs within a radius come from an equal-key join: cells as wide as the radius, one side spread over the 27 cells around it."""
+"""Neighbourhood operators.
+
+What is asked of dense clouds (counts, sums, the k nearest, clusters) is found inside tasks, block by block; pairs that are wanted themselves
+come from an equal-key join: cells as wide as the radius, one side spread over the 27 cells around it.
+"""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from . import blocks as bl
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -66,8 +74,7 @@ def k_nearest(left: DataFrame, right: DataFrame, k: int, reach: float | None = N
     box = left.select(*dims).unionByName(right.select(*dims)).agg(*(x for c in dims for x in (F.min(c), F.max(c)))).first()
     wide = sum((box[2 * i + 1] - box[2 * i]) ** 2 for i in range(len(dims)) if box[0] is not None) ** 0.5
     while True:
-        pairs = radius_pairs(todo, right, reach, dims)
-        near = nearest(pairs.filter("a <> b") if other else pairs, k)
+        near = bl.nearest_within(todo, right, reach, k, dims, other)
         if reach >= wide:
             return near if found is None else found.unionByName(near)
         near = cut_lineage(near)
@@ -91,15 +98,29 @@ def _ab(points: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 def clean_radius(points: DataFrame, radius: float = 0.05, least: int = 2, key: str = "point_id") -> DataFrame:
     """Points with at least so many others within the radius."""
-    a, b = _ab(points, key)
-    n = radius_pairs(a, b, radius).filter("a <> b").groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    a, _ = _ab(points, key)
+    # A point is within the radius of itself.
+    n = bl.counts_within(a, a, radius).filter(F.col("n") > least)
     return points.join(n.select(F.col("a").alias(key)), key, "left_semi")
 
 
 def clean_sor(points: DataFrame, k: int = 8, deviations: float = 1.0, key: str = "point_id") -> DataFrame:
     """Statistical outlier removal: mean distance to the k nearest others, however far, at most the cloud's mean plus deviations."""
     a, b = _ab(points, key)
-    near = cut_lineage(k_nearest(a, b, k, other=True).groupBy("a").agg(F.avg("distance").alias("d")))
+    a, b = cut_lineage(a), cut_lineage(b)
+    reach, near, todo = usual_reach(b, k), None, a
+    box = b.agg(*(x for c in "xyz" for x in (F.min(c), F.max(c)))).first()
+    wide = sum((box[2 * i + 1] - box[2 * i]) ** 2 for i in range(3) if box[0] is not None) ** 0.5
+    while True:
+        # Points that lack k others within the reach are searched again with twice as wide a one.
+        got = cut_lineage(bl.mean_distances(todo, b, reach, k))
+        done = got if reach >= wide else got.filter(F.col("n") >= k)
+        near = done if near is None else near.unionByName(done)
+        todo = got.filter(F.col("n") < k).select("a", "x", "y", "z")
+        if reach >= wide or todo.isEmpty():
+            break
+        reach *= 2
+    near = near.filter("d IS NOT NULL")
     limit = near.agg((F.avg("d") + deviations * F.stddev_pop("d")).alias("limit"))
     good = near.crossJoin(F.broadcast(limit)).filter("d <= limit")  # one row
     return points.join(good.select(F.col("a").alias(key)), key, "left_semi")
@@ -130,8 +151,8 @@ def eigenvalues() -> tuple[Column, Column, Column]:
 
 def shape_features(points: DataFrame, radius: float = 0.06, least: int = 8, key: str = "point_id") -> DataFrame:
     """Linearity, planarity and scatter of each point's neighbourhood (itself included)."""
-    a, b = _ab(points, key)
-    t = covariance(radius_pairs(a, b, radius)).filter(F.col("n") >= least)
+    a, _ = _ab(points, key)
+    t = bl.moments_within(a, a, radius).filter(F.col("n") >= least)
     e1, e2, e3 = eigenvalues()
     t = t.withColumns({"e1": e1, "e2": e2, "e3": e3})
     return t.select(F.col("a").alias(key), "n", F.try_divide(F.col("e1") - F.col("e2"), F.col("e1")).alias("linearity"), F.try_divide(F.col("e2") - F.col("e3"), F.col("e1")).alias("planarity"), F.try_divide(F.col("e3"), F.col("e1")).alias("scatter"))
@@ -142,11 +163,16 @@ def leaf_wood(points: DataFrame, radius: float = 0.06, linear: float = 0.6, plan
     f = shape_features(points, radius, least, key)
     wood = ((F.col("linearity") >= linear) | (F.col("planarity") >= planar)) & (F.col("scatter") <= scattered)
     out = points.drop("semantic").join(f, key, "left").withColumn("semantic", F.when(F.col("n").isNull(), 0).when(wood, 1).otherwise(4)).select(*[c for c in points.columns if c != "semantic"], "semantic")
+    kind = {1: "w", 4: "l"}
+
+    def votes(l: pa.Table, r: pa.Table, i: np.ndarray, j: np.ndarray, d2: np.ndarray) -> dict:
+        said = r.column("s").to_numpy() if r.num_rows else np.zeros(0, int)
+        return {name: np.bincount(i, said[j] == value, l.num_rows).astype(np.int64) for value, name in kind.items()}
+
     for _ in range(passes):
         a = out.select(F.col(key).alias("a"), "x", "y", "z")
-        b = out.select(F.col(key).alias("b"), "x", "y", "z", F.col("semantic").alias("s"))
-        vote = radius_pairs(a, b, radius).groupBy("a").agg(F.count_if(F.col("s") == 1).alias("w"), F.count_if(F.col("s") == 4).alias("l"))
-        out = out.join(vote.withColumnRenamed("a", key), key, "left").withColumn("semantic", F.when(F.col("semantic") == 0, 0).when(F.col("w") > F.col("l"), 1).when(F.col("l") > F.col("w"), 4).otherwise(F.col("semantic"))).drop("w", "l")
+        vote = bl.measured_pairs(a, out.select("x", "y", "z", F.col("semantic").alias("s")), radius, "w long, l long", votes).select(F.col("a").alias(key), "w", "l")
+        out = cut_lineage(out.join(vote, key, "left").withColumn("semantic", F.when(F.col("semantic") == 0, 0).when(F.col("w") > F.col("l"), 1).when(F.col("l") > F.col("w"), 4).otherwise(F.col("semantic"))).drop("w", "l"))
     return out
 
 
@@ -154,27 +180,30 @@ def m3c2(cores: DataFrame, before: DataFrame, after: DataFrame, normal_scale: fl
     """M3C2 distances: normals by PCA of ``before`` (at least 4 points, upward), mean signed distances of both epochs in a
     cylinder along them, and the level of detection, the registration error inside the 1.96."""
     a = cores.select(F.col("core").alias("a"), "x", "y", "z")
-    cov = covariance(radius_pairs(a, before.select(F.col("point_id").alias("b"), "x", "y", "z"), normal_scale / 2)).filter("n >= 4")
+    cov = bl.moments_within(a, before, normal_scale / 2).filter("n >= 4")
 
     @F.pandas_udf("struct<nx:double,ny:double,nz:double>")
     def normal(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
         m = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], axis=1).reshape(-1, 3, 3)
         v = np.linalg.eigh(m)[1][:, :, 0]
         v = np.where(v[:, 2:3] < 0, -v, v)
         return pd.DataFrame(v, columns=["nx", "ny", "nz"])
 
-    n = cov.select("a", normal("cxx", "cxy", "cxz", "cyy", "cyz", "czz").alias("v")).select("a", "v.*")
+    n = cut_lineage(cov.select("a", "x", "y", "z", normal("cxx", "cxy", "cxz", "cyy", "cyz", "czz").alias("v")).select("a", "x", "y", "z", "v.*"))
     reach = (depth ** 2 + (projection / 2) ** 2) ** 0.5
 
+    def inside(l: pa.Table, r: pa.Table, i: np.ndarray, j: np.ndarray, d2: np.ndarray) -> dict:
+        own, other, up = bl.places(l, "xyz"), bl.places(r, "xyz"), bl.places(l.select(["nx", "ny", "nz"]).rename_columns(["x", "y", "z"]), "xyz")
+        along = ((other[j] - own[i]) * up[i]).sum(1)
+        on = (np.abs(along) <= depth) & (d2 - along * along <= (projection / 2) ** 2)
+        i, along = i[on], along[on]
+        many = np.bincount(i, minlength=l.num_rows)
+        mean = np.bincount(i, along, l.num_rows) / np.maximum(many, 1)
+        spread = np.sqrt(np.bincount(i, (along - mean[i]) ** 2, l.num_rows) / np.maximum(many - 1, 1))
+        return {"n": many, "m": pa.array(mean, mask=many == 0), "s": pa.array(spread, mask=many < 2)}
+
     def side(cloud: DataFrame, name: str) -> DataFrame:
-        p = radius_pairs(a.join(n, "a"), cloud.select(F.col("point_id").alias("b"), "x", "y", "z"), reach)
-        d = [F.col(f"r{c}") - F.col(c) for c in "xyz"]
-        along = sum((x * F.col(f"n{c}") for x, c in zip(d, "xyz")), F.lit(0.0))
-        off2 = F.col("distance") * F.col("distance") - along * along
-        inside = p.withColumn("l", along).filter((F.abs(F.col("l")) <= depth) & (off2 <= (projection / 2) ** 2))
-        return inside.groupBy("a").agg(F.count("*").alias(f"n_{name}"), F.avg("l").alias(f"m_{name}"), F.stddev_samp("l").alias(f"s_{name}"))
+        return bl.measured_pairs(n, cloud.select("x", "y", "z"), reach, "n long, m double, s double", inside).filter("n > 0").select("a", F.col("n").alias(f"n_{name}"), F.col("m").alias(f"m_{name}"), F.col("s").alias(f"s_{name}"))
 
     t = n.join(side(before, "ref"), "a", "left").join(side(after, "now"), "a", "left")
     spread = F.sqrt(F.pow("s_ref", F.lit(2)) / F.col("n_ref") + F.pow("s_now", F.lit(2)) / F.col("n_now"))
@@ -215,25 +244,44 @@ def point_quality(points: DataFrame, refl_min: float = -20.0, refl_max: float =
     good = cut_lineage(p.withColumn("ok", F.coalesce(F.col("refl").between(refl_min, refl_max) & ~F.isnan("refl"), F.lit(False))))
     live = good.filter("ok").drop("ok")
     sizes = live.groupBy("tree_id").agg(F.count("*").alias("m"))
-    right = lambda d: d.select(F.col("a").alias("b"), "tree_id", "x", "y", "z", F.col("scan").alias("other"))
+    within = lambda l, i, d2: np.sqrt(d2) <= l.column("radius").to_numpy()[i]
+
+    def near_others(l: pa.Table, r: pa.Table, i: np.ndarray, j: np.ndarray, d2: np.ndarray) -> dict:
+        # A point is within its own radius.
+        return {"k": np.bincount(i[within(l, i, d2)], minlength=l.num_rows) - 1}
+
+    def near_mean(l: pa.Table, r: pa.Table, i: np.ndarray, j: np.ndarray, d2: np.ndarray) -> dict:
+        apart = d2 > 0
+        i, j, d2 = i[apart], j[apart], d2[apart]
+        at, _ = bl.first_k(i, j, d2, outlier_knn)
+        many = np.bincount(i[at], minlength=l.num_rows)
+        return {"d": pa.array(np.bincount(i[at], np.sqrt(d2[at]), l.num_rows) / np.maximum(many, 1), mask=many == 0)}
+
+    def other_scans(l: pa.Table, r: pa.Table, i: np.ndarray, j: np.ndarray, d2: np.ndarray) -> dict:
+        on = within(l, i, d2)
+        i, own, seen = i[on], l.column("scan").to_numpy()[i[on]].astype(float), r.column("scan").to_numpy()[j[on]].astype(float) if r.num_rows else np.zeros(0)
+        # Null scans are no other scans.
+        other = (own != seen) & ~np.isnan(own) & ~np.isnan(seen)
+        pairs = np.unique(np.stack([i[other], seen[other].astype(np.int64)], axis=1), axis=0)
+        return {"k": np.bincount(pairs[:, 0], minlength=l.num_rows)}
+
     if outlier_method == "density":
         reach = 4 * max(outlier_radius_min, outlier_radius_max)
-        near = nearest(radius_pairs(live, right(live), reach, by=("tree_id",)).filter("distance > 0"), outlier_knn)
-        mean = cut_lineage(near.groupBy("tree_id", "a").agg(F.avg("distance").alias("d")))
+        mean = cut_lineage(bl.measured_pairs(live.select("tree_id", "a", "x", "y", "z"), live.select("tree_id", "x", "y", "z"), reach, "d double", near_mean, by=("tree_id",)).filter("d IS NOT NULL"))
         limit = mean.groupBy("tree_id").agg((F.avg("d") + outlier_std_mult * F.stddev_pop("d")).alias("limit"))
         pass_ = mean.join(limit, "tree_id").filter("d <= limit").select("a", F.lit(True).alias("near_ok"))
         few = F.col("m") <= outlier_knn + 1
     else:
-        radius = by_stratum(outlier_radius_min, outlier_radius_max)
-        pairs = radius_pairs(live, right(live), max(outlier_radius_min, outlier_radius_max), by=("tree_id",)).filter((F.col("a") != F.col("b")) & (F.col("distance") <= radius))
-        pass_ = pairs.groupBy("a").agg(F.count("*").alias("k")).filter(F.col("k") >= outlier_min_neighbors).select("a", F.lit(True).alias("near_ok"))
+        around = live.select("tree_id", "a", "x", "y", "z", by_stratum(outlier_radius_min, outlier_radius_max).alias("radius"))
+        near = bl.measured_pairs(around, live.select("tree_id", "x", "y", "z"), max(outlier_radius_min, outlier_radius_max), "k long", near_others, by=("tree_id",))
+        pass_ = near.filter(F.col("k") >= outlier_min_neighbors).select("a", F.lit(True).alias("near_ok"))
         few = (F.col("m") <= outlier_min_neighbors) | F.lit(outlier_min_neighbors <= 0)
     stage = cut_lineage(live.join(sizes, "tree_id").join(pass_, "a", "left").withColumn("near_ok", few | F.coalesce("near_ok", F.lit(False))).drop("m"))
     left = stage.filter("near_ok").drop("near_ok")
     scans = left.groupBy("tree_id").agg(F.count("*").alias("m"), F.count_distinct("scan").alias("scans"))
     need = F.floor(by_stratum(wind_min_other_scans_low, wind_min_other_scans_high) + 0.5)
-    pairs = radius_pairs(left, right(left), max(wind_radius_min, wind_radius_max), by=("tree_id",)).filter((F.col("scan") != F.col("other")) & (F.col("distance") <= by_stratum(wind_radius_min, wind_radius_max)))
-    seen = pairs.groupBy("a").agg(F.count_distinct("other").alias("k"))
+    around = left.select("tree_id", "a", "x", "y", "z", "scan", by_stratum(wind_radius_min, wind_radius_max).alias("radius"))
+    seen = bl.measured_pairs(around, left.select("tree_id", "x", "y", "z", "scan"), max(wind_radius_min, wind_radius_max), "k long", other_scans, by=("tree_id",)).select("a", "k")
     wind = left.join(scans, "tree_id").join(seen, "a", "left").select("a", ((F.col("m") > 3) & (F.col("scans") > 1) & (F.coalesce("k", F.lit(0)) < need)).alias("wind"))
     verdict = good.select("a", "ok").join(stage.select("a", "near_ok"), "a", "left").join(wind, "a", "left")
     label = F.when(~F.col("ok"), REFLECTANCE).when(~F.col("near_ok"), OUTLIER).when(F.col("wind"), WIND).otherwise(KEPT)
@@ -260,15 +308,48 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def dbscan(points: DataFrame, eps: float, least: int, key: str = "point_id") -> DataFrame:
-    """``(point_id, cluster)``: core points have ``least`` points within eps (themselves included), border points join a core's cluster (its smallest)."""
-    a, b = _ab(points, key)
-    pairs = cut_lineage(radius_pairs(a, b, eps).select("a", "b"))
-    core = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("a").alias("core"))
-    links = pairs.join(core, pairs.a == core.core, "left_semi").join(core.withColumnRenamed("core", "other"), F.col("b") == F.col("other"), "left_semi")
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    member = pairs.join(roots, pairs.b == roots.node).groupBy("a").agg(F.min("root").alias("border"))
-    own = roots.select(F.col("node").alias("a"), F.col("root").alias("own"))
-    return member.join(own, "a", "left").select(F.col("a").alias(key), F.coalesce("own", "border").alias("cluster"))
+    """``(point_id, cluster)``: core points have ``least`` points within eps (themselves included), border points join a core's cluster (its smallest).
+
+    Core points of a block are joined in the task that sees it; what leaves it is one link for each of them to the block's smallest, and
+    blocks meet in the points of their halos.
+    """
+    a, _ = _ab(points, key)
+    dense = cut_lineage(bl.counts_within(a, a, eps).withColumn("core", F.col("n") >= least).drop("n"))
+    core = dense.filter("core").select("a", "x", "y", "z")
+    kind = dict(core.dtypes)["a"]
+
+    def linked(l: pa.Table, r: pa.Table) -> Iterator[pa.Table]:
+        from silvaquery.operators.cuts import connected
+
+        # Every left row is among the right ones too; halo rows are linked as far as the block sees it.
+        where, label = bl.places(r, "xyz"), np.arange(r.num_rows)
+        for i, j, _ in bl.close_pairs(where, where, eps):
+            u, v = label[i], label[j]
+            differ = u != v
+            if differ.any():
+                label = connected(len(label), u[differ], v[differ])[label]
+        loose = np.flatnonzero(label != np.arange(len(label)))
+        names = r.column("b")
+        yield pa.table({"u": names.take(pa.array(loose)), "v": names.take(pa.array(label[loose]))})
+
+    links = bl.searched(core, core.withColumnRenamed("a", "b"), eps, "xyz", linked, f"u {kind}, v {kind}", order="b")
+    roots = components(links)
+    named = cut_lineage(core.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("cluster", F.coalesce("root", "a")).drop("root"))
+
+    def smallest(l: pa.Table, r: pa.Table, i: np.ndarray, j: np.ndarray, d2: np.ndarray) -> dict:
+        first = np.full(l.num_rows, r.num_rows)
+        np.minimum.at(first, i, j)
+        got = np.flatnonzero(first < r.num_rows)
+        at = np.full(l.num_rows, -1)
+        at[got] = first[got]
+        return {"cluster": r.column("cluster").take(pa.array(at, mask=at < 0)).combine_chunks() if r.num_rows else pa.nulls(l.num_rows, dict_type)}
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    dict_type = to_arrow_type(core.schema["a"].dataType)
+    # Right rows are sorted by cluster, so the first one near is the smallest.
+    border = bl.measured_pairs(dense.filter("NOT core").drop("core"), named.select("x", "y", "z", "cluster"), eps, f"cluster {kind}", smallest, order="cluster")
+    return named.select(F.col("a").alias(key), "cluster").unionByName(border.filter("cluster IS NOT NULL").select(F.col("a").alias(key), "cluster"))
 
 
 def match_positions(a: DataFrame, b: DataFrame, radius: float, method: str = "optimal") -> DataFrame:
