@@ -16,8 +16,8 @@ and returns only candidates that reach s. The best k of those are the answer.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components (or such that overflow when scaled) take no part, nor do rows
 with a null id; zero vectors do; vectors of other lengths than one another are compared as if padded with zeros;
-a repeated row counts once, and an id with several vectors is a candidate with each, but never of a query with that id; fewer than k
-candidates give fewer rows; an empty table gives an empty result; other columns are not read. Scores are ranked as they are;
+repeated rows are candidates, and queries, of their own (their number stands beside the distinct row), and an id with several vectors is a candidate with
+each, but never of a query with that id; results of queries with one id are ranked together; fewer than k candidates give fewer rows; an empty table gives an empty result; other columns are not read. Scores are ranked as they are;
 those beyond 64 bits are shown as the nearest 64-bit number.
 """
 
@@ -73,25 +73,26 @@ def _padded(x: np.ndarray, dims: int) -> np.ndarray:
 class Run:
     """Candidates of one run, by descending length, with their rotated partial sums."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, basis: np.ndarray, lead: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, basis: np.ndarray, lead: int, copies: np.ndarray | None = None):
         with np.errstate(all="ignore"):
             length = np.sqrt((vectors * vectors).sum(1))
             order = np.lexsort((ids, -length))
             self.ids, self.vectors, self.length = ids[order], vectors[order], length[order]
+            self.copies = np.ones(len(ids), np.int64) if copies is None else copies[order]
             # Where a component is beyond 64 bits its pairs are never counted so.
             self.whole = self.vectors.astype(np.int64)
             turned = self.vectors @ basis
             self.front, self.lead = turned[:, :lead], lead
             self.rest = np.sqrt((turned[:, lead:] ** 2).sum(1))
 
-    def best(self, query_ids: np.ndarray, queries: np.ndarray, basis: np.ndarray, floor: np.ndarray, k: int, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, candidate id, score) of at most k candidates per query that reach ``floor``; ties by smaller id."""
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, basis: np.ndarray, floor: np.ndarray, k: int, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, candidate id, score, copies of the candidate) of at most k distinct candidates per query that reach ``floor``; ties by smaller id."""
         with np.errstate(all="ignore"):
             size = np.sqrt((queries * queries).sum(1))
             turned = queries @ basis
             front, rest = turned[:, :self.lead], np.sqrt((turned[:, self.lead:] ** 2).sum(1))
             bar, whole = floor.copy(), queries.astype(np.int64)
-            kept_q, kept_id, kept_s = (np.zeros(0, np.int64) for _ in range(3))
+            kept_q, kept_id, kept_s, kept_n = (np.zeros(0, np.int64) for _ in range(4))
             for at in range(0, len(self.ids), block):
                 slack = 1e-6 * (1 + size * self.length[at])
                 ceiling = size * self.length[at] + slack
@@ -111,14 +112,14 @@ class Run:
                     score = score.astype(object)
                     score[wide] = exact_products(queries[qi[wide]], self.vectors[ci[wide]])
                 reach = below(score) >= bar[qi]
-                q, i, s = np.concatenate((kept_q, qi[reach])), np.concatenate((kept_id, self.ids[ci[reach]])), np.concatenate((kept_s, score[reach]))
+                q, i, s, n = np.concatenate((kept_q, qi[reach])), np.concatenate((kept_id, self.ids[ci[reach]])), np.concatenate((kept_s, score[reach])), np.concatenate((kept_n, self.copies[ci[reach]]))
                 order = np.array(sorted(range(len(q)), key=lambda t: (q[t], -s[t], i[t])), np.int64) if s.dtype == object else np.lexsort((i, -s, q))
-                q, i, s = q[order], i[order], s[order]
+                q, i, s, n = q[order], i[order], s[order], n[order]
                 place = np.arange(len(q)) - np.searchsorted(q, q)
-                kept_q, kept_id, kept_s = (v[place < k] for v in (q, i, s))
+                kept_q, kept_id, kept_s, kept_n = (v[place < k] for v in (q, i, s, n))
                 full = place == k - 1
                 bar[q[full]] = np.maximum(bar[q[full]], below(s[full]))
-        return kept_q, kept_id, kept_s
+        return kept_q, kept_id, kept_s, kept_n
 
 
 def shown(score: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -140,9 +141,10 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_
         return df.filter(ok).select(F.col(vec_id).cast("long").alias("id"), quantised(v, scale).alias("v"))
 
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    all_rows = written(sound(vectors).distinct().withColumn("len2", square), "topk-candidates")
+    counted = lambda df: sound(df).groupBy("id", "v").agg(F.count(F.lit(1)).alias("copies"))
+    all_rows = written(counted(vectors).withColumn("len2", square), "topk-candidates")
     query_path = new_path(spark, "topk-queries")
-    asked = written(sound(queries).distinct(), "topk-asked")
+    asked = written(counted(queries), "topk-asked")
     n = all_rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -164,15 +166,15 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 x = _padded(to_matrix(part.column("v")), dims)
-                q, _, s = run.best(part.column("id").to_numpy(), x, basis, np.full(len(x), -np.inf), k)
+                q, _, s, _ = run.best(part.column("id").to_numpy(), x, basis, np.full(len(x), -np.inf), k)
                 low = np.full(len(x), -np.inf)
                 count = np.bincount(q, minlength=len(x))
                 least = np.full(len(x), np.inf)
                 np.minimum.at(least, q, below(s))
                 low[count >= k] = least[count >= k]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(low)], names=["id", "v", "low"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(low)], names=["id", "v", "copies", "low"])
 
-    asked.mapInArrow(first, "id long, v array<double>, low double").write.parquet(query_path)
+    asked.mapInArrow(first, "id long, v array<double>, copies long, low double").write.parquet(query_path)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import dataset, fs
@@ -181,14 +183,16 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_
         if not held:
             return
         t = pa.Table.from_batches(held).combine_chunks()
-        run = Run(t.column("id").to_numpy(), _padded(to_matrix(t.column("v").chunk(0)), dims), basis, lead)
+        run = Run(t.column("id").to_numpy(), _padded(to_matrix(t.column("v").chunk(0)), dims), basis, lead, t.column("copies").to_numpy())
         store, base = fs.FileSystem.from_uri(query_path)
         for part in dataset.dataset(base, filesystem=store, format="parquet").to_batches(batch_size=BLOCK):
             if part.num_rows:
                 ids = part.column("id").to_numpy()
-                q, i, s = run.best(ids, _padded(to_matrix(part.column("v")), dims), basis, part.column("low").to_numpy(), k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(i), *shown(s)], names=["query_id", "vec_id", "score", "wide"])
+                q, i, s, n = run.best(ids, _padded(to_matrix(part.column("v")), dims), basis, part.column("low").to_numpy(), k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(i), *shown(s), pa.array(np.minimum(n * part.column("copies").to_numpy()[q], k))], names=["query_id", "vec_id", "score", "wide", "copies"])
 
-    found = all_rows.select("id", "v").mapInArrow(rest, "query_id long, vec_id long, score long, wide binary")
+    found = all_rows.select("id", "v", "copies").mapInArrow(rest, "query_id long, vec_id long, score long, wide binary, copies long")
+    # More than k copies never show.
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("wide"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

@@ -586,8 +586,9 @@ def test_topk_against_brute_force(spark, monkeypatch):
     for r in topk.top_inner_products(d, d.filter("vec_id % 100 = 0")).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     q = np.floor(x * 1024).astype(int)
-    ids = [*range(260), 600]
-    q = np.vstack([q, np.zeros((1, 12), int)])
+    # The repeated row of 3 is a candidate twice.
+    ids = [*range(260), 3, 600]
+    q = np.vstack([q, q[3:4], np.zeros((1, 12), int)])
     assert sorted(got) == [0, 100, 200, 600]
     for k, found in got.items():
         s = q @ q[ids.index(k)]
@@ -598,6 +599,21 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert topk.top_inner_products(few, few.filter("vec_id = 100")).count() == 2
 
 
+def test_topk_of_repeated_rows_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.integers(-3, 4, 4)]) for i in (0, 0, 1, 1, 1, 2, 3, 3, 100, 100, 7, 7, 200)]
+    rows += [rows[0], rows[2], rows[2], rows[6]]
+    got = sorted(tuple(r) for r in topk.top_inner_products(*(spark.createDataFrame(x, "vec_id long, embedding array<float>") for x in (rows, [r for r in rows if r[0] % 100 == 0]))).collect())
+    embeddings = pd.DataFrame(rows, columns=["vec_id", "embedding"])  # noqa: F841
+    from silvaquery.llm.queries import TOPK
+
+    want = sorted(duckdb.sql(TOPK.replace("FROM embeddings", "FROM (SELECT vec_id, CAST(embedding AS FLOAT[]) AS embedding FROM embeddings)")).fetchall())
+    assert got == want
+
+
 def test_topk_of_very_large_components(spark):
     rng = np.random.default_rng(15)
     x = rng.normal(size=(120, 6)) * 10.0 ** rng.choice([0, 4, 8, 30, 160], (120, 1))
@@ -750,3 +766,31 @@ def test_sum_of_squares_places_as_stated():
             options[h] = total(c)
         p.place(i, np.zeros(s, "<u4"))
         assert total(p.counts) == min(options.values())
+
+
+@pytest.mark.parametrize("n", [100, 300])
+@pytest.mark.parametrize("kind", ["thoughts", "window"])
+def test_chat_sections_of_templates_that_probes_misjudge(spark, kind, n):
+    """Sections, put together, are the whole rendering, whatever the template does with texts or from some turn on."""
+
+    def without_thoughts(turns):
+        """A common template: thoughts of the assistant are dropped from turns before the last user turn."""
+        import re
+
+        last = max((i for i, (r, _) in enumerate(turns) if r == "user"), default=-1)
+        return "".join(f"<{r}>{re.sub('<think>.*?</think>', '', t) if r == 'assistant' and i < last else t}</{r}>\n" for i, (r, t) in enumerate(turns))
+
+    template = without_thoughts if kind == "thoughts" else lambda turns: "".join(f"<{r}>{t}</{r}>\n" for r, t in turns[-150:])
+    said = [(("user", "assistant")[i % 2], f"<think>t{i}</think>a{i}" if i % 2 else f"q{i}") for i in range(n)]
+    short = [("user", "x"), ("assistant", "<think>b</think>y")]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(said)] + [(None, i, r, t) for i, (r, t) in enumerate(said[:n // 2])] + [(2, i, r, t) for i, (r, t) in enumerate(short)]
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template).collect()
+    for conv, turns in ((1, said), (None, said[:n // 2]), (2, short)):
+        own = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.section)
+        assert "".join(r.formatted for r in own) == template(turns)
+        assert all(0 <= x.start <= x.end <= len(r.formatted) for r in own for x in [*r.spans, *r.mask])
+        if kind == "thoughts" and conv != 2:
+            # Each answer that is still there, in order.
+            answers = [r.formatted[m.start:m.end] for r in own for m in r.mask]
+            last = max(i for i, (r, _) in enumerate(turns) if r == "user")
+            assert answers == [t if i > last else f"a{i}" for i, (r, t) in enumerate(turns) if r == "assistant"]
