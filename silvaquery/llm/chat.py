@@ -15,9 +15,11 @@ can write a control string.
 Long conversations: prefixes would cost the square of their length, so a conversation is cut into
 sections of ``section`` turns, each rendered after the last turn of the one before as context. Sections are made and
 rendered in any task, so neither one long conversation nor many rows without an id are one task's. This is right
-for templates whose output for a turn depends on that turn and the one before it only, which is
-probed first, over more than two sections of turns; ``local`` says so for templates that the probes misjudge. For any other
-template, sections are switched off and whole prefixes are rendered. Digests are of whole conversations by definition, and stream.
+for templates whose output for a turn depends on that turn and the one before it only. The production template is known to be such
+(``local=True``). Another template is probed first; one that fails is rendered in whole prefixes. Probes can't see what a
+template does with texts, so where they find nothing, each conversation of several sections is also rendered once as a whole, and one whose
+sections, put together, differ from that, or rewrite turns of the section before, is rendered again in whole prefixes. Digests are of whole
+conversations by definition, and stream.
 
 Defined cases: null text is empty, null role is an empty role; a null turn comes first, turns that tie are
 ordered by role, then text; a null conv_id is a conversation of its own; repeated rows are turns of their
@@ -31,10 +33,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import turns as order_of_turns
 from .common import written
 
 Turns = list[tuple[str, str]]
@@ -137,30 +139,45 @@ def render(template: Template, turns: Turns, context: Turns = [], marked_role: s
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``number``: each turn's place in its conversation, from 0.
+    """``rows`` with ``number``: each turn's place in its conversation, from 0."""
+    n = order_of_turns.numbered(rows, "chat-turns")
+    return n.select(*order_of_turns.ORDER, F.explode(F.sequence(F.col("number"), F.col("number") + F.col("copies") - 1)).alias("number"))
 
-    Ranges of the sort order are numbered apart, and a conversation that begins before its range is shifted by what it has there.
-    """
-    order = ["conv_id", "turn", "role", "text", "salt"]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, n = TaskContext.get().partitionId(), (), 0
-        for batch in batches:
-            at = []
-            for c in batch.column(0).to_pylist():
-                n = n + 1 if (c,) == last else 0
-                last = (c,)
-                at.append(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64())], names=[*order[:4], "part", "nth"])
-
-    # Rows alike in all that orders them may be dealt anyhow.
-    dealt = rows.withColumn("salt", F.rand(7)).repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = written(dealt.mapInArrow(count, "conv_id long, turn long, role string, text string, part int, nth long"), "chat-turns")
-    sizes = parts.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
-    before = sizes.select("conv_id", "part", (F.sum("n").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("n")).alias("before")).filter("before > 0")
-    # At most one conversation of a range begins before it, so this has no more rows than there are ranges.
-    shift = F.broadcast(before.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "before"))
-    return parts.join(shift, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left").select(*order[:4], (F.col("nth") + F.coalesce("before", F.lit(0))).alias("number"))
+
+def strayed(formatted: DataFrame, rows: DataFrame, template: Template) -> DataFrame:
+    """``conv_id`` of conversations of several sections that, put together, are not what the template makes of the whole, or whose spans leave their section."""
+    several = formatted.filter("section > 0").select("conv_id").distinct().select(F.col("conv_id").alias("c"))
+    mine = lambda df: df.join(several, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
+    none = lambda **kinds: [F.lit(None).cast(t).alias(n) for n, t in kinds.items()]
+    early = F.exists(F.concat("spans", "mask"), lambda x: x["start"] < 0)
+    both = mine(formatted).select("conv_id", F.col("section").alias("at"), F.lit(True).alias("made"), "formatted", early.alias("early"), *none(role="string", text="string"))
+    both = both.unionByName(mine(rows).select("conv_id", F.col("number").alias("at"), F.lit(False).alias("made"), *none(formatted="string", early="boolean"), "role", "text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[int | None]:
+            conv, said, begun, want, wrong = None, [], False, None, False
+            for batch in batches:
+                for c, made, text, early, role, said_text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "made", "formatted", "early", "role", "text"))):
+                    if not begun or c != conv:
+                        if begun and (wrong or want):
+                            yield conv
+                        conv, said, begun, want, wrong = c, [], True, None, False
+                    if not made:
+                        said.append((role or "", said_text or ""))
+                        continue
+                    # Turns come before sections; the whole is compared piece by piece.
+                    if want is None:
+                        want, said = template(said), []
+                    wrong |= bool(early) or not want.startswith(text)
+                    want = want[len(text):]
+            if begun and (wrong or want):
+                yield conv
+
+        got = list(found())
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], names=["conv_id"])
+
+    return both.repartition("conv_id").sortWithinPartitions("conv_id", "made", "at").mapInArrow(run, "conv_id long")
 
 
 def format_conversations(rows: DataFrame, template: Template = marked_turns, section: int = 64, marked_role: str = "assistant", local: bool | None = None) -> DataFrame:
@@ -168,6 +185,7 @@ def format_conversations(rows: DataFrame, template: Template = marked_turns, sec
 
     Spans count code points from the beginning of the section's output; sections in order make up the whole output.
     """
+    unsure = local is None
     local = is_local(template, 2 * section + 12) if local is None else local
     fields = "conv_id long, section long, formatted string, spans array<struct<start:long,end:long>>, mask array<struct<start:long,end:long>>, rewritten boolean"
 
@@ -201,14 +219,20 @@ def format_conversations(rows: DataFrame, template: Template = marked_turns, sec
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held), kinds)], names=names)
 
     rows = numbered(rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"))
-    if local:
-        # A section's last turn goes to the next one too, as its context.
-        own = F.floor(F.col("number") / section).cast("long")
-        both = F.array(F.struct(own.alias("section"), F.lit(False).alias("lead")), F.struct((own + 1).alias("section"), F.lit(True).alias("lead")))
-        rows = rows.withColumn("s", F.explode(F.when(F.col("number") % section == section - 1, both).otherwise(F.slice(both, 1, 1)))).select("conv_id", "s.section", "s.lead", "number", "role", "text")
-    else:
-        rows = rows.select("conv_id", F.lit(0).cast("long").alias("section"), F.lit(False).alias("lead"), "number", "role", "text")
-    return rows.repartition("conv_id", "section").sortWithinPartitions("conv_id", "section", "number").mapInArrow(run, fields)
+    whole = lambda df: df.select("conv_id", F.lit(0).cast("long").alias("section"), F.lit(False).alias("lead"), "number", "role", "text")
+    rendered = lambda df: df.repartition("conv_id", "section").sortWithinPartitions("conv_id", "section", "number").mapInArrow(run, fields)
+    if not local:
+        return rendered(whole(rows))
+    # A section's last turn goes to the next one too, as its context.
+    own = F.floor(F.col("number") / section).cast("long")
+    both = F.array(F.struct(own.alias("section"), F.lit(False).alias("lead")), F.struct((own + 1).alias("section"), F.lit(True).alias("lead")))
+    cut = rows.withColumn("s", F.explode(F.when(F.col("number") % section == section - 1, both).otherwise(F.slice(both, 1, 1)))).select("conv_id", "s.section", "s.lead", "number", "role", "text")
+    if not unsure:
+        return rendered(cut)
+    made = written(rendered(cut), "chat-sections")
+    wrong = written(strayed(made, rows, template), "chat-strayed").select(F.col("conv_id").alias("c"))
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    return made.join(wrong, same, "left_anti").unionByName(rendered(whole(rows.join(wrong, same, "left_semi"))))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -251,4 +275,4 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def formatted_digests(rows: DataFrame) -> DataFrame:
-    return digests(written(format_conversations(rows), "chat"))
+    return digests(written(format_conversations(rows, local=True), "chat"))
