@@ -57,14 +57,18 @@ def written(df: DataFrame, tag: str, batch_rows: int | None = None, large: bool
     path = new_path(spark, tag)
     with small_batches(spark, batch_rows) if batch_rows else nullcontext():
         df.write.options(**(LARGE_ROWS if large else {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
 def forget(df: DataFrame) -> None:
-    """Delete the files of a table that ``written`` made, once nothing will read it again; shuffles that made it are let go as well."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        store, where = hadoop_path(df.sparkSession, folder)
-        store.delete(where, True)
+    """Delete the files of a table that ``written`` made, once nothing will read it again (any other table is left alone); shuffles that made it are let go as well."""
+    folder = getattr(df, "written_to", None)
+    if folder is None:
+        return
+    store, where = hadoop_path(df.sparkSession, folder)
+    store.delete(where, True)
     # Spark deletes a shuffle's files when the driver's collector finds nothing that refers to it.
     df.sparkSession.sparkContext._jvm.System.gc()
 

@@ -172,12 +172,14 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dims: int
 
 
 def fit_sample(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 1200, sample_rows: int = 60_000, most_languages: int = 1000) -> Model | None:
-    """Train on a bounded sample of the rows where ``usable`` and a label is there."""
+    """Train on a bounded sample of the rows where ``usable`` and a label is there. More labels than ``most_languages``, which bounds the model, are an error: none is left out."""
     rows = docs.filter(F.coalesce(usable, F.lit(False)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages + 1).collect()}
     if not counts:
         return None
-    each = min(per_language, sample_rows // len(counts))
+    if len(counts) > most_languages:
+        raise ValueError(f"there are more than {most_languages} languages; most_languages may allow for them")
+    each = max(1, min(per_language, sample_rows // len(counts)))
     wanted = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))))
     drawn = drawn_at_most(rows.filter(hash_share("doc_id", "text") < wanted[F.col("lang")]), 2 * sample_rows, "langid-sample").orderBy("doc_id", "text").toArrow()
     return train(drawn.column("text").to_pylist(), drawn.column("lang").to_pylist())

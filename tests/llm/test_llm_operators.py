@@ -794,3 +794,24 @@ def test_chat_sections_of_templates_that_probes_misjudge(spark, kind, n):
             answers = [r.formatted[m.start:m.end] for r in own for m in r.mask]
             last = max(i for i, (r, _) in enumerate(turns) if r == "user")
             assert answers == [t if i > last else f"a{i}" for i, (r, t) in enumerate(turns) if r == "assistant"]
+
+
+def test_forget_deletes_only_what_was_written(spark, tmp_path):
+    from silvaquery.llm.common import forget, written
+
+    spark.range(5).write.parquet(f"{tmp_path}/own")
+    own = spark.read.parquet(f"{tmp_path}/own")
+    made = written(own, "test-forget")
+    assert made.count() == 5
+    forget(made)
+    forget(own)
+    assert own.count() == 5
+    with pytest.raises(Exception):
+        made.count()
+
+
+def test_too_many_languages_are_an_error(spark):
+    d = spark.createDataFrame([(i, f"text number {i}", f"l{i % 7}") for i in range(70)], "doc_id long, text string, lang string")
+    assert len(langid.fit_sample(d, F.lit(True), most_languages=7).languages) == 7
+    with pytest.raises(ValueError, match="more than 6 languages"):
+        langid.fit_sample(d, F.lit(True), most_languages=6)
