@@ -163,6 +163,27 @@ def normalize(points: DataFrame, size: float = 0.5) -> DataFrame:
     return keyed.join(dtm, ["col", "row"], "left").withColumn("hag", F.col("z") - F.col("dtm")).drop("col", "row", "dtm")
 
 
+def ground_model(points: DataFrame, size: float = 0.5, k: int = 4) -> DataFrame:
+    """``(col, row, dtm, filled)`` for every cell that holds a point: the lowest ground point, else the mean of the k nearest cells that have one, by nearness.
+
+    So crowns over cells that no ground was seen in stand on the ground around; without any ground point at all there are no rows.
+    """
+    from . import neighbours as ne
+
+    cells = points.groupBy(S.cell(F.col("x"), size).alias("col"), S.cell(F.col("y"), size).alias("row")).agg(F.min(F.when(F.col("cls") == 2, F.col("z"))).alias("dtm"))
+    cells = ne.cut_lineage(cells.withColumns({"x": (F.col("col") + 0.5) * size, "y": (F.col("row") + 0.5) * size}))
+    known = cells.filter("dtm IS NOT NULL")
+    near = ne.k_nearest(cells.filter("dtm IS NULL").select(F.struct("col", "row").alias("a"), "x", "y"), known.select(F.struct("col", "row").alias("b"), "dtm", "x", "y"), k, dims="xy")
+    gaps = near.groupBy("a").agg((F.sum(F.col("dtm") / F.col("distance")) / F.sum(1 / F.col("distance"))).alias("dtm"))
+    return known.select("col", "row", "dtm", F.lit(False).alias("filled")).unionByName(gaps.select("a.col", "a.row", "dtm", F.lit(True).alias("filled")))
+
+
+def normalize_filled(points: DataFrame, size: float = 0.5) -> DataFrame:
+    """``hag`` above the ground model with its gaps filled; null only where the cloud has no ground."""
+    keyed = points.withColumns({"col": S.cell(F.col("x"), size), "row": S.cell(F.col("y"), size)})
+    return keyed.join(ground_model(points, size).drop("filled"), ["col", "row"], "left").withColumn("hag", F.col("z") - F.col("dtm")).drop("col", "row", "dtm")
+
+
 def sampled(points: DataFrame, grid: DataFrame, size: float, value: str, name: str) -> DataFrame:
     """``points`` with ``name``: the grid's value between the centres of the four cells around (bilinear); null where one is missing.
 

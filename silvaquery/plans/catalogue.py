@@ -30,6 +30,7 @@ from ..operators import registration as rg
 from ..operators import segmentation as sg
 from ..operators import trees as tr
 from ..sources import formats as fm
+from ..sources import scans as sc
 
 OPS: dict[str, Callable] = {}
 
@@ -144,7 +145,7 @@ def store_points(spark: SparkSession, points: DataFrame, octree_dir: str, **meta
 
 def heights_of(spark: SparkSession, octree_dir: str, cell: float = 0.5) -> DataFrame:
     p = points_of(spark, octree_dir)
-    return p if "hag" in p.columns else po.normalize(p, cell).withColumn("hag", F.coalesce("hag", F.lit(0.0)))
+    return p if "hag" in p.columns else po.normalize_filled(p, cell)
 
 
 def trees_of(spark: SparkSession, octree_dir: str, bh_low: float = 1.2, bh_high: float = 1.4, crown_cell: float = 0.25, dtm_cell: float = 0.5, merge_stems: bool = True) -> DataFrame:
@@ -262,11 +263,8 @@ def _(spark, octree_dir: str):
 
 @op("dataset.realignToSource")
 def _(spark, las_path: str, octree_dir: str):
-    import struct
-
-    head = bytes(spark.read.format("binaryFile").load(las_path).select(F.substring("content", 1, 227)).first()[0])
-    scale, off = struct.unpack_from("<d", head, 131)[0], struct.unpack_from("<3d", head, 155)
-    return store_points(spark, po.realign(points_of(spark, octree_dir), scale, off), octree_dir)
+    layout = sc.las_layout(sc.read_bytes(sc.files_of(spark, las_path)[0][0], 0, 375))
+    return store_points(spark, po.realign(points_of(spark, octree_dir), layout["scale"][0], layout["offset"]), octree_dir)
 
 
 @op("dataset.setCrs")
@@ -320,9 +318,12 @@ def _(spark, source_path: str, format: str | None = None, name: str | None = Non
     kind = format or source_path.rsplit(".", 1)[-1].lower()
     if kind == "e57":
         raise ValueError("no decoder for E57 here")
-    entry = {"id": uuid.uuid4().hex[:8], "format": kind, "name": name or source_path.rsplit("/", 1)[-1], "path": source_path, "mapping": None, "poses": {}}
-    save(where, "scans", [*scans, entry])
-    return entry
+    own = name or source_path.rsplit("/", 1)[-1]
+    entry = lambda **more: {"id": uuid.uuid4().hex[:8], "format": kind, "name": own, "path": source_path, "mapping": None, "poses": {}} | more
+    # Each scan of a PTX file is a scan position with the pose that the file gives it.
+    new = [entry(name=f"{own} {s['number']}", section=s["number"], poses={"pose": s["pose"]}) for s in sc.ptx_scans(spark, source_path)[0]] if kind == "ptx" else [entry()]
+    save(where, "scans", [*scans, *new])
+    return new if kind == "ptx" else new[0]
 
 
 @op("preprocess.remove")
@@ -349,7 +350,14 @@ def _scan_points(spark, project_folder: str | None, id: str) -> DataFrame:
     s = next((s for s in _scans(project_folder)[1] if s["id"] == id), None)
     if s is None:
         raise KeyError(f"no scan {id!r}")
-    return po.transform(fm.read_points(spark, s["path"], s["mapping"]), s["poses"].get("pose", IDENTITY))
+    return po.transform(_own_points(spark, s), s["poses"].get("pose", IDENTITY))
+
+
+def _own_points(spark, s: dict) -> DataFrame:
+    """A scan's points in its own frame."""
+    if s["format"] == "ptx":
+        return sc.read_ptx(spark, s["path"], posed=False).filter(F.col("scan") == s["section"]).drop("scan")
+    return fm.read_points(spark, s["path"], s["mapping"])
 
 
 @op("preprocess.export")
@@ -1031,7 +1039,7 @@ def _patches(spark, project_folder: str | None, scans: list[str], planes: dict |
     entries = {s["id"]: s for s in _scans(project_folder)[1]}
     if lack := [s for s in scans if s not in entries]:
         raise KeyError(f"no scans {lack}")
-    clouds = [fm.read_points(spark, entries[s]["path"], entries[s]["mapping"]).select(F.lit(s).alias("scan"), "x", "y", "z") for s in scans]
+    clouds = [_own_points(spark, entries[s]).select(F.lit(s).alias("scan"), "x", "y", "z") for s in scans]
     own = pl.plane_patches(po.merge_clouds(*clouds), by=("scan",), **{PLANE_PARAMETERS[k]: v for k, v in given.items()})
     return pl.posed(own, {s: entries[s]["poses"].get("pose", IDENTITY) for s in scans})
 

@@ -169,6 +169,15 @@ def ground_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return po.normalize(ad.points(spark, sf_dir), 0.5).select("point_id", "hag")
 
 
+@query(f"""WITH {POINTS_SQL}, cells AS (SELECT CAST(floor(x / 1.5) AS BIGINT) AS col, CAST(floor(y / 1.5) AS BIGINT) AS row, min(z) FILTER (cls = 2 AND z < 12) AS dtm FROM points GROUP BY 1, 2),
+near AS (SELECT a.col, a.row, b.dtm, sqrt(((a.col + 0.5) * 1.5 - (b.col + 0.5) * 1.5) ** 2 + ((a.row + 0.5) * 1.5 - (b.row + 0.5) * 1.5) ** 2) AS d, b.col AS c, b.row AS r FROM cells a, cells b WHERE a.dtm IS NULL AND b.dtm IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY col, row ORDER BY d, c, r) AS n FROM near)
+SELECT col, row, round(dtm, 6) AS dtm, false AS filled FROM cells WHERE dtm IS NOT NULL UNION ALL SELECT col, row, round(sum(dtm / d) / sum(1 / d), 6), true FROM ranked WHERE n <= 4 GROUP BY 1, 2""")
+def ground_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ad.points(spark, sf_dir).withColumn("cls", F.when(F.col("z") < 12, F.col("cls")).otherwise(1))
+    return rounded(po.ground_model(p, 1.5))
+
+
 @query(f"""WITH {_GRID}, p AS (SELECT point_id, x / 2.0 - 0.5 AS u, y / 2.0 - 0.5 AS v FROM points), q AS (SELECT *, floor(u) AS c, floor(v) AS r FROM p)
 SELECT point_id, round((a.mean * (1 - (u - c)) + b.mean * (u - c)) * (1 - (v - r)) + (d.mean * (1 - (u - c)) + e.mean * (u - c)) * (v - r), 6) AS undulation FROM q
 LEFT JOIN grid a ON a.col = c AND a.row = r LEFT JOIN grid b ON b.col = c + 1 AND b.row = r LEFT JOIN grid d ON d.col = c AND d.row = r + 1 LEFT JOIN grid e ON e.col = c + 1 AND e.row = r + 1""")

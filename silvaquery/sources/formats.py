@@ -1,6 +1,6 @@
 """Readers and writers: delimited text, XYZ/PTS, PLY, LAS, GeoJSON, DXF, OBJ, ESRI ASCII grids, GeoTIFF, per-tree CSV.
 
-Text goes through Spark's CSV source; binary point files through ``binaryFile`` and NumPy, one file to a task. E57 and
+Text goes through Spark's CSV source, point files through ``scans``, which reads them in pieces. E57 and
 LAZ need decoders that are not here, and are refused by name.
 """
 
@@ -17,7 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINT_SCHEMA = "x double, y double, z double, intensity int, cls int, return_no int, tree_id int"
+from . import scans
+from .scans import POINT_SCHEMA
+
 # Names that text columns go by.
 NAMES = {"x": ("x", "easting", "east"), "y": ("y", "northing", "north"), "z": ("z", "elevation", "height"), "intensity": ("intensity", "reflectance"), "cls": ("classification", "class", "cls"), "return_no": ("return_number", "return"), "tree_id": ("tree_id", "treeid", "tree")}
 
@@ -30,7 +32,8 @@ def sniff(sample: str) -> tuple[str, bool]:
     lines = [x for x in sample.lstrip("﻿").splitlines() if x.strip()][:5]
 
     def score(d: str) -> float:
-        n = [len(re.split(r" +", x.strip())) if d == " " else x.count(d) + 1 for x in lines]
+        bare = [re.sub(r'"(?:[^"]|"")*"', "q", x) for x in lines]
+        n = [len(re.split(r" +", x.strip())) if d == " " else x.count(d) + 1 for x in bare]
         return float(np.mean(n) - np.var(n)) if n and max(n) > 1 else -1.0
 
     best = max([";", "\t", ",", " "], key=score)
@@ -92,115 +95,49 @@ def write_text(df: DataFrame, path: str, decimals: int = 3, sep: str = ",", head
     df.select(*cols).write.mode("overwrite").option("header", header).option("sep", sep).option("emptyValue", "").csv(path)
 
 
-# ---------------------------------------------------------------- LAS
-
-
-def las_bytes(pdf: pd.DataFrame, scale: float = 0.001) -> bytes:
-    """A LAS 1.2 file, point format 0; tree ids go into an extra 4 bytes (a point source cannot hold them)."""
-    n = len(pdf)
-    xyz = pdf[["x", "y", "z"]].to_numpy(float) if n else np.zeros((0, 3))
-    off = np.floor(xyz.min(0)) if n else np.zeros(3)
-    rec = np.zeros(n, np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("i", "<u2"), ("r", "u1"), ("c", "u1"), ("a", "i1"), ("u", "u1"), ("p", "<u2"), ("t", "<i4")]))
-    for k, name in enumerate("xyz"):
-        rec[name] = np.round((xyz[:, k] - off[k]) / scale)
-    for name, col in (("i", "intensity"), ("r", "return_no"), ("c", "cls"), ("t", "tree_id")):
-        if col in pdf:
-            rec[name] = pdf[col].fillna(0).to_numpy()
-    low, high = (xyz.min(0), xyz.max(0)) if n else (off, off)
-    head = struct.pack("<4sHHIHH8sBB32s32sHHHII", b"LASF", 0, 0, 0, 0, 0, b"\0" * 8, 1, 2, b"silvaquery", b"silvaquery", 1, 2026, 227, 227, 0)
-    head += struct.pack("<BHI5I", 0, rec.dtype.itemsize, n, n, 0, 0, 0, 0)
-    head += struct.pack("<12d", scale, scale, scale, *off, high[0], low[0], high[1], low[1], high[2], low[2])
-    return head + rec.tobytes()
-
-
-def las_points(data: bytes) -> pd.DataFrame:
-    """Points of a LAS file (formats 0 to 8), as far as the standard columns."""
-    if data[:4] != b"LASF":
-        raise ValueError("not a LAS file")
-    start, = struct.unpack_from("<I", data, 96)
-    kind, size, n = struct.unpack_from("<BHI", data, 104)
-    if kind & 0x80:
-        raise ValueError("LAZ is compressed; decompress it to LAS first")
-    if data[25] >= 4 and not n:
-        n, = struct.unpack_from("<Q", data, 247)
-    scale, off = np.array(struct.unpack_from("<3d", data, 131)), np.array(struct.unpack_from("<3d", data, 155))
-    late = kind >= 6
-    own = {0: 20, 1: 28, 2: 26, 3: 34, 6: 30, 7: 36, 8: 38}.get(kind, size)
-    fields = {"names": ["x", "y", "z", "i", "r", "c"], "formats": ["<i4", "<i4", "<i4", "<u2", "u1", "u1"], "offsets": [0, 4, 8, 12, 14, 16 if late else 15], "itemsize": size}
-    if size >= own + 4:
-        fields["names"].append("t")
-        fields["formats"].append("<i4")
-        fields["offsets"].append(own)
-    rec = np.frombuffer(data, np.dtype(fields), n, start)
-    out = {k: rec[k] * scale[i] + off[i] for i, k in enumerate("xyz")}
-    return pd.DataFrame(out | {"intensity": rec["i"].astype("int32"), "cls": (rec["c"] if late else rec["c"] & 31).astype("int32"), "return_no": (rec["r"] & (15 if late else 7)).astype("int32"), "tree_id": rec["t"] if "t" in (rec.dtype.names or ()) else np.zeros(n, "int32")})
+# ---------------------------------------------------------------- PLY as text
 
 
 def ply_points(data: bytes) -> pd.DataFrame:
-    """Vertices of a PLY file, ASCII or little-endian."""
+    """Vertices of an ASCII PLY file."""
     end = data.index(b"end_header") + len(b"end_header")
     end = data.index(b"\n", end - 1) + 1
-    n, props, form, inside = 0, [], "ascii", False
-    kinds = {"char": "i1", "uchar": "u1", "short": "<i2", "ushort": "<u2", "int": "<i4", "uint": "<u4", "float": "<f4", "double": "<f8", "int8": "i1", "uint8": "u1", "int16": "<i2", "uint16": "<u2", "int32": "<i4", "uint32": "<u4", "float32": "<f4", "float64": "<f8"}
+    n, props, inside = 0, [], False
     for line in data[:end].decode("ascii", "replace").splitlines():
         w = line.split()
-        if w[:1] == ["format"]:
-            form = w[1]
-        elif w[:1] == ["element"]:
+        if w[:1] == ["element"]:
             inside = w[1] == "vertex"
             n = int(w[2]) if inside else n
         elif w[:1] == ["property"] and inside:
-            props.append((w[2], kinds[w[1]]))
-    if form == "binary_big_endian":
-        props = [(k, t.replace("<", ">")) for k, t in props]
-    if form == "ascii":
-        a = np.loadtxt(io.BytesIO(data[end:]), max_rows=n, ndmin=2) if n else np.zeros((0, len(props)))
-        rec = {k: a[:, i] for i, (k, _) in enumerate(props)}
-    else:
-        r = np.frombuffer(data, np.dtype(props), n, end)
-        rec = {k: r[k] for k, _ in props}
+            props.append(w[2])
+    a = np.loadtxt(io.BytesIO(data[end:]), max_rows=n, ndmin=2) if n else np.zeros((0, len(props)))
+    rec = {k: a[:, i] for i, k in enumerate(props)}
     pick = lambda *names: next((np.asarray(rec[k]) for k in names if k in rec), np.zeros(n))
     return pd.DataFrame({k: pick(k).astype(float) for k in "xyz"} | {"intensity": pick("intensity").astype("int32"), "cls": pick("classification", "class").astype("int32"), "return_no": pick("return_number").astype("int32"), "tree_id": pick("tree_id", "treeID").astype("int32")})
 
 
 def read_points(spark: SparkSession, path: str, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Points of LAS, PLY or text files by suffix; a file is one task's."""
+    """Points of LAS, PLY, PTX or text files by suffix; all but ASCII PLY are read in pieces, many tasks a file."""
     low = path.lower()
     if low.endswith((".laz", ".e57")):
         raise ValueError(f"{path}: no decoder for this format here")
+    if low.endswith(".ptx"):
+        return scans.read_ptx(spark, path)
     if low.endswith((".las", ".ply")):
-        parse = las_points if low.endswith(".las") else ply_points
+        got = scans.read_records(spark, path)
+        if got is not None:
+            return got
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in parts:
                 for content in p["content"]:
-                    yield parse(bytes(content))
+                    yield ply_points(bytes(content))
 
         return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, POINT_SCHEMA)
     return read_text(spark, path, mapping)
 
 
-def write_las(points: DataFrame, path: str) -> None:
-    """One LAS file per partition below ``path``; a file is renamed when whole, so a lost task leaves none cut short."""
-    from pyspark import TaskContext
-
-    where = path if "://" in path else f"file://{path}"
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        rows = [p for p in parts if len(p)]
-        if rows:
-            store, base = fs.FileSystem.from_uri(where)
-            store.create_dir(base, recursive=True)
-            name = f"{base}/part-{TaskContext.get().partitionId():05d}.las"
-            with store.open_output_stream(f"{name}.{TaskContext.get().taskAttemptId()}") as f:
-                f.write(las_bytes(pd.concat(rows)))
-            store.move(f"{name}.{TaskContext.get().taskAttemptId()}", name)
-        yield pd.DataFrame({"n": [sum(map(len, rows))]})
-
-    cols = [c for c in ("x", "y", "z", "intensity", "cls", "return_no", "tree_id") if c in points.columns]
-    points.select(*cols).mapInPandas(run, "n long").agg(F.sum("n")).collect()
+write_las = scans.write_las
 
 
 # ---------------------------------------------------------------- drawings, grids, meshes (results of bounded size)
