@@ -42,7 +42,7 @@ CORE, CLASSES, LOCAL = 2048, 64, 1 << 18
 #: Bytes of text in a block, most documents in it, tokens whose contexts one placing group is expected to hold.
 BLOCK_BYTES, BLOCK_ROWS, GROUP = 2 << 20, 5000, 1_000_000
 #: Blocks that go to Python at a time, each some megabytes, and rows of placing groups, whose number grows with blocks times groups (blocks among them stop at bytes).
-AT_ONCE, SENT_AT_ONCE = 2, 256
+AT_ONCE, SENT_AT_ONCE = 1, 128
 #: Counts up to this have their gains in a table.
 SMALL = 64
 END = b""
@@ -388,7 +388,9 @@ def fit_classes(blocks: DataFrame, classes: int = CLASSES) -> Fitted:
             yield gather.close(placing)
 
     sent = ranked.select(*TOKENS, "ranks", "rare").mapInArrow(around, "grp int, ranks binary, names array<binary>, n binary, held binary, slots binary")
-    got = written(sent.repartition("grp").sortWithinPartitions("grp").mapInArrow(place, "rank int, word binary, class int, n long"), "brown-classes", SENT_AT_ONCE)
+    # Groups grow with the tokens, and so do the partitions that they are dealt to.
+    parts = max(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // 4))
+    got = written(sent.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(place, "rank int, word binary, class int, n long"), "brown-classes", SENT_AT_ONCE)
     mine = got.filter("rank >= 0").select("rank", "class").toArrow()
     of[mine.column("rank").to_numpy()] = mine.column("class").to_numpy()
     return Fitted(ranked, common, count, of, got.filter("rank < 0").select("word", "class", "n"), total, distinct)
