@@ -308,11 +308,41 @@ class Shards:
                 yield part[q], p
 
 
+def may_link(codes: np.ndarray, owner: np.ndarray, size: np.ndarray, label: np.ndarray, similarity: float) -> np.ndarray:
+    """Which points of a shard may be alike to one of another label, by what their sets hold that any such point has.
+
+    ``codes`` are all points' hashes, sorted, ``owner`` whose they are. Two sets are alike only where they share ``s (m + n) / (1 + s)`` of their m and
+    n hashes, so a point whose hashes that others have are too few for any size there is cannot link; it is taken out, and
+    so are its hashes, again and again. A family of texts with one template and endings of their own falls away in one round.
+    """
+    n, live = len(size), np.ones(len(size), bool)
+    begin = np.flatnonzero(np.diff(codes, prepend=codes[:1] - 1)) if len(codes) else np.zeros(0, np.int64)
+    length = np.diff(begin, append=len(codes))
+    while live.any():
+        own = label[owner]
+        on = live[owner]
+        shared = np.zeros(len(codes), bool)
+        if len(begin):
+            least, most = np.minimum.reduceat(np.where(on, own, np.iinfo(np.int64).max), begin), np.maximum.reduceat(np.where(on, own, -1), begin)
+            shared = np.repeat((most >= 0) & (least < most), length) & on
+        held = np.bincount(owner[shared], minlength=n)
+        # The other's size lies between what this one's own and what it can share allow.
+        low, high = similarity * size - 1e-6, held * (1 + similarity) / similarity - size + 1e-6
+        sizes = np.sort(size[live])
+        others = np.searchsorted(sizes, high, "right") - np.searchsorted(sizes, low, "left") - ((size >= low) & (size <= high) & live)
+        now = live & (others > 0) & (held >= similarity * size - 1e-6)
+        if (now == live).all():
+            break
+        live = now
+    return live
+
+
 def across(s: Shards, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links between points with different labels, found by the trees and checked by their sets, as many as join all that can be joined.
 
     A link joins two labels at once, so later points need not be compared with those they are joined to already. Within a shard the
-    sets are turned into lists of the points that have each hash, and a point's list of lists gives the sizes of all its intersections.
+    sets are turned into lists of the points that have each hash, and a point's list of lists gives the sizes of all its intersections. Points
+    that cannot link, by the hashes they share with any other, are not compared at all.
     """
     names, label = np.unique(s.rows.column("label").to_numpy(), return_inverse=True)
     joined = np.arange(len(names))  # label by label, its smallest so far
@@ -328,8 +358,10 @@ def across(s: Shards, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarra
         codes, owner = np.concatenate(sets[low:high]), np.repeat(np.arange(high - low), size[low:high])
         order = np.argsort(codes, kind="stable")
         codes, owner = codes[order], owner[order]
-        for q, p in s.near(mine):
-            apart = joined[label[q]] != joined[label[p]]
+        live = may_link(codes, owner, size[low:high], joined[label[low:high]], similarity)
+        mine = mine[live[mine - low]]
+        for q, p in s.near(mine) if len(mine) else ():
+            apart = (joined[label[q]] != joined[label[p]]) & live[p - low]
             q, p = q[apart], p[apart]
             order = np.argsort(q, kind="stable")
             q, p = q[order], p[order]

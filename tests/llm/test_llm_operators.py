@@ -815,3 +815,44 @@ def test_too_many_languages_are_an_error(spark):
     assert len(langid.fit_sample(d, F.lit(True), most_languages=7).languages) == 7
     with pytest.raises(ValueError, match="more than 6 languages"):
         langid.fit_sample(d, F.lit(True), most_languages=6)
+
+
+def shard_of(sets):
+    """One shard in which all fingerprints are the same, so that sets alone decide."""
+    n = len(sets)
+    rows = pa.table({"band": pa.array(np.zeros(n, np.int64)), "node": pa.array(np.arange(n)), "fp": [b"\0" * 32] * n, "label": pa.array(np.arange(n)), "items": [x.tobytes() for x in sets]})
+    return simhash_bk.Shards(rows, 4, 10)
+
+
+def template(rng, shared, own):
+    return np.unique(np.concatenate([shared, rng.integers(0, 1 << 32, own, dtype=np.uint64).astype(np.uint32)]))
+
+
+def test_hot_shards_of_unlike_texts_are_not_compared():
+    """A template with endings of their own, similarity 0.76: twenty thousand members fall away without a comparison."""
+    rng = np.random.default_rng(1)
+    shared = rng.integers(0, 1 << 32, 160, dtype=np.uint64).astype(np.uint32)
+    sets = [template(rng, shared, 25) for _ in range(20_000)]
+    s = shard_of(sets)
+    s.near = None  # a search would fail
+    assert 0.7 < simhash_bk.similarity_of(sets[0], sets[1]) < 0.8
+    assert list(simhash_bk.across(s, 0.8)) == []
+
+
+def test_links_of_hot_shards_against_brute_force():
+    """Families on both sides of the threshold, of many sizes, some members being parts of others."""
+    rng = np.random.default_rng(2)
+    for seed in range(6):
+        sets = []
+        for _ in range(6):
+            shared = rng.integers(0, 1 << 32, int(rng.integers(20, 120)), dtype=np.uint64).astype(np.uint32)
+            for _ in range(12):
+                sets.append(template(rng, shared[: int(len(shared) * rng.uniform(0.7, 1))], int(rng.integers(0, len(shared) // 4 + 1))))
+        # Distinct hashes of all families mixed in a few members, so that lists of hashes cross families.
+        sets += [np.unique(np.concatenate([sets[0][:30], sets[20][:30]])), sets[0], sets[5][: int(len(sets[5]) * 0.82)]]
+        s = shard_of(sets)
+        links = np.concatenate([np.column_stack(x) for x in simhash_bk.across(s, 0.8)] or [np.zeros((0, 2), int)])
+        assert all(simhash_bk.similarity_of(sets[a], sets[b]) >= 0.8 for a, b in links.tolist())
+        alike = np.array([(i, j) for i in range(len(sets)) for j in range(i) if simhash_bk.similarity_of(sets[i], sets[j]) >= 0.8]).reshape(-1, 2)
+        got, want = (components.local_components(x[:, 0], x[:, 1], len(sets)) for x in (links, alike))
+        assert got.tolist() == want.tolist()
