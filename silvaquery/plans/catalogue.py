@@ -23,6 +23,7 @@ from ..functions import scalar as S
 from ..functions import stats
 from ..operators import features as ft
 from ..operators import forestry as fo
+from ..operators import meshes as me
 from ..operators import neighbours as ne
 from ..operators import planes as pl
 from ..operators import points as po
@@ -510,14 +511,25 @@ def _(spark, line: list, octree_dir: str, max_preview: int = 200000, out_name: s
 
 @op("export.mesh")
 def _(spark, octree_dir: str, cell_size: float = 0.1, classes: list = [], decimate: float = 0.0, fill_gaps: bool = True, formats: list = ["ply", "obj"], method: str = "2.5d", min_points: int = 1, out_name: str = "mesh", polygon: list = [], smooth: int = 0, surface: str = "top", z_range: Any = None):
-    if method != "2.5d":
-        raise ValueError("only height-field meshes are here")
-    g = po.surface_grid(po.subset(points_of(spark, octree_dir), {"z": tuple(z_range)} if z_range else None), cell_size, polygon, classes).filter(F.col("n") >= min_points)
-    n = g.count()
+    if method not in ("2.5d", "3d"):
+        raise ValueError(f"unknown method {method!r} (2.5d, 3d)")
+    if wrong := set(formats) - {"ply", "obj", "stl", "dxf"}:
+        raise ValueError(f"unknown formats {sorted(wrong)}")
+    z = {"z": tuple(z_range)} if z_range else None
+    if method == "3d":
+        p = po.subset(points_of(spark, octree_dir), z, classes, polygon=polygon)
+        corners, faces = me.closed_surface(p, cell_size, min_points, smooth, decimate)
+        n = corners.count()
+    else:
+        if smooth or decimate:
+            raise ValueError("height fields are neither smoothed nor decimated here")
+        g = po.surface_grid(po.subset(points_of(spark, octree_dir), z), cell_size, polygon, classes)
+        n = g.count()
     if n > 30_000_000:
-        raise ValueError(f"{n} cells are too many for one mesh; take a coarser cell")
-    v, f = fm.height_mesh((po.fill_gaps(g, surface) if fill_gaps else g).toPandas(), cell_size, surface)
-    return [put(f"{octree_dir}/{out_name}.{k}", fm.ply_mesh(v, f) if k == "ply" else fm.obj_mesh(v, f)) for k in formats]
+        raise ValueError(f"{n} cells or corners are too many for one mesh; take a coarser cell")
+    v, f = me.arrays(corners, faces) if method == "3d" else fm.height_mesh((po.fill_gaps(g, surface) if fill_gaps else g).toPandas(), cell_size, surface)
+    make = {"ply": fm.ply_mesh, "obj": fm.obj_mesh, "stl": fm.stl_mesh, "dxf": fm.dxf_mesh}
+    return [put(f"{octree_dir}/{out_name}.{k}", make[k](v, f)) for k in formats]
 
 
 @op("export.dxf")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import stats
 from ..operators import forestry as fo
+from ..operators import meshes as me
 from ..operators import neighbours as ne
 from ..operators import points as po
 from ..sources import adapters as ad
@@ -169,6 +170,28 @@ def ground_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return po.normalize(ad.points(spark, sf_dir), 0.5).select("point_id", "hag")
 
 
+_SIDES = ", ".join(f"({i}, {j}, {k}, [{', '.join(str(list(c)) for c in corners)}])" for (i, j, k), corners in me.SIDES.items())
+_SQUARES = f"""WITH {POINTS_SQL}, cells AS (SELECT CAST(floor(x / 2.5) AS BIGINT) AS i, CAST(floor(y / 2.5) AS BIGINT) AS j, CAST(floor(z / 2.5) AS BIGINT) AS k FROM points WHERE scan = 1 GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+sides(di, dj, dk, corners) AS (VALUES {_SIDES}),
+squares AS (SELECT c.*, s.* FROM cells c CROSS JOIN sides s WHERE NOT EXISTS (SELECT 1 FROM cells o WHERE o.i = c.i + di AND o.j = c.j + dj AND o.k = c.k + dk))"""
+
+
+def _squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return me.surface_squares(ad.points(spark, sf_dir).filter("scan = 1"), 2.5, 2)
+
+
+@query(_SQUARES + """, corner AS (SELECT i + c[1] AS i, j + c[2] AS j, k + c[3] AS k, (i0 + 0.5 + di * 0.5) * 2.5 AS mx, (j0 + 0.5 + dj * 0.5) * 2.5 AS my, (k0 + 0.5 + dk * 0.5) * 2.5 AS mz FROM (SELECT *, i AS i0, j AS j0, k AS k0, unnest(corners) AS c FROM squares))
+SELECT i, j, k, round(avg(mx), 6) AS x, round(avg(my), 6) AS y, round(avg(mz), 6) AS z FROM corner GROUP BY ALL""")
+def mesh_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(me.corner_places(_squares(spark, sf_dir)).select("v.i", "v.j", "v.k", "x", "y", "z"))
+
+
+@query(_SQUARES + """, t AS (SELECT i, j, k, corners[1] AS a, corners[2] AS b, corners[3] AS c FROM squares UNION ALL SELECT i, j, k, corners[1], corners[3], corners[4] FROM squares)
+SELECT i + a[1] AS ai, j + a[2] AS aj, k + a[3] AS ak, i + b[1] AS bi, j + b[2] AS bj, k + b[3] AS bk, i + c[1] AS ci, j + c[2] AS cj, k + c[3] AS ck FROM t""")
+def mesh_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return me.triangles(_squares(spark, sf_dir)).select(*(F.col(f"{t}.{k}").alias(f"{t}{k}") for t in "abc" for k in "ijk"))
+
+
 @query(f"""WITH {POINTS_SQL}, cells AS (SELECT CAST(floor(x / 1.5) AS BIGINT) AS col, CAST(floor(y / 1.5) AS BIGINT) AS row, min(z) FILTER (cls = 2 AND z < 12) AS dtm FROM points GROUP BY 1, 2),
 near AS (SELECT a.col, a.row, b.dtm, sqrt(((a.col + 0.5) * 1.5 - (b.col + 0.5) * 1.5) ** 2 + ((a.row + 0.5) * 1.5 - (b.row + 0.5) * 1.5) ** 2) AS d, b.col AS c, b.row AS r FROM cells a, cells b WHERE a.dtm IS NULL AND b.dtm IS NOT NULL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY col, row ORDER BY d, c, r) AS n FROM near)

@@ -221,6 +221,23 @@ def ply_mesh(v: np.ndarray, faces: np.ndarray) -> bytes:
     return head.encode() + np.asarray(v, "<f8").tobytes() + rec.tobytes()
 
 
+def stl_mesh(v: np.ndarray, faces: np.ndarray) -> bytes:
+    """A binary STL file: 50 bytes a triangle."""
+    rec = np.zeros(len(faces), np.dtype([("n", "<f4", 3), ("v", "<f4", (3, 3)), ("a", "<u2")]))
+    rec["v"] = v[faces] if len(faces) else np.zeros((0, 3, 3))
+    n = np.cross(rec["v"][:, 1] - rec["v"][:, 0], rec["v"][:, 2] - rec["v"][:, 0])
+    rec["n"] = n / np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-12)
+    return b"silvaquery".ljust(80) + struct.pack("<I", len(faces)) + rec.tobytes()
+
+
+def dxf_mesh(v: np.ndarray, faces: np.ndarray) -> str:
+    """3DFACE entities; the fourth corner repeats the third."""
+    rows = []
+    for t in faces.tolist():
+        rows.append("0\n3DFACE\n8\nMESH\n" + "".join(f"{10 + k}\n{v[i, 0]:.4f}\n{20 + k}\n{v[i, 1]:.4f}\n{30 + k}\n{v[i, 2]:.4f}\n" for k, i in enumerate([*t, t[2]])))
+    return "0\nSECTION\n2\nENTITIES\n" + "".join(rows) + "0\nENDSEC\n0\nEOF\n"
+
+
 def tubes(cylinders: list[tuple], sides: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """(vertices, triangles) of cylinders given as (start, end, radius)."""
     vs, fs = [], []
