@@ -455,6 +455,59 @@ def hull_of(points: DataFrame) -> list[tuple[float, float]]:
     return [tuple(p) for p in convex_hull(corners)]
 
 
+def drawn_triangles(v: np.ndarray, tri: np.ndarray, size: float, low: tuple[int, int], shape: tuple[int, int]) -> np.ndarray:
+    """Heights at cell centres inside the triangles of ``v`` (x, y, height), the highest where several meet; NaN elsewhere."""
+    out = np.full(shape, -np.inf)
+    for t in v[tri]:
+        (c0, r0), (c1, r1) = np.floor(t[:, :2].min(0) / size).astype(int) - low, np.floor(t[:, :2].max(0) / size).astype(int) - low + 1
+        c0, r0, c1, r1 = max(c0, 0), max(r0, 0), min(c1, shape[0]), min(r1, shape[1])
+        if c0 >= c1 or r0 >= r1:
+            continue
+        x, y = np.meshgrid((np.arange(c0, c1) + low[0] + 0.5) * size, (np.arange(r0, r1) + low[1] + 0.5) * size, indexing="ij")
+        (ax, ay, az), (bx, by, bz), (cx, cy, cz) = t
+        whole = (bx - ax) * (cy - ay) - (cx - ax) * (by - ay)
+        if abs(whole) < 1e-12:
+            continue
+        p = ((bx - x) * (cy - y) - (cx - x) * (by - y)) / whole
+        q = ((cx - x) * (ay - y) - (ax - x) * (cy - y)) / whole
+        inside = (p >= -1e-9) & (q >= -1e-9) & (p + q <= 1 + 1e-9)
+        h = p * az + q * bz + (1 - p - q) * cz
+        part = out[c0:c1, r0:r1]
+        part[inside] = np.maximum(part[inside], h[inside])
+    return np.where(np.isfinite(out), out, np.nan)
+
+
+def pit_free(points: DataFrame, size: float = 0.5, layers: tuple[float, ...] = (2.0, 5.0, 10.0, 15.0, 20.0), longest: float | None = None, tile: float = 20.0, halo: float = 5.0) -> DataFrame:
+    """Canopy heights without pits ``(col, row, chm)`` (after Khosravipour et al. 2014): triangulated surfaces of all points and of those above each
+    height, whose triangles have sides of at most ``longest`` (three cells, 1.5 m at least), and their maximum.
+
+    Points ``(x, y, hag)``; the highest of each cell stands for it. Gaps in all points that are wider than the halo are bridged tile by tile.
+    """
+    from ..functions import geometry as ge
+
+    longest, high = max(1.5, 3 * size) if longest is None else longest, sorted(layers)
+    top = points.filter("hag IS NOT NULL").groupBy(S.cell(F.col("x"), size).alias("col"), S.cell(F.col("y"), size).alias("row")).agg(F.max(F.struct("hag", "x", "y")).alias("p")).select("p.x", "p.y", "p.hag")
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values(["x", "y"])[["x", "y", "hag"]].to_numpy(float)
+        low = tuple(round(int(pdf[f"tile_{c}"].iloc[0]) * tile / size) for c in "xy")
+        n = round(tile / size)
+        best = np.full((n, n), np.nan)
+        for at in (-np.inf, *high):
+            own = v[v[:, 2] >= at]
+            tri = ge.delaunay(own[:, :2])
+            if np.isfinite(at) and len(tri):
+                a, b, c = (own[tri[:, k], :2] for k in range(3))
+                tri = tri[np.max([np.linalg.norm(p - q, axis=1) for p, q in ((a, b), (b, c), (c, a))], axis=0) <= longest]
+            best = np.fmax(best, drawn_triangles(own, tri, size, low, (n, n)))
+        c, r = np.nonzero(np.isfinite(best))
+        return pd.DataFrame({"col": c + low[0], "row": r + low[1], "chm": best[c, r]})
+
+    if abs(tile / size - round(tile / size)) > 1e-9:
+        tile = size * round(tile / size)
+    return tiled(top, tile, halo, work, "col long, row long, chm double")
+
+
 def transfer_labels(points: DataFrame, skeleton: DataFrame, threshold: float = 0.3, beyond: bool = True, hull: list | None = None, key: str = "point_id") -> DataFrame:
     """Labels of the nearest skeleton point, however far: outside the skeleton's hull none; near, tree and stem (1) or branch (2); farther, the tree alone if ``beyond``.
 

@@ -429,11 +429,16 @@ def _(spark, octree_dir: str, cell_size: float = 0.5):
 @op("ground.terrain")
 def _(spark, octree_dir: str, cell_size: float = 0.5, dsm_layers: list = [], dsm_method: str = "p2r", epsg: int | None = None, hillshade_altitude_deg: float = 45.0, hillshade_azimuth_deg: float = 315.0, hli_latitude_deg: float = 60.0, stream_fraction: float = 0.01):
     """Ground, surface and canopy heights and the layers made of the ground, as one long table."""
-    if dsm_method != "p2r":
-        raise ValueError("surfaces are made by point to raster only")
+    if dsm_method not in ("p2r", "pit_free"):
+        raise ValueError(f"unknown method {dsm_method!r} (p2r, pit_free)")
     g = ne.cut_lineage(po.surface_grid(points_of(spark, octree_dir), cell_size))
     dtm = g.filter("ground IS NOT NULL")
     out = g.select("col", "row", F.col("ground").alias("dtm"), F.col("top").alias("dsm"), (F.col("top") - F.col("ground")).alias("chm"))
+    if dsm_method == "pit_free":
+        # The surface stands on the ground model with its gaps filled.
+        chm = sg.pit_free(heights_of(spark, octree_dir, cell_size), cell_size, tuple(dsm_layers) or (2.0, 5.0, 10.0, 15.0, 20.0))
+        model = po.ground_model(points_of(spark, octree_dir), cell_size).select("col", "row", F.col("dtm").alias("model"))
+        out = ne.cut_lineage(g.select("col", "row", F.col("ground").alias("dtm")).join(chm, ["col", "row"], "full").join(model, ["col", "row"], "left").select("col", "row", "dtm", (F.col("model") + F.col("chm")).alias("dsm"), "chm"))
     flow = po.streams(ne.cut_lineage(sg.flow_accumulation(dtm, cell_size, "ground")), stream_fraction)
     return out.join(po.terrain_layers(dtm, cell_size, "ground", hillshade_azimuth_deg, hillshade_altitude_deg, hli_latitude_deg), ["col", "row"], "left").join(flow, ["col", "row"], "left")
 

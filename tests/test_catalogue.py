@@ -88,3 +88,14 @@ def test_recipe(spark, tmp_path):
     assert [g["ok"] for g in got] == [True, False] and len(got[1]["steps"]) == 1
     with pytest.raises(KeyError):
         run_recipe(spark, {"steps": [{"op": "x.y"}]}, [])
+
+
+def test_terrain_with_a_pit_free_surface(spark, tmp_path):
+    d = make(spark, tmp_path)
+    p2r, free = (c.run(spark, "ground.terrain", {"octreeDir": d, "cellSize": 1.0, "dsmMethod": m}) for m in ("p2r", "pit_free"))
+    assert p2r.columns == free.columns
+    a, b = ({(r["col"], r["row"]): r.chm for r in t.collect() if r.chm is not None} for t in (p2r, free))
+    # No cell of the surface lies lower than its own points' tops by more than triangles between them allow.
+    assert len(b.keys() & a.keys()) > 0.8 * len(a) and max(b.values()) <= max(a.values()) + 1e-6
+    with pytest.raises(ValueError, match="unknown method"):
+        c.run(spark, "ground.terrain", {"octreeDir": d, "dsmMethod": "tin"})

@@ -316,3 +316,41 @@ def test_heights_under_crowns_without_ground(spark, tmp_path):
     assert sorted((r.tree_id, r.lost) for r in got) == [(1, 0), (2, 0), (3, 0)]
     assert all(abs(r.top - trees[int(r.tree_id) - 1][2]) < 0.35 for r in got)
     assert po.ground_model(spark.createDataFrame([(0.0, 0.0, 1.0, 1)], "x double, y double, z double, cls int")).count() == 0
+
+
+def crown_with_pits(seed=5):
+    """Ground and one crown; a tenth of the returns of the crown went deep into it."""
+    rng, rows = np.random.default_rng(seed), []
+    for x, y in rng.random((9000, 2)) * 24:
+        d = math.hypot(x - 12, y - 12)
+        top = 14 - 0.25 * d * d if d < 6 else 0.0
+        rows.append((x, y, top * rng.uniform(0.2, 0.6) if top and rng.random() < 0.1 else top))
+    return rows
+
+
+def test_pit_free_surface(spark):
+    """No pit under a planted crown, where points to raster leave many; the same whatever the tiles."""
+    p = spark.createDataFrame([tuple(map(float, r)) for r in crown_with_pits()], "x double, y double, hag double")
+    cell = 0.25
+    raster = {(r["col"], r["row"]): r["top"] for r in po.surface_grid(p.withColumnRenamed("hag", "z").withColumn("cls", F.lit(1)), cell).collect()}
+    got, other = ({(r["col"], r["row"]): r.chm for r in sg.pit_free(p, cell, tuple(range(1, 14)), 1.2, tile=t).collect()} for t in (24.0, 8.0))
+    inside = [(c, r) for c, r in got if math.hypot((c + 0.5) * cell - 12, (r + 0.5) * cell - 12) < 5]
+    true = lambda k: 14 - 0.25 * (((k[0] + 0.5) * cell - 12) ** 2 + ((k[1] + 0.5) * cell - 12) ** 2)
+    assert sum(true(k) - raster.get(k, 0) > 3 for k in inside) > 50
+    assert all(abs(true(k) - got[k]) < 0.2 for k in inside)
+    usual = {(r["col"], r["row"]): r.chm for r in sg.pit_free(p, cell).collect()}
+    assert sum(true(k) - usual[k] > 3 for k in inside) <= 3
+    assert len(inside) > 1200 and all(abs(got[k] - other[k]) < 1e-9 for k in got.keys() & other.keys() if 2 < k[0] * cell < 22 and 2 < k[1] * cell < 22)
+    assert sg.pit_free(p.limit(0), cell).count() == 0
+
+
+def test_drawn_triangles_against_the_plane():
+    v = np.array([[0.1, 0.2, 1.0], [5.3, 0.4, 2.0], [2.2, 4.7, 4.0]])
+    got = sg.drawn_triangles(v, np.array([[0, 1, 2]]), 0.5, (0, 0), (12, 10))
+    n = np.cross(v[1] - v[0], v[2] - v[0])
+    for c, r in np.ndindex(12, 10):
+        x, y = (c + 0.5) * 0.5, (r + 0.5) * 0.5
+        side = [(q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0]) for p, q in ((v[0], v[1]), (v[1], v[2]), (v[2], v[0]))]
+        assert np.isnan(got[c, r]) == (min(side) < 0)
+        if min(side) >= 0:
+            assert got[c, r] == pytest.approx(v[0, 2] - (n[0] * (x - v[0, 0]) + n[1] * (y - v[0, 1])) / n[2])
