@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-
-import numpy as np
+from heapq import heappop, heappush
 
 
 def assign(pairs: Iterable[tuple[int, int, float]], method: str = "optimal") -> list[tuple[int, int, float]]:
@@ -20,42 +19,41 @@ def assign(pairs: Iterable[tuple[int, int, float]], method: str = "optimal") ->
         return out
     if method != "optimal":
         raise ValueError(f"unknown method {method!r}")
+    # Rows and columns by number; a row may also stay alone, in a column of its own that is dearer than all real pairs together, so more pairs always win.
     rows, cols = sorted({p[0] for p in pairs}), sorted({p[1] for p in pairs})
     at_a, at_b = ({v: i for i, v in enumerate(x)} for x in (rows, cols))
     n, m = len(rows), len(cols)
-    far = 1.0 + sum(p[2] ** 2 for p in pairs)  # dearer than all real pairs together, so more pairs always win
-    cost = np.full((n, m + n), far)
+    far = 1.0 + sum(p[2] ** 2 for p in pairs)
+    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
     for a, b, d in pairs:
-        cost[at_a[a], at_b[b]] = d * d
-    # Columns beyond m stand for staying alone.
-    u, v, match = np.zeros(n + 1), np.zeros(m + n + 1), np.zeros(m + n + 1, int)
-    for i in range(1, n + 1):
-        match[0], j = i, 0
-        least, used, way = np.full(m + n + 1, np.inf), np.zeros(m + n + 1, bool), np.zeros(m + n + 1, int)
+        near[at_a[a]].append((at_b[b], d * d))
+    for i in range(n):
+        near[i].append((m + i, far))
+    price_row, price_col, owner = [0.0] * n, [0.0] * (m + n), [-1] * (m + n)
+    for start in range(n):
+        # Cheapest way to a free column, over the candidates only (Dijkstra on reduced costs).
+        least, from_row, done, heap, row, way = {}, {}, {}, [], start, 0.0
+        while True:
+            for j, c in near[row]:
+                d = way + c - price_row[row] - price_col[j]
+                if j not in done and d < least.get(j, float("inf")):
+                    least[j], from_row[j] = d, row
+                    heappush(heap, (d, j))
+            while heap[0][1] in done or heap[0][0] > least[heap[0][1]]:
+                heappop(heap)
+            way, end = heappop(heap)
+            if owner[end] < 0:
+                break
+            done[end] = way
+            row = owner[end]
+        price_row[start] += way
+        for j, d in done.items():
+            price_row[owner[j]] += way - d
+            price_col[j] -= way - d
         while True:
-            used[j] = True
-            row = match[j]
-            cur = cost[row - 1] - u[row] - v[1:]
-            better = ~used[1:] & (cur < least[1:])
-            least[1:][better] = cur[better]
-            way[1:][better] = j
-            open_cols = np.where(used[1:], np.inf, least[1:])
-            nxt = int(np.argmin(open_cols)) + 1
-            delta = open_cols[nxt - 1]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j = nxt
-            if not match[j]:
+            row = from_row[end]
+            owner[end], end = row, next((j for j, _ in near[row] if owner[j] == row and j != end), -1)
+            if row == start:
                 break
-        while j:
-            match[j] = match[way[j]]
-            j = way[j]
     real = {(p[0], p[1]): p[2] for p in pairs}
-    out = []
-    for j in range(1, m + 1):
-        if match[j]:
-            key = (rows[match[j] - 1], cols[j - 1])
-            if key in real:
-                out.append((*key, real[key]))
-    return sorted(out)
+    return sorted((rows[owner[j]], cols[j], real[rows[owner[j]], cols[j]]) for j in range(m) if owner[j] >= 0)

@@ -240,6 +240,27 @@ def growth_summary(pairs: DataFrame, harvested: DataFrame, ingrowth: DataFrame,
     return p.crossJoin(side(harvested, "harvested")).crossJoin(side(ingrowth, "ingrowth"))  # single rows
 
 
+def matched_growth(before: DataFrame, after: DataFrame, radius: float = 1.5, form_factor: float = 0.5) -> DataFrame:
+    """``growth_summary`` of two inventories ``(tree_id, x, y, dbh, height, basal_area)`` whose trees are paired by place; trees without a place pair with none."""
+    from . import neighbours as ne
+
+    m = ne.cut_lineage(ne.match_positions(before.select(F.col("tree_id").alias("a"), "x", "y"), after.select(F.col("tree_id").alias("b"), "x", "y"), radius))
+    tag = lambda t, key, s: t.select(F.col("tree_id").cast("long").alias(key), *(F.col(c).alias(c + s) for c in ("dbh", "height", "basal_area")))
+    pairs = m.join(tag(before, "a", "_ref"), "a").join(tag(after, "b", "_now"), "b")
+    gone, new = (t.join(m.select(F.col(k).alias("tree_id")), "tree_id", "left_anti") for t, k in ((before, "a"), (after, "b")))
+    return growth_summary(pairs, gone, new, form_factor)
+
+
+def found_by_place(reference: DataFrame, detected: DataFrame, radius: float, edges: tuple[float, ...], method: str = "optimal") -> tuple[DataFrame, DataFrame]:
+    """(pairs ``(a, b, distance)`` of detected and reference trees, ``(size_class, found)`` of all trees of both by diameter)."""
+    from . import neighbours as ne
+
+    m = ne.cut_lineage(ne.match_positions(detected.select(F.col("tree_id").alias("a"), "x", "y"), reference.select(F.col("tree_id").alias("b"), "x", "y"), radius, method))
+    both = m.join(reference.select(F.col("tree_id").cast("long").alias("b"), "dbh"), "b").select(size_class(F.col("dbh"), edges).alias("size_class"), F.lit("both").alias("found"))
+    only = lambda t, k, w: t.join(m.select(F.col(k).alias("tree_id")), "tree_id", "left_anti").select(size_class(F.col("dbh"), edges).alias("size_class"), F.lit(w).alias("found"))
+    return m, both.unionByName(only(reference, "b", "onlyReference")).unionByName(only(detected, "a", "onlyDetected"))
+
+
 def size_class(dbh: Column, edges: tuple[float, ...] = (0.05, 0.15, 0.25, 0.35, 0.45)) -> Column:
     """Number of the class that holds a diameter, the last open; null below the first or unmeasured."""
     out = F.lit(None).cast("int")

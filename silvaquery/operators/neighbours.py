@@ -186,8 +186,10 @@ def m3c2(cores: DataFrame, before: DataFrame, after: DataFrame, normal_scale: fl
     def normal(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
         m = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], axis=1).reshape(-1, 3, 3)
         v = np.linalg.eigh(m)[1][:, :, 0]
-        v = np.where(v[:, 2:3] < 0, -v, v)
-        return pd.DataFrame(v, columns=["nx", "ny", "nz"])
+        # Upward; level ones towards y, or x.
+        v = np.where(np.abs(v) < 1e-9, 0.0, v)
+        lead = np.where(v[:, 2] != 0, v[:, 2], np.where(v[:, 1] != 0, v[:, 1], v[:, 0]))
+        return pd.DataFrame(np.where(lead[:, None] < 0, -v, v) + 0.0, columns=["nx", "ny", "nz"])
 
     n = cut_lineage(cov.select("a", "x", "y", "z", normal("cxx", "cxy", "cxz", "cyy", "cyz", "czz").alias("v")).select("a", "x", "y", "z", "v.*"))
     reach = (depth ** 2 + (projection / 2) ** 2) ** 0.5
@@ -367,9 +369,18 @@ def match_positions(a: DataFrame, b: DataFrame, radius: float, method: str = "op
     parts = components(cand.select((F.col("a") * 2).alias("u"), (F.col("b") * 2 + 1).alias("v")))
     grouped = cand.join(parts, F.col("a") * 2 == parts.node).select("root", "a", "b", "distance")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from silvaquery.functions.assignment import assign
 
-        return pd.DataFrame(assign(pdf[["a", "b", "distance"]].itertuples(index=False, name=None), method), columns=["a", "b", "distance"])
-
-    return grouped.groupBy("root").applyInPandas(solve, schema)
+        # Components side by side are one sparse problem; the last of a batch may go on in the next one.
+        held = None
+        for t in parts:
+            t = t if held is None else pd.concat([held, t])
+            if len(t):
+                open_ = t["root"] == t["root"].iloc[-1]
+                held, t = t[open_], t[~open_]
+                yield pd.DataFrame(assign(t[["a", "b", "distance"]].itertuples(index=False, name=None), method), columns=["a", "b", "distance"])
+        if held is not None and len(held):
+            yield pd.DataFrame(assign(held[["a", "b", "distance"]].itertuples(index=False, name=None), method), columns=["a", "b", "distance"])
+
+    return grouped.repartition("root").sortWithinPartitions("root").mapInPandas(solve, schema)

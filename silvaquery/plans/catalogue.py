@@ -868,23 +868,15 @@ def _(spark, octree_dir: str, reference_dir: str, core_spacing: float = 0.5, max
 @op("change.growth")
 def _(spark, octree_dir: str, reference_dir: str, bh_high: float = 1.4, bh_low: float = 1.2, crown_cell: float = 0.25, dtm_cell: float = 0.5, form_factor: float = 0.5, merge_stems: bool = True, out_csv: str | None = None, search_radius: float = 1.5, years: float = 5.0):
     now, ref = (ne.cut_lineage(trees_of(spark, d, bh_low, bh_high, crown_cell, dtm_cell, merge_stems)) for d in (octree_dir, reference_dir))
-    m = ne.cut_lineage(ne.match_positions(ref.select(F.col("tree_id").alias("a"), "x", "y"), now.select(F.col("tree_id").alias("b"), "x", "y"), search_radius))
-    tag = lambda t, key, s: t.select(F.col("tree_id").cast("long").alias(key), *(F.col(c).alias(c + s) for c in ("dbh", "height", "basal_area")))
-    pairs = m.join(tag(ref, "a", "_ref"), "a").join(tag(now, "b", "_now"), "b")
-    gone, new = (t.join(m.select(F.col(k).alias("tree_id")), "tree_id", "left_anti") for t, k in ((ref, "a"), (now, "b")))
-    return fo.growth_summary(pairs, gone, new, form_factor)
+    return fo.matched_growth(ref, now, search_radius, form_factor)
 
 
 @op("change.crossSensor")
 def _(spark, als_dir: str, tls_dir: str, bh_high: float = 1.4, bh_low: float = 1.2, crown_cell: float = 0.25, dbh_classes: list = [0.05, 0.15, 0.25, 0.35, 0.45], dtm_cell: float = 0.5, folds: int = 5, form: str = "loglog", merge_stems: bool = True, method: str = "optimal", out_csv: str | None = None, predictors: list = ["height", "crownArea"], radius: float = 2.5):
     als, tls = (ne.cut_lineage(trees_of(spark, d, bh_low, bh_high, crown_cell, dtm_cell, merge_stems)) for d in (als_dir, tls_dir))
-    m = ne.cut_lineage(ne.match_positions(als.select(F.col("tree_id").alias("a"), "x", "y"), tls.select(F.col("tree_id").alias("b"), "x", "y"), radius, method))
+    m, rows = fo.found_by_place(tls, als, radius, tuple(dbh_classes), method)
     vol = fo.volumes(tls, qsm_of(spark, tls_dir)).select(F.col("tree_id").cast("long").alias("b"), "volume")
     pairs = m.join(vol, "b").join(als.withColumn("a", F.col("tree_id").cast("long")).drop("x", "y"), "a").withColumn("seq", F.col("a"))
-    edges = tuple(dbh_classes)
-    both = m.join(tls.select(F.col("tree_id").cast("long").alias("b"), "dbh"), "b").select(fo.size_class(F.col("dbh"), edges).alias("size_class"), F.lit("both").alias("found"))
-    only = lambda t, k, w: t.join(m.select(F.col(k).alias("tree_id")), "tree_id", "left_anti").select(fo.size_class(F.col("dbh"), edges).alias("size_class"), F.lit(w).alias("found"))
-    rows = both.unionByName(only(tls, "b", "onlyReference")).unionByName(only(als, "a", "onlyDetected"))
     return {"detection": fo.detection(rows), "model": tr.volume_model(pairs, [snake(p) for p in predictors], form, folds)}
 
 

@@ -475,32 +475,37 @@ def metrics_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_thinned(spark, sf_dir))
 
 
-GROWTH_SQL = f"""WITH {TREES_SQL}, e AS (SELECT tree_id, dbh, height, pi() * (dbh / 2) ** 2 AS basal_area FROM trees),
+GROWTH_SQL = f"""WITH {TREES_SQL}, e AS (SELECT tree_id, x, dbh, height, pi() * (dbh / 2) ** 2 AS basal_area FROM trees),
 a AS (SELECT * FROM e WHERE tree_id % 10 <> 1), b AS (SELECT tree_id, dbh * 1.05 AS dbh, height + 1 AS height, pi() * (dbh * 1.05 / 2) ** 2 AS basal_area FROM e WHERE tree_id % 10 <> 2),
-m AS (SELECT b.dbh - a.dbh AS dd, b.height - a.height AS dh, 0.5 * (b.basal_area * b.height - a.basal_area * a.height) AS dv FROM a JOIN b USING (tree_id)),
-h AS (SELECT basal_area * height * 0.5 AS v FROM a ANTI JOIN b USING (tree_id)), i AS (SELECT basal_area * height * 0.5 AS v FROM b ANTI JOIN a USING (tree_id))
+m AS (SELECT b.dbh - a.dbh AS dd, b.height - a.height AS dh, 0.5 * (b.basal_area * b.height - a.basal_area * a.height) AS dv FROM a JOIN b USING (tree_id) WHERE x IS NOT NULL),
+k AS (SELECT tree_id FROM a JOIN b USING (tree_id) WHERE x IS NOT NULL), h AS (SELECT basal_area * height * 0.5 AS v FROM a ANTI JOIN k USING (tree_id)), i AS (SELECT basal_area * height * 0.5 AS v FROM b ANTI JOIN k USING (tree_id))
 SELECT count(*) AS n, count(dd) AS n_dbh_pairs, count(dv) AS n_vol_pairs, round(coalesce(avg(dd), 0.0::DOUBLE), 6) AS mean_ddbh, round(coalesce(avg(dh), 0.0::DOUBLE), 6) AS mean_dh, round(coalesce(sum(dv), 0.0::DOUBLE), 6) AS sum_dv,
 (SELECT count(*) FROM h) AS harvested_count, (SELECT round(coalesce(sum(v), 0.0::DOUBLE), 6) FROM h) AS harvested_vol, (SELECT count(*) - count(v) FROM h) AS harvested_unmeasured,
 (SELECT count(*) FROM i) AS ingrowth_count, (SELECT round(coalesce(sum(v), 0.0::DOUBLE), 6) FROM i) AS ingrowth_vol, (SELECT count(*) - count(v) FROM i) AS ingrowth_unmeasured FROM m"""
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees with plots of a thousand side by side, so no two stand in one place and the stand is as dense at any size."""
+    t = ad.trees(spark, sf_dir)
+    return t.withColumn("x", F.col("x") + 100 * F.expr("tree_id DIV 1000"))
+
+
 @query(GROWTH_SQL)
 def change_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ad.trees(spark, sf_dir).select("tree_id", "dbh", "height").withColumn("basal_area", S.basal_area(F.col("dbh")))
+    t = _placed(spark, sf_dir).select("tree_id", "x", "y", "dbh", "height").withColumn("basal_area", S.basal_area(F.col("dbh")))
     a = t.filter("tree_id % 10 <> 1")
-    b = t.filter("tree_id % 10 <> 2").withColumns({"dbh": F.col("dbh") * 1.05, "height": F.col("height") + 1}).withColumn("basal_area", S.basal_area(F.col("dbh")))
-    tag = lambda df, s: df.select("tree_id", *(F.col(c).alias(c + s) for c in ("dbh", "height", "basal_area")))
-    return rounded(fo.growth_summary(tag(a, "_ref").join(tag(b, "_now"), "tree_id"), a.join(b, "tree_id", "left_anti"), b.join(a, "tree_id", "left_anti")))
+    b = t.filter("tree_id % 10 <> 2").withColumns({"x": F.col("x") + 0.3, "dbh": F.col("dbh") * 1.05, "height": F.col("height") + 1}).withColumn("basal_area", S.basal_area(F.col("dbh")))
+    return rounded(fo.matched_growth(a, b, 1.0))
 
 
-@query(f"""WITH {TREES_SQL}, c AS (SELECT CASE WHEN dbh >= 0.45 THEN 4 WHEN dbh >= 0.35 THEN 3 WHEN dbh >= 0.25 THEN 2 WHEN dbh >= 0.15 THEN 1 WHEN dbh >= 0.05 THEN 0 END AS size_class, CASE WHEN tree_id % 6 = 0 THEN 'onlyReference' WHEN tree_id % 8 = 1 THEN 'onlyDetected' ELSE 'both' END AS f FROM trees),
+@query(f"""WITH {TREES_SQL}, c AS (SELECT CASE WHEN dbh >= 0.45 THEN 4 WHEN dbh >= 0.35 THEN 3 WHEN dbh >= 0.25 THEN 2 WHEN dbh >= 0.15 THEN 1 WHEN dbh >= 0.05 THEN 0 END AS size_class, f FROM trees, LATERAL (SELECT unnest(CASE WHEN tree_id % 6 = 0 THEN ['onlyReference'] WHEN tree_id % 8 = 1 THEN ['onlyDetected'] WHEN x IS NULL THEN ['onlyReference', 'onlyDetected'] ELSE ['both'] END) AS f)),
 g AS (SELECT size_class, count(*) FILTER (f = 'both') AS tp, count(*) FILTER (f = 'onlyReference') AS fn, count(*) FILTER (f = 'onlyDetected') AS fp FROM c GROUP BY 1 UNION ALL SELECT -1, count(*) FILTER (f = 'both'), count(*) FILTER (f = 'onlyReference'), count(*) FILTER (f = 'onlyDetected') FROM c),
 r AS (SELECT *, tp / nullif(tp + fn, 0)::DOUBLE AS recall, tp / nullif(tp + fp, 0)::DOUBLE AS precision FROM g)
 SELECT size_class, tp, fn, fp, round(recall, 6) AS recall, round(precision, 6) AS precision, round(2 * recall * precision / nullif(recall + precision, 0), 6) AS f1 FROM r""")
 def detection_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("tree_id")
-    found = F.when(k % 6 == 0, "onlyReference").when(k % 8 == 1, "onlyDetected").otherwise("both")
-    return rounded(fo.detection(ad.trees(spark, sf_dir).select(fo.size_class(F.col("dbh")).alias("size_class"), found.alias("found"))))
+    t = _placed(spark, sf_dir)
+    seen = t.filter("tree_id % 6 <> 0").withColumn("y", F.col("y") + 0.4)
+    return rounded(fo.detection(fo.found_by_place(t.filter("tree_id % 8 <> 1 OR tree_id % 6 = 0"), seen, 1.0, (0.05, 0.15, 0.25, 0.35, 0.45))[1]))
 
 
 _OPTIONS = ", ".join(f"({a * 100 - n}, '{k}', {least}::DOUBLE, {length}::DOUBLE, {price}::DOUBLE)" for a, (k, least, lengths, price) in enumerate(fo.ASSORTMENTS, 1) for n, length in enumerate(sorted(lengths)))
@@ -577,11 +582,26 @@ def segment_leafwood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ne.leaf_wood(ad.points(spark, sf_dir), 1.5, 0.6037, 0.5511, 0.3519, least=4).select("point_id", "semantic")
 
 
-@query(None)
+_AHEAD = ", ".join(f"{p} AS {n}" for n, p in (("u1", "b * c - e * e"), ("u2", "d * e - f * c"), ("u3", "f * e - b * d"), ("v1", "f * e - d * b"), ("v2", "d * f - a * e"), ("v3", "a * b - f * f"), ("w1", "f * c - d * e"), ("w2", "d * d - a * c"), ("w3", "a * e - f * d")))
+
+
+@query(f"""WITH {POINTS_SQL}, cores AS (SELECT concat_ws(':', CAST(floor(x / 10) AS BIGINT), CAST(floor(y / 10) AS BIGINT), CAST(floor(z / 10) AS BIGINT)) AS core, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM points GROUP BY 1),
+near AS (SELECT core, covar_pop(p.x, p.x) AS xx, covar_pop(p.x, p.y) AS xy, covar_pop(p.x, p.z) AS xz, covar_pop(p.y, p.y) AS yy, covar_pop(p.y, p.z) AS yz, covar_pop(p.z, p.z) AS zz FROM cores c JOIN points p ON sqrt((c.x - p.x) ** 2 + (c.y - p.y) ** 2 + (c.z - p.z) ** 2) <= 2 WHERE epoch = 0 GROUP BY 1 HAVING count(*) >= 4),
+q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM near), s AS (SELECT *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy ** 2 + xz ** 2 + yz ** 2)) / 6) AS s FROM q),
+t AS (SELECT *, acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * s ** 3)))) / 3 AS t FROM s),
+m AS (SELECT core, xx - low AS a, yy - low AS b, zz - low AS c, xz AS d, yz AS e, xy AS f FROM (SELECT *, q + 2 * s * cos(t + 2 * pi() / 3) AS low FROM t)),
+v AS (SELECT core, {_AHEAD} FROM m),
+k AS (SELECT core, CASE WHEN nu >= nv AND nu >= nw THEN [u1, u2, u3] WHEN nv >= nw THEN [v1, v2, v3] ELSE [w1, w2, w3] END AS n FROM (SELECT *, u1 ** 2 + u2 ** 2 + u3 ** 2 AS nu, v1 ** 2 + v2 ** 2 + v3 ** 2 AS nv, w1 ** 2 + w2 ** 2 + w3 ** 2 AS nw FROM v)),
+h AS (SELECT core, list_transform(n, lambda x: CASE WHEN abs(x) < 1e-9 * sqrt(n[1] ** 2 + n[2] ** 2 + n[3] ** 2) THEN 0 ELSE x / sqrt(n[1] ** 2 + n[2] ** 2 + n[3] ** 2) END) AS n FROM k),
+n AS (SELECT core, n[1] * w + 0 AS nx, n[2] * w + 0 AS ny, n[3] * w + 0 AS nz FROM (SELECT *, CASE WHEN CASE WHEN n[3] <> 0 THEN n[3] WHEN n[2] <> 0 THEN n[2] ELSE n[1] END < 0 THEN -1 ELSE 1 END AS w FROM h)),
+l AS (SELECT core, epoch, (p.x - c.x) * nx + (p.y - c.y) * ny + (p.z - c.z) * nz AS l, (p.x - c.x) ** 2 + (p.y - c.y) ** 2 + (p.z - c.z) ** 2 AS d2 FROM n JOIN cores c USING (core) JOIN points p ON abs(p.x - c.x) <= 3.2 AND abs(p.y - c.y) <= 3.2 AND abs(p.z - c.z) <= 3.2),
+g AS (SELECT core, count(*) FILTER (epoch = 0) AS n0, count(*) FILTER (epoch = 1) AS n1, avg(l) FILTER (epoch = 0) AS m0, avg(l) FILTER (epoch = 1) AS m1, stddev_samp(l) FILTER (epoch = 0) AS s0, stddev_samp(l) FILTER (epoch = 1) AS s1 FROM l WHERE abs(l) <= 3 AND d2 - l * l <= 1 GROUP BY 1),
+r AS (SELECT core, nx, ny, nz, nullif(n0, 0) AS n_ref, nullif(n1, 0) AS n_now, m1 - m0 AS distance, 1.96 * (sqrt(s0 ** 2 / n0 + s1 ** 2 / n1) + 0.02) AS lod FROM n LEFT JOIN g USING (core))
+SELECT core, round(nx, 4) AS nx, round(ny, 4) AS ny, round(nz, 4) AS nz, n_ref, n_now, round(distance, 4) AS distance, round(lod, 4) AS lod, abs(distance) > lod AS significant FROM r""")
 def change_m3c2(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = ad.points(spark, sf_dir)
     cores = po.decimate(p, 10.0).select(F.concat_ws(":", "vx", "vy", "vz").alias("core"), "x", "y", "z")
-    return rounded(ne.m3c2(cores, p.filter("epoch = 0"), p.filter("epoch = 1"), 4.0, 2.0, 3.0))
+    return rounded(ne.m3c2(cores, p.filter("epoch = 0"), p.filter("epoch = 1"), 4.0, 2.0, 3.0), 4)
 
 
 def _ramped(low: float, high: float) -> str:
@@ -602,17 +622,21 @@ def qc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ne.point_quality(p, refl_min=-12.0, outlier_radius_min=4.0, outlier_radius_max=6.0, wind_radius_min=4.0, wind_radius_max=6.0).select("point_id", "label")
 
 
-@query(None)
+@query(f"WITH {TREES_SQL} SELECT tree_id::BIGINT AS a, tree_id::BIGINT AS b, 0.3::DOUBLE AS distance FROM trees WHERE x IS NOT NULL AND tree_id % 7 <> 0")
 def match_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ad.trees(spark, sf_dir)
-    # Plots of a thousand trees stand side by side, so the stand is as dense at any size.
-    t = t.withColumn("x", F.col("x") + 100 * F.expr("tree_id DIV 1000"))
+    t = _placed(spark, sf_dir)
     a = t.select(F.col("tree_id").alias("a"), "x", "y")
     b = t.filter("tree_id % 7 <> 0").select(F.col("tree_id").alias("b"), (F.col("x") + 0.3).alias("x"), "y")
     return rounded(ne.match_positions(a, b, 1.0))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {POINTS_SQL}, p AS (SELECT row_number() OVER (ORDER BY point_id) AS n, point_id, x, y, z, CAST(floor(x) AS BIGINT) AS cx, CAST(floor(y) AS BIGINT) AS cy, CAST(floor(z) AS BIGINT) AS cz FROM points),
+o AS (SELECT unnest([-1, 0, 1]) AS d), spread AS (SELECT p.*, cx + i.d AS sx, cy + j.d AS sy, cz + k.d AS sz FROM p, o i, o j, o k),
+pairs AS (SELECT a.n AS a, b.n AS b FROM p a JOIN spread b ON a.cx = b.sx AND a.cy = b.sy AND a.cz = b.sz WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 1.0),
+core AS (SELECT a AS n FROM pairs GROUP BY 1 HAVING count(*) >= 4), links AS (SELECT a, b FROM pairs SEMI JOIN core c ON c.n = a SEMI JOIN core d ON d.n = b),
+cc(node, root) USING KEY (node) AS (SELECT n, n FROM core UNION SELECT l.b, min(c.root) FROM cc c JOIN links l ON l.a = c.node JOIN recurring.cc k ON k.node = l.b WHERE c.root < k.root GROUP BY l.b),
+member AS (SELECT a AS n, min(root) AS root FROM pairs JOIN cc ON node = b GROUP BY 1)
+SELECT q.point_id, s.point_id AS cluster FROM member m LEFT JOIN cc ON node = m.n JOIN p q ON q.n = m.n JOIN p s ON s.n = coalesce(cc.root, m.root)""")
 def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ne.dbscan(ad.points(spark, sf_dir), 1.0, 4)
 
@@ -665,7 +689,10 @@ def stem_centerlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(t.select("tree_id", F.size("line").alias("vertices"), mean("hag").alias("mean_hag"), mean("r").alias("mean_r")))
 
 
-@query(None)
+@query(_SLICED + """, m AS (SELECT tree_id, bit_or(sectors) AS mask FROM sl GROUP BY 1), r AS (SELECT *, unnest(range(12)) AS s FROM m),
+g AS (SELECT *, CASE WHEN mask = 0 THEN 12 ELSE list_filter(range(12), lambda d: (mask >> CAST((s + d) % 12 AS INT)) & 1 = 1)[1] END AS len FROM r),
+b AS (SELECT tree_id, max(len) AS len, arg_min(s, (-len, s + len)) AS s FROM g WHERE (mask >> CAST((s + 11) % 12 AS INT)) & 1 = 1 OR mask = 0 GROUP BY 1)
+SELECT m.tree_id, 12 - bit_count(m.mask) AS unseen, CASE WHEN coalesce(len, 0) = 0 THEN 0 ELSE s * 30 END AS gap_from_deg, coalesce(len, 0) * 30 AS gap_deg FROM m LEFT JOIN b USING (tree_id)""")
 def rescan_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.shadows(tr.slices(_stand(spark, sf_dir), 0.5, 5))
 
