@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -292,7 +293,7 @@ ASSORTMENTS = [
 def buck(taper: DataFrame, stump: float = 0.1, assortments: list = ASSORTMENTS) -> DataFrame:
     """``taper(tree_id, h, d)`` (m, m) -> logs ``(tree_id, nth, assortment, from_h, to_h, top_d, volume, value)``; stump and residue are rows too.
 
-    Cutting up a stem is sequential, so it goes tree by tree in Python; trees are independent groups of bounded size.
+    Cutting up a stem is sequential, so it goes tree by tree; a batch holds many whole trees.
     """
     def volume(h: np.ndarray, d: np.ndarray, a: float, b: float) -> float:
         # The stem is a cylinder below its first point and frustums between points.
@@ -300,26 +301,47 @@ def buck(taper: DataFrame, stump: float = 0.1, assortments: list = ASSORTMENTS)
         at = np.interp(edges, h, d)
         return float((np.pi / 12 * np.diff(edges) * (at[:-1] ** 2 + at[:-1] * at[1:] + at[1:] ** 2)).sum())
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().sort_values("h").drop_duplicates("h")
-        rows, tree = [], pdf["tree_id"].iloc[0] if len(pdf) else 0
-        if len(pdf):
-            h, d = pdf["h"].to_numpy(), pdf["d"].to_numpy()
-            top, at = float(h[-1]), min(stump, float(h[-1]))
-            rows.append((tree, 0, "stump", 0.0, at, float(np.interp(at, h, d)), volume(h, d, 0.0, at), 0.0))
-            while True:
-                pick = next(((k, n, p) for k, least, lengths, p in assortments for n in sorted(lengths, reverse=True) if at + n <= top + 1e-9 and np.interp(at + n, h, d) * 100 >= least), None)
-                if not pick:
-                    break
-                k, n, price = pick
-                v = volume(h, d, at, at + n)
-                rows.append((tree, len(rows), k, at, at + n, float(np.interp(at + n, h, d)), v, v * price))
-                at += n
-            if top > at:
-                rows.append((tree, len(rows), "residue", at, top, float(d[-1]), volume(h, d, at, top), 0.0))
-        return pd.DataFrame(rows, columns=["tree_id", "nth", "assortment", "from_h", "to_h", "top_d", "volume", "value"])
-
-    return taper.select(F.col("tree_id").cast("int").alias("tree_id"), F.col("h").cast("double").alias("h"), F.col("d").cast("double").alias("d")).groupBy("tree_id").applyInPandas(cut, "tree_id int, nth int, assortment string, from_h double, to_h double, top_d double, volume double, value double")
+    def cut(tree: int, h: np.ndarray, d: np.ndarray) -> list[tuple]:
+        top, at = float(h[-1]), min(stump, float(h[-1]))
+        rows = [(tree, 0, "stump", 0.0, at, float(np.interp(at, h, d)), volume(h, d, 0.0, at), 0.0)]
+        while True:
+            pick = next(((k, n, p) for k, least, lengths, p in assortments for n in sorted(lengths, reverse=True) if at + n <= top + 1e-9 and np.interp(at + n, h, d) * 100 >= least), None)
+            if not pick:
+                break
+            k, n, price = pick
+            v = volume(h, d, at, at + n)
+            rows.append((tree, len(rows), k, at, at + n, float(np.interp(at + n, h, d)), v, v * price))
+            at += n
+        if top > at:
+            rows.append((tree, len(rows), "residue", at, top, float(d[-1]), volume(h, d, at, top), 0.0))
+        return rows
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in whole_groups(parts, "tree_id"):
+            first = np.flatnonzero(np.diff(t["tree_id"], prepend=t["tree_id"].iloc[0] - 1)).tolist()
+            h, d, rows = t["h"].to_numpy(), t["d"].to_numpy(), []
+            for a, b in zip(first, [*first[1:], len(t)]):
+                # Of points at one height the first one counts.
+                at, keep = np.unique(h[a:b], return_index=True)
+                rows += cut(int(t["tree_id"].iloc[a]), at, d[a:b][keep])
+            yield pd.DataFrame(rows, columns=["tree_id", "nth", "assortment", "from_h", "to_h", "top_d", "volume", "value"])
+
+    rows = taper.select(F.col("tree_id").cast("int").alias("tree_id"), F.col("h").cast("double").alias("h"), F.col("d").cast("double").alias("d")).dropna()
+    return rows.repartition("tree_id").sortWithinPartitions("tree_id", "h", "d").mapInPandas(run, "tree_id int, nth int, assortment string, from_h double, to_h double, top_d double, volume double, value double")
+
+
+def whole_groups(parts: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Batches sorted by ``key`` that cut no group: the last one of a batch goes to the next."""
+    held = None
+    for t in parts:
+        t = t if held is None else pd.concat([held, t], ignore_index=True)
+        if len(t):
+            open_ = (t[key] == t[key].iloc[-1]).to_numpy()
+            held = t[open_]
+            if not open_.all():
+                yield t[~open_]
+    if held is not None and len(held):
+        yield held
 
 
 def taper_of(slices: DataFrame) -> DataFrame:

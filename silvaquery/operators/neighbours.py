@@ -371,16 +371,10 @@ def match_positions(a: DataFrame, b: DataFrame, radius: float, method: str = "op
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from silvaquery.functions.assignment import assign
+        from silvaquery.operators.forestry import whole_groups
 
-        # Components side by side are one sparse problem; the last of a batch may go on in the next one.
-        held = None
-        for t in parts:
-            t = t if held is None else pd.concat([held, t])
-            if len(t):
-                open_ = t["root"] == t["root"].iloc[-1]
-                held, t = t[open_], t[~open_]
-                yield pd.DataFrame(assign(t[["a", "b", "distance"]].itertuples(index=False, name=None), method), columns=["a", "b", "distance"])
-        if held is not None and len(held):
-            yield pd.DataFrame(assign(held[["a", "b", "distance"]].itertuples(index=False, name=None), method), columns=["a", "b", "distance"])
+        # Components side by side are one sparse problem.
+        for t in whole_groups(parts, "root"):
+            yield pd.DataFrame(assign(t[["a", "b", "distance"]].itertuples(index=False, name=None), method), columns=["a", "b", "distance"])
 
     return grouped.repartition("root").sortWithinPartitions("root").mapInPandas(solve, schema)

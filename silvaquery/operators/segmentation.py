@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from . import blocks as bl
 from . import neighbours as ne
 
 
@@ -332,24 +333,34 @@ def segment_li2012(points: DataFrame, dt1: float = 1.5, dt2: float = 2.0, zu: fl
         pdf = pdf.sort_values(["hag", key], ascending=[False, True]).reset_index(drop=True)
         x, y, z = (pdf[k].to_numpy(float) for k in ("x", "y", "hag"))
         live = np.flatnonzero(z >= least)
-        peak = np.ones(len(x), bool)
-        for i in live:
-            above = live[:np.searchsorted(-z[live], -z[i], "left")]
-            peak[i] = not ((x[above] - x[i]) ** 2 + (y[above] - y[i]) ** 2 <= (window / 2) ** 2).any() if window > 0 else True
+        peak, flat = np.ones(len(x), bool), np.column_stack([x, y])
+        if window > 0:
+            for i, j, _ in bl.close_pairs(flat[live], flat[live], window / 2):
+                peak[live[i[z[live[j]] > z[live[i]]]]] = False
+        limits = np.where(peak, np.where(z > zu, dt2, dt1), far)
         out = np.zeros(len(x), np.int64)
         while len(live):
             # Members of the tree and of the rest, as growing prefixes of two arrays.
-            sides, size = np.empty((2, len(live)), int), [1, 0]
-            sides[0, 0] = live[0]
-            for i in live[1:]:
-                limit = (dt2 if z[i] > zu else dt1) if peak[i] else far
-                near = [float(((x[g] - x[i]) ** 2 + (y[g] - y[i]) ** 2).min()) if len(g) else np.inf for g in (sides[0, :size[0]], sides[1, :size[1]])]
-                k = int(not (near[0] <= limit * limit and near[0] <= near[1]))
-                sides[k, size[k]] = i
-                size[k] += 1
+            sides, size = np.empty((2, len(live), 2)), [1, 0]
+            sides[0, 0] = flat[live[0]]
+            mine = np.zeros(len(live), bool)
+            mine[0] = True
+            west, south = east, north = tuple(flat[live[0]].tolist())
+            for n, (px, py, limit) in enumerate(zip(x[live[1:]].tolist(), y[live[1:]].tolist(), limits[live[1:]].tolist()), 1):
+                # Whatever is farther than its limit from the tree's box is of the rest, without a look at its points.
+                if west - limit <= px <= east + limit and south - limit <= py <= north + limit:
+                    to_tree = _nearest2(sides[0, :size[0]], px, py)
+                    if to_tree <= limit * limit and to_tree <= _nearest2(sides[1, :size[1]], px, py):
+                        sides[0, size[0]] = px, py
+                        size[0] += 1
+                        mine[n] = True
+                        west, east, south, north = min(west, px), max(east, px), min(south, py), max(north, py)
+                        continue
+                sides[1, size[1]] = px, py
+                size[1] += 1
             if size[0] >= max(1, min_points):
-                out[sides[0, :size[0]]] = place_name(x[sides[0, 0]], y[sides[0, 0]], 0.01)
-            live = sides[1, :size[1]].copy()
+                out[live[mine]] = place_name(x[live[0]], y[live[0]], 0.01)
+            live = live[~mine]
         own = pdf["core"].to_numpy()
         return pd.DataFrame({key: pdf[key][own], "tree_id": out[own]})
 
@@ -357,6 +368,14 @@ def segment_li2012(points: DataFrame, dt1: float = 1.5, dt2: float = 2.0, zu: fl
     return tiled(points.select(key, "x", "y", "hag"), tile, halo, work, f"{key} {kind}, tree_id long")
 
 
+def _nearest2(points: np.ndarray, x: float, y: float) -> float:
+    """Least squared distance to any of the points."""
+    if not len(points):
+        return math.inf
+    d = points - (x, y)
+    return float(np.einsum("ij,ij->i", d, d).min())
+
+
 def by_voxel(points: DataFrame, voxel: float, segment: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
     """Labels of points through labels of their voxels (``v`` names a voxel by its three cells), so tiles hold voxels only: ``(key, tree_id)``."""
     cells = [S.cell(F.col(c), voxel).alias(f"v{c}") for c in ("x", "y", "hag")]
