@@ -341,6 +341,20 @@ def voxel_change(now: DataFrame, before: DataFrame, size: float, min_points: int
     return kind.agg(one("unchanged").alias("unchanged"), one("appeared").alias("appeared"), one("disappeared").alias("disappeared"), (one("appeared") * m3).alias("appeared_m3"), (one("disappeared") * m3).alias("disappeared_m3"))
 
 
+def mark_new_voxels(now: DataFrame, before: DataFrame, size: float, min_points: int = 1, neighbours: bool = True) -> DataFrame:
+    """``now`` with ``voxel_change``: 1 in voxels that ``before`` has neither itself nor, with ``neighbours``, beside it; else 0."""
+    key = ["vx", "vy", "vz"]
+    mine, theirs = (voxels(p, size, min_points).select(*key) for p in (now, before))
+    lone = mine.join(theirs, key, "left_anti")
+    if neighbours:
+        near = F.array(*(F.struct(*(F.lit(d).cast("long").alias(n) for d, n in zip((i, j, k), "ijk"))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if i or j or k))
+        around = lone.select(F.struct(*key).alias("own"), F.explode(near).alias("o")).select("own", *((F.col(f"own.{k}") + F.col(f"o.{n}")).alias(k) for k, n in zip(key, "ijk")))
+        met = around.join(theirs, key, "left_semi").select("own.*").distinct()
+        lone = lone.join(met, key, "left_anti")
+    keyed = now.drop("voxel_change").withColumns({f"v{c}": S.cell(F.col(c), size) for c in "xyz"})
+    return keyed.join(lone.withColumn("is_new", F.lit(1)), key, "left").withColumn("voxel_change", F.coalesce("is_new", F.lit(0))).drop(*key, "is_new")
+
+
 def downsample(points: DataFrame, size: float, keep: str = "center", order: str = "point_id") -> DataFrame:
     """One point per voxel: the first by ``order``, or the one nearest the voxel's centroid.
 

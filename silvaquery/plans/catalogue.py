@@ -500,11 +500,16 @@ def _(spark, octree_dir: str, cell_size: float = 0.1, classes: list = [], fill_g
 
 @op("change.voxels")
 def _(spark, octree_dir: str, reference_dir: str, min_points: int = 1, neighbours: bool = True, voxel_size: float = 0.1, write_column: bool = True):
-    return po.voxel_change(points_of(spark, octree_dir), points_of(spark, reference_dir), voxel_size, min_points, neighbours)
+    now, before = points_of(spark, octree_dir), points_of(spark, reference_dir)
+    out = po.voxel_change(now, before, voxel_size, min_points, neighbours)
+    if write_column:
+        out = ne.cut_lineage(out)
+        store_points(spark, po.mark_new_voxels(now, before, voxel_size, min_points, neighbours), octree_dir)
+    return out
 
 
 @op("export.ortho")
-def _(spark, octree_dir: str, bearing_deg: float = 0.0, color: str = "height", depth: Any = None, out_name: str = "ortho", pixel_size: float = 0.02, polygon: list = [], shade: bool = True, view: str = "top"):
+def _(spark, octree_dir: str, bearing_deg: float = 0.0, color: str = "height", depth: Any = None, out_name: str = "ortho", pixel_size: float = 0.02, polygon: list = [], shade: bool = False, view: str = "top"):
     p = po.subset(points_of(spark, octree_dir), polygon=polygon)
     return po.ortho(p, pixel_size, view, "z" if color == "height" else color)
 
@@ -567,8 +572,10 @@ def _label(spark, octree_dir: str, labels: DataFrame) -> dict:
 
 
 @op("segment.forest")
-def _(spark, octree_dir: str, cut: float = 0.25, dtm_cell: float = 0.5, edge_buffer: float = 2.0, understory: float = 2.0, use_reflectance: bool = True, use_saved_seeds: bool = False, voxel: float = 0.04, write_semantic: bool = True):
-    return _label(spark, octree_dir, sg.segment_graph(heights_of(spark, octree_dir, dtm_cell), max(voxel, 0.04), cut=cut))
+def _(spark, octree_dir: str, cut: float = 0.25, dtm_cell: float = 0.5, edge_buffer: float = 2.0, understory: float = 2.0, use_reflectance: bool = False, use_saved_seeds: bool = False, voxel: float = 0.04, write_semantic: bool = False):
+    if voxel < 0.04:
+        raise ValueError("voxels are at least 0.04 wide")
+    return _label(spark, octree_dir, sg.segment_graph(heights_of(spark, octree_dir, dtm_cell), voxel, cut=cut))
 
 
 @op("segment.chm")
@@ -772,7 +779,7 @@ def _skeleton(spark, octree_dir: str) -> DataFrame:
 
 
 @op("transfer.buildSkeletons")
-def _(spark, baseline_dir: str, drop_far_fragments: bool = True, dtm_cell: float = 0.5, ground_threshold: float = 0.0, max_tree_points: int = 0, min_tree_points: int = 0, qsm_models: int = 1, r_cover: float = 0.08, skeleton_spacing: float = 0.02, skip_added_cylinders: bool = True):
+def _(spark, baseline_dir: str, drop_far_fragments: bool = False, dtm_cell: float = 0.5, ground_threshold: float = 0.0, max_tree_points: int = 0, min_tree_points: int = 0, qsm_models: int = 1, r_cover: float = 0.08, skeleton_spacing: float = 0.02, skip_added_cylinders: bool = True):
     """Stem skeletons: cylinders between neighbouring accepted slices of each tree."""
     from pyspark.sql import Window
 
@@ -813,7 +820,7 @@ def _turn(a: dict) -> list[float]:
 
 
 @op("transfer.run")
-def _(spark, baseline_dir: str, target_dir: str, alignment: dict | None = None, baseline_ground_threshold: float = 0.0, baseline_height: str = "stored", distance_threshold: float = 0.3, drop_far_fragments: bool = True, dtm_cell: float = 0.5, ground_threshold: float = 0.2, ignore_stored_alignment: bool = False, label_beyond_threshold: bool = True, max_tree_points: int = 0, min_tree_points: int = 0, qsm_models: int = 1, r_cover: float = 0.08, skeleton_spacing: float = 0.02, skip_added_cylinders: bool = True, target_height: str = "stored"):
+def _(spark, baseline_dir: str, target_dir: str, alignment: dict | None = None, baseline_ground_threshold: float = 0.0, baseline_height: str = "stored", distance_threshold: float = 0.3, drop_far_fragments: bool = False, dtm_cell: float = 0.5, ground_threshold: float = 0.2, ignore_stored_alignment: bool = False, label_beyond_threshold: bool = True, max_tree_points: int = 0, min_tree_points: int = 0, qsm_models: int = 1, r_cover: float = 0.08, skeleton_spacing: float = 0.02, skip_added_cylinders: bool = True, target_height: str = "stored"):
     """Labels of the nearest skeleton point for the target's points above the ground threshold; the others have none."""
     a = alignment or ({} if ignore_stored_alignment else load(target_dir, "alignment")) or {}
     if stored_table(spark, baseline_dir, "skeletons") is None:
@@ -927,11 +934,13 @@ def _(spark, moving_dir: str, reference_dir: str, apply: bool = False, dof: str
 
 @op("export.las")
 def _(spark, octree_dir: str, out_path: str, cell_size: float | None = None, decimals: int | None = None, delimiter: str | None = None, extras_to_export: Any = None, filter: dict | None = None, geoid: str | None = None, header: bool | None = None, include_laying_deadwood: bool | None = None, include_semantic: bool | None = None, include_standing_deadwood: bool | None = None, include_tree_id: bool | None = None, keep_classification: bool | None = None, keep_intensity: bool | None = None, las14: bool | None = None, normalize: bool | None = None, ply_ascii: bool | None = None, standard_fields: bool | None = None, target_crs: str | None = None):
-    if geoid or target_crs:
+    if target_crs:
         raise ValueError("reprojection needs a projection library that is not here")
     p = _filtered(points_of(spark, octree_dir), filter or {})
     if normalize:
-        p = po.normalize(p.drop("hag"), cell_size or 0.5).withColumn("z", F.coalesce("hag", "z"))
+        p = po.normalize_filled(p.drop("hag"), cell_size or 0.5).withColumn("z", F.coalesce("hag", "z"))
+    if geoid:
+        p = _above_geoid(spark, p, geoid)
     if out_path.lower().endswith((".txt", ".csv", ".xyz")):
         fm.write_text(p.select("x", "y", "z", "intensity", "cls", "tree_id"), out_path, 3 if decimals is None else decimals, delimiter or ",", header is not False)
     elif not out_path.lower().endswith((".las", "/")) and "." in out_path.rsplit("/", 1)[-1]:
@@ -941,6 +950,17 @@ def _(spark, octree_dir: str, out_path: str, cell_size: float | None = None, dec
     return out_path
 
 
+def _above_geoid(spark, p: DataFrame, path: str) -> DataFrame:
+    """Ellipsoidal heights less the undulation, from an ESRI ASCII grid in the points' own coordinates; a point beyond the grid is an error."""
+    address, n = sc.files_of(spark, path)[0]
+    grid, size = fm.read_esri_ascii(sc.read_bytes(address, 0, n).decode("ascii"))
+    # ESRI rasters have values at the middles of their cells, as the long grids here do.
+    high = ne.cut_lineage(po.sampled(p, spark.createDataFrame(grid), size, "value", "undulation"))
+    if lost := high.filter("undulation IS NULL").count():
+        raise ValueError(f"{lost} points lie beyond {path}")
+    return high.withColumn("z", F.col("z") - F.col("undulation")).drop("undulation")
+
+
 def _filtered(p: DataFrame, f: dict) -> DataFrame:
     known = {"x", "y", "z", "intensity", "treeId", "classes", "slab", "polygon"}
     if extra := set(f) - known:

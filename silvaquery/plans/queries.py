@@ -274,6 +274,15 @@ def change_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(po.voxel_change(p.filter("epoch = 0"), p.filter("epoch = 1"), 2.0))
 
 
+@query(f"""WITH {POINTS_SQL}, a AS (SELECT DISTINCT CAST(floor(x / 2.0) AS BIGINT) vx, CAST(floor(y / 2.0) AS BIGINT) vy, CAST(floor(z / 2.0) AS BIGINT) vz FROM points WHERE epoch = 1),
+b AS (SELECT DISTINCT CAST(floor(x / 2.0) AS BIGINT) vx, CAST(floor(y / 2.0) AS BIGINT) vy, CAST(floor(z / 2.0) AS BIGINT) vz FROM points WHERE epoch = 0 AND z < 30),
+o AS (SELECT unnest([-1, 0, 1]) AS d), g AS (SELECT DISTINCT vx + i.d AS vx, vy + j.d AS vy, vz + k.d AS vz FROM b, o i, o j, o k), n AS (SELECT * FROM a ANTI JOIN g USING (vx, vy, vz))
+SELECT point_id, CASE WHEN n.vx IS NULL THEN 0 ELSE 1 END AS voxel_change FROM points LEFT JOIN n ON floor(x / 2.0) = vx AND floor(y / 2.0) = vy AND floor(z / 2.0) = vz WHERE epoch = 1""")
+def change_voxel_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ad.points(spark, sf_dir)
+    return po.mark_new_voxels(p.filter("epoch = 1"), p.filter("epoch = 0 AND z < 30"), 2.0).select("point_id", "voxel_change")
+
+
 @query(f"""WITH {POINTS_SQL}, m AS (SELECT *, floor(x / 3.0) vx, floor(y / 3.0) vy, floor(z / 3.0) vz FROM points),
 c AS (SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my, avg(z) OVER w AS mz FROM m WINDOW w AS (PARTITION BY vx, vy, vz)),
 r AS (SELECT *, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY round((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz), 9), point_id) AS n FROM c)

@@ -99,3 +99,33 @@ def test_terrain_with_a_pit_free_surface(spark, tmp_path):
     assert len(b.keys() & a.keys()) > 0.8 * len(a) and max(b.values()) <= max(a.values()) + 1e-6
     with pytest.raises(ValueError, match="unknown method"):
         c.run(spark, "ground.terrain", {"octreeDir": d, "dsmMethod": "tin"})
+
+
+def test_voxel_change_is_written_by_default(spark, tmp_path):
+    d = make(spark, tmp_path)
+    s = c.run(spark, "export.subset", {"srcDir": d, "name": "s", "filter": {"x": [0, 5]}})
+    got = c.run(spark, "change.voxels", {"octreeDir": d, "referenceDir": s, "voxelSize": 1.0}).first()
+    marked = [(r.x, r.voxel_change) for r in c.points_of(spark, d).select("x", "voxel_change").collect()]
+    assert got.appeared > 0 and len(marked) == 200
+    assert {v for x, v in marked if x <= 5} == {0} and {v for x, v in marked if x >= 7} == {1}
+    with pytest.raises(ValueError, match="0.04"):
+        c.run(spark, "segment.forest", {"octreeDir": d, "voxel": 0.01})
+
+
+def test_las_above_a_geoid(spark, tmp_path):
+    """Heights less undulations between the middles of a grid's cells; a grid that is too small is refused."""
+    import pandas as pd
+
+    from silvaquery.sources import formats as fm
+    from silvaquery.sources import scans as sc
+
+    d = make(spark, tmp_path)
+    g = pd.DataFrame([(i, j, 20 + 0.5 * i + 0.25 * j) for i in range(-2, 8) for j in range(-2, 8)], columns=["col", "row", "v"])
+    (tmp_path / "geoid.asc").write_text(fm.esri_ascii(g, 2.0, "v"))
+    c.run(spark, "export.las", {"octreeDir": d, "outPath": f"{tmp_path}/out", "geoid": f"{tmp_path}/geoid.asc"})
+    got = sorted((round(r.x, 2), round(r.y, 2), round(r.z, 3)) for r in sc.read_records(spark, f"{tmp_path}/out").collect())
+    want = sorted((round(r.x, 2), round(r.y, 2), round(r.z - (20 + 0.5 * (r.x / 2 - 0.5) + 0.25 * (r.y / 2 - 0.5)), 3)) for r in c.points_of(spark, d).collect())
+    assert len(got) == 200 and all(abs(a - b) < 0.0011 for p, q in zip(got, want) for a, b in zip(p, q))
+    (tmp_path / "small.asc").write_text(fm.esri_ascii(g[(g["col"] < 3)], 2.0, "v"))
+    with pytest.raises(ValueError, match="lie beyond"):
+        c.run(spark, "export.las", {"octreeDir": d, "outPath": f"{tmp_path}/out2", "geoid": f"{tmp_path}/small.asc"})
