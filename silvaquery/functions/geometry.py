@@ -142,3 +142,56 @@ def chained(segments: np.ndarray, places: int = 9) -> list[np.ndarray]:
 
 def length_of(line: np.ndarray) -> float:
     return float(sum(math.hypot(*d) for d in np.diff(np.asarray(line, float), axis=0)))
+
+
+# ---------------------------------------------------------------- in space
+
+
+def circumspheres(q: np.ndarray, tets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, squared radii) of tetrahedra; flat ones get an infinite radius."""
+    a = q[tets[:, 0]]
+    m = 2 * (q[tets[:, 1:]] - a[:, None])
+    rhs = ((q[tets[:, 1:]] - a[:, None]) ** 2).sum(2)
+    flat = np.abs(np.linalg.det(m)) < 1e-14
+    m[flat] = np.eye(3)
+    off = np.linalg.solve(m, rhs[:, :, None])[:, :, 0]
+    return a + off, np.where(flat, np.inf, (off ** 2).sum(1))
+
+
+def tetrahedra(points: np.ndarray) -> np.ndarray:
+    """Delaunay tetrahedra (four row numbers) by incremental insertion; repeated points are left out.
+
+    Points are moved by some 1e-7 of the cloud's width first, drawn by their order, so that none lie on one sphere by chance.
+    """
+    p = np.asarray(points, float).reshape(-1, 3)
+    _, first = np.unique(p, axis=0, return_index=True)
+    order = np.sort(first)
+    if len(order) < 4:
+        return np.zeros((0, 4), int)
+    wide = max(float(np.ptp(p, axis=0).max()), 1e-9)
+    q = (p - p.mean(0)) / wide
+    q = q + np.random.default_rng(1).normal(0, 1e-7, q.shape)
+    n = len(q)
+    q = np.vstack([q, 40.0 * np.array([[1, 1, 1], [1, -1, -1], [-1, 1, -1], [-1, -1, 1]])])
+    tets = np.array([[n, n + 1, n + 2, n + 3]])
+    centre, size = circumspheres(q, tets)
+    for i in order:
+        bad = ((centre - q[i]) ** 2).sum(1) <= size
+        faces = np.sort(tets[bad][:, [[0, 1, 2], [0, 1, 3], [0, 2, 3], [1, 2, 3]]].reshape(-1, 3), axis=1)
+        # Faces of one removed tetrahedron only are the walls of the hole.
+        walls, times = np.unique(faces, axis=0, return_counts=True)
+        new = np.column_stack([walls[times == 1], np.full((times == 1).sum(), i)])
+        c, s = circumspheres(q, new)
+        tets, centre, size = np.vstack([tets[~bad], new]), np.vstack([centre[~bad], c]), np.concatenate([size[~bad], s])
+    return tets[(tets < n).all(1)]
+
+
+def alpha_volume(points: np.ndarray, alpha: float) -> float:
+    """Volume of the Delaunay tetrahedra whose circumscribed sphere's radius is at most ``alpha``; with infinity that of the hull."""
+    p, tets = np.asarray(points, float).reshape(-1, 3), tetrahedra(points)
+    if not len(tets):
+        return 0.0
+    size = np.abs(np.linalg.det(p[tets[:, 1:]] - p[tets[:, :1]])) / 6
+    solid = size > 1e-12
+    _, r2 = circumspheres(p, tets[solid])
+    return float(size[solid][r2 <= alpha * alpha].sum()) if np.isfinite(alpha) else float(size.sum())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -159,3 +160,27 @@ def predict_volume(trees: DataFrame, model: dict) -> DataFrame:
         beyond = beyond | F.coalesce(~F.col(p).between(lo, hi), F.lit(False))
     v = F.exp(out) * model["smearing"] if log else out
     return trees.withColumn("predicted", F.when(v > 0, v)).withColumn("extrapolated", F.col("predicted").isNotNull() & beyond)
+
+
+def crown_volumes(points: DataFrame, alpha: float = 1.0, base: float = 0.4, voxel: float = 0.25) -> DataFrame:
+    """``(tree_id, n, hull_volume, alpha_volume)`` of each crown: the points above ``base`` of the tree's height, one a voxel.
+
+    The alpha volume is that of the Delaunay tetrahedra that fit a sphere of radius ``alpha``: gaps between branches wider than it are air. A
+    crown's voxels are one group, bounded by its size; its points are not.
+    """
+    from .neighbours import cut_lineage
+
+    top = points.filter("tree_id > 0 AND hag IS NOT NULL").groupBy("tree_id").agg(F.max("hag").alias("top"))
+    crown = points.join(top, "tree_id").filter(F.col("hag") >= base * F.col("top"))
+    thin = cut_lineage(crown.groupBy("tree_id", *(F.floor(F.col(c) / voxel).alias(f"v{c}") for c in ("x", "y", "hag"))).agg(*(F.avg(c).alias(c) for c in ("x", "y", "hag"))))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from silvaquery.functions.geometry import alpha_volume
+        from silvaquery.operators.forestry import whole_groups
+
+        for t in whole_groups(parts, "tree_id"):
+            rows = [(int(k), len(g), alpha_volume(v, np.inf), alpha_volume(v, alpha)) for k, g in t.groupby("tree_id") for v in [g[["x", "y", "hag"]].to_numpy(float)]]
+            yield pd.DataFrame(rows, columns=["tree_id", "n", "hull_volume", "alpha_volume"])
+
+    rows = thin.select("tree_id", "x", "y", "hag").repartition("tree_id").sortWithinPartitions("tree_id", "x", "y", "hag")
+    return rows.mapInPandas(run, "tree_id int, n long, hull_volume double, alpha_volume double")
