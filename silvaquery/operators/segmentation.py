@@ -384,60 +384,74 @@ def by_voxel(points: DataFrame, voxel: float, segment: Callable[[DataFrame], Dat
     return p.select(key, F.concat_ws(":", "vx", "vy", "vhag").alias("v")).join(segment(v), "v").select(key, "tree_id")
 
 
-def segment_graph(points: DataFrame, voxel: float = 0.1, reach: float = 0.5, cut: float = 0.25, stem_high: float = 1.5, least: int = 8, tile: float = 50.0, halo: float = 20.0, key: str = "point_id") -> DataFrame:
-    """Voxel graph segmentation: stems are clusters of the low band, and every voxel goes to the stem nearest along the graph.
+def stem_seeds(voxels: DataFrame, reach: float, cut: float, stem_high: float, least: int, step: float) -> DataFrame:
+    """``(v, seed)``: voxels of the low band in clusters of at least ``least``, whatever tiles they cross; a seed is named by its lowest voxel's place."""
+    low = voxels.filter(F.col("hag").between(cut, stem_high))
+    found = ne.cut_lineage(low.join(ne.dbscan(low.select("v", "x", "y", F.col("hag").alias("z")), reach, 1, key="v"), "v"))
+    foot = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("hag", "y", "x")).alias("f")).filter(F.col("n") >= least)
+    name = ((F.floor(F.col("f.y") / step) + (1 << 29)) * F.lit(1 << 31) + F.floor(F.col("f.x") / step) + (1 << 29)).cast("long")
+    return found.join(foot.select("cluster", name.alias("seed")), "cluster").select("v", "seed")
+
+
+def grown(place: np.ndarray, best: np.ndarray, label: np.ndarray, front: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least distances along links of at most ``reach``, and the labels they bring (the smaller where equal), from rows ``front`` on, until nothing changes."""
+    links = [np.stack([i, j]) for i, j, _ in bl.close_pairs(place, place, reach)]
+    u, v = np.concatenate(links, axis=1) if links else np.zeros((2, 0), int)
+    first, far = np.searchsorted(u, np.arange(len(place) + 1)), np.sqrt(((place[u] - place[v]) ** 2).sum(1))
+    best, label = best.copy(), label.copy()
+    while len(front):
+        n = first[front + 1] - first[front]
+        at = np.repeat(first[front] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        to, way, name = v[at], np.repeat(best[front], n) + far[at], np.repeat(label[front], n)
+        # Of all ways to a row the shortest counts, then the smaller label.
+        order = np.lexsort((name, way, to))
+        to, way, name = to[order], way[order], name[order]
+        one = np.flatnonzero(np.diff(to, prepend=-1))
+        to, way, name = to[one], way[one], name[one]
+        nearer = (way < best[to] - 1e-9) | ((np.abs(way - best[to]) <= 1e-9) & (name < label[to]))
+        front = to[nearer]
+        best[front], label[front] = way[nearer], name[nearer]
+    return best, label
+
+
+def geodesic_labels(voxels: DataFrame, seeds: DataFrame, reach: float, cut: float, tile: float) -> DataFrame:
+    """``(v, tree_id, distance)``: each voxel's nearest seed along the graph of voxels at most ``reach`` apart, above ``cut``.
+
+    Tiles see a border of one reach only: distances cross it and are passed on, round after round, until none changes, so a tree may be as
+    wide as it likes and the tiles do not show.
+    """
+    kind = "v string, x double, y double, hag double, best double, label long, moved boolean"
+    state = voxels.filter(F.col("hag") >= cut).select("v", "x", "y", "hag").join(seeds, "v", "left")
+    state = ne.cut_lineage(state.select("v", "x", "y", "hag", F.when(F.col("seed").isNull(), float("inf")).otherwise(0.0).alias("best"), F.coalesce("seed", F.lit(0)).alias("label"), F.col("seed").isNotNull().alias("moved")))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v").reset_index(drop=True)
+        own, was, name = pdf["core"].to_numpy(bool), pdf["best"].to_numpy(float), pdf["label"].to_numpy(np.int64)
+        # What did not move since the round before was passed on then.
+        best, label = grown(pdf[["x", "y", "hag"]].to_numpy(float), was, name, np.flatnonzero(pdf["moved"].to_numpy(bool) & np.isfinite(was)), reach)
+        out = pdf.loc[own, ["v", "x", "y", "hag"]].copy()
+        out["best"], out["label"], out["moved"] = best[own], label[own], ((best != was) | (label != name))[own]
+        return out
+
+    while True:
+        state = ne.cut_lineage(tiled(state, tile, reach, work, kind))
+        if state.filter("moved").isEmpty():
+            return state.select("v", F.col("label").alias("tree_id"), F.col("best").alias("distance"))
+
+
+def segment_graph(points: DataFrame, voxel: float = 0.1, reach: float = 0.5, cut: float = 0.25, stem_high: float = 1.5, least: int = 8, tile: float = 50.0, key: str = "point_id") -> DataFrame:
+    """Voxel graph segmentation: stems are clusters of the low band, and every voxel goes to the stem nearest along the graph, however far.
 
     A simpler relative of the published forest pipelines (voxels, neighbour graph, stem seeds, geodesic growth); it makes no
     claim of parity with any of them. A tree is named by the lowest voxel of its stem. ``(point_id, tree_id)``.
     """
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["hag", "y", "x"]).reset_index(drop=True)
-        centre = pdf[["x", "y", "hag"]].to_numpy(float)
-        cells = centre
-        buckets: dict[tuple, list[int]] = {}
-        for i, c in enumerate(np.floor(centre / reach).astype(int).tolist()):
-            buckets.setdefault(tuple(c), []).append(i)
-
-        def near(i: int) -> np.ndarray:
-            a, b, c = np.floor(centre[i] / reach).astype(int).tolist()
-            got = np.array([k for u in (-1, 0, 1) for v in (-1, 0, 1) for w in (-1, 0, 1) for k in buckets.get((a + u, b + v, c + w), ())])
-            return got[((centre[got] - centre[i]) ** 2).sum(1) <= reach * reach]
-
-        label, best = np.zeros(len(cells), np.int64), np.full(len(cells), np.inf)
-        low = np.flatnonzero((centre[:, 2] >= cut) & (centre[:, 2] <= stem_high))
-        in_low, seen, heap = np.isin(np.arange(len(cells)), low), np.zeros(len(cells), bool), []
-        for s in low:
-            if seen[s]:
-                continue
-            group, stack = [], [s]
-            seen[s] = True
-            while stack:
-                i = stack.pop()
-                group.append(i)
-                for k in near(i):
-                    if in_low[k] and not seen[k]:
-                        seen[k] = True
-                        stack.append(k)
-            if len(group) >= least:
-                foot = centre[min(group)]  # rows go upward
-                name = place_name(foot[0], foot[1], voxel)
-                for i in group:
-                    label[i], best[i] = name, 0.0
-                    heapq.heappush(heap, (0.0, i))
-        while heap:
-            d, i = heapq.heappop(heap)
-            if d > best[i]:
-                continue
-            for k in near(i):
-                e = d + float(np.sqrt(((centre[k] - centre[i]) ** 2).sum()))
-                if e < best[k] and centre[k, 2] >= cut:
-                    best[k], label[k] = e, label[i]
-                    heapq.heappush(heap, (e, k))
-        own = pdf["core"].to_numpy()
-        return pd.DataFrame({"v": pdf["v"][own], "tree_id": label[own]})
+    def segment(v: DataFrame) -> DataFrame:
+        v = ne.cut_lineage(v)
+        near = geodesic_labels(v, ne.cut_lineage(stem_seeds(v, reach, cut, stem_high, least, voxel)), reach, cut, tile)
+        return v.select("v").join(near, "v", "left").select("v", F.coalesce("tree_id", F.lit(0)).cast("long").alias("tree_id"))
 
-    return by_voxel(points, voxel, lambda v: tiled(v, tile, halo, work, "v string, tree_id long"), key)
+    return by_voxel(points, voxel, segment, key)
 
 
 def segment_deadwood(points: DataFrame, low: float = 0.05, high: float = 1.5, radius: float = 0.4, linear: float = 0.6, eps: float = 0.3, least: int = 20, length: float = 0.6, key: str = "point_id") -> DataFrame:

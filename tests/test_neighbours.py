@@ -242,3 +242,39 @@ def test_flow_fills_a_sink_and_runs_down(spark):
     got = {(r.col, r.row): r for r in sg.flow_accumulation(g, 1.0, "v").collect()}
     assert got[4, 1].filled > 0.0 and got[4, 1].filled <= 6.0 and all(got[k].filled == z[k] for k in z if k != (4, 1))
     assert sum(r.accumulation for k, r in got.items() if k[0] in (0, 9) or k[1] in (0, 2)) >= 30
+
+
+def wide_tree():
+    """Two stems; from one a branch of 60 m runs past the other's crown, far beyond any tile."""
+    rows = [(x, 5.0, h) for x in (5.0, 40.0) for h in np.arange(0.3, 4.0, 0.1)]
+    rows += [(x, 5.0, 4.0) for x in np.arange(5.0, 38.0, 0.2)] + [(38.0, y, 4.0) for y in np.arange(5.0, 32.0, 0.2)]
+    return [(f"{i:05d}", float(x), float(y), float(z)) for i, (x, y, z) in enumerate(rows)]
+
+
+def test_trees_wider_than_tiles_stay_whole(spark):
+    """Labels and distances are those of one search over everything, whatever the tiles."""
+    import heapq
+
+    pts = wide_tree()
+    p = spark.createDataFrame(pts, "point_id string, x double, y double, hag double")
+    got = [{r.point_id: r.tree_id for r in sg.segment_graph(p, tile=t).collect()} for t in (4.0, 11.0, 500.0)]
+    assert got[0] == got[1] == got[2] and len(set(got[0].values()) - {0}) == 2
+    long_branch = [i for i, x, y, z in pts if z == 4.0 and x < 37.5]
+    assert len({got[0][i] for i in long_branch}) == 1 and got[0][pts[0][0]] == got[0][long_branch[-1]]
+    xyz = np.array([r[1:] for r in pts])
+    v = spark.createDataFrame([(i, x, y, z) for i, x, y, z in pts], "v string, x double, y double, hag double")
+    seeds = spark.createDataFrame([(pts[0][0], 7), (pts[40][0], 3)], "v string, seed long")
+    near = {r.v: (r.tree_id, r.distance) for r in sg.geodesic_labels(v, seeds, 0.5, 0.0, 6.0).collect()}
+    best, heap = {0: (0.0, 7), 40: (0.0, 3)}, [(0.0, 7, 0), (0.0, 3, 40)]
+    while heap:
+        d, name, i = heapq.heappop(heap)
+        if (d, name) > best[i]:
+            continue
+        for j in np.flatnonzero(((xyz - xyz[i]) ** 2).sum(1) <= 0.25):
+            e = d + float(np.linalg.norm(xyz[j] - xyz[i]))
+            if (e, name) < best.get(int(j), (np.inf, 0)):
+                best[int(j)] = (e, name)
+                heapq.heappush(heap, (e, name, int(j)))
+    for i, r in enumerate(pts):
+        assert near[r[0]][1] == pytest.approx(best[i][0]) if i in best else near[r[0]] == (0, float("inf"))
+    assert {near[r[0]][0] for i, r in enumerate(pts) if i in best} == {3, 7}
