@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.assignment import assign
 from . import blocks as bl
+from .cuts import connected
+from .forestry import whole_groups
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -321,8 +324,6 @@ def dbscan(points: DataFrame, eps: float, least: int, key: str = "point_id") ->
     kind = dict(core.dtypes)["a"]
 
     def linked(l: pa.Table, r: pa.Table) -> Iterator[pa.Table]:
-        from silvaquery.operators.cuts import connected
-
         # Every left row is among the right ones too; halo rows are linked as far as the block sees it.
         where, label = bl.places(r, "xyz"), np.arange(r.num_rows)
         for i, j, _ in bl.close_pairs(where, where, eps):
@@ -370,9 +371,6 @@ def match_positions(a: DataFrame, b: DataFrame, radius: float, method: str = "op
     grouped = cand.join(parts, F.col("a") * 2 == parts.node).select("root", "a", "b", "distance")
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from silvaquery.functions.assignment import assign
-        from silvaquery.operators.forestry import whole_groups
-
         # Components side by side are one sparse problem.
         for t in whole_groups(parts, "root"):
             yield pd.DataFrame(assign(t[["a", "b", "distance"]].itertuples(index=False, name=None), method), columns=["a", "b", "distance"])

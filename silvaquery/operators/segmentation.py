@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.geometry import convex_hull, delaunay
 from . import blocks as bl
 from . import neighbours as ne
+from .cuts import cut_pursuit
 
 
 def tiled(df: DataFrame, size: float, halo: float, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -478,7 +480,6 @@ def sample_skeletons(cylinders: DataFrame, spacing: float = 0.02) -> DataFrame:
 
 def hull_of(points: DataFrame) -> list[tuple[float, float]]:
     """Convex hull in plan: of each partition first, whose corners are few, then of those."""
-    from ..functions.geometry import convex_hull
 
     def some(parts):
         for p in parts:
@@ -516,8 +517,6 @@ def pit_free(points: DataFrame, size: float = 0.5, layers: tuple[float, ...] = (
 
     Points ``(x, y, hag)``; the highest of each cell stands for it. Gaps in all points that are wider than the halo are bridged tile by tile.
     """
-    from ..functions import geometry as ge
-
     longest, high = max(1.5, 3 * size) if longest is None else longest, sorted(layers)
     top = points.filter("hag IS NOT NULL").groupBy(S.cell(F.col("x"), size).alias("col"), S.cell(F.col("y"), size).alias("row")).agg(F.max(F.struct("hag", "x", "y")).alias("p")).select("p.x", "p.y", "p.hag")
 
@@ -528,7 +527,7 @@ def pit_free(points: DataFrame, size: float = 0.5, layers: tuple[float, ...] = (
         best = np.full((n, n), np.nan)
         for at in (-np.inf, *high):
             own = v[v[:, 2] >= at]
-            tri = ge.delaunay(own[:, :2])
+            tri = delaunay(own[:, :2])
             if np.isfinite(at) and len(tri):
                 a, b, c = (own[tri[:, k], :2] for k in range(3))
                 tri = tri[np.max([np.linalg.norm(p - q, axis=1) for p, q in ((a, b), (b, c), (c, a))], axis=0) <= longest]
@@ -610,8 +609,6 @@ def segment_treeiso(points: DataFrame, k1: int = 5, lambda1: float = 1.0, k2: in
     pieces without a foot joined to one of their ``k3`` nearest pieces, which overlaps them most in height and lies nearest. ``(point_id, tree_id)``."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        from silvaquery.operators.cuts import cut_pursuit
-
         pdf = pdf.sort_values(["x", "y", "hag"]).reset_index(drop=True)
         v = pdf[["x", "y", "hag"]].to_numpy(float)
         e = neighbour_graph(v, k1, max(gap / 4, 3 * voxel))

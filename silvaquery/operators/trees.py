@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import circle
 from ..functions import scalar as S
+from ..functions.geometry import alpha_volume
+from .forestry import whole_groups
+from .neighbours import cut_lineage
 
 
 def circles(points: DataFrame, *keys: str) -> DataFrame:
@@ -168,16 +171,11 @@ def crown_volumes(points: DataFrame, alpha: float = 1.0, base: float = 0.4, voxe
     The alpha volume is that of the Delaunay tetrahedra that fit a sphere of radius ``alpha``: gaps between branches wider than it are air. A
     crown's voxels are one group, bounded by its size; its points are not.
     """
-    from .neighbours import cut_lineage
-
     top = points.filter("tree_id > 0 AND hag IS NOT NULL").groupBy("tree_id").agg(F.max("hag").alias("top"))
     crown = points.join(top, "tree_id").filter(F.col("hag") >= base * F.col("top"))
     thin = cut_lineage(crown.groupBy("tree_id", *(F.floor(F.col(c) / voxel).alias(f"v{c}") for c in ("x", "y", "hag"))).agg(*(F.avg(c).alias(c) for c in ("x", "y", "hag"))))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from silvaquery.functions.geometry import alpha_volume
-        from silvaquery.operators.forestry import whole_groups
-
         for t in whole_groups(parts, "tree_id"):
             rows = [(int(k), len(g), alpha_volume(v, np.inf), alpha_volume(v, alpha)) for k, g in t.groupby("tree_id") for v in [g[["x", "y", "hag"]].to_numpy(float)]]
             yield pd.DataFrame(rows, columns=["tree_id", "n", "hull_volume", "alpha_volume"])
