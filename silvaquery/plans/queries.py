@@ -14,6 +14,7 @@ from ..operators import meshes as me
 from ..operators import neighbours as ne
 from ..operators import points as po
 from ..sources import adapters as ad
+from ..sources import grids as gr
 from ..sources.adapters import POINTS_SQL, QSM_SQL, TREES_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +209,27 @@ def grid_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(po.sampled(ad.points(spark, sf_dir), _grid(spark, sf_dir), 2.0, "mean", "undulation").select("point_id", "undulation"))
 
 
+def _bilinear(t: str) -> str:
+    """A grid of means between cell centres, as SQL over points p; t: its alias, its size, and its last cell but one."""
+    a, size, last = t.split()
+    u, v = (f"(p.{c} / {size} - 0.5)" for c in "xy")
+    i, j = (f"least(floor({w}), {last})" for w in (u, v))
+    return f"""LEFT JOIN (SELECT p.point_id, a.m * (1 - u) * (1 - v) + b.m * u * (1 - v) + c.m * (1 - u) * v + d.m * u * v AS z FROM (SELECT point_id, {u} - {i} AS u, {v} - {j} AS v, {i} AS i, {j} AS j FROM points p WHERE {u} <= {last} + 1 AND {v} <= {last} + 1) p
+JOIN {a} a ON a.i = p.i AND a.j = p.j JOIN {a} b ON b.i = p.i + 1 AND b.j = p.j JOIN {a} c ON c.i = p.i AND c.j = p.j + 1 JOIN {a} d ON d.i = p.i + 1 AND d.j = p.j + 1) {a}_z USING (point_id)"""
+
+
+@query(f"""WITH {POINTS_SQL}, wide AS (SELECT CAST(floor(x / 10.0) AS BIGINT) AS i, CAST(floor(y / 10.0) AS BIGINT) AS j, avg(z) AS m FROM points GROUP BY 1, 2),
+fine AS (SELECT CAST(floor(x / 2.0) AS BIGINT) AS i, CAST(floor(y / 2.0) AS BIGINT) AS j, avg(z) AS m FROM points WHERE x >= 10 AND x < 30 AND y >= 10 AND y < 30 GROUP BY 1, 2)
+SELECT point_id, round(CASE WHEN p.x BETWEEN 11 AND 29 AND p.y BETWEEN 11 AND 29 THEN fine_z.z ELSE wide_z.z END, 6) AS value FROM points p {_bilinear("wide 10.0 3")} {_bilinear("fine 2.0 13")}""")
+def grid_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of 10 m over all and one of 2 m nested in it: each point takes the finer one where it can."""
+    p = ad.points(spark, sf_dir)
+    cells = lambda df, size, g: df.groupBy(F.lit(g).alias("grid"), S.cell(F.col("x"), size).alias("i"), S.cell(F.col("y"), size).alias("j")).agg(F.avg("z").alias("value"))
+    fine = cells(p.filter("x >= 10 AND x < 30 AND y >= 10 AND y < 30"), 2.0, 1).withColumns({"i": F.col("i") - 5, "j": F.col("j") - 5})
+    lattices = [gr.Lattice(0, 5.0, 5.0, 10.0, 10.0, 5, 5), gr.Lattice(1, 11.0, 11.0, 2.0, 2.0, 10, 10)]
+    return rounded(gr.nested_values(p, lattices, cells(p, 10.0, 0).unionByName(fine), ["value"]).select("point_id", "value"))
+
+
 _M = "(avg(h * h * h) - 3 * avg(h) * avg(h * h) + 2 * avg(h) ** 3) / nullif(stddev_pop(h) ** 3, 0)"
 
 
