@@ -161,7 +161,7 @@ def counts_within(left: DataFrame, right: DataFrame, radius: float, dims: str =
     return searched(left, right.select(*by, *dims), radius, dims, lambda l, r: each_left(l, r, radius, dims, lambda i, j, d2, n: {"n": np.bincount(i, minlength=n)}, keep), schema, by)
 
 
-def moments_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+def moments_within(left: DataFrame, right: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
     """``left`` with ``n``, the mean ``mx, my, mz`` and the covariance ``cxx .. czz`` of the rows of ``right`` at most ``radius`` away; without any, null."""
     names = ["n", "mx", "my", "mz", "cxx", "cxy", "cxz", "cyy", "cyz", "czz"]
     schema = T.StructType([*left.schema.fields, T.StructField("n", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[1:])])
@@ -188,7 +188,7 @@ def moments_within(left: DataFrame, right: DataFrame, radius: float) -> DataFram
 
         yield from each_left(l, r, radius, "xyz", measure, keep)
 
-    return searched(left, right.select("x", "y", "z"), radius, "xyz", work, schema)
+    return searched(left, right.select(*by, "x", "y", "z"), radius, "xyz", work, schema, by)
 
 
 def nearest_within(left: DataFrame, right: DataFrame, radius: float, k: int, dims: str, other: bool) -> DataFrame:

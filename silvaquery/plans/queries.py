@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import stats
+from ..operators import branches as br
 from ..operators import forestry as fo
 from ..operators import meshes as me
 from ..operators import neighbours as ne
@@ -720,6 +721,23 @@ def stem_centerlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(t.select("tree_id", F.size("line").alias("vertices"), mean("hag").alias("mean_hag"), mean("r").alias("mean_r")))
 
 
+_CALIPER = f"""WITH {_STAND}, near AS (SELECT tree_id AS click, x - ((tree_id % 10) * 5.0 + 0.02) AS du, y - (floor(tree_id / 10) * 5.0 - 0.01) AS dv FROM stand WHERE tree_id > 0 AND abs(z - 25) <= 4),
+mean AS (SELECT click, avg(du) AS mu, avg(dv) AS mv FROM near WHERE du * du + dv * dv <= 0.36 GROUP BY 1), p AS (SELECT click, -(du - mu) AS u, -(dv - mv) AS v FROM near JOIN mean USING (click) WHERE (du - mu) ** 2 + (dv - mv) ** 2 <= 0.36),
+k AS (SELECT click, k, max(u * cos(radians(k)) + v * sin(radians(k))) - min(u * cos(radians(k)) + v * sin(radians(k))) AS w FROM p, (SELECT unnest(range(180)) AS k) GROUP BY 1, 2)"""
+
+
+@query(_CALIPER + """ SELECT click, (SELECT count(*) FROM p WHERE p.click = k.click) AS n, round(min(w), 5) AS least_width, round(max(w), 5) AS widest FROM k GROUP BY click""")
+def branch_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections across upright axes at a click beside each stem: the least and the widest reading, degree by degree."""
+    p = _stand(spark, sf_dir).filter("tree_id > 0").select(F.col("tree_id").alias("branch"), "x", "y", "z")
+    c = p.select("branch").distinct().select(F.col("branch").alias("click"), "branch", ((F.col("branch") % 10) * 5.0 + 0.02).alias("x"), (F.floor(F.col("branch") / 10) * 5.0 - 0.01).alias("y"), F.lit(25.0).alias("z"))
+    axes = c.withColumns({"mx": F.col("x"), "my": F.col("y"), "mz": F.col("z"), "ax": F.lit(0.0), "ay": F.lit(0.0), "az": F.lit(1.0)})
+    section = ne.cut_lineage(br.sections(axes, p, 4.0, 0.6))
+    w = section.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(179)))).groupBy("click", "k").agg((F.max(F.col("u") * F.cos(F.radians("k")) + F.col("v") * F.sin(F.radians("k"))) - F.min(F.col("u") * F.cos(F.radians("k")) + F.col("v") * F.sin(F.radians("k")))).alias("w"))
+    out = w.groupBy("click").agg(F.min("w").alias("least_width"), F.max("w").alias("widest")).join(section.groupBy("click").agg(F.count(F.lit(1)).alias("n")), "click")
+    return rounded(out.select("click", "n", "least_width", "widest"), 5)
+
+
 @query(None)
 def crown_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tr.crown_volumes(_stand(spark, sf_dir), 1.0))
