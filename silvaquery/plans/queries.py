@@ -743,7 +743,7 @@ def crown_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tr.crown_volumes(_stand(spark, sf_dir), 1.0))
 
 
-@query(_SLICED + """, m AS (SELECT tree_id, bit_or(sectors) AS mask FROM sl GROUP BY 1), r AS (SELECT *, unnest(range(12)) AS s FROM m),
+@query(_SLICED + """, m AS (SELECT tree_id, bit_or(CASE WHEN places >= 3 THEN sectors END) AS mask FROM sl GROUP BY 1), r AS (SELECT *, unnest(range(12)) AS s FROM m),
 g AS (SELECT *, CASE WHEN mask = 0 THEN 12 ELSE list_filter(range(12), lambda d: (mask >> CAST((s + d) % 12 AS INT)) & 1 = 1)[1] END AS len FROM r),
 b AS (SELECT tree_id, max(len) AS len, arg_min(s, (-len, s + len)) AS s FROM g WHERE (mask >> CAST((s + 11) % 12 AS INT)) & 1 = 1 OR mask = 0 GROUP BY 1)
 SELECT m.tree_id, 12 - bit_count(m.mask) AS unseen, CASE WHEN coalesce(len, 0) = 0 THEN 0 ELSE s * 30 END AS gap_from_deg, coalesce(len, 0) * 30 AS gap_deg FROM m LEFT JOIN b USING (tree_id)""")
