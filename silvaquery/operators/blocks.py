@@ -2,17 +2,21 @@
 
 One shuffle moves each point once and those near a border a few times; pairs exist in a task only, some millions at a time, and
 what leaves it are counts, sums, links or the k nearest. Blocks are as wide as the points' density allows.
+
+Points in one place have the same neighbourhood: it is searched once, for the place, and a place counts as often as it has points. So pairs
+grow with the square of the places in a neighbourhood, not of the points.
 """
 
 from __future__ import annotations
 
 import itertools
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +28,28 @@ BLOCK_POINTS, PAIRS = 30_000, 2_000_000
 WIDTHS = (32, 16, 8, 4, 2)
 
 
-def block_width(points: DataFrame, radius: float, dims: str) -> float:
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder; where the session names none, a local one gets its own, and others are refused."""
+    sc = df.sparkSession.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="silvaquery-"))
+    return df.checkpoint()
+
+
+def spots(points: DataFrame, *at: str, **more: Column) -> DataFrame:
+    """The distinct values of columns ``at`` with ``m``, how many points have them, and aggregates ``more``; points without a value are in none."""
+    known = points
+    for c in at:
+        known = known.filter(F.col(c).isNotNull())
+    return cut_lineage(known.groupBy(*at).agg(F.count(F.lit(1)).alias("m"), *(v.alias(k) for k, v in more.items())))
+
+
+def block_width(points: DataFrame, radius: float, dims: str, by: tuple[str, ...] = ()) -> float:
     """The widest of the widths whose occupied blocks hold ``BLOCK_POINTS`` on average, in one pass with small sketches."""
-    cells = points.agg(F.count(F.lit(1)).alias("n"), *(F.approx_count_distinct(F.hash(*(S.cell(F.col(c), radius * w) for c in dims))).alias(f"w{w}") for w in WIDTHS)).first()
+    cells = points.agg(F.count(F.lit(1)).alias("n"), *(F.approx_count_distinct(F.hash(*by, *(S.cell(F.col(c), radius * w) for c in dims))).alias(f"w{w}") for w in WIDTHS)).first()
     return radius * next((w for w in WIDTHS if cells["n"] / max(1, cells[f"w{w}"]) <= BLOCK_POINTS), WIDTHS[-1])
 
 
@@ -93,7 +116,7 @@ def searched(left: DataFrame, right: DataFrame, radius: float, dims: str, work:
     """
     if not radius > 0:
         raise ValueError("a radius is above zero")
-    width = block_width(right.select(*dims), radius, dims)
+    width = block_width(right.select(*by, *dims), radius, dims, by)
     keys = [*by, *(f"block_{c}" for c in dims)]
     for c in dims:
         left = left.withColumn(f"block_{c}", S.cell(F.col(c), width))
@@ -156,19 +179,39 @@ def first_k(i: np.ndarray, j: np.ndarray, d2: np.ndarray, k: int) -> tuple[np.nd
 
 def counts_within(left: DataFrame, right: DataFrame, radius: float, dims: str = "xyz", by: tuple[str, ...] = ()) -> DataFrame:
     """``left`` with ``n``: rows of ``right`` at most ``radius`` away."""
+    at = [*by, *dims]
+    n = spot_counts(left.select(*at).distinct(), spots(right, *at), radius, dims, by)
+    return left.join(n, at, "left").select(*left.columns, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def spot_counts(left: DataFrame, right: DataFrame, radius: float, dims: str = "xyz", by: tuple[str, ...] = ()) -> DataFrame:
+    """``left`` with ``n``: points at most ``radius`` away, of which each row of ``right`` has ``m`` in its place."""
     keep = left.columns
     schema = T.StructType([*left.schema.fields, T.StructField("n", T.LongType())])
-    return searched(left, right.select(*by, *dims), radius, dims, lambda l, r: each_left(l, r, radius, dims, lambda i, j, d2, n: {"n": np.bincount(i, minlength=n)}, keep), schema, by)
+
+    def work(l: pa.Table, r: pa.Table) -> Iterator[pa.Table]:
+        m = r.column("m").to_numpy()
+        yield from each_left(l, r, radius, dims, lambda i, j, d2, n: {"n": np.bincount(i, m[j], n).astype(np.int64)}, keep)
+
+    return searched(left, right.select(*by, *dims, "m"), radius, dims, work, schema, by)
 
 
 def moments_within(left: DataFrame, right: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
     """``left`` with ``n``, the mean ``mx, my, mz`` and the covariance ``cxx .. czz`` of the rows of ``right`` at most ``radius`` away; without any, null."""
+    at = [*by, *"xyz"]
+    got = spot_moments(left.select(*at).distinct(), spots(right, *at), radius, by)
+    out = left.join(got, at, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    return out.select(*left.columns, *(c for c in got.columns if c not in at))
+
+
+def spot_moments(left: DataFrame, right: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """``moments_within`` of points of which each row of ``right`` has ``m`` in its place."""
     names = ["n", "mx", "my", "mz", "cxx", "cxy", "cxz", "cyy", "cyz", "czz"]
     schema = T.StructType([*left.schema.fields, T.StructField("n", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[1:])])
     keep = left.columns
 
     def work(l: pa.Table, r: pa.Table) -> Iterator[pa.Table]:
-        own, other = places(l, "xyz"), places(r, "xyz")
+        own, other, m = places(l, "xyz"), places(r, "xyz"), r.column("m").to_numpy()
         done = 0
 
         def measure(i: np.ndarray, j: np.ndarray, d2: np.ndarray, n: int) -> dict[str, np.ndarray]:
@@ -176,19 +219,19 @@ def moments_within(left: DataFrame, right: DataFrame, radius: float, by: tuple[s
             here = own[done:done + n]
             done += n
             # About the left point itself, so that coordinates far from the origin cost no digits.
-            off = other[j] - here[i]
-            many = np.bincount(i, minlength=n)
+            off, w = other[j] - here[i], m[j]
+            many = np.bincount(i, w, n).astype(np.int64)
             some = np.maximum(many, 1)
-            mean = np.stack([np.bincount(i, off[:, c], n) / some for c in range(3)], axis=1)
+            mean = np.stack([np.bincount(i, w * off[:, c], n) / some for c in range(3)], axis=1)
             out = {"n": many} | {f"m{c}": here[:, k] + mean[:, k] for k, c in enumerate("xyz")}
             for p in range(3):
                 for q in range(p, 3):
-                    out[f"c{'xyz'[p]}{'xyz'[q]}"] = np.bincount(i, off[:, p] * off[:, q], n) / some - mean[:, p] * mean[:, q]
+                    out[f"c{'xyz'[p]}{'xyz'[q]}"] = np.bincount(i, w * off[:, p] * off[:, q], n) / some - mean[:, p] * mean[:, q]
             return {k: v if k == "n" else pa.array(v, mask=many == 0) for k, v in out.items()}
 
         yield from each_left(l, r, radius, "xyz", measure, keep)
 
-    return searched(left, right.select(*by, "x", "y", "z"), radius, "xyz", work, schema, by)
+    return searched(left, right.select(*by, "x", "y", "z", "m"), radius, "xyz", work, schema, by)
 
 
 def nearest_within(left: DataFrame, right: DataFrame, radius: float, k: int, dims: str, other: bool) -> DataFrame:
@@ -218,26 +261,29 @@ def _same(l: pa.Table, r: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def mean_distances(left: DataFrame, right: DataFrame, radius: float, k: int) -> DataFrame:
-    """``left(a, x, y, z)`` with ``n``, how many of the k nearest others are within ``radius``, and ``d``, the mean of their distances."""
+    """``left(x, y, z, m)`` with ``n``, how many of the k nearest others a point of the place has within ``radius``, and ``d``, the mean of their distances.
+
+    Each row of ``right`` has ``m`` points in its place; those of ``left`` are among them.
+    """
     schema = T.StructType([*left.schema.fields, T.StructField("n", T.LongType()), T.StructField("d", T.DoubleType())])
     keep = left.columns
 
     def work(l: pa.Table, r: pa.Table) -> Iterator[pa.Table]:
-        done = 0
+        m = r.column("m").to_numpy()
 
         def measure(i: np.ndarray, j: np.ndarray, d2: np.ndarray, n: int) -> dict:
-            nonlocal done
-            at, _ = first_k(i, j, d2, k + 1)
-            at = at[~_same(l, r, i[at] + done, j[at])]
-            done += n
-            rank = np.arange(len(at)) - np.searchsorted(i[at], i[at])
-            at = at[rank < k]
-            many = np.bincount(i[at], minlength=n)
-            return {"n": many, "d": pa.array(np.bincount(i[at], np.sqrt(d2[at]), n) / np.maximum(many, 1), mask=many == 0)}
+            # k + 1 places hold the k nearest others and the point itself, which is in the first.
+            at, rank = first_k(i, j, d2, k + 1)
+            i, w = i[at], m[j[at]] - (rank == 1)
+            before = np.cumsum(w) - w
+            before -= before[np.searchsorted(i, i)]
+            w = np.clip(k - before, 0, w)
+            many = np.bincount(i, w, n).astype(np.int64)
+            return {"n": many, "d": pa.array(np.bincount(i, w * np.sqrt(d2[at]), n) / np.maximum(many, 1), mask=many == 0)}
 
         yield from each_left(l, r, radius, "xyz", measure, keep)
 
-    return searched(left, right, radius, "xyz", work, schema, order="b")
+    return searched(left, right.select("x", "y", "z", "m"), radius, "xyz", work, schema)
 
 
 def measured_pairs(left: DataFrame, right: DataFrame, radius: float, fields: str, measure: Callable, by: tuple[str, ...] = (), dims: str = "xyz", order: str | None = None) -> DataFrame:

@@ -6,7 +6,6 @@ come from an equal-key join: cells as wide as the radius, one side spread over t
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,21 +17,11 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.assignment import assign
 from . import blocks as bl
+from .blocks import cut_lineage
 from .cuts import connected
 from .forestry import whole_groups
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; where the session names none, a local one gets its own, and others are refused."""
-    sc = df.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="silvaquery-"))
-    return df.checkpoint()
-
-
 def _around(dims: str) -> Column:
     shifts = [()]
     for _ in dims:
@@ -50,7 +39,8 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, dims: str = "
     rk = right.select(*rest, *(F.col(c).alias(f"r{c}") for c in dims), F.explode(_around(dims)).alias("o")).withColumns({f"k{c}": S.cell(F.col(f"r{c}"), radius) + F.col(f"o.o{c}") for c in dims}).drop("o")
     d2 = sum((F.pow(F.col(c) - F.col(f"r{c}"), F.lit(2)) for c in dims), F.lit(0.0))
     keys = [f"k{c}" for c in dims]
-    return lk.join(rk, [*keys, *by]).withColumn("distance", F.sqrt(d2)).filter(F.col("distance") <= radius).drop(*keys)
+    # Spread over cells the rows are many times what the planner takes them for, so they are never collected at the driver.
+    return lk.join(rk.hint("merge"), [*keys, *by]).withColumn("distance", F.sqrt(d2)).filter(F.col("distance") <= radius).drop(*keys)
 
 
 def usual_reach(points: DataFrame, k: int, dims: str = "xyz") -> float:
@@ -99,34 +89,55 @@ def _ab(points: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return points.select(F.col(key).alias("a"), "x", "y", "z"), points.select(F.col(key).alias("b"), "x", "y", "z")
 
 
+def enough_within(points: DataFrame, radius: float, least: int, key: str = "point_id") -> DataFrame:
+    """``points`` that have at least ``least`` others within the radius.
+
+    Of a cell that fits in the radius and holds more than that, all points have; only places in other cells are searched around.
+    """
+    at, sure = ["x", "y", "z"], [f"sure_{c}" for c in "xyz"]
+    p = bl.spots(points, *at).withColumns({f"sure_{c}": S.cell(F.col(c), 0.57 * radius) for c in "xyz"})
+    full = p.groupBy(*sure).agg(F.sum("m").alias("all")).filter(F.col("all") > least).select(*sure)
+    p = cut_lineage(p.join(full.withColumn("full", F.lit(True)), sure, "left").select(*at, "m", F.coalesce("full", F.lit(False)).alias("full")))
+    todo = p.filter("NOT full").select(*at)
+    # A point is within the radius of itself.
+    found = bl.spot_counts(todo, near_rows(p, todo, radius), radius).filter(F.col("n") > least).select(*at)
+    return points.join(p.filter("full").select(*at).unionByName(found), at, "left_semi")
+
+
+def near_rows(rows: DataFrame, around: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows in the cells, as wide as the radius, that hold a row of ``around`` or touch one that does: all that are within the radius are among them."""
+    cells = [f"near_{c}" for c in "xyz"]
+    here = around.select(*by, *(S.cell(F.col(c), 1.0001 * radius).alias(f"near_{c}") for c in "xyz")).distinct()
+    wide = here.select(*by, *cells, F.explode(_around("xyz")).alias("o")).select(*by, *((F.col(f"near_{c}") + F.col(f"o.o{c}")).alias(f"near_{c}") for c in "xyz")).distinct()
+    return rows.withColumns({f"near_{c}": S.cell(F.col(c), 1.0001 * radius) for c in "xyz"}).join(wide.hint("merge"), [*by, *cells], "left_semi").select(*rows.columns)
+
+
 def clean_radius(points: DataFrame, radius: float = 0.05, least: int = 2, key: str = "point_id") -> DataFrame:
     """Points with at least so many others within the radius."""
-    a, _ = _ab(points, key)
-    # A point is within the radius of itself.
-    n = bl.counts_within(a, a, radius).filter(F.col("n") > least)
-    return points.join(n.select(F.col("a").alias(key)), key, "left_semi")
+    return enough_within(points, radius, least, key).select(*points.columns)
 
 
 def clean_sor(points: DataFrame, k: int = 8, deviations: float = 1.0, key: str = "point_id") -> DataFrame:
     """Statistical outlier removal: mean distance to the k nearest others, however far, at most the cloud's mean plus deviations."""
-    a, b = _ab(points, key)
-    a, b = cut_lineage(a), cut_lineage(b)
-    reach, near, todo = usual_reach(b, k), None, a
-    box = b.agg(*(x for c in "xyz" for x in (F.min(c), F.max(c)))).first()
+    p = bl.spots(points, "x", "y", "z")
+    reach, near, todo = usual_reach(p, k), None, p
+    box = p.agg(*(x for c in "xyz" for x in (F.min(c), F.max(c)))).first()
     wide = sum((box[2 * i + 1] - box[2 * i]) ** 2 for i in range(3) if box[0] is not None) ** 0.5
     while True:
         # Points that lack k others within the reach are searched again with twice as wide a one.
-        got = cut_lineage(bl.mean_distances(todo, b, reach, k))
+        got = cut_lineage(bl.mean_distances(todo, p, reach, k))
         done = got if reach >= wide else got.filter(F.col("n") >= k)
         near = done if near is None else near.unionByName(done)
-        todo = got.filter(F.col("n") < k).select("a", "x", "y", "z")
+        todo = got.filter(F.col("n") < k).select("x", "y", "z", "m")
         if reach >= wide or todo.isEmpty():
             break
         reach *= 2
     near = near.filter("d IS NOT NULL")
-    limit = near.agg((F.avg("d") + deviations * F.stddev_pop("d")).alias("limit"))
-    good = near.crossJoin(F.broadcast(limit)).filter("d <= limit")  # one row
-    return points.join(good.select(F.col("a").alias(key)), key, "left_semi")
+    # The points' mean and deviation, each place as often as it has points.
+    mean = near.agg((F.sum(F.col("m") * F.col("d")) / F.sum("m")).alias("mean"))
+    spread = near.crossJoin(F.broadcast(mean)).agg(F.first("mean").alias("mean"), F.sqrt(F.sum(F.col("m") * (F.col("d") - F.col("mean")) ** 2) / F.sum("m")).alias("sd"))  # one row
+    good = near.crossJoin(F.broadcast(spread)).filter(F.col("d") <= F.col("mean") + deviations * F.col("sd"))  # one row
+    return points.join(good.select("x", "y", "z"), ["x", "y", "z"], "left_semi").select(*points.columns)
 
 
 def covariance(pairs: DataFrame, group: str = "a") -> DataFrame:
@@ -152,38 +163,46 @@ def eigenvalues() -> tuple[Column, Column, Column]:
     return one, 3 * q - one - three, three
 
 
-def shape_features(points: DataFrame, radius: float = 0.06, least: int = 8, key: str = "point_id") -> DataFrame:
-    """Linearity, planarity and scatter of each point's neighbourhood (itself included)."""
-    a, _ = _ab(points, key)
-    t = bl.moments_within(a, a, radius).filter(F.col("n") >= least)
+def spot_shapes(p: DataFrame, radius: float, least: int) -> DataFrame:
+    """Linearity, planarity and scatter of the neighbourhoods of places ``(x, y, z, m)``."""
+    t = bl.spot_moments(p.select("x", "y", "z"), p, radius).filter(F.col("n") >= least)
     e1, e2, e3 = eigenvalues()
     t = t.withColumns({"e1": e1, "e2": e2, "e3": e3})
-    return t.select(F.col("a").alias(key), "n", F.try_divide(F.col("e1") - F.col("e2"), F.col("e1")).alias("linearity"), F.try_divide(F.col("e2") - F.col("e3"), F.col("e1")).alias("planarity"), F.try_divide(F.col("e3"), F.col("e1")).alias("scatter"))
+    return t.select("x", "y", "z", "n", F.try_divide(F.col("e1") - F.col("e2"), F.col("e1")).alias("linearity"), F.try_divide(F.col("e2") - F.col("e3"), F.col("e1")).alias("planarity"), F.try_divide(F.col("e3"), F.col("e1")).alias("scatter"))
+
+
+def shape_features(points: DataFrame, radius: float = 0.06, least: int = 8, key: str = "point_id") -> DataFrame:
+    """Linearity, planarity and scatter of each point's neighbourhood (itself included)."""
+    at = ["x", "y", "z"]
+    f = spot_shapes(bl.spots(points, *at), radius, least)
+    return points.select(key, *at).join(f, at).select(key, "n", "linearity", "planarity", "scatter")
 
 
 def leaf_wood(points: DataFrame, radius: float = 0.06, linear: float = 0.6, planar: float = 0.55, scattered: float = 0.35, least: int = 8, passes: int = 2, key: str = "point_id") -> DataFrame:
-    """``semantic``: 1 wood, 4 leaf, 0 undecided, then majority passes over the neighbourhood."""
-    f = shape_features(points, radius, least, key)
+    """``semantic``: 1 wood, 4 leaf, 0 undecided, then majority passes over the neighbourhood. Points in one place are one kind."""
+    at = ["x", "y", "z"]
+    p = bl.spots(points, *at)
     wood = ((F.col("linearity") >= linear) | (F.col("planarity") >= planar)) & (F.col("scatter") <= scattered)
-    out = points.drop("semantic").join(f, key, "left").withColumn("semantic", F.when(F.col("n").isNull(), 0).when(wood, 1).otherwise(4)).select(*[c for c in points.columns if c != "semantic"], "semantic")
+    out = cut_lineage(p.join(spot_shapes(p, radius, least), at, "left").select(*at, "m", F.when(F.col("n").isNull(), 0).when(wood, 1).otherwise(4).alias("semantic")))
     kind = {1: "w", 4: "l"}
 
     def votes(l: pa.Table, r: pa.Table, i: np.ndarray, j: np.ndarray, d2: np.ndarray) -> dict:
-        said = r.column("s").to_numpy() if r.num_rows else np.zeros(0, int)
-        return {name: np.bincount(i, said[j] == value, l.num_rows).astype(np.int64) for value, name in kind.items()}
+        said, m = r.column("semantic").to_numpy()[j], r.column("m").to_numpy()[j]
+        return {name: np.bincount(i, m * (said == value), l.num_rows).astype(np.int64) for value, name in kind.items()}
 
     for _ in range(passes):
-        a = out.select(F.col(key).alias("a"), "x", "y", "z")
-        vote = bl.measured_pairs(a, out.select("x", "y", "z", F.col("semantic").alias("s")), radius, "w long, l long", votes).select(F.col("a").alias(key), "w", "l")
-        out = cut_lineage(out.join(vote, key, "left").withColumn("semantic", F.when(F.col("semantic") == 0, 0).when(F.col("w") > F.col("l"), 1).when(F.col("l") > F.col("w"), 4).otherwise(F.col("semantic"))).drop("w", "l"))
-    return out
+        vote = bl.measured_pairs(out, out, radius, "w long, l long", votes)
+        out = cut_lineage(vote.withColumn("semantic", F.when(F.col("semantic") == 0, 0).when(F.col("w") > F.col("l"), 1).when(F.col("l") > F.col("w"), 4).otherwise(F.col("semantic"))).drop("w", "l"))
+    rest = [c for c in points.columns if c != "semantic"]
+    return points.select(*rest).join(out.drop("m"), at, "left").select(*rest, F.coalesce("semantic", F.lit(0)).alias("semantic"))
 
 
 def m3c2(cores: DataFrame, before: DataFrame, after: DataFrame, normal_scale: float = 1.0, projection: float = 0.5, depth: float = 3.0, reg_error: float = 0.02) -> DataFrame:
     """M3C2 distances: normals by PCA of ``before`` (at least 4 points, upward), mean signed distances of both epochs in a
     cylinder along them, and the level of detection, the registration error inside the 1.96."""
     a = cores.select(F.col("core").alias("a"), "x", "y", "z")
-    cov = bl.moments_within(a, before, normal_scale / 2).filter("n >= 4")
+    before, after = (bl.spots(c, "x", "y", "z") for c in (before, after))
+    cov = bl.spot_moments(a, before, normal_scale / 2).filter("n >= 4")
 
     @F.pandas_udf("struct<nx:double,ny:double,nz:double>")
     def normal(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
@@ -201,14 +220,14 @@ def m3c2(cores: DataFrame, before: DataFrame, after: DataFrame, normal_scale: fl
         own, other, up = bl.places(l, "xyz"), bl.places(r, "xyz"), bl.places(l.select(["nx", "ny", "nz"]).rename_columns(["x", "y", "z"]), "xyz")
         along = ((other[j] - own[i]) * up[i]).sum(1)
         on = (np.abs(along) <= depth) & (d2 - along * along <= (projection / 2) ** 2)
-        i, along = i[on], along[on]
-        many = np.bincount(i, minlength=l.num_rows)
-        mean = np.bincount(i, along, l.num_rows) / np.maximum(many, 1)
-        spread = np.sqrt(np.bincount(i, (along - mean[i]) ** 2, l.num_rows) / np.maximum(many - 1, 1))
+        i, along, m = i[on], along[on], r.column("m").to_numpy()[j[on]]
+        many = np.bincount(i, m, l.num_rows).astype(np.int64)
+        mean = np.bincount(i, m * along, l.num_rows) / np.maximum(many, 1)
+        spread = np.sqrt(np.bincount(i, m * (along - mean[i]) ** 2, l.num_rows) / np.maximum(many - 1, 1))
         return {"n": many, "m": pa.array(mean, mask=many == 0), "s": pa.array(spread, mask=many < 2)}
 
     def side(cloud: DataFrame, name: str) -> DataFrame:
-        return bl.measured_pairs(n, cloud.select("x", "y", "z"), reach, "n long, m double, s double", inside).filter("n > 0").select("a", F.col("n").alias(f"n_{name}"), F.col("m").alias(f"m_{name}"), F.col("s").alias(f"s_{name}"))
+        return bl.measured_pairs(n, cloud, reach, "n long, m double, s double", inside).filter("n > 0").select("a", F.col("n").alias(f"n_{name}"), F.col("m").alias(f"m_{name}"), F.col("s").alias(f"s_{name}"))
 
     t = n.join(side(before, "ref"), "a", "left").join(side(after, "now"), "a", "left")
     spread = F.sqrt(F.pow("s_ref", F.lit(2)) / F.col("n_ref") + F.pow("s_now", F.lit(2)) / F.col("n_now"))
@@ -250,10 +269,16 @@ def point_quality(points: DataFrame, refl_min: float = -20.0, refl_max: float =
     live = good.filter("ok").drop("ok")
     sizes = live.groupBy("tree_id").agg(F.count("*").alias("m"))
     within = lambda l, i, d2: np.sqrt(d2) <= l.column("radius").to_numpy()[i]
+    place, sure = ["tree_id", "x", "y", "z"], ["tree_id", *(f"sure_{c}" for c in "xyz")]
+
+    def fitting(least_radius: float) -> dict[str, Column]:
+        """Cells whose points are all within the least radius of one another."""
+        return {f"sure_{c}": S.cell(F.col(c), 0.57 * least_radius) for c in "xyz"}
 
     def near_others(l: pa.Table, r: pa.Table, i: np.ndarray, j: np.ndarray, d2: np.ndarray) -> dict:
+        on = within(l, i, d2)
         # A point is within its own radius.
-        return {"k": np.bincount(i[within(l, i, d2)], minlength=l.num_rows) - 1}
+        return {"k": np.bincount(i[on], r.column("m").to_numpy()[j[on]], l.num_rows).astype(np.int64) - 1}
 
     def near_mean(l: pa.Table, r: pa.Table, i: np.ndarray, j: np.ndarray, d2: np.ndarray) -> dict:
         apart = d2 > 0
@@ -277,17 +302,28 @@ def point_quality(points: DataFrame, refl_min: float = -20.0, refl_max: float =
         pass_ = mean.join(limit, "tree_id").filter("d <= limit").select("a", F.lit(True).alias("near_ok"))
         few = F.col("m") <= outlier_knn + 1
     else:
-        around = live.select("tree_id", "a", "x", "y", "z", by_stratum(outlier_radius_min, outlier_radius_max).alias("radius"))
-        near = bl.measured_pairs(around, live.select("tree_id", "x", "y", "z"), max(outlier_radius_min, outlier_radius_max), "k long", near_others, by=("tree_id",))
-        pass_ = near.filter(F.col("k") >= outlier_min_neighbors).select("a", F.lit(True).alias("near_ok"))
+        # What a cell shows by itself is not searched for.
+        spot = bl.spots(live, *place, "stratum").withColumns(fitting(min(outlier_radius_min, outlier_radius_max)))
+        full = spot.groupBy(*sure).agg(F.sum("m").alias("all")).filter(F.col("all") > outlier_min_neighbors).select(*sure, F.lit(True).alias("full"))
+        spot = cut_lineage(spot.join(full, sure, "left").select(*place, "stratum", "m", F.coalesce("full", F.lit(False)).alias("full")))
+        widest = max(outlier_radius_min, outlier_radius_max)
+        todo = spot.filter("NOT full").select(*place, "stratum", by_stratum(outlier_radius_min, outlier_radius_max).alias("radius"))
+        near = bl.measured_pairs(todo, near_rows(spot.select(*place, "m"), todo, widest, ("tree_id",)), widest, "k long", near_others, by=("tree_id",))
+        enough = spot.filter("full").select(*place, "stratum").unionByName(near.filter(F.col("k") >= outlier_min_neighbors).select(*place, "stratum"))
+        pass_ = live.join(enough, [*place, "stratum"], "left_semi").select("a", F.lit(True).alias("near_ok"))
         few = (F.col("m") <= outlier_min_neighbors) | F.lit(outlier_min_neighbors <= 0)
     stage = cut_lineage(live.join(sizes, "tree_id").join(pass_, "a", "left").withColumn("near_ok", few | F.coalesce("near_ok", F.lit(False))).drop("m"))
     left = stage.filter("near_ok").drop("near_ok")
     scans = left.groupBy("tree_id").agg(F.count("*").alias("m"), F.count_distinct("scan").alias("scans"))
     need = F.floor(by_stratum(wind_min_other_scans_low, wind_min_other_scans_high) + 0.5)
-    around = left.select("tree_id", "a", "x", "y", "z", "scan", by_stratum(wind_radius_min, wind_radius_max).alias("radius"))
-    seen = bl.measured_pairs(around, left.select("tree_id", "x", "y", "z", "scan"), max(wind_radius_min, wind_radius_max), "k long", other_scans, by=("tree_id",)).select("a", "k")
-    wind = left.join(scans, "tree_id").join(seen, "a", "left").select("a", ((F.col("m") > 3) & (F.col("scans") > 1) & (F.coalesce("k", F.lit(0)) < need)).alias("wind"))
+    spot = bl.spots(left.filter(F.col("scan").isNotNull()), *place, "scan", "stratum").withColumns(fitting(min(wind_radius_min, wind_radius_max)))
+    full = spot.groupBy(*sure).agg(F.count_distinct("scan").alias("cell_scans"))
+    spot = cut_lineage(spot.join(full, sure).withColumn("full", F.col("cell_scans") - 1 >= need).select(*place, "scan", "stratum", "full"))
+    widest = max(wind_radius_min, wind_radius_max)
+    todo = spot.filter("NOT full").select(*place, "scan", "stratum", by_stratum(wind_radius_min, wind_radius_max).alias("radius"))
+    near = bl.measured_pairs(todo, near_rows(spot.select(*place, "scan").distinct(), todo, widest, ("tree_id",)), widest, "k long", other_scans, by=("tree_id",))
+    seen = spot.filter("full").select(*place, "scan", "stratum").unionByName(near.filter(F.col("k") >= need).select(*place, "scan", "stratum")).withColumn("seen", F.lit(True))
+    wind = left.join(scans, "tree_id").join(seen, [*place, "scan", "stratum"], "left").select("a", ((F.col("m") > 3) & (F.col("scans") > 1) & (need > 0) & F.col("seen").isNull()).alias("wind"))
     verdict = good.select("a", "ok").join(stage.select("a", "near_ok"), "a", "left").join(wind, "a", "left")
     label = F.when(~F.col("ok"), REFLECTANCE).when(~F.col("near_ok"), OUTLIER).when(F.col("wind"), WIND).otherwise(KEPT)
     verdict = verdict.select(F.col("a").alias(key), label.alias("label"))
@@ -298,15 +334,18 @@ def point_quality(points: DataFrame, refl_min: float = -20.0, refl_max: float =
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges(u, v)`` -> ``(node, root)``, root the component's smallest node: labels go to the smallest of the neighbours', then to their label's label."""
+    """``edges(u, v)`` -> ``(node, root)``, root the component's smallest node: labels go to the smallest of the neighbours', then to their label's label.
+
+    Labels are as many as nodes, so joins sort and merge; none is collected at the driver.
+    """
     both = cut_lineage(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut_lineage(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("root")))
     while True:
-        low = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("root").alias("m"))
-        new = labels.join(low, labels.node == low.u).select("node", F.least("root", "m").alias("root"))
+        low = both.join(labels.hint("merge"), both.v == labels.node).groupBy("u").agg(F.min("root").alias("m"))
+        new = labels.join(low.hint("merge"), labels.node == low.u).select("node", F.least("root", "m").alias("root"))
         up = new.select(F.col("node").alias("w"), F.col("root").alias("up"))
-        new = cut_lineage(new.join(up, new.root == up.w).select("node", "up"))
-        changed = new.join(labels, "node").filter("up <> root").limit(1).count()
+        new = cut_lineage(new.join(up.hint("merge"), new.root == up.w).select("node", "up"))
+        changed = new.join(labels.hint("merge"), "node").filter("up <> root").limit(1).count()
         labels = new.withColumnRenamed("up", "root")
         if not changed:
             return labels
@@ -318,8 +357,10 @@ def dbscan(points: DataFrame, eps: float, least: int, key: str = "point_id") ->
     Core points of a block are joined in the task that sees it; what leaves it is one link for each of them to the block's smallest, and
     blocks meet in the points of their halos.
     """
-    a, _ = _ab(points, key)
-    dense = cut_lineage(bl.counts_within(a, a, eps).withColumn("core", F.col("n") >= least).drop("n"))
+    at = ["x", "y", "z"]
+    # A place is named by its smallest point.
+    p = bl.spots(points, *at, a=F.min(key))
+    dense = cut_lineage(bl.spot_counts(p, p, eps).select("a", *at, (F.col("n") >= least).alias("core")))
     core = dense.filter("core").select("a", "x", "y", "z")
     kind = dict(core.dtypes)["a"]
 
@@ -352,7 +393,8 @@ def dbscan(points: DataFrame, eps: float, least: int, key: str = "point_id") ->
     dict_type = to_arrow_type(core.schema["a"].dataType)
     # Right rows are sorted by cluster, so the first one near is the smallest.
     border = bl.measured_pairs(dense.filter("NOT core").drop("core"), named.select("x", "y", "z", "cluster"), eps, f"cluster {kind}", smallest, order="cluster")
-    return named.select(F.col("a").alias(key), "cluster").unionByName(border.filter("cluster IS NOT NULL").select(F.col("a").alias(key), "cluster"))
+    found = named.select(*at, "cluster").unionByName(border.filter("cluster IS NOT NULL").select(*at, "cluster"))
+    return points.select(key, *at).join(found, at).select(key, "cluster")
 
 
 def match_positions(a: DataFrame, b: DataFrame, radius: float, method: str = "optimal") -> DataFrame:
@@ -368,7 +410,7 @@ def match_positions(a: DataFrame, b: DataFrame, radius: float, method: str = "op
     cand = radius_pairs(a.filter(ok).select(F.col("a").cast("long").alias("a"), "x", "y"), b.filter(ok).select(F.col("b").cast("long").alias("b"), "x", "y"), radius or 1e-9, "xy").filter(F.col("distance") <= radius).select("a", "b", "distance")
     cand = cut_lineage(cand)
     parts = components(cand.select((F.col("a") * 2).alias("u"), (F.col("b") * 2 + 1).alias("v")))
-    grouped = cand.join(parts, F.col("a") * 2 == parts.node).select("root", "a", "b", "distance")
+    grouped = cand.join(parts.hint("merge"), F.col("a") * 2 == parts.node).select("root", "a", "b", "distance")
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Components side by side are one sparse problem.
