@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as bl
 from . import neighbours as ne
 from . import points as po
 
@@ -198,21 +199,28 @@ def align_stems(moving: DataFrame, reference: DataFrame, reach: float = 30.0, ce
     ``{yaw_deg, dx, dy, votes}``: a stem goes to the turned place plus the shift; then both are fitted to the pairs that agree.
     """
     steps = np.arange(-yaw_range, yaw_range + yaw_step / 2, yaw_step).tolist() if allow_rotation else [0.0]
-    spun = moving.select("id", "x", "y", F.explode(F.array(*map(F.lit, sorted(steps, key=abs)))).alias("yaw"))
+    # Stems in one place vote together: a place counts as often as it has stems.
+    one, two = bl.spots(moving, "x", "y", ids=F.count_distinct("id")), bl.spots(reference, "x", "y")
+    spun = one.select("x", "y", "m", "ids", F.explode(F.array(*map(F.lit, sorted(steps, key=abs)))).alias("yaw"))
     a = F.radians("yaw")
-    spun = spun.select(F.struct("yaw", "id", "x", "y").alias("a"), (F.col("x") * F.cos(a) - F.col("y") * F.sin(a)).alias("x"), (F.col("x") * F.sin(a) + F.col("y") * F.cos(a)).alias("y"))
-    pairs = ne.radius_pairs(spun, reference.select(F.col("id").alias("b"), "x", "y"), reach, "xy").select("a", "x", "y", "rx", "ry")
+    spun = spun.select(F.struct("yaw", "x", "y", "m", "ids").alias("a"), (F.col("x") * F.cos(a) - F.col("y") * F.sin(a)).alias("x"), (F.col("x") * F.sin(a) + F.col("y") * F.cos(a)).alias("y"))
+    pairs = ne.cut_lineage(ne.radius_pairs(spun, two.select(F.col("m").alias("b"), "x", "y"), reach, "xy").select("a", "b", "x", "y", "rx", "ry"))
     dx, dy = F.col("rx") - F.col("x"), F.col("ry") - F.col("y")
     # A shift counts for its cell and the three next to it, so cell borders cut no peak.
     spots = F.array(*(F.struct(F.floor(dx / cell + i).cast("long").alias("i"), F.floor(dy / cell + j).cast("long").alias("j")) for i in (0.0, 0.5) for j in (0.0, 0.5)))
     kind = F.posexplode(spots)
-    votes = pairs.select("a.yaw", "a", "rx", "ry", kind.alias("k", "s")).groupBy("yaw", "k", "s").agg(F.count_distinct("a.id").alias("votes"))
+    seen = pairs.select("a.yaw", F.struct("a.x", "a.y", "a.ids").alias("place"), kind.alias("k", "s")).distinct()
+    votes = seen.groupBy("yaw", "k", "s").agg(F.sum("place.ids").alias("votes"))
     best = votes.orderBy(F.desc("votes"), F.abs("yaw"), "yaw", "k", "s.i", "s.j").first()
     if best is None:
         return None
-    mine = pairs.filter(F.col("a.yaw") == best["yaw"]).select("a", "rx", "ry", kind.alias("k", "s")).filter((F.col("k") == best["k"]) & (F.col("s.i") == best["s"]["i"]) & (F.col("s.j") == best["s"]["j"]))
-    t = mine.select(F.col("a.x").alias("x"), F.col("a.y").alias("y"), "rx", "ry")
-    r = t.agg(F.avg("x"), F.avg("y"), F.avg("rx"), F.avg("ry"), *(F.covar_pop(p, q) for p in ("x", "y") for q in ("rx", "ry")), F.count("*")).first()
+    mine = pairs.filter(F.col("a.yaw") == best["yaw"]).select("a", "b", "rx", "ry", kind.alias("k", "s")).filter((F.col("k") == best["k"]) & (F.col("s.i") == best["s"]["i"]) & (F.col("s.j") == best["s"]["j"]))
+    t = ne.cut_lineage(mine.select((F.col("a.m") * F.col("b")).alias("w"), F.col("a.x").alias("x"), F.col("a.y").alias("y"), "rx", "ry"))
+    r = t.agg(*(F.sum(F.col("w") * F.col(c)) / F.sum("w") for c in ("x", "y", "rx", "ry")), F.sum("w")).first()
+    # Products about the means, in a pass of its own.
+    off = {c: F.col(c) - v for c, v in zip(("x", "y", "rx", "ry"), r)}
+    c = t.agg(*(F.sum(F.col("w") * off[p] * off[q]) / F.sum("w") for p in ("x", "y") for q in ("rx", "ry"))).first()
+    r = (*r[:4], *c, r[4])
     yaw = math.atan2(r[5] - r[6], r[4] + r[7]) if allow_rotation and r[8] > 1 and (r[4] + r[7] or r[5] - r[6]) else math.radians(best["yaw"])
     c, s = math.cos(yaw), math.sin(yaw)
     return {"yaw_deg": math.degrees(yaw), "dx": r[2] - (c * r[0] - s * r[1]), "dy": r[3] - (s * r[0] + c * r[1]), "votes": best["votes"]}
