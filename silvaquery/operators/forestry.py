@@ -247,8 +247,9 @@ def matched_growth(before: DataFrame, after: DataFrame, radius: float = 1.5, for
 
     m = ne.cut_lineage(ne.match_positions(before.select(F.col("tree_id").alias("a"), "x", "y"), after.select(F.col("tree_id").alias("b"), "x", "y"), radius))
     tag = lambda t, key, s: t.select(F.col("tree_id").cast("long").alias(key), *(F.col(c).alias(c + s) for c in ("dbh", "height", "basal_area")))
-    pairs = m.join(tag(before, "a", "_ref"), "a").join(tag(after, "b", "_now"), "b")
-    gone, new = (t.join(m.select(F.col(k).alias("tree_id")), "tree_id", "left_anti") for t, k in ((before, "a"), (after, "b")))
+    # Both inventories are as long as the pairs: they are sorted and merged, so none is collected at the driver.
+    pairs = m.join(tag(before, "a", "_ref").hint("merge"), "a").join(tag(after, "b", "_now").hint("merge"), "b")
+    gone, new = (t.join(m.select(F.col(k).alias("tree_id")).hint("merge"), "tree_id", "left_anti") for t, k in ((before, "a"), (after, "b")))
     return growth_summary(pairs, gone, new, form_factor)
 
 
@@ -257,8 +258,9 @@ def found_by_place(reference: DataFrame, detected: DataFrame, radius: float, edg
     from . import neighbours as ne
 
     m = ne.cut_lineage(ne.match_positions(detected.select(F.col("tree_id").alias("a"), "x", "y"), reference.select(F.col("tree_id").alias("b"), "x", "y"), radius, method))
-    both = m.join(reference.select(F.col("tree_id").cast("long").alias("b"), "dbh"), "b").select(size_class(F.col("dbh"), edges).alias("size_class"), F.lit("both").alias("found"))
-    only = lambda t, k, w: t.join(m.select(F.col(k).alias("tree_id")), "tree_id", "left_anti").select(size_class(F.col("dbh"), edges).alias("size_class"), F.lit(w).alias("found"))
+    # Sorted and merged, so no list of trees is collected at the driver.
+    both = m.join(reference.select(F.col("tree_id").cast("long").alias("b"), "dbh").hint("merge"), "b").select(size_class(F.col("dbh"), edges).alias("size_class"), F.lit("both").alias("found"))
+    only = lambda t, k, w: t.join(m.select(F.col(k).alias("tree_id")).hint("merge"), "tree_id", "left_anti").select(size_class(F.col("dbh"), edges).alias("size_class"), F.lit(w).alias("found"))
     return m, both.unionByName(only(reference, "b", "onlyReference")).unionByName(only(detected, "a", "onlyDetected"))
 
 
