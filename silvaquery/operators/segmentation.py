@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -34,13 +34,25 @@ def tiled(df: DataFrame, size: float, halo: float, work: Callable[[pd.DataFrame]
     return p.groupBy("tile_x", "tile_y").applyInPandas(work, schema)
 
 
-def _raster(pdf: pd.DataFrame, size: float, value: str, how: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    c, r = np.floor(pdf["x"] / size).astype(int).to_numpy(), np.floor(pdf["y"] / size).astype(int).to_numpy()
-    c, r = c - c.min(), r - r.min()
-    out = np.full((r.max() + 1, c.max() + 1), np.inf if how == "min" else -np.inf)
-    (np.minimum if how == "min" else np.maximum).at(out, (r, c), pdf[value].to_numpy(float))
-    out[~np.isfinite(out)] = np.nan
-    return out, r, c
+def tiled_cells(points: DataFrame, cell: float, value: Column, size: float, halo: float, work: Callable[[np.ndarray, int, int], np.ndarray], kind: str) -> DataFrame:
+    """``points`` with ``found``, what ``work(raster, first column, first row)`` gives their cell in the tile that holds its centre.
+
+    A raster has ``value``, an aggregate, of each cell of the tile and its halo, nan where there is none. Tasks hold cells, never points.
+    """
+    at = {"col": S.cell(F.col("x"), cell), "row": S.cell(F.col("y"), cell)}
+    cells = bl.spots(points.withColumns(at), "col", "row", value=value).select("col", "row", "value", *(((F.col(c) + 0.5) * cell).alias(k) for c, k in (("col", "x"), ("row", "y"))))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, r, own = pdf["col"].to_numpy(), pdf["row"].to_numpy(), pdf["core"].to_numpy(bool)
+        out = np.full((r.max() - r.min() + 1, c.max() - c.min() + 1), np.nan)
+        out[r - r.min(), c - c.min()] = pdf["value"].to_numpy(float)
+        out[~np.isfinite(out)] = np.nan
+        # A tile without a cell of its own has no result.
+        found = work(out, int(c.min()), int(r.min()))[r - r.min(), c - c.min()][own] if own.any() else []
+        return pd.DataFrame({"col": c[own], "row": r[own], "found": found})
+
+    got = ne.cut_lineage(tiled(cells, size, halo, one, f"col long, row long, found {kind}"))
+    return points.withColumns(at).join(got, ["col", "row"]).select(*points.columns, "found")
 
 
 def _filled(a: np.ndarray) -> np.ndarray:
@@ -69,8 +81,7 @@ def classify_ground(points: DataFrame, cell: float = 0.5, tolerance: float = 0.2
     Openings with growing windows take off what rises above them by more than a threshold that grows with slope and window.
     """
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, r, c = _raster(pdf, cell, "z", "min")
+    def work(low: np.ndarray, c0: int, r0: int) -> np.ndarray:
         surface, ground = _filled(low), np.ones(low.shape, bool)
         half, last = 1, 0
         while half * cell <= window / 2:
@@ -78,13 +89,10 @@ def classify_ground(points: DataFrame, cell: float = 0.5, tolerance: float = 0.2
             limit = min(most, first + slope * (half - last) * cell * 2) if last else first
             ground &= surface - opened <= limit
             surface, last, half = opened, half, half * 2
-        dtm = _filled(np.where(ground, low, np.nan))
-        own = pdf["core"].to_numpy()
-        is_ground = pdf["z"].to_numpy() - dtm[r, c] <= tolerance
-        return pd.DataFrame({key: pdf[key][own], "cls": np.where(is_ground, 2, 1)[own].astype("int32")})
+        return _filled(np.where(ground, low, np.nan))
 
-    kind = dict(points.dtypes)[key]
-    return tiled(points.select(key, "x", "y", "z"), tile, window, work, f"{key} {kind}, cls int")
+    found = tiled_cells(points.select(key, "x", "y", "z"), cell, F.min("z"), tile, window, work, "double")
+    return found.select(key, F.when(F.col("z") - F.col("found") <= tolerance, 2).otherwise(1).alias("cls"))
 
 
 def classify_cloth(points: DataFrame, cell: float = 0.5, tolerance: float = 0.2, rigidity: int = 2, rounds: int = 500, step: float = 0.65, tile: float = 50.0, halo: float = 10.0, key: str = "point_id") -> DataFrame:
@@ -94,8 +102,7 @@ def classify_cloth(points: DataFrame, cell: float = 0.5, tolerance: float = 0.2,
     to their neighbours, ``rigidity`` times a round, by halves of what is left. Points near the cloth at rest are ground.
     """
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, r, c = _raster(pdf, cell, "z", "min")
+    def work(low: np.ndarray, c0: int, r0: int) -> np.ndarray:
         floor = -_filled(low)  # the cloud turned over
         cloth = np.full(floor.shape, np.nanmax(floor) + 0.05)
         before, free = cloth.copy(), np.ones(floor.shape, bool)
@@ -111,12 +118,10 @@ def classify_cloth(points: DataFrame, cell: float = 0.5, tolerance: float = 0.2,
             free &= ~landed
             if not free.any() or np.abs(cloth - before)[free].max(initial=0.0) < 1e-4:
                 break
-        near = np.abs(pdf["z"].to_numpy() + cloth[r, c]) <= tolerance
-        own = pdf["core"].to_numpy()
-        return pd.DataFrame({key: pdf[key][own], "cls": np.where(near, 2, 1)[own].astype("int32")})
+        return cloth
 
-    kind = dict(points.dtypes)[key]
-    return tiled(points.select(key, "x", "y", "z"), tile, halo, work, f"{key} {kind}, cls int")
+    found = tiled_cells(points.select(key, "x", "y", "z"), cell, F.min("z"), tile, halo, work, "double")
+    return found.select(key, F.when(F.abs(F.col("z") + F.col("found")) <= tolerance, 2).otherwise(1).alias("cls"))
 
 
 #: Neighbours of a cell, in the order that settles ties.
@@ -287,8 +292,7 @@ def flow_accumulation(grid: DataFrame, cell: float, value: str = "lowest", tile_
 def segment_chm(points: DataFrame, cell: float = 0.5, smooth: float = 1.0, least: float = 2.0, base: float = 1.5, per_m: float = 0.05, widest: float = 5.0, tile: float = 50.0, key: str = "point_id") -> DataFrame:
     """Watershed of the canopy height model from maxima in windows that grow with height: ``(point_id, tree_id)``, 0 for none."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        chm, r, c = _raster(pdf, cell, "hag", "max")
+    def work(chm: np.ndarray, c0: int, r0: int) -> np.ndarray:
         h = np.nan_to_num(chm, nan=0.0)
         if smooth > 0:
             half = max(1, round(2 * smooth))
@@ -312,14 +316,11 @@ def segment_chm(points: DataFrame, cell: float = 0.5, smooth: float = 1.0, least
                     label[a, b] = label[i, j]
                     heapq.heappush(heap, (-h[a, b], a, b))
         # A seed's world cell names its tree, so tiles agree on trees that both see.
-        c0, r0 = math.floor(pdf["x"].min() / cell), math.floor(pdf["y"].min() / cell)
-        seed = label[r, c] - 1
-        world = ((seed // h.shape[1] + r0) << 24) + (seed % h.shape[1] + c0) + (1 << 23)
-        own = pdf["core"].to_numpy()
-        return pd.DataFrame({key: pdf[key][own], "tree_id": np.where((seed >= 0) & (pdf["hag"].to_numpy() >= least), world, 0)[own]})
+        seed = label - 1
+        return np.where(seed >= 0, ((seed // h.shape[1] + r0) << 24) + (seed % h.shape[1] + c0) + (1 << 23), 0)
 
-    kind = dict(points.dtypes)[key]
-    return tiled(points.select(key, "x", "y", "hag"), tile, 2 * widest, work, f"{key} {kind}, tree_id long")
+    found = tiled_cells(points.select(key, "x", "y", "hag"), cell, F.max("hag"), tile, 2 * widest, work, "long")
+    return found.select(key, F.when(F.col("hag") >= least, F.col("found")).otherwise(0).alias("tree_id"))
 
 
 def place_name(x: float, y: float, step: float) -> int:
@@ -546,12 +547,14 @@ def transfer_labels(points: DataFrame, skeleton: DataFrame, threshold: float = 0
     A hull of fewer than three corners gates nothing.
     """
     hull = hull_of(skeleton) if hull is None else hull
-    a = points.filter(S.in_polygon(F.col("x"), F.col("y"), hull)).select(F.col(key).alias("a"), "x", "y", "z")
-    b = skeleton.select(F.struct("tree_id", "branch_order").alias("b"), "x", "y", "z")
+    at = ["x", "y", "z"]
+    # Points in one place have one label.
+    a = bl.spots(points, *at).filter(S.in_polygon(F.col("x"), F.col("y"), hull)).select(F.struct(*at).alias("a"), *at)
+    b = skeleton.select(F.struct("tree_id", "branch_order").alias("b"), *at)
     near = ne.k_nearest(a, b, 1)
     close = F.col("distance") <= threshold
-    t = near.select(F.col("a").alias(key), F.when(close | F.lit(beyond), F.col("b.tree_id")).otherwise(0).alias("new_tree"), F.when(close, F.when(F.col("b.branch_order") == 0, 1).otherwise(2)).otherwise(0).alias("semantic"))
-    return points.select(key).join(t, key, "left").select(key, F.coalesce("new_tree", F.lit(0)).alias("tree_id"), F.coalesce("semantic", F.lit(0)).alias("semantic"))
+    t = near.select("a.*", F.when(close | F.lit(beyond), F.col("b.tree_id")).otherwise(0).alias("new_tree"), F.when(close, F.when(F.col("b.branch_order") == 0, 1).otherwise(2)).otherwise(0).alias("semantic"))
+    return points.select(key, *at).join(t, at, "left").select(key, F.coalesce("new_tree", F.lit(0)).alias("tree_id"), F.coalesce("semantic", F.lit(0)).alias("semantic"))
 
 
 # ---------------------------------------------------------------- isolation by cut pursuit
