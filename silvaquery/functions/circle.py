@@ -24,19 +24,27 @@ def taubin_from_moments(uu, vv, uv, zu, zv, zz, mean_z):
     return tuple(np.where(bad, np.nan, v) for v in (cx, cy, r))
 
 
-def taubin(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float] | None:
+def taubin(x: np.ndarray, y: np.ndarray, m: np.ndarray | None = None) -> tuple[float, float, float] | None:
+    """The circle of points, of which row k stands for ``m[k]``."""
     if len(x) < 3:
         return None
-    u, v = x - x.mean(), y - y.mean()
+    mean = lambda q: np.average(q, weights=m)
+    mx, my = mean(x), mean(y)
+    u, v = x - mx, y - my
     z = u * u + v * v
-    d = z - z.mean()
-    cx, cy, r = taubin_from_moments(*(np.array([k]) for k in ((u * u).mean(), (v * v).mean(), (u * v).mean(), (d * u).mean(), (d * v).mean(), (d * d).mean(), z.mean())))
-    return None if not np.isfinite(r[0]) else (float(cx[0] + x.mean()), float(cy[0] + y.mean()), float(r[0]))
+    d = z - mean(z)
+    cx, cy, r = taubin_from_moments(*(np.array([mean(k)]) for k in (u * u, v * v, u * v, d * u, d * v, d * d, z)))
+    return None if not np.isfinite(r[0]) else (float(cx[0] + mx), float(cy[0] + my), float(r[0]))
 
 
-def ransac(x: np.ndarray, y: np.ndarray, tol: float, rounds: int, least: int, seed: int) -> tuple[float, float, float, int, float] | None:
-    """(cx, cy, r, inliers, rmse) of the circle with most points within ``tol``, refitted to them."""
-    if len(x) < max(3, least):
+#: Distances that are looked at together.
+AT_ONCE = 4_000_000
+
+
+def ransac(x: np.ndarray, y: np.ndarray, tol: float, rounds: int, least: int, seed: int, m: np.ndarray | None = None) -> tuple[float, float, float, int, float] | None:
+    """(cx, cy, r, inliers, rmse) of the circle with most points within ``tol``, refitted to them. ``m``: how many points a row stands for."""
+    m = np.ones(len(x), np.int64) if m is None else m
+    if len(x) < 3 or m.sum() < max(3, least):
         return None
     rng = np.random.default_rng(seed)
     pick = np.stack([rng.choice(len(x), 3, replace=False) for _ in range(rounds)])
@@ -47,22 +55,23 @@ def ransac(x: np.ndarray, y: np.ndarray, tol: float, rounds: int, least: int, se
         uy = ((ax**2 + ay**2) * (cx - bx) + (bx**2 + by**2) * (ax - cx) + (cx**2 + cy**2) * (bx - ax)) / d
         r = np.hypot(ax - ux, ay - uy)
     real = np.isfinite(r)
-    pick, ux, uy, r = pick[real], ux[real], uy[real], r[real]
+    ux, uy, r = ux[real], uy[real], r[real]
     if not len(r):
         return None
-    off = np.abs(np.hypot(x[None] - ux[:, None], y[None] - uy[:, None]) - r[:, None]) <= tol
-    best = int(np.argmax(off.sum(1)))
-    inside = off[best]
-    if inside.sum() < least:
+    on = lambda u, v, w: np.abs(np.hypot(x[None] - u[:, None], y[None] - v[:, None]) - w[:, None]) <= tol
+    step = max(1, AT_ONCE // len(x))
+    best = int(np.argmax(np.concatenate([on(ux[k:k + step], uy[k:k + step], r[k:k + step]) @ m for k in range(0, len(r), step)])))
+    inside = on(ux[[best]], uy[[best]], r[[best]])[0]
+    if m[inside].sum() < least:
         return None
     # The refitted circle names its own inliers, a few times over.
     for _ in range(5):
-        fit = taubin(x[inside], y[inside])
+        fit = taubin(x[inside], y[inside], m[inside])
         if fit is None:
             return None
         again = np.abs(np.hypot(x - fit[0], y - fit[1]) - fit[2]) <= tol
-        if again.sum() < least or (again == inside).all():
+        if m[again].sum() < least or (again == inside).all():
             break
         inside = again
     res = np.hypot(x[inside] - fit[0], y[inside] - fit[1]) - fit[2]
-    return (*fit, int(inside.sum()), float(np.sqrt((res * res).mean())))
+    return (*fit, int(m[inside].sum()), float(np.sqrt(np.average(res * res, weights=m[inside]))))

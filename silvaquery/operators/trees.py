@@ -60,12 +60,14 @@ def fit_stems(points: DataFrame, low: float = 1.0, high: float = 3.0, tol: float
     """RANSAC circle per tree in a band, seeded by the tree's id."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["tree_id"].iloc[0])
-        got = circle.ransac(pdf["x"].to_numpy(), pdf["y"].to_numpy(), tol, rounds, least, k & 0xFFFFFFFF)
-        row = (k, None, None, None, 0, len(pdf), None) if got is None else (k, 2 * got[2], got[0], got[1], got[3], len(pdf), got[4])
+        k, n = int(pdf["tree_id"].iloc[0]), int(pdf["m"].sum())
+        got = circle.ransac(pdf["x"].to_numpy(), pdf["y"].to_numpy(), tol, rounds, least, k & 0xFFFFFFFF, pdf["m"].to_numpy())
+        row = (k, None, None, None, 0, n, None) if got is None else (k, 2 * got[2], got[0], got[1], got[3], n, got[4])
         return pd.DataFrame([row], columns=["tree_id", "dbh", "center_x", "center_y", "inlier_count", "band_count", "rmse"])
 
-    band = points.filter((F.col("tree_id") > 0) & F.col("hag").between(low, high)).select("tree_id", "x", "y", "z")
+    band = points.filter((F.col("tree_id") > 0) & F.col("hag").between(low, high))
+    # Points in one place are one row, so a task holds a tree's places.
+    band = band.groupBy("tree_id", "x", "y", "z").agg(F.count(F.lit(1)).alias("m"))
     return band.groupBy("tree_id").applyInPandas(lambda pdf: fit(pdf.sort_values(["x", "y", "z"])), "tree_id int, dbh double, center_x double, center_y double, inlier_count int, band_count int, rmse double")
 
 
