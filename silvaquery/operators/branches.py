@@ -45,7 +45,13 @@ def local_axes(clicks: DataFrame, points: DataFrame, radius: float, least: int =
 
 
 def sections(axes: DataFrame, points: DataFrame, half: float = 0.02, reach: float = 0.3) -> DataFrame:
-    """``(click, u, v, cx, cy, cz)``: the points of each click's section in its plane, about their mean.
+    """``(click, u, v, cx, cy, cz)``: the points of each click's section in its plane, about their mean."""
+    s = section_places(axes, points, half, reach)
+    return s.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("i", "m")
+
+
+def section_places(axes: DataFrame, points: DataFrame, half: float = 0.02, reach: float = 0.3) -> DataFrame:
+    """The places of ``sections``, each with ``m``, how many points it has.
 
     ``axes`` as ``local_axes`` gives them. The centre is the click moved onto the axis, then once to the mean of the section's own points; ``half``
     is half the slab's thickness, ``reach`` the largest distance from the axis. u is level where it can be.
@@ -60,12 +66,16 @@ def sections(axes: DataFrame, points: DataFrame, half: float = 0.02, reach: floa
     t = t.withColumns(u).withColumns({"vx": F.col("ay") * F.col("uz") - F.col("az") * F.col("uy"), "vy": F.col("az") * F.col("ux") - F.col("ax") * F.col("uz"), "vz": F.col("ax") * F.col("uy") - F.col("ay") * F.col("ux")})
     base = t.select("click", "branch", *(F.col(f"o{c}").alias(c) for c in "xyz"), *(f"{p}{c}" for p in "auv" for c in "xyz"))
     # The second centre is at most one reach from the first.
-    near = ne.radius_pairs(base, points.select("branch", F.lit(0).alias("b"), "x", "y", "z"), math.hypot(half, 2 * reach), by=("branch",)).withColumns({f"d{c}": F.col(f"r{c}") - F.col(c) for c in "xyz"})
+    # Points of a branch in one place are one row; the clicks are few, so they are spread over cells, and the points are not.
+    p = bl.spots(points, "branch", "x", "y", "z").select("branch", F.struct("x", "y", "z", "m").alias("a"), "x", "y", "z")
+    spread = base.select("branch", "x", "y", "z", F.struct(*(c for c in base.columns if c != "branch")).alias("b"))
+    near = ne.radius_pairs(p, spread, math.hypot(half, 2 * reach), by=("branch",)).select("b.*", "a.m", *(F.col(f"a.{c}").alias(f"r{c}") for c in "xyz")).withColumns({f"d{c}": F.col(f"r{c}") - F.col(c) for c in "xyz"})
     near = near.withColumns({"t": dot("d", "a"), "u": dot("d", "u"), "v": dot("d", "v")}).filter(F.abs("t") <= half)
-    near = ne.cut_lineage(near.select("click", "u", "v", "x", "y", "z", *(f"{p}{c}" for p in "uv" for c in "xyz")))
-    mean = near.filter(F.col("u") * F.col("u") + F.col("v") * F.col("v") <= reach * reach).groupBy("click").agg(F.avg("u").alias("mu"), F.avg("v").alias("mv"))
+    near = ne.cut_lineage(near.select("click", "u", "v", "m"))
+    mean = near.filter(F.col("u") * F.col("u") + F.col("v") * F.col("v") <= reach * reach).groupBy("click").agg(*((F.sum(F.col("m") * F.col(c)) / F.sum("m")).alias(f"m{c}") for c in "uv"))
+    mean = mean.join(base.select("click", "x", "y", "z", *(f"{p}{c}" for p in "uv" for c in "xyz")), "click")
     own = near.join(mean, "click").withColumns({"u": F.col("u") - F.col("mu"), "v": F.col("v") - F.col("mv")}).filter(F.col("u") * F.col("u") + F.col("v") * F.col("v") <= reach * reach)
-    return own.select("click", "u", "v", *((F.col(c) + F.col("mu") * F.col(f"u{c}") + F.col("mv") * F.col(f"v{c}")).alias(f"c{c}") for c in "xyz"))
+    return own.select("click", "u", "v", "m", *((F.col(c) + F.col("mu") * F.col(f"u{c}") + F.col("mv") * F.col(f"v{c}")).alias(f"c{c}") for c in "xyz"))
 
 
 def _widths(rows: DataFrame, angle: Column, trim: float, *keys: str) -> DataFrame:

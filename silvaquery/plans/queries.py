@@ -732,9 +732,9 @@ def branch_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _stand(spark, sf_dir).filter("tree_id > 0").select(F.col("tree_id").alias("branch"), "x", "y", "z")
     c = p.select("branch").distinct().select(F.col("branch").alias("click"), "branch", ((F.col("branch") % 10) * 5.0 + 0.02).alias("x"), (F.floor(F.col("branch") / 10) * 5.0 - 0.01).alias("y"), F.lit(25.0).alias("z"))
     axes = c.withColumns({"mx": F.col("x"), "my": F.col("y"), "mz": F.col("z"), "ax": F.lit(0.0), "ay": F.lit(0.0), "az": F.lit(1.0)})
-    section = ne.cut_lineage(br.sections(axes, p, 4.0, 0.6))
+    section = ne.cut_lineage(br.section_places(axes, p, 4.0, 0.6))
     w = section.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(179)))).groupBy("click", "k").agg((F.max(F.col("u") * F.cos(F.radians("k")) + F.col("v") * F.sin(F.radians("k"))) - F.min(F.col("u") * F.cos(F.radians("k")) + F.col("v") * F.sin(F.radians("k")))).alias("w"))
-    out = w.groupBy("click").agg(F.min("w").alias("least_width"), F.max("w").alias("widest")).join(section.groupBy("click").agg(F.count(F.lit(1)).alias("n")), "click")
+    out = w.groupBy("click").agg(F.min("w").alias("least_width"), F.max("w").alias("widest")).join(section.groupBy("click").agg(F.sum("m").alias("n")), "click")
     return rounded(out.select("click", "n", "least_width", "widest"), 5)
 
 
