@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,19 +27,49 @@ from ..functions import scalar as S
 BLOCK_POINTS, PAIRS = 30_000, 2_000_000
 #: Widths of blocks, in radii.
 WIDTHS = (32, 16, 8, 4, 2)
+#: Rows of a table that may go whole to every task.
+FEW_ROWS = 100_000
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; where the session names none, a local one gets its own, and others are refused."""
+def shared_folder(df: DataFrame) -> str:
+    """The session's folder for checkpoints; where it names none, a local one gets its own, and others are refused."""
     sc = df.sparkSession.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="silvaquery-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder: a small part of a checkpoint's disk, since columns are packed."""
+    path = f"{shared_folder(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``stored`` that nothing will read again."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        where.getFileSystem(conf).delete(where, True)
+
+
+def by_size(df: DataFrame) -> DataFrame:
+    """``df`` with the hint for a join: few rows go to every task, more are merged."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df.hint("merge")
+
+
 def spots(points: DataFrame, *at: str, **more: Column) -> DataFrame:
     """The distinct values of columns ``at`` with ``m``, how many points have them, and aggregates ``more``; points without a value are in none."""
     known = points
